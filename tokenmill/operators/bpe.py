@@ -322,8 +322,9 @@ def bpe_encode(df: DataFrame, col: str, vocab: DataFrame, out: str = "ids") -> D
 
 
 def bpe_decode(ids, vocab: DataFrame) -> Column:
-    """Ids -> text: pieces joined, '▁' -> space, one leading space
-    dropped; unk prints ' ⁇ ', pad/bos/eos print nothing."""
+    """Ids -> text: pieces joined, a leading word mark dropped, other
+    marks become spaces; unk prints ' ⁇ ' (its spaces kept), pad/bos/eos print
+    nothing."""
     from tokenmill.operators.vocab import literal_pieces
     surf = vocab.select("id", F.when(F.col("id") == UNK_ID, F.lit(UNK_SURFACE))
                         .when(F.col("kind") == "special", F.lit("")).otherwise(F.col("piece")).alias("piece"))
@@ -331,7 +332,7 @@ def bpe_decode(ids, vocab: DataFrame) -> Column:
     c = F.col(ids) if isinstance(ids, str) else ids
     joined = F.array_join(F.transform(c, lambda i: F.coalesce(F.try_element_at(pieces, (i + 1).cast("int")),
                                                               F.lit(UNK_SURFACE))), "")
-    return F.regexp_replace(F.translate(joined, WORD_MARK, " "), "^ ", "")
+    return F.translate(F.regexp_replace(joined, f"^{WORD_MARK}", ""), WORD_MARK, " ")
 
 
 def decode_py(ids: list[int], pieces: list[str]) -> str:
@@ -344,8 +345,9 @@ def decode_py(ids: list[int], pieces: list[str]) -> str:
             continue
         else:
             out.append(pieces[i])
-    s = "".join(out).replace(WORD_MARK, " ")
-    return s[1:] if s.startswith(" ") else s
+    s = "".join(out)
+    s = s[1:] if s.startswith(WORD_MARK) else s
+    return s.replace(WORD_MARK, " ")
 
 
 WS = WS_CLASS
