@@ -16,14 +16,19 @@ def chunk_windows(df: DataFrame, col: str = "text", seq_len: int = 128, stride:
     x = [i*stride, +seq_len), y = x shifted by one character."""
     stride = stride or seq_len
     n = F.length(col)
-    count = F.greatest((n - F.lit(seq_len)).cast("bigint") / F.lit(stride), F.lit(0.0))
-    count = F.floor(count).cast("int")
-    with_n = df.select(key, col, count.alias("_cnt")).where(F.col("_cnt") > 0)
-    w = with_n.select(key, col, F.explode(F.sequence(F.lit(0), F.col("_cnt") - 1)).alias("window_id"))
-    start = F.col("window_id") * F.lit(stride)
-    return w.select(key, "window_id", start.cast("bigint").alias("start"),
-                    F.expr(f"substring({col}, window_id * {stride} + 1, {seq_len})").alias("x"),
-                    F.expr(f"substring({col}, window_id * {stride} + 2, {seq_len})").alias("y"))
+    count = F.floor(F.greatest((n - F.lit(seq_len)).cast("double") / F.lit(float(stride)), F.lit(0.0))).cast("int")
+    # Code-point substrings of a long UTF-8 string are found by walking from
+    # its start, so cutting every window from the whole text is quadratic in
+    # the document length. The text is cut once into stride-sized blocks
+    # (one regex pass); each window joins the few blocks it spans.
+    span = -(-(seq_len + 1) // stride)  # blocks covering x and the shifted y
+    src = df.select(key, count.alias("_cnt"),
+                    F.regexp_extract_all(col, F.lit(f"(?s).{{1,{int(stride)}}}"), 0).alias("_b")).where(F.col("_cnt") > 0)
+    w = src.select(key, F.explode(F.expr(
+        f"transform(sequence(0, _cnt - 1), i -> named_struct('window_id', i, 'start', CAST(i * {int(stride)} AS BIGINT), "
+        f"'s', array_join(slice(_b, i + 1, {span}), '')))")).alias("w"))
+    return w.select(key, "w.window_id", "w.start", F.substring("w.s", 1, seq_len).alias("x"),
+                    F.substring("w.s", 2, seq_len).alias("y"))
 
 
 def offset_split(df: DataFrame, col: str = "text", fracs=(0.8, 0.9), key: str = "doc_id") -> DataFrame:

@@ -97,12 +97,16 @@ def kept_chars(words: DataFrame, coverage: float) -> DataFrame:
 
 
 def _pair_counts(wt: DataFrame) -> DataFrame:
+    """Weighted adjacent-pair counts of one round. The script test runs on
+    the aggregated distinct pairs only; it is tied to the count so the
+    optimizer cannot push it back below the aggregation."""
     s = F.col("syms")
     pairs = F.arrays_zip(F.slice(s, F.lit(1), F.size(s) - 1).alias("l"), F.slice(s, F.lit(2), F.size(s) - 1).alias("r"))
     ex = wt.select("n", F.explode(pairs).alias("p")).select(F.col("p.l").alias("l"), F.col("p.r").alias("r"), "n")
+    agg = ex.groupBy("l", "r").agg(F.sum("n").alias("cnt"))
     ok = (F.col("l") != F.lit(SEP)) & (F.col("r") != F.lit(SEP)) & \
          ((script_class(F.col("l")) == "mark") | (script_class(F.col("l")) == script_class(F.col("r"))))
-    return ex.where(ok).groupBy("l", "r").agg(F.sum("n").alias("cnt"))
+    return agg.where(F.when(F.col("cnt") > 0, ok).otherwise(F.lit(False)))
 
 
 def accept_batch(head: list[tuple[str, str, int]], complete: bool, known: set[str], budget: int) -> list:
@@ -204,7 +208,11 @@ def bpe_train(df: DataFrame, col: str = "text", vocab_size: int = 8000, coverage
                 known.add(piece)
                 merges.append((len(merges), l, r, piece, c))
                 budget -= 1
-        nxt = wt.select("word", "n", _apply_merges(F.col("syms"), table).alias("syms"))
+        lefts = F.array(*[F.lit(l) for l, _, _ in batch])
+        # only words holding a left symbol of this batch run the fold
+        merged = F.when(F.arrays_overlap(F.col("syms"), lefts), _apply_merges(F.col("syms"), table)) \
+            .otherwise(F.col("syms"))
+        nxt = wt.select("word", "n", merged.alias("syms"))
         rounds += 1
         if rounds % checkpoint_every == 0:
             nxt = cut_lineage(nxt)

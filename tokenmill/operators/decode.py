@@ -19,7 +19,10 @@ BROADCAST_LIMIT = 5_000_000  # rows of a per-(context, prev) table shipped to ev
 
 
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast only below a proven row bound, else leave the join to the planner."""
+    """Materialise a derived per-(context, prev) table once (it is read at
+    every step) and broadcast it only below a proven row bound; above it the
+    planner shuffles it like any other join side."""
+    df = cut_lineage(df)
     n = df.count()
     return F.broadcast(df) if n <= BROADCAST_LIMIT else df
 

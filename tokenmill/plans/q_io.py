@@ -19,7 +19,7 @@ from tokenmill.plans.q_bpe import trained
 from tokenmill.plans.q_runs import metrics, results
 from tokenmill.plans.q_text import corpus_flatten
 from tokenmill.plans.registry import register, with_ctes
-from tokenmill.session import checkpoint_dir
+from tokenmill.session import checkpoint_dir, cut_lineage
 from tokenmill.sources import corpus as C
 from tokenmill.sources import logs as LG
 from tokenmill.sources import read_table
@@ -81,12 +81,12 @@ def q_write_leaderboard(spark, sf):
 
 @register("append_metrics")
 def q_append_metrics(spark, sf):
-    """Metric scalars appended twice (two epochs' worth) and read back."""
+    """Metric scalars appended twice (even and odd steps) and read back."""
     path = _scratch(spark, "metrics")
-    m = metrics(spark, sf)
+    m = cut_lineage(metrics(spark, sf))
     LG.append_metrics(m.where(F.col("step") % 2 == 0), path)
     LG.append_metrics(m.where(F.col("step") % 2 == 1), path)
-    return spark.read.parquet(path)
+    return LG.read_metrics(spark, path)
 
 
 # ------------------------------------------------------------------ D8, U1

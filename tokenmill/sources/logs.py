@@ -39,6 +39,20 @@ def write_leaderboard(df: DataFrame, path: str, rank: str = "rank") -> None:
     df.orderBy(rank).write.mode("overwrite").option("header", True).csv(path)
 
 
-def append_metrics(df: DataFrame, path: str) -> None:
-    """Append (run, tag, step, value) scalars, partitioned by run."""
-    df.select("run", "tag", "step", "value").write.mode("append").partitionBy("run").parquet(path)
+def append_metrics(df: DataFrame, path: str, buckets: int = 64) -> None:
+    """Append (run, tag, step, value) scalars. Folders are hash buckets of
+    the run id (a folder per run would mean millions of tiny files at scale);
+    inside a bucket rows are clustered by run, so a run's series is one
+    bucket folder plus parquet min/max pruning on ``run``."""
+    b = F.pmod(F.xxhash64("run"), F.lit(int(buckets)))
+    (df.select("run", "tag", "step", "value").withColumn("run_bucket", b)
+     .repartition(int(buckets), "run_bucket").sortWithinPartitions("run", "tag", "step")
+     .write.mode("append").partitionBy("run_bucket").parquet(path))
+
+
+def read_metrics(spark: SparkSession, path: str, run=None) -> DataFrame:
+    m = spark.read.parquet(path)
+    if run is not None:
+        m = m.where((F.col("run_bucket") == F.pmod(F.xxhash64(F.lit(run).cast("bigint")), F.lit(64)))
+                    & (F.col("run") == run))
+    return m.select("run", "tag", "step", "value")
