@@ -16,7 +16,7 @@ from tokenmill.operators import runs as R
 from tokenmill.operators.batches import assign_split, pad_batches, sequential_batches
 from tokenmill.plans import fixtures as FX
 from tokenmill.plans.q_bpe import trained
-from tokenmill.plans.q_runs import metrics, results
+from tokenmill.plans.q_runs import SQL_RESULTS, metrics, results
 from tokenmill.plans.q_text import corpus_flatten
 from tokenmill.plans.registry import register, with_ctes
 from tokenmill.session import checkpoint_dir, cut_lineage
@@ -71,15 +71,22 @@ def q_write_training_text(spark, sf):
     return spark.read.text(path)
 
 
-@register("write_leaderboard")
+@register("write_leaderboard", sql=with_ctes(SQL_RESULTS) + """
+SELECT run, returncode, round(eval_loss, 6) AS eval_loss, round(eval_bleu, 6) AS eval_bleu,
+       row_number() OVER (ORDER BY eval_loss IS NULL, eval_loss, run) AS rank FROM results""")
 def q_write_leaderboard(spark, sf):
-    """Leaderboard CSV (header, rank order) read back."""
+    """Leaderboard CSV (header, rank order) read back with its schema."""
     path = _scratch(spark, "leaderboard")
-    LG.write_leaderboard(R.leaderboard(results(spark, sf)), path)
-    return spark.read.option("header", True).csv(path)
+    lb = R.leaderboard(results(spark, sf)).select("run", "returncode", "eval_loss", "eval_bleu", "rank")
+    LG.write_leaderboard(lb, path)
+    back = spark.read.option("header", True).schema(
+        "run bigint, returncode int, eval_loss double, eval_bleu double, rank bigint").csv(path)
+    return back.select("run", "returncode", F.round("eval_loss", 6).alias("eval_loss"),
+                       F.round("eval_bleu", 6).alias("eval_bleu"), "rank")
 
 
-@register("append_metrics")
+@register("append_metrics", sql=with_ctes(FX.SQL_EPOCHS) + """
+SELECT run, 'event/' || event_type AS tag, epoch AS step, val AS value FROM epochs""")
 def q_append_metrics(spark, sf):
     """Metric scalars appended twice (even and odd steps) and read back."""
     path = _scratch(spark, "metrics")
@@ -152,6 +159,7 @@ def q_score_batches(spark, sf):
     p = FX.pairs(spark, sf)
     enc = BP.bpe_encode(BP.bpe_encode(p, "src", vocab, "src_raw"), "tgt", vocab, "tgt_raw")
     enc = enc.select("pair_id", wrap_truncate("src_raw", 128).alias("src_ids"), wrap_truncate("tgt_raw", 128).alias("tgt_ids"))
+    # only the key and the id arrays reach the index checkpoint
     padded = pad_batches(sequential_batches(enc, "pair_id", 16), "batch", "src_ids", "tgt_ids")
     sc = translation_scores(BP.bpe_encode(BP.bpe_encode(p, "src", vocab, "src_raw"), "tgt", vocab, "tgt_raw"))
     bigram = sc.groupBy("prev", "nxt").agg(F.max("logp").alias("logp"))

@@ -217,7 +217,7 @@ pad AS (SELECT pair_id, batch,
 
 def padded_pairs(spark, sf):
     e, v = encoded_pairs(spark, sf)
-    b = B.sequential_batches(e, "pair_id", BATCH)
+    b = B.sequential_batches(e.select("pair_id", "src_ids", "tgt_ids"), "pair_id", BATCH)
     return B.pad_batches(b, "batch", "src_ids", "tgt_ids"), v
 
 
@@ -287,14 +287,14 @@ def q_named_splits(spark, sf):
 SELECT pair_id, row_number() OVER (ORDER BY pair_id) - 1 AS row_idx, (row_number() OVER (ORDER BY pair_id) - 1) // 16 AS batch
 FROM pairs""")
 def q_sequential_batches(spark, sf):
-    return B.sequential_batches(FX.pairs(spark, sf), "pair_id", BATCH).select("pair_id", "row_idx", "batch")
+    return B.sequential_batches(FX.pairs(spark, sf).select("pair_id"), "pair_id", BATCH).select("pair_id", "row_idx", "batch")
 
 
 @register("shuffled_batches", sql=with_ctes(FX.SQL_PAIRS) + """
 SELECT pair_id, row_number() OVER w - 1 AS row_idx, (row_number() OVER w - 1) // 16 AS batch
 FROM pairs WINDOW w AS (ORDER BY md5('1337:2:' || CAST(pair_id AS VARCHAR)), pair_id)""")
 def q_shuffled_batches(spark, sf):
-    return B.shuffled_batches(FX.pairs(spark, sf), "pair_id", BATCH, seed=1337, epoch=2).select(
+    return B.shuffled_batches(FX.pairs(spark, sf).select("pair_id"), "pair_id", BATCH, seed=1337, epoch=2).select(
         "pair_id", "row_idx", "batch")
 
 
@@ -309,7 +309,7 @@ SELECT CAST(batch AS BIGINT) AS batch, count(*) AS n_rows, CAST(max(len(src_ids)
 FROM bat GROUP BY batch""")
 def q_batch_stats(spark, sf):
     e, _ = encoded_pairs(spark, sf)
-    b = B.sequential_batches(e, "pair_id", BATCH)
+    b = B.sequential_batches(e.select("pair_id", "src_ids", "tgt_ids"), "pair_id", BATCH)
     return B.batch_stats(b, "batch", "src_ids", "tgt_ids")
 
 
@@ -318,7 +318,7 @@ SELECT CAST(e AS BIGINT) AS epoch, CAST(batch AS BIGINT) AS batch, CAST((e - 1)
 FROM (SELECT DISTINCT batch FROM bat), (SELECT max(batch) + 1 AS nb FROM bat), range(1, 4) r(e)""")
 def q_global_step(spark, sf):
     e, _ = encoded_pairs(spark, sf)
-    b = B.sequential_batches(e, "pair_id", BATCH)
+    b = B.sequential_batches(e.select("pair_id"), "pair_id", BATCH)
     return B.global_step(b, 3).select(F.col("epoch").cast("bigint").alias("epoch"), "batch", "step")
 
 
