@@ -57,3 +57,27 @@ def sequence_index(df: DataFrame, order_cols, group_cols=(), name: str = "idx",
         rn = F.row_number().over(Window.partitionBy("_pid", *group_cols).orderBy("_pos"))
         idx = F.coalesce(F.col("_off"), F.lit(0)) + rn - F.lit(1) + F.lit(start)
     return out.withColumn(name, idx.cast("bigint")).drop("_pid", "_pos", "_off")
+
+
+def running_offset(df: DataFrame, order_cols, weight: str, name: str = "off",
+                   partitions: int | None = None) -> DataFrame:
+    """Exclusive prefix sum of ``weight`` in the order ``order_cols`` (e.g.
+    the character offset of each line of one huge text), computed like
+    ``sequence_index``: partition totals are prefix-summed over a table of at
+    most one row per partition (broadcast), and rows are summed inside their
+    own partition (a window bounded by one partition)."""
+    order_cols = list(order_cols)
+    n = _parts(df, partitions)
+    pid = F.spark_partition_id()
+    ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+              .withColumn("_pid", pid)
+              .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(pid.cast("bigint"), 33)))
+    ranged = cut_lineage(ranged)
+    before = Window.unboundedPreceding
+    tots = ranged.groupBy("_pid").agg(F.sum(weight).alias("_t"))
+    offs = tots.select("_pid", F.coalesce(F.sum("_t").over(Window.orderBy("_pid").rowsBetween(before, -1)),
+                                          F.lit(0)).alias("_base"))
+    inner = F.coalesce(F.sum(weight).over(Window.partitionBy("_pid").orderBy("_pos").rowsBetween(before, -1)),
+                       F.lit(0))
+    out = ranged.withColumn("_in", inner).join(F.broadcast(offs), "_pid", "left")
+    return out.withColumn(name, (F.col("_base") + F.col("_in")).cast("bigint")).drop("_pid", "_pos", "_base", "_in")
