@@ -170,18 +170,22 @@ def q_metric_series(spark, sf):
 
 
 @register("epoch_summary", sql=with_ctes(FX.SQL_EPOCHS) + """,
-st AS (SELECT run, (epoch - 1) // 10 + 1 AS ep, val AS loss_sum, event_id % 5 + 1 AS ntok, event_type, val FROM epochs),
-tr AS (SELECT run, ep, sum(loss_sum) / greatest(sum(ntok), 1) AS train_loss, count(*) AS n_steps FROM st GROUP BY ALL),
-va AS (SELECT run, ep, avg(val / 100.0) AS val_loss FROM st WHERE event_type = 'view' GROUP BY ALL)
-SELECT tr.run, CAST(tr.ep AS BIGINT) AS epoch, round(train_loss, 6) AS train_loss, n_steps, round(val_loss, 6) AS val_loss
+st AS (SELECT run, (epoch - 1) // 10 + 1 AS ep, CAST(round(val * 100) AS BIGINT) AS loss_cents, event_id % 5 + 1 AS ntok,
+              event_type FROM epochs),
+tr AS (SELECT run, ep, sum(loss_cents) / greatest(sum(ntok), 1) / 100.0 AS train_loss, count(*) AS n_steps FROM st GROUP BY ALL),
+va AS (SELECT run, ep, avg(loss_cents) / 10000.0 AS val_loss FROM st WHERE event_type = 'view' GROUP BY ALL)
+SELECT tr.run, CAST(tr.ep AS BIGINT) AS epoch, train_loss, n_steps, val_loss
 FROM tr LEFT JOIN va USING (run, ep)""".replace("\n,\nst", ",\nst"))
 def q_epoch_summary(spark, sf):
-    e = FX.epochs(spark, sf).withColumn("epoch", F.expr("(epoch - 1) div 10 + 1"))
-    steps = e.select("run", "epoch", F.col("val").alias("loss_sum"), (F.col("event_id") % 5 + 1).alias("ntok"))
-    vals = e.where(F.col("event_type") == "view").select("run", "epoch", (F.col("val") / 100.0).alias("val_loss"))
+    """Step losses are whole cents, so every sum is exact and both engines
+    end with the same single division (no rounding ties)."""
+    e = FX.epochs(spark, sf).withColumn("epoch", F.expr("(epoch - 1) div 10 + 1")) \
+        .withColumn("cents", F.round(F.col("val") * 100).cast("bigint"))
+    steps = e.select("run", "epoch", F.col("cents").alias("loss_sum"), (F.col("event_id") % 5 + 1).alias("ntok"))
+    vals = e.where(F.col("event_type") == "view").select("run", "epoch", F.col("cents").alias("val_loss"))
     s = R.epoch_summary(steps, vals)
-    return s.select("run", F.col("epoch").cast("bigint").alias("epoch"), round6("train_loss").alias("train_loss"),
-                    "n_steps", round6("val_loss").alias("val_loss"))
+    return s.select("run", F.col("epoch").cast("bigint").alias("epoch"), (F.col("train_loss") / 100.0).alias("train_loss"),
+                    "n_steps", (F.col("val_loss") / 10000.0).alias("val_loss"))
 
 
 _SQL_EARLY = """
