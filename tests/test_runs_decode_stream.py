@@ -102,3 +102,21 @@ def test_stream_early_stop_equals_batch(spark, tmp_dir):
     got = {r.run: (r.best, r.best_epoch, r.stop_epoch) for r in latest_state(spark, out).collect()}
     want = {r.run: (r.best, r.best_epoch, r.stop_epoch) for r in R.early_stop(df, 3, 0.001).collect()}
     assert got == want
+
+
+def test_parallel_chain_equals_fold(spark):
+    import random
+    random.seed(3)
+    rows = []
+    for run in range(6):
+        for e in range(1, random.randint(2, 80)):
+            v = float("nan") if (run == 2 and e < 4) else (random.random() * 5 if run % 2 else 9 - e * 0.05)
+            rows.append((run, e, v))
+    df = spark.createDataFrame(rows, "run bigint, epoch bigint, val double")
+    for pat, d in [(3, 0.001), (1, 0.0)]:
+        a = sorted(tuple(r) for r in R.early_stop_fold(df, pat, d, chunk=7).collect())
+        b = sorted(tuple(r) for r in R.early_stop(df, pat, d, max_fold_epochs=20).collect())  # mixed routing
+        assert a == b
+    a = sorted(tuple(r) for r in R.plateau_lr_fold(df, patience=2, chunk=9).collect())
+    b = sorted(tuple(r) for r in R.plateau_lr(df, patience=2, max_fold_epochs=0).collect())  # all parallel
+    assert a == b

@@ -81,3 +81,50 @@ def running_offset(df: DataFrame, order_cols, weight: str, name: str = "off",
                        F.lit(0))
     out = ranged.withColumn("_in", inner).join(F.broadcast(offs), "_pid", "left")
     return out.withColumn(name, (F.col("_base") + F.col("_in")).cast("bigint")).drop("_pid", "_pos", "_base", "_in")
+
+
+def grouped_scan(df: DataFrame, group_cols, order_cols, value: str, op: str, name: str,
+                 inclusive: bool = False, partitions: int | None = None) -> DataFrame:
+    """Running ``op`` (sum, min, max, or last = last non-null) of ``value``
+    per group in ``order_cols`` order, exclusive of the row unless
+    ``inclusive``. A hot group is spread over many range partitions: each
+    partition scans its own rows, and the carry from earlier partitions comes
+    from a table with at most one row per partition (broadcast)."""
+    group_cols, order_cols = list(group_cols), list(order_cols)
+    keys = group_cols + order_cols
+    n = _parts(df, partitions)
+    pid = F.spark_partition_id()
+    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+              .withColumn("_pid", pid)
+              .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(pid.cast("bigint"), 33)))
+    ranged = cut_lineage(ranged)
+    v = F.col(value)
+
+    def agg(c, order):
+        if op == "sum":
+            return F.sum(c)
+        if op == "min":
+            return F.min(c)
+        if op == "max":
+            return F.max(c)
+        if op == "last":
+            return F.max_by(c, F.when(c.isNotNull(), order))
+        raise ValueError(op)
+
+    def combine(carry, within):
+        if op == "sum":
+            return F.coalesce(carry, F.lit(0)) + F.coalesce(within, F.lit(0))
+        if op in ("min", "max"):
+            return (F.least if op == "min" else F.greatest)(carry, within)
+        return F.coalesce(within, carry)
+
+    before = Window.unboundedPreceding
+    part = ranged.groupBy("_pid", *group_cols).agg(agg(v, F.col("_pos")).alias("_pa"))
+    wc = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(before, -1)
+    carry = part.select("_pid", *group_cols, agg(F.col("_pa"), F.col("_pid")).over(wc).alias("_carry")) \
+        .where(F.col("_carry").isNotNull())
+    # only a group that began in an earlier partition carries: <= 1 row per partition
+    out = ranged.join(F.broadcast(carry), ["_pid", *group_cols], "left")
+    ww = Window.partitionBy("_pid", *group_cols).orderBy("_pos").rowsBetween(before, 0 if inclusive else -1)
+    res = combine(F.col("_carry"), agg(v, F.col("_pos")).over(ww))
+    return out.withColumn(name, res).drop("_pid", "_pos", "_carry")

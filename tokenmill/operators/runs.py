@@ -220,7 +220,7 @@ def _chunk_rounds(epochs: DataFrame, init: DataFrame, step_fn, finished_fn, chun
     return out
 
 
-def early_stop(epochs: DataFrame, patience: int = 5, min_delta: float = 0.001, chunk: int = 4096) -> DataFrame:
+def early_stop_fold(epochs: DataFrame, patience: int = 5, min_delta: float = 0.001, chunk: int = 4096) -> DataFrame:
     """Improvement when val < best - min_delta (best <- val, counter 0),
     else counter + 1; stop when the counter reaches patience. Per run: best,
     best epoch, stop epoch (null if never stopped) and epochs seen."""
@@ -250,8 +250,8 @@ def early_stop(epochs: DataFrame, patience: int = 5, min_delta: float = 0.001, c
                       F.coalesce("stop_epoch", "n_epochs").alias("last_epoch"))
 
 
-def plateau_lr(epochs: DataFrame, lr: float = 5e-4, factor: float = 0.5, patience: int = 2,
-               threshold: float = 1e-4, min_lr: float = 0.0, eps: float = 1e-8, chunk: int = 1024) -> DataFrame:
+def plateau_lr_fold(epochs: DataFrame, lr: float = 5e-4, factor: float = 0.5, patience: int = 2,
+                    threshold: float = 1e-4, min_lr: float = 0.0, eps: float = 1e-8, chunk: int = 1024) -> DataFrame:
     """Reduce-on-plateau replay (mode min, relative threshold): improved
     when val < best * (1 - threshold); when bad epochs exceed patience the lr
     becomes max(lr * factor, min_lr) (if it moves by more than eps) and the
@@ -290,3 +290,174 @@ def plateau_lr(epochs: DataFrame, lr: float = 5e-4, factor: float = 0.5, patienc
             "array<struct<epoch:bigint,lr_before:double,lr_after:double>>")))
 
     return _chunk_rounds(epochs, init, restart, lambda st, hi: F.col("n_epochs") <= hi, chunk, emit)
+
+
+# ------------------------------------------------------------------ parallel chains
+# Both folds keep "best" = the value at the last improvement, and an epoch
+# improves when val < threshold(best) with threshold(b) <= b (b - min_delta,
+# or b * (1 - rel) for b >= 0). Every improvement is then a strict prefix
+# minimum of the run, and from one improvement the next is the first later
+# prefix minimum below its threshold. So the improvement chain is found without
+# a per-run sequential pass:
+#   1. prefix minima by a distributed grouped scan (a hot run spans many tasks);
+#   2. for each prefix minimum, the next one below its threshold, by an as-of
+#      lookup expressed as a "last non-null" scan over values;
+#   3. the chain from the first prefix minimum by pointer doubling
+#      (log2(chain length) self-joins on unique (run, epoch) keys).
+# Stops and learning-rate cuts then follow in closed form from the gaps
+# between consecutive chain epochs.
+
+def _prefix_minima(epochs: DataFrame) -> DataFrame:
+    from tokenmill.operators.indexing import grouped_scan
+    e = epochs.select("run", "epoch", F.when(F.isnan("val"), F.lit(float("inf"))).otherwise(F.col("val")).alias("v"))
+    pm = grouped_scan(e, ["run"], ["epoch"], "v", "min", "_pm")
+    return pm.where(F.col("v") < F.coalesce(F.col("_pm"), F.lit(float("inf")))).select("run", "epoch", "v")
+
+
+def _next_below(pm: DataFrame, threshold) -> DataFrame:
+    """For each prefix minimum (run, epoch, v): the epoch of the first later
+    prefix minimum with value < threshold(v) (values fall with the epoch, so
+    it is the one with the largest value below the threshold)."""
+    from tokenmill.operators.indexing import grouped_scan
+    elems = pm.select("run", F.col("v").alias("key"), F.lit(0).alias("typ"), F.col("epoch").alias("p"),
+                      F.lit(None).cast("bigint").alias("q"))
+    qs = pm.select("run", threshold(F.col("v")).alias("key"), F.lit(1).alias("typ"), F.lit(None).cast("bigint").alias("p"),
+                   F.col("epoch").alias("q"))
+    # ascending by key, queries before elements of equal key: the last element
+    # seen before a query is the largest value strictly below its threshold
+    u = elems.unionByName(qs).withColumn("ord", F.lit(1) - F.col("typ"))
+    s = grouped_scan(u, ["run"], ["key", "ord", "p", "q"], "p", "last", "_nx")
+    return s.where(F.col("typ") == 1).select("run", F.col("q").alias("epoch"), F.col("_nx").alias("nxt"))
+
+
+def _chain(nxt: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """Epochs reachable from each run's first prefix minimum along ``nxt``
+    (pointer doubling: S <- S + J(S), J <- J o J)."""
+    j = cut_lineage(nxt.select("run", "epoch", "nxt"))
+    s = cut_lineage(j.groupBy("run").agg(F.min("epoch").alias("epoch")))
+    for _ in range(max_rounds):
+        step = s.join(j, ["run", "epoch"]).where(F.col("nxt").isNotNull()).select("run", F.col("nxt").alias("epoch"))
+        s2 = cut_lineage(s.unionByName(step).distinct())
+        jj = j.alias("a").join(j.alias("b"), (F.col("a.run") == F.col("b.run")) & (F.col("a.nxt") == F.col("b.epoch")), "left") \
+            .select(F.col("a.run").alias("run"), F.col("a.epoch").alias("epoch"), F.col("b.nxt").alias("nxt"))
+        j2 = cut_lineage(jj)
+        grew = s2.count() != s.count()
+        s, j = s2, j2
+        if not grew and j.where(F.col("nxt").isNotNull()).isEmpty():
+            break
+    return s
+
+
+def early_stop_parallel(epochs: DataFrame, patience: int = 5, min_delta: float = 0.001) -> DataFrame:
+    """X8 without a per-run sequential pass (same output as ``early_stop``)."""
+    if min_delta < 0:
+        return early_stop_fold(epochs, patience, min_delta)
+    n_ep = epochs.groupBy("run").agg(F.max("epoch").alias("n_epochs"))
+    pm = cut_lineage(_prefix_minima(epochs))
+    nx = _next_below(pm, lambda v: v - F.lit(float(min_delta)))
+    chain = _chain(nx)
+    c = chain.join(nx, ["run", "epoch"]).join(pm, ["run", "epoch"]).join(n_ep, "run")
+    gap_ok = F.when(F.col("nxt").isNull(), F.col("n_epochs") - F.col("epoch") >= patience) \
+        .otherwise(F.col("nxt") - F.col("epoch") > patience)
+    first_stop = c.where(gap_ok).groupBy("run").agg(F.min("epoch").alias("k"))
+    last_node = c.groupBy("run").agg(F.max("epoch").alias("k_last"))
+    r = n_ep.join(last_node, "run", "left").join(first_stop, "run", "left")
+    k0 = chain.groupBy("run").agg(F.min("epoch").alias("k0"))
+    r = r.join(k0, "run", "left")
+    # epochs before the first finite value are bad epochs too: they can stop
+    # the run before any improvement
+    pre_stop = F.col("k0").isNull() | (F.col("k0") - 1 >= patience)
+    pre_stop = pre_stop & (F.col("n_epochs") >= patience)
+    r = r.withColumn("best_epoch", F.when(pre_stop, F.lit(None)).otherwise(F.coalesce("k", "k_last")))
+    vals = pm.select("run", F.col("epoch").alias("best_epoch"), F.col("v").alias("best"))
+    r = r.join(vals, ["run", "best_epoch"], "left")
+    stop = F.when(pre_stop, F.lit(patience)).when(F.col("k").isNotNull(), F.col("k") + patience).cast("bigint")
+    none = F.col("best_epoch").isNull()
+    return r.select("run", F.when(none, F.lit(float("inf"))).otherwise(F.col("best")).alias("best"),
+                    F.col("best_epoch").cast("bigint").alias("best_epoch"), stop.alias("stop_epoch"),
+                    F.coalesce(stop, F.col("n_epochs")).alias("last_epoch"))
+
+
+def plateau_lr_parallel(epochs: DataFrame, lr: float = 5e-4, factor: float = 0.5, patience: int = 2,
+                        threshold: float = 1e-4, min_lr: float = 0.0, eps: float = 1e-8) -> DataFrame:
+    """X9 without a per-run sequential pass. Between two improvements the
+    counter runs 1, 2, ...; every (patience + 1)-th bad epoch cuts the lr and
+    resets it, so the cuts before an epoch are a closed form of the chain gaps.
+    The lr after k cuts is read from the exact sequence of the sequential rule.
+    Negative metrics (where the relative threshold rises above best) use the
+    sequential fold."""
+    if epochs.where(F.col("val") < 0).limit(1).count() > 0:
+        return plateau_lr_fold(epochs, lr, factor, patience, threshold, min_lr, eps)
+    levels = [float(lr)]
+    while True:
+        cur = levels[-1]
+        new = max(cur * factor, min_lr)
+        if cur - new > eps:
+            levels.append(new)
+        else:
+            break
+    kmax = len(levels) - 1
+    pm = cut_lineage(_prefix_minima(epochs))
+    nx = _next_below(pm, lambda v: v * F.lit(1.0 - threshold))
+    chain = _chain(nx).join(nx, ["run", "epoch"])
+    n_ep = epochs.groupBy("run").agg(F.max("epoch").alias("n_epochs"))
+    per = F.lit(patience + 1)
+    # cuts inside the gap after each chain epoch (to the next one, or the end)
+    c = chain.join(n_ep, "run").withColumn(
+        "gap_cuts", F.floor((F.coalesce(F.col("nxt") - 1, F.col("n_epochs")) - F.col("epoch")) / per).cast("bigint"))
+    from tokenmill.operators.indexing import grouped_scan
+    c = grouped_scan(c, ["run"], ["epoch"], "gap_cuts", "sum", "cuts_before")
+    # bad epochs before the first improvement cut the lr too
+    k0 = chain.groupBy("run").agg(F.min("epoch").alias("k0"))
+    c = c.join(k0, "run").withColumn("cuts_before", F.col("cuts_before") + F.floor((F.col("k0") - 1) / per).cast("bigint"))
+    marks = c.select("run", "epoch", F.col("epoch").alias("c_epoch"), "cuts_before")
+    e = epochs.select("run", "epoch").join(marks, ["run", "epoch"], "left")
+    e = grouped_scan(e, ["run"], ["epoch"], "c_epoch", "last", "ce", inclusive=True)
+    e = grouped_scan(e, ["run"], ["epoch"], "cuts_before", "last", "cb", inclusive=True)
+    # epochs before the first improvement (NaN/inf values) follow the same
+    # counting from the run start (epoch 0 acts as the last improvement)
+    since = F.col("epoch") - F.coalesce(F.col("ce"), F.lit(0))
+    cuts_after = F.coalesce(F.col("cb"), F.lit(0)) + F.floor(since / per).cast("bigint")
+    cuts_before_e = F.coalesce(F.col("cb"), F.lit(0)) + F.floor(F.greatest(since - 1, F.lit(0)) / per).cast("bigint")
+    cuts_before_e = F.when(since == 0, F.coalesce(F.col("cb"), F.lit(0))).otherwise(cuts_before_e)
+    table = F.array(*[F.lit(x) for x in levels])
+
+    def lr_at(k):
+        return F.element_at(table, (F.least(k, F.lit(kmax)) + 1).cast("int"))
+    return e.select("run", "epoch", lr_at(cuts_before_e).alias("lr_before"), lr_at(cuts_after).alias("lr_after"))
+
+
+def _split_by_length(epochs: DataFrame, max_fold_epochs: int):
+    """(short runs, long runs): long runs are few by construction (at most
+    rows / max_fold_epochs), so their id list is broadcast-safe."""
+    n = epochs.groupBy("run").agg(F.max("epoch").alias("_n"))
+    long_ids = cut_lineage(n.where(F.col("_n") > max_fold_epochs).select("run"))
+    if long_ids.isEmpty():
+        return epochs, None
+    b = F.broadcast(long_ids)
+    return epochs.join(b, "run", "left_anti"), epochs.join(b, "run", "left_semi")
+
+
+def early_stop(epochs: DataFrame, patience: int = 5, min_delta: float = 0.001, chunk: int = 4096,
+               max_fold_epochs: int | None = None) -> DataFrame:
+    """X8. Runs of up to ``max_fold_epochs`` (default 16 slices) take the
+    bounded fold; longer runs, which would need many sequential rounds, take
+    the parallel chain. Both give the same result."""
+    limit = 16 * chunk if max_fold_epochs is None else max_fold_epochs
+    short, long_ = _split_by_length(epochs, limit)
+    out = early_stop_fold(short, patience, min_delta, chunk)
+    if long_ is not None:
+        out = out.unionByName(early_stop_parallel(long_, patience, min_delta))
+    return out
+
+
+def plateau_lr(epochs: DataFrame, lr: float = 5e-4, factor: float = 0.5, patience: int = 2,
+               threshold: float = 1e-4, min_lr: float = 0.0, eps: float = 1e-8, chunk: int = 1024,
+               max_fold_epochs: int | None = None) -> DataFrame:
+    """X9, routed like ``early_stop``: short runs fold, long runs use the chain."""
+    limit = 16 * chunk if max_fold_epochs is None else max_fold_epochs
+    short, long_ = _split_by_length(epochs, limit)
+    out = plateau_lr_fold(short, lr, factor, patience, threshold, min_lr, eps, chunk)
+    if long_ is not None:
+        out = out.unionByName(plateau_lr_parallel(long_, lr, factor, patience, threshold, min_lr, eps))
+    return out
