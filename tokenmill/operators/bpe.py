@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenmill.constants import N_SPECIAL, SPECIAL_PIECES, UNK_ID, UNK_SURFACE, WORD_MARK
-from tokenmill.functions import WS_CLASS
 from tokenmill.session import cut_lineage
 
 # Fixed value: separator between the two halves of a pair key (never in text
@@ -123,37 +122,39 @@ def accept_batch(head: list[tuple[str, str, int]], complete: bool, known: set[st
     """Choose merges from the ranked head that one-at-a-time merging would
     also pick next, in the same order.
 
-    A candidate is accepted while: it shares no symbol with an accepted merge
-    or with the new symbols they create; its count is strictly above every
-    pair that shares a symbol with an accepted merge (those counts can only
-    fall, and pairs with a new symbol count at most as much as such a pair);
+    Merging (a, b) only changes the counts of pairs that overlap one of its
+    occurrences: pairs whose left symbol is b or whose right symbol is a (pairs
+    that merely share a left or a right symbol keep their counts), and every
+    new pair holding ``ab`` counts at most as much as such a pair. A candidate
+    is accepted when no accepted merge affects it and its count is strictly
+    above every pair an accepted merge affects (whose counts can only fall),
     and, unless the head is the complete list, strictly above the last head
-    count (a tied pair may lie beyond the head). The batch ends right after a
-    pair (a, a) or a pair whose concatenation is already a piece."""
+    count (a tied pair may lie beyond the head). Accepted merges then never
+    overlap, so one left-to-right pass applies them all. The batch ends right
+    after a pair (a, a) or a pair whose concatenation is already a piece."""
     acc: list[tuple[str, str, int]] = []
-    touched: set[str] = set()
-    limit = None  # highest count among pairs sharing a symbol with accepted ones
+    lefts: set[str] = set()
+    rights: set[str] = set()
+    limit = None  # highest count among pairs affected by accepted merges
     last_cnt = head[-1][2] if head else 0
     new_pieces = 0
-    for l, r, c in head:
-        if not acc:
-            acc.append((l, r, c))
-        else:
-            if l in touched or r in touched or (limit is not None and c <= limit) or \
-                    (not complete and c <= last_cnt) or new_pieces >= budget:
+    for idx, (l, r, c) in enumerate(head):
+        if acc:
+            if new_pieces >= budget or l in rights or r in lefts:
+                break
+            if (limit is not None and c <= limit) or (not complete and c <= last_cnt):
                 break
-            acc.append((l, r, c))
+        acc.append((l, r, c))
+        lefts.add(l)
+        rights.add(r)
         piece = l + r
         if piece not in known:
             new_pieces += 1
-        touched |= {l, r, piece}
         if l == r or piece in known:
             break
-        # pairs in the head that share a symbol with this merge bound later picks
-        for l2, r2, c2 in head:
-            if (l2, r2, c2) in acc:
-                continue
-            if l2 in (l, r) or r2 in (l, r):
+        # the first later head pair this merge affects has the highest such count
+        for l2, r2, c2 in head[idx + 1:]:
+            if l2 == r or r2 == l:
                 limit = c2 if limit is None else max(limit, c2)
                 break
     return acc
@@ -370,5 +371,3 @@ def decode_py(ids: list[int], pieces: list[str]) -> str:
     s = s[1:] if s.startswith(WORD_MARK) else s
     return s.replace(WORD_MARK, " ")
 
-
-WS = WS_CLASS
