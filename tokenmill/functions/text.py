@@ -11,6 +11,11 @@ WS_CLASS = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}"
             r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 
 
+# The same characters as a plain string, for btrim (no regex needed).
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -22,7 +27,7 @@ def flatten_newlines(col) -> Column:
 
 def strip_text(col) -> Column:
     """Null -> '', strip all Unicode whitespace at both ends."""
-    return F.regexp_replace(F.coalesce(_c(col), F.lit("")), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    return F.btrim(F.coalesce(_c(col), F.lit("")), F.lit(WS_CHARS))
 
 
 def cut_between_markers(col, start: str = "*** START", end: str = "*** END") -> Column:
@@ -45,6 +50,4 @@ def char_tokens(col) -> Column:
 def whitespace_words(col) -> Column:
     """Python ``str.split()``: split on whitespace runs, no empty words."""
     c = _c(col)
-    trimmed = F.regexp_replace(c, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
-    return F.when(F.length(trimmed) == 0, F.array().cast("array<string>")) \
-        .otherwise(F.split(trimmed, f"{WS_CLASS}+"))
+    return F.array_remove(F.split(c, f"{WS_CLASS}+"), "")

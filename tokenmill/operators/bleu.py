@@ -46,25 +46,29 @@ def _java_repl(r: str) -> str:
 def zh_tokenize(col) -> Column:
     """Strip, space out each CJK character, apply the punctuation rules,
     split on whitespace. Case is kept."""
-    c = F.col(col) if isinstance(col, str) else col
-    s = F.regexp_replace(F.coalesce(c, F.lit("")), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
-    s = F.regexp_replace(s, f"({CJK_CLASS})", " $1 ")
+    from tokenmill.functions.text import strip_text
+    s = F.regexp_replace(strip_text(col), f"({CJK_CLASS})", " $1 ")
     for pat, rep in TOKEN_RULES:
         s = F.regexp_replace(s, pat, _java_repl(rep))
-    s = F.regexp_replace(s, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, f"{WS_CLASS}+"))
+    # splitting and dropping empty pieces also removes outer whitespace
+    return F.array_remove(F.split(s, f"{WS_CLASS}+"), "")
 
 
 def ngrams(tokens: Column, max_order: int = MAX_ORDER) -> Column:
-    """All n-grams for n = 1..max_order as array<struct<n, ngram>>; tokens
-    hold no whitespace, so a space-joined n-gram is unambiguous."""
+    """All n-grams for n = 1..max_order as array<struct<n, ngram>>. Order n
+    extends order n-1 by one token with ``zip_with`` (no per-position array
+    slices); tokens hold no whitespace, so a space-joined n-gram is
+    unambiguous."""
     size = F.size(tokens)
-
-    def of_order(n):
-        return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.struct(
-            F.lit(n).alias("n"),
-            F.array_join(F.slice(tokens, i, n), " ").alias("ngram")))).otherwise(F.array())
-    return F.flatten(F.array(*[of_order(n) for n in range(1, max_order + 1)]))
+    orders = [tokens]
+    for n in range(2, max_order + 1):
+        k = F.greatest(size - n + 1, F.lit(0))
+        prev = orders[-1]
+        orders.append(F.zip_with(F.slice(prev, F.lit(1), k), F.slice(tokens, F.lit(n), k),
+                                 lambda a, b: F.concat(a, F.lit(" "), b)))
+    def tag(n):
+        return lambda x: F.struct(F.lit(n).alias("n"), x.alias("ngram"))
+    return F.concat(*[F.transform(g, tag(n)) for n, g in enumerate(orders, start=1)])
 
 
 def ngram_counts(df: DataFrame, hyp: str = "hyp", ref: str = "ref", key: str = "pair_id",

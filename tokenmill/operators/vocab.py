@@ -73,21 +73,33 @@ def vocab_size(vocab: DataFrame) -> int:
     return vocab.count()
 
 
+def _bounded_rows(vocab: DataFrame, cols, order=None):
+    """Collect at most MAX_LITERAL_VOCAB + 1 rows (one bounded job); None
+    when the vocabulary is larger than that."""
+    v = vocab.select(*cols)
+    if order:
+        v = v.orderBy(order)
+    rows = v.limit(MAX_LITERAL_VOCAB + 1).collect()
+    return None if len(rows) > MAX_LITERAL_VOCAB else rows
+
+
+def _map_of(rows) -> Column:
+    return F.map_from_arrays(F.lit([r[0] for r in rows]), F.lit([r[1] for r in rows]))
+
+
 def literal_map(vocab: DataFrame, key: str, value: str) -> Column:
     """Vocabulary as a literal map for expression lookups; size-checked."""
-    n = vocab.count()
-    if n > MAX_LITERAL_VOCAB:
-        raise ValueError(f"vocabulary of {n} entries is too large to inline")
-    rows = vocab.select(key, value).collect()
-    return F.map_from_arrays(F.lit([r[0] for r in rows]), F.lit([r[1] for r in rows]))
+    rows = _bounded_rows(vocab, [key, value])
+    if rows is None:
+        raise ValueError("vocabulary too large to inline")
+    return _map_of(rows)
 
 
 def literal_pieces(vocab: DataFrame, id_col: str = "id", piece_col: str = "piece") -> Column:
     """Pieces as an array literal indexed by id (ids must be dense from 0)."""
-    n = vocab.count()
-    if n > MAX_LITERAL_VOCAB:
-        raise ValueError(f"vocabulary of {n} entries is too large to inline")
-    rows = vocab.select(id_col, piece_col).orderBy(id_col).collect()
+    rows = _bounded_rows(vocab, [id_col, piece_col], id_col)
+    if rows is None:
+        raise ValueError("vocabulary too large to inline")
     if [r[0] for r in rows] != list(range(len(rows))):
         raise ValueError("ids must be dense from 0")
     return F.lit([r[1] for r in rows])
@@ -101,8 +113,9 @@ def char_encode(df: DataFrame, col: str, vocab: DataFrame, out: str = "ids",
 
     Small vocabularies are inlined as a literal map (no shuffle, codegen);
     larger ones go through an exploded join that keeps each row's order."""
-    if vocab.count() <= MAX_LITERAL_VOCAB:
-        m = literal_map(vocab, "token", "id")
+    rows = _bounded_rows(vocab, ["token", "id"])
+    if rows is not None:
+        m = _map_of(rows)
 
         def look(ch):
             got = F.try_element_at(m, ch)
