@@ -20,6 +20,10 @@ STATE_SCHEMA = ("best double, bad int, best_epoch bigint, stop_epoch bigint, nex
 
 def _fold(patience: int, min_delta: float):
     def fn(key, pdfs: Iterator[pd.DataFrame], state):
+        import warnings
+        # the worker's Arrow serializer concatenates frames with all-null
+        # nullable columns, which pandas flags as a future change
+        warnings.simplefilter("ignore", FutureWarning)
         if state.exists:
             best, bad, best_epoch, stop_epoch, next_epoch, pe, pv = state.get
             pend = dict(zip(pe or [], pv or []))
@@ -41,8 +45,10 @@ def _fold(patience: int, min_delta: float):
             pend = {}  # epochs after the stop are ignored
         state.update((best, bad, best_epoch, stop_epoch, next_epoch, list(pend), list(pend.values())))
         last = stop_epoch if stop_epoch is not None else next_epoch - 1
-        yield pd.DataFrame({"run": [int(key[0])], "best": [best], "best_epoch": [best_epoch],
-                            "stop_epoch": [stop_epoch], "last_epoch": [last]})
+        yield pd.DataFrame({"run": pd.array([int(key[0])], dtype="int64"), "best": pd.array([best], dtype="float64"),
+                            "best_epoch": pd.array([best_epoch], dtype="Int64"),
+                            "stop_epoch": pd.array([stop_epoch], dtype="Int64"),
+                            "last_epoch": pd.array([last], dtype="int64")})
     return fn
 
 
