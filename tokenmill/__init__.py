@@ -10,4 +10,15 @@ plans      Fixtures derived from the input tables and the registered queries.
 streaming  Structured Streaming versions of text encoding and run monitoring.
 """
 
+import sys as _sys
+
+# Ship this package's functions and classes (mapInPandas bodies, pandas UDFs,
+# stream state functions) to Python workers by value, so executors need no
+# installed copy and no path setup.
+try:  # pragma: no cover - depends on the pyspark build
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001
+    pass
+
 __all__ = ["constants", "session"]
