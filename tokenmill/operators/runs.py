@@ -427,14 +427,19 @@ def plateau_lr_parallel(epochs: DataFrame, lr: float = 5e-4, factor: float = 0.5
     return e.select("run", "epoch", lr_at(cuts_before_e).alias("lr_before"), lr_at(cuts_after).alias("lr_after"))
 
 
+LONG_RUN_BROADCAST_LIMIT = 1_000_000
+
+
 def _split_by_length(epochs: DataFrame, max_fold_epochs: int):
-    """(short runs, long runs): long runs are few by construction (at most
-    rows / max_fold_epochs), so their id list is broadcast-safe."""
+    """(short runs, long runs). There are at most rows / max_fold_epochs long
+    runs; their id list is broadcast only below a fixed row bound, otherwise
+    the split is a shuffle semi/anti join."""
     n = epochs.groupBy("run").agg(F.max("epoch").alias("_n"))
     long_ids = cut_lineage(n.where(F.col("_n") > max_fold_epochs).select("run"))
-    if long_ids.isEmpty():
+    k = long_ids.count()
+    if k == 0:
         return epochs, None
-    b = F.broadcast(long_ids)
+    b = F.broadcast(long_ids) if k <= LONG_RUN_BROADCAST_LIMIT else long_ids
     return epochs.join(b, "run", "left_anti"), epochs.join(b, "run", "left_semi")
 
 
