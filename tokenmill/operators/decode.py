@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tokenmill.session import cut_lineage
 
-BROADCAST_LIMIT = 5_000_000  # rows of a per-(context, prev) table shipped to every task
+BROADCAST_LIMIT = 1_000_000  # rows of a per-(context, prev) table shipped to every task
 
 
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
