@@ -42,8 +42,32 @@ def top_next(scores: DataFrame, k: int, ctx=("lang",)) -> DataFrame:
     return scores.select(*ctx, "prev", "nxt", "logp", F.row_number().over(w).alias("rk")).where(F.col("rk") <= k)
 
 
+def _by_distinct_start(starts: DataFrame, key: str, ctx, run) -> DataFrame:
+    """Decoding is a deterministic function of (context, start sequence):
+    decode each distinct start state once and join the result back to the
+    keys, so per-step work scales with distinct states, not rows."""
+    ctx = list(ctx)
+    sk = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in ctx],
+                     F.array_join(F.transform("seq", lambda t: t.cast("string")), "\u0002"))
+    uniq = cut_lineage(starts.select(*ctx, "seq").distinct().withColumn("_sk", sk))
+    n = uniq.count()
+    done = run(uniq, "_sk").drop(*ctx)
+    # one decoded row per distinct state: the count above bounds the broadcast
+    side = F.broadcast(done) if n <= BROADCAST_LIMIT else done
+    keyed = starts.select(key, *ctx, sk.alias("_sk"))
+    return keyed.join(side, "_sk").drop("_sk")
+
+
 def greedy_decode(starts: DataFrame, scores: DataFrame, max_len: int, eos: str = "</s>",
-                  key: str = "key", ctx=("lang",), checkpoint_every: int = 8) -> DataFrame:
+                  key: str = "key", ctx=("lang",), checkpoint_every: int = 8, dedupe: bool = True) -> DataFrame:
+    if dedupe:
+        return _by_distinct_start(starts, key, ctx, lambda u, k: greedy_decode(
+            u, scores, max_len, eos, k, ctx, checkpoint_every, dedupe=False))
+    return _greedy(starts, scores, max_len, eos, key, ctx, checkpoint_every)
+
+
+def _greedy(starts: DataFrame, scores: DataFrame, max_len: int, eos: str = "</s>",
+            key: str = "key", ctx=("lang",), checkpoint_every: int = 8) -> DataFrame:
     """D3: from each start sequence append the best next token until eos or
     ``max_len`` steps (eos kept). ``starts``: key, ctx..., seq array<string>.
     Output adds ``score`` (sum of logp), ``ended`` and the per-step ``logps``."""
@@ -83,7 +107,16 @@ def rerank(cands: DataFrame, key: str = "key", alpha: float = 0.6) -> DataFrame:
 
 
 def beam_decode(starts: DataFrame, scores: DataFrame, beam: int = 4, max_len: int = 128, alpha: float = 0.6,
-                eos: str = "</s>", key: str = "key", ctx=("lang",), checkpoint_every: int = 4) -> DataFrame:
+                eos: str = "</s>", key: str = "key", ctx=("lang",), checkpoint_every: int = 4,
+                dedupe: bool = True) -> DataFrame:
+    if dedupe:
+        return _by_distinct_start(starts, key, ctx, lambda u, k: beam_decode(
+            u, scores, beam, max_len, alpha, eos, k, ctx, checkpoint_every, dedupe=False))
+    return _beam(starts, scores, beam, max_len, alpha, eos, key, ctx, checkpoint_every)
+
+
+def _beam(starts: DataFrame, scores: DataFrame, beam: int = 4, max_len: int = 128, alpha: float = 0.6,
+          eos: str = "</s>", key: str = "key", ctx=("lang",), checkpoint_every: int = 4) -> DataFrame:
     """Expand every open beam by its top-``beam`` next tokens, carry ended
     beams unexpanded, keep the best ``beam`` per key by normalised score
     (rounded to 9 places, then joined tokens asc); stop when every beam has
