@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tokenmill.constants import BOS_ID, EOS_ID, MAX_SRC_LEN, PAD_ID
-from tokenmill.functions import clean_ids, flatten_newlines, ids_text, strip_text, wrap_pad_fixed, wrap_truncate
+from tokenmill.functions import clean_ids, strip_text, wrap_pad_fixed, wrap_truncate
 from tokenmill.operators import bpe as BP
 from tokenmill.operators import decode as D
 from tokenmill.operators import runs as R

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tokenmill.functions import round6
 from tokenmill.operators import scoring as S
 from tokenmill.plans import fixtures as FX
-from tokenmill.plans.q_text import encoded_pairs
 from tokenmill.plans.registry import register, with_ctes
 from tokenmill.functions import clean_ids, wrap_truncate
 
