@@ -68,3 +68,19 @@ def test_load_or_train_reuses_saved_vocab(spark, tmp_dir):
     other = spark.createDataFrame([("zzz",)], "text string")  # would train a different vocabulary
     second = sorted(tuple(r) for r in load_or_train(spark, path, other, "text", 30).collect())
     assert first == second
+
+
+def test_hot_run_log_spans_files_in_order(spark, tmp_dir):
+    rows = [(1, i, f"line {i}") for i in range(300)] + [(2, i, f"x{i}") for i in range(3)]
+    lines = spark.createDataFrame(rows, "run bigint, line_no bigint, line string")
+    path = os.path.join(tmp_dir, "hot")
+    LG.write_run_logs(lines, path, partitions=6)
+    files = os.listdir(os.path.join(path, "run=1"))
+    assert len([f for f in files if f.startswith("part-")]) > 1  # the hot run is written by several tasks
+    got = LG.read_run_logs(spark, path).where(F.col("line") != "").orderBy("run", "line_no").collect()
+    assert [(int(r.run), r.line) for r in got] == [(r, t) for r, _, t in rows]
+    assert {r.section for r in got} == {"stdout"}
+    with open(os.path.join(path, "run=2", "part-99999-extra.txt"), "w") as f:
+        f.write("traceback line\n")  # sorts after the stderr marker file
+    tail = LG.read_run_logs(spark, path).where("run = '2'").orderBy("line_no").collect()
+    assert tail[-1].line == "traceback line" and tail[-1].section == "stderr"

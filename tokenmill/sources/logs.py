@@ -9,28 +9,44 @@ STDOUT_MARK = "=== STDOUT ==="
 STDERR_MARK = "=== STDERR ==="
 
 
-def write_run_logs(lines: DataFrame, path: str) -> None:
-    """One log per run (run=<id>/part-*.txt): stdout header, the run's lines in
-    order, a blank line, the stderr header. Lines of one run go to one writer."""
+def write_run_logs(lines: DataFrame, path: str, partitions: int | None = None) -> None:
+    """One log folder per run (run=<id>/part-*.txt): stdout header, the run's
+    lines in order, a blank line, the stderr header. Rows are range-partitioned
+    on (run, line_no), so a hot run is written by several tasks as several
+    part files whose names sort in line order."""
+    spark = lines.sparkSession
+    n = int(partitions or spark.conf.get("spark.sql.shuffle.partitions"))
     head = lines.select("run").distinct()
     hdr = head.select("run", F.lit(-1).cast("bigint").alias("line_no"), F.lit(STDOUT_MARK).alias("line"))
     tail = head.select("run", F.lit(1 << 62).cast("bigint").alias("line_no"), F.lit("\n" + STDERR_MARK).alias("line"))
     allr = hdr.unionByName(lines.select("run", "line_no", "line")).unionByName(tail)
-    (allr.repartition("run").sortWithinPartitions("run", "line_no").select("run", F.col("line").alias("value"))
+    (allr.repartitionByRange(n, "run", "line_no").sortWithinPartitions("run", "line_no")
+     .select("run", F.col("line").alias("value"))
      .write.mode("overwrite").partitionBy("run").text(path))
 
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(run, line_no, section, line) from one text file per run; line
-    order is kept by reading whole files and exploding with positions."""
+    """(run, line_no, section, line). Each part file is read whole and
+    exploded with positions; a run's files are ordered by name and offset by
+    a per-run prefix sum of their line counts, and the stderr section starts at
+    the marker (a running max), so no task ever holds a whole run."""
+    from tokenmill.operators.indexing import grouped_scan
     f = spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_path"), r"run=([^/]+)", 1).alias("run"),
-        F.split(F.col("value"), "\n").alias("lines"))
-    f = f.withColumn("_err", F.array_position("lines", STDERR_MARK))
-    ex = f.select("run", "_err", F.posexplode("lines").alias("pos", "line"))
-    section = F.when((F.col("_err") > 0) & (F.col("pos") + 1 >= F.col("_err")), "stderr").otherwise("stdout")
+        F.col("_metadata.file_name").alias("file"), F.split(F.col("value"), "\n").alias("lines"))
+    # every written line ends with a newline: drop the empty piece after the last one
+    f = f.withColumn("lines", F.when(F.element_at("lines", -1) == "", F.slice("lines", F.lit(1), F.size("lines") - 1))
+                     .otherwise(F.col("lines")))
+    sizes = grouped_scan(f.select("run", "file", F.size("lines").cast("bigint").alias("n")), ["run"], ["file"],
+                         "n", "sum", "off")
+    ex = f.join(sizes.select("run", "file", "off"), ["run", "file"]).select(
+        "run", F.posexplode("lines").alias("pos", "line"), "off")
+    ex = ex.select("run", (F.col("off") + F.col("pos")).alias("line_no"), "line",
+                   (F.col("line") == STDERR_MARK).cast("int").alias("_m"))
+    ex = grouped_scan(ex, ["run"], ["line_no"], "_m", "max", "_err", inclusive=True)
+    section = F.when(F.col("_err") > 0, "stderr").otherwise("stdout")
     return ex.where(~F.col("line").isin(STDOUT_MARK, STDERR_MARK)).select(
-        "run", F.col("pos").cast("bigint").alias("line_no"), section.alias("section"), "line")
+        "run", F.col("line_no").cast("bigint").alias("line_no"), section.alias("section"), "line")
 
 
 def write_leaderboard(df: DataFrame, path: str, rank: str = "rank") -> None:
