@@ -126,3 +126,8 @@ def corpus_bleu(df: DataFrame, hyp: str = "hyp", ref: str = "ref", key: str = "p
     score, bp = bleu_score()
     return st.select("*", score.alias("bleu"), bp.alias("bp"),
                      F.lit("nrefs:1|case:mixed|eff:no|tok:zh|smooth:exp").alias("signature"))
+
+
+def sample_preview(df: DataFrame, order: str = "pair_id", n: int = 5) -> DataFrame:
+    """The first ``n`` examples in order (the limit is the feature)."""
+    return df.orderBy(order).limit(int(n))

@@ -95,6 +95,14 @@ def kept_chars(words: DataFrame, coverage: float) -> DataFrame:
     return ranked.where("kept").drop("kept")
 
 
+def bpe_pair_counts(words: DataFrame, word: str = "word", n: str = "n") -> DataFrame:
+    """V5: weighted adjacent-symbol pair counts of one round, symbols being
+    the characters of '▁' + word (map-side combined)."""
+    sym = F.split(F.concat(F.lit(WORD_MARK), F.col(word)), "")
+    ex = words.select(F.col(n).alias("n"), F.explode(_pairs_of(sym)).alias("p"))
+    return ex.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("n").cast("bigint").alias("n"))
+
+
 def _pairs_of(syms: Column) -> Column:
     return F.arrays_zip(F.slice(syms, F.lit(1), F.size(syms) - 1).alias("l"),
                         F.slice(syms, F.lit(2), F.size(syms) - 1).alias("r"))
@@ -371,3 +379,13 @@ def decode_py(ids: list[int], pieces: list[str]) -> str:
     s = s[1:] if s.startswith(WORD_MARK) else s
     return s.replace(WORD_MARK, " ")
 
+
+
+def roundtrip_refs(df: DataFrame, col: str, vocab: DataFrame, max_len: int = 128) -> DataFrame:
+    """The reference as the reference code scores it: encode, wrap and
+    truncate (dataset rule), teacher-shift, clean, decode. Long targets come
+    back cut and unknown characters as ' ⁇ '."""
+    from tokenmill.functions import clean_ids, teacher_shift, wrap_truncate
+    e = bpe_encode(df, col, vocab, "_ids")
+    _, tout = teacher_shift(wrap_truncate("_ids", max_len))
+    return e.withColumn("ref", bpe_decode(clean_ids(tout), vocab)).drop("_ids")

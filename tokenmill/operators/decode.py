@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenmill.constants import BOS_ID, EOS_ID, MAX_SRC_LEN, PAD_ID
+from tokenmill.functions import clean_ids, strip_text, wrap_pad_fixed, wrap_truncate
 from tokenmill.session import cut_lineage
 
 BROADCAST_LIMIT = 1_000_000  # rows of a per-(context, prev) table shipped to every task
@@ -186,3 +188,52 @@ def score_batches(df: DataFrame, scorer, schema: str) -> DataFrame:
         for pdf in batches:
             yield scorer(pdf)
     return df.mapInPandas(run, schema)
+
+
+# ------------------------------------------------------------------ D8, U1
+def translation_scores(enc):
+    """A toy conditional bigram "translator" learned from the parallel corpus:
+    P(next target piece | previous target piece, first source piece)."""
+    t = enc.select(F.element_at("src_raw", 1).alias("ctx"), wrap_truncate("tgt_raw", 128).alias("t"))
+    t = t.where(F.col("ctx").isNotNull())
+    p = t.select("ctx", F.explode(F.arrays_zip(F.slice("t", F.lit(1), F.size("t") - 1).alias("prev"),
+                                               F.slice("t", F.lit(2), F.size("t") - 1).alias("nxt"))).alias("p"))
+    c = p.groupBy("ctx", F.col("p.prev").alias("prev"), F.col("p.nxt").alias("nxt")).agg(F.count(F.lit(1)).alias("n"))
+    return c.select("ctx", "prev", "nxt", F.ln(F.col("n") / F.sum("n").over(Window.partitionBy("ctx", "prev"))).alias("logp"))
+
+
+def bulk_translate(src_df, vocab, scores, decode="beam", max_len=24, beam=4):
+    """Strip -> (blank gives "") -> BPE encode -> serving wrap/pad ->
+    decode over the score table -> clean -> BPE decode."""
+    s = src_df.withColumn("clean", strip_text("src"))
+    blank = s.where(F.col("clean") == "").select("pair_id", F.lit("").alias("hyp"))
+    from tokenmill.operators import bpe as BP
+    e = BP.bpe_encode(s.where(F.col("clean") != ""), "clean", vocab, "ids")
+    e = e.withColumn("src_fixed", wrap_pad_fixed("ids", MAX_SRC_LEN))
+    starts = e.select(F.col("pair_id").alias("key"), F.element_at("ids", 1).alias("ctx"),
+                      F.array(F.lit(BOS_ID).cast("bigint")).alias("seq"))
+    if decode == "beam":
+        out = beam_decode(starts, scores, beam, max_len, 0.6, eos=EOS_ID, key="key", ctx=("ctx",))
+    else:
+        out = greedy_decode(starts, scores, max_len, eos=EOS_ID, key="key", ctx=("ctx",))
+    hyp = out.select(F.col("key").alias("pair_id"), BP.bpe_decode(clean_ids("seq"), vocab).alias("hyp"))
+    return hyp.unionByName(blank)
+
+
+class TableScorer:
+    """A table-backed scorer for U1: log-probability of each target piece
+    given the previous one, from a broadcast bigram table."""
+
+    def __init__(self, table_bc):
+        self.table_bc = table_bc
+
+    def __call__(self, pdf):
+        import pandas as pd
+        tab = self.table_bc.value
+        rows = []
+        for pid, tin, tout in zip(pdf["pair_id"], pdf["tgt_in_pad"], pdf["tgt_out_pad"]):
+            for pos, (a, b) in enumerate(zip(tin, tout)):
+                if b == PAD_ID:
+                    continue
+                rows.append((int(pid), pos, int(b), float(tab.get((int(a), int(b)), -20.0))))
+        return pd.DataFrame(rows, columns=["pair_id", "pos", "target", "logp"])

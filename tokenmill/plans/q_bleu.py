@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tokenmill.functions import WS_CLASS, round6
 from tokenmill.operators import bleu as BL
-from tokenmill.operators.batches import first_n
 from tokenmill.plans import fixtures as FX
 from tokenmill.plans.registry import register, with_ctes
 
@@ -99,4 +98,4 @@ def q_sample_preview(spark, sf):
     hypothesis id length (characters, wrapped at 128 and cleaned)."""
     h = FX.hyp_ref(spark, sf).join(FX.pairs(spark, sf).select("pair_id", "src"), "pair_id")
     out = h.select("pair_id", "src", "ref", "hyp", F.least(F.length("hyp"), F.lit(126)).cast("bigint").alias("hyp_len"))
-    return first_n(out, "pair_id", 5)
+    return BL.sample_preview(out, "pair_id", 5)

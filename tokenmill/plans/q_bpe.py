@@ -6,11 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tokenmill.constants import MAX_TGT_LEN
-from tokenmill.functions import clean_ids, ids_text, teacher_shift, wrap_truncate
+from tokenmill.functions import ids_text
 from tokenmill.operators import bpe as BP
 from tokenmill.operators import vocab as V
 from tokenmill.plans import fixtures as FX
-from tokenmill.plans.q_text import corpus_flatten
+from tokenmill.sources.corpus import corpus_flatten
 from tokenmill.plans.registry import register, with_ctes
 from tokenmill.sources import read_table
 from tokenmill.sources.vocab_files import dump_lines, parse_vocab_lines
@@ -57,9 +57,7 @@ def q_roundtrip_refs(spark, sf):
     """References as the reference scores them: encode, wrap/truncate,
     shift, clean, decode (long targets come back cut, unknowns as ' ⁇ ')."""
     vocab, _ = trained(spark, sf)
-    e = BP.bpe_encode(FX.pairs(spark, sf), "tgt", vocab, "ids")
-    _, tout = teacher_shift(wrap_truncate("ids", MAX_TGT_LEN))
-    return e.select("pair_id", BP.bpe_decode(clean_ids(tout), vocab).alias("ref"))
+    return BP.roundtrip_refs(FX.pairs(spark, sf), "tgt", vocab, MAX_TGT_LEN).select("pair_id", "ref")
 
 
 @register("load_or_train")

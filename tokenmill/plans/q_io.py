@@ -5,11 +5,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tokenmill.constants import BOS_ID, EOS_ID, MAX_SRC_LEN, PAD_ID
-from tokenmill.functions import clean_ids, strip_text, wrap_pad_fixed, wrap_truncate
+from tokenmill.functions import wrap_truncate
 from tokenmill.operators import bpe as BP
 from tokenmill.operators import decode as D
 from tokenmill.operators import runs as R
@@ -17,7 +15,7 @@ from tokenmill.operators.batches import assign_split, pad_batches, sequential_ba
 from tokenmill.plans import fixtures as FX
 from tokenmill.plans.q_bpe import trained
 from tokenmill.plans.q_runs import SQL_RESULTS, metrics, results
-from tokenmill.plans.q_text import corpus_flatten
+from tokenmill.sources.corpus import corpus_flatten
 from tokenmill.plans.registry import register, with_ctes
 from tokenmill.session import checkpoint_dir, cut_lineage
 from tokenmill.sources import corpus as C
@@ -97,59 +95,12 @@ def q_append_metrics(spark, sf):
 
 
 # ------------------------------------------------------------------ D8, U1
-def translation_scores(enc):
-    """A toy conditional bigram "translator" learned from the parallel corpus:
-    P(next target piece | previous target piece, first source piece)."""
-    t = enc.select(F.element_at("src_raw", 1).alias("ctx"), wrap_truncate("tgt_raw", 128).alias("t"))
-    t = t.where(F.col("ctx").isNotNull())
-    p = t.select("ctx", F.explode(F.arrays_zip(F.slice("t", F.lit(1), F.size("t") - 1).alias("prev"),
-                                               F.slice("t", F.lit(2), F.size("t") - 1).alias("nxt"))).alias("p"))
-    c = p.groupBy("ctx", F.col("p.prev").alias("prev"), F.col("p.nxt").alias("nxt")).agg(F.count(F.lit(1)).alias("n"))
-    return c.select("ctx", "prev", "nxt", F.ln(F.col("n") / F.sum("n").over(Window.partitionBy("ctx", "prev"))).alias("logp"))
-
-
-def bulk_translate(src_df, vocab, scores, decode="beam", max_len=24, beam=4):
-    """Strip -> (blank gives "") -> BPE encode -> serving wrap/pad ->
-    decode over the score table -> clean -> BPE decode."""
-    s = src_df.withColumn("clean", strip_text("src"))
-    blank = s.where(F.col("clean") == "").select("pair_id", F.lit("").alias("hyp"))
-    e = BP.bpe_encode(s.where(F.col("clean") != ""), "clean", vocab, "ids")
-    e = e.withColumn("src_fixed", wrap_pad_fixed("ids", MAX_SRC_LEN))
-    starts = e.select(F.col("pair_id").alias("key"), F.element_at("ids", 1).alias("ctx"),
-                      F.array(F.lit(BOS_ID).cast("bigint")).alias("seq"))
-    if decode == "beam":
-        out = D.beam_decode(starts, scores, beam, max_len, 0.6, eos=EOS_ID, key="key", ctx=("ctx",))
-    else:
-        out = D.greedy_decode(starts, scores, max_len, eos=EOS_ID, key="key", ctx=("ctx",))
-    hyp = out.select(F.col("key").alias("pair_id"), BP.bpe_decode(clean_ids("seq"), vocab).alias("hyp"))
-    return hyp.unionByName(blank)
-
-
 @register("bulk_translate")
 def q_bulk_translate(spark, sf):
     vocab, _ = trained(spark, sf)
     p = FX.pairs(spark, sf)
     enc = BP.bpe_encode(BP.bpe_encode(p, "src", vocab, "src_raw"), "tgt", vocab, "tgt_raw")
-    return bulk_translate(p, vocab, translation_scores(enc), "beam", max_len=12)
-
-
-class TableScorer:
-    """A table-backed scorer for U1: log-probability of each target piece
-    given the previous one, from a broadcast bigram table."""
-
-    def __init__(self, table_bc):
-        self.table_bc = table_bc
-
-    def __call__(self, pdf):
-        import pandas as pd
-        tab = self.table_bc.value
-        rows = []
-        for pid, tin, tout in zip(pdf["pair_id"], pdf["tgt_in_pad"], pdf["tgt_out_pad"]):
-            for pos, (a, b) in enumerate(zip(tin, tout)):
-                if b == PAD_ID:
-                    continue
-                rows.append((int(pid), pos, int(b), float(tab.get((int(a), int(b)), -20.0))))
-        return pd.DataFrame(rows, columns=["pair_id", "pos", "target", "logp"])
+    return D.bulk_translate(p, vocab, D.translation_scores(enc), "beam", max_len=12)
 
 
 @register("score_batches")
@@ -161,13 +112,13 @@ def q_score_batches(spark, sf):
     enc = enc.select("pair_id", wrap_truncate("src_raw", 128).alias("src_ids"), wrap_truncate("tgt_raw", 128).alias("tgt_ids"))
     # only the key and the id arrays reach the index checkpoint
     padded = pad_batches(sequential_batches(enc, "pair_id", 16), "batch", "src_ids", "tgt_ids")
-    sc = translation_scores(BP.bpe_encode(BP.bpe_encode(p, "src", vocab, "src_raw"), "tgt", vocab, "tgt_raw"))
+    sc = D.translation_scores(BP.bpe_encode(BP.bpe_encode(p, "src", vocab, "src_raw"), "tgt", vocab, "tgt_raw"))
     bigram = sc.groupBy("prev", "nxt").agg(F.max("logp").alias("logp"))
     rows = bigram.limit(1_000_001).collect()  # bounded by vocab_size^2, checked
     if len(rows) > 1_000_000:
         raise ValueError("bigram table too large to ship to the scorer")
     table = {(int(r["prev"]), int(r["nxt"])): float(r["logp"]) for r in rows}
     bc = spark.sparkContext.broadcast(table)
-    scored = D.score_batches(padded.select("pair_id", "tgt_in_pad", "tgt_out_pad"), TableScorer(bc),
+    scored = D.score_batches(padded.select("pair_id", "tgt_in_pad", "tgt_out_pad"), D.TableScorer(bc),
                              "pair_id bigint, pos int, target bigint, logp double")
     return scored.select("pair_id", "pos", "target", F.round("logp", 6).alias("logp"))

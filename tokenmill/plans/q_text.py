@@ -10,10 +10,12 @@ from tokenmill.functions import (
     pad_mask, strip_text, tail_window, teacher_shift, wrap_pad_fixed, wrap_truncate,
 )
 from tokenmill.operators import batches as B
+from tokenmill.operators import bpe as BPO
 from tokenmill.operators import vocab as V
 from tokenmill.plans import fixtures as FX
 from tokenmill.plans.registry import register, with_ctes
 from tokenmill.sources import read_table
+from tokenmill.sources.corpus import corpus_flatten
 
 BATCH = 16  # training batch size of the translation config
 
@@ -55,11 +57,6 @@ def q_cut_between_markers(spark, sf):
     return d.select("doc_id", cut_between_markers(_marked_spark()).alias("text_cut"))
 
 
-def corpus_flatten(pairs):
-    """T4: both sides of each pair in one column, src then tgt, in one pass."""
-    return pairs.select("pair_id", F.posexplode(F.array("src", "tgt")).alias("side", "text"))
-
-
 @register("corpus_flatten", sql=with_ctes(FX.SQL_PAIRS) + """
 SELECT pair_id, CAST(0 AS BIGINT) AS side, replace(src, chr(10), ' ') AS text FROM pairs
 UNION ALL SELECT pair_id, CAST(1 AS BIGINT), replace(tgt, chr(10), ' ') FROM pairs""")
@@ -117,22 +114,13 @@ def q_word_freq(spark, sf):
     return V.word_freq(read_table(spark, sf, "documents"), "text")
 
 
-def bpe_pair_counts_of(words):
-    """V5: weighted adjacent-symbol pair counts for one round (symbols = the
-    characters of '▁' + word)."""
-    sym = F.split(F.concat(F.lit("▁"), F.col("word")), "")
-    pr = words.select("n", sym.alias("s")).select("n", F.explode(F.arrays_zip(
-        F.slice("s", F.lit(1), F.size("s") - 1).alias("l"), F.slice("s", F.lit(2), F.size("s") - 1).alias("r"))).alias("p"))
-    return pr.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("n").cast("bigint").alias("n"))
-
-
 @register("bpe_pair_counts", sql=with_ctes(_SQL_WORDS) + """,
 wf AS (SELECT word, count(*) AS n FROM doc_words GROUP BY word),
 sy AS (SELECT n, string_split('▁' || word, '') AS s FROM wf)
 SELECT s[i] AS l, s[i + 1] AS r, CAST(sum(n) AS BIGINT) AS n
 FROM (SELECT n, s, unnest(generate_series(1, len(s) - 1)) AS i FROM sy) GROUP BY 1, 2""".replace("\n,\nwf", ",\nwf"))
 def q_bpe_pair_counts(spark, sf):
-    return bpe_pair_counts_of(V.word_freq(read_table(spark, sf, "documents"), "text"))
+    return BPO.bpe_pair_counts(V.word_freq(read_table(spark, sf, "documents"), "text"))
 
 
 @register("vocab_profile", sql=with_ctes(_SQL_DOC_CHARS) + """

@@ -45,3 +45,9 @@ def read_document(spark: SparkSession, path: str) -> DataFrame:
 def write_training_text(df: DataFrame, col: str, path: str) -> None:
     """One sentence per line, newlines flattened."""
     df.select(flatten_newlines(col).alias("value")).write.mode("overwrite").text(path)
+
+
+def corpus_flatten(pairs: DataFrame) -> DataFrame:
+    """T4: both sides of each pair in one column, src then tgt, in one pass
+    (a posexplode, not a union of two scans)."""
+    return pairs.select("pair_id", F.posexplode(F.array("src", "tgt")).alias("side", "text"))
