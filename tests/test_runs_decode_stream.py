@@ -65,7 +65,7 @@ def test_grid_and_run_name(spark):
     assert len(g) == 9 and g[1].overrides == {"training.lr": 5e-4, "training.weight_decay": 1e-3}
     df = spark.createDataFrame([("2024-01-02 03:04:05",)], "ts string").select(F.to_timestamp("ts").alias("ts"))
     name = df.select(R.run_name(F.lit("11"), F.create_map(F.lit("training.lr"), F.lit(3e-4)), F.col("ts"))).first()[0]
-    assert name == "xlstm11_training-lr=3.0e-04_20240102-030405"
+    assert name == R.RUN_NAME_PREFIX + "11_training-lr=3.0e-04_20240102-030405"
 
 
 def bigram(spark):

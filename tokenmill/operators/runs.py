@@ -33,6 +33,7 @@ RANDOM_SPACE = {
     "training.weight_decay": {"type": "loguniform", "low": 1e-4, "high": 2e-2},
 }
 SEARCH_BUDGET = {"training.num_epochs": "6", "training.patience_epochs": "1"}
+RUN_NAME_PREFIX = "xlstm"
 VARIANTS = ["10", "01", "11"]
 
 
@@ -95,12 +96,12 @@ def random_trials(df: DataFrame, key: str, space: dict | None = None, seed: int
 
 
 def run_name(variant: Column, overrides: Column, ts: Column) -> Column:
-    """xlstm{variant}_ + sorted key=value (dots -> dashes, floats %.1e)
+    """RUN_NAME_PREFIX + variant + '_' + sorted key=value (dots -> dashes, floats %.1e)
     joined by '_' + '_' + timestamp %Y%m%d-%H%M%S."""
     ents = F.array_sort(F.map_entries(overrides))
     parts = F.transform(ents, lambda e: F.concat(F.translate(e["key"], ".", "-"), F.lit("="),
                                                  F.format_string("%.1e", e["value"])))
-    return F.concat(F.lit("xlstm"), variant, F.lit("_"), F.array_join(parts, "_"), F.lit("_"),
+    return F.concat(F.lit(RUN_NAME_PREFIX), variant, F.lit("_"), F.array_join(parts, "_"), F.lit("_"),
                     F.date_format(ts, "yyyyMMdd-HHmmss"))
 
 

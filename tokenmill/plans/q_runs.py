@@ -107,8 +107,8 @@ def q_random_trials(spark, sf):
                     F.format_string("%.9e", F.col("overrides")["training.weight_decay"]).alias("wd"))
 
 
-@register("run_name", sql=with_ctes(SQL_TRIALS) + """
-SELECT run, 'xlstm11_' || 'training-lr=' || printf('%.1e', lr) || '_' || 'training-weight_decay=' || printf('%.1e', wd)
+@register("run_name", sql=with_ctes(SQL_TRIALS) + f"""
+SELECT run, '{R.RUN_NAME_PREFIX}11_' || 'training-lr=' || printf('%.1e', lr) || '_' || 'training-weight_decay=' || printf('%.1e', wd)
        || '_' || strftime(first_ts, '%Y%m%d-%H%M%S') AS run_name FROM trials""")
 def q_run_name(spark, sf):
     t = R.random_trials(run_table(spark, sf), "run")
