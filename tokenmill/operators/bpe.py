@@ -189,7 +189,7 @@ def _apply_merges(syms: Column, merges: dict[str, str]) -> Column:
 
 
 def bpe_train(df: DataFrame, col: str = "text", vocab_size: int = 8000, coverage: float = 0.9995,
-              head: int = 200, checkpoint_every: int = 5, max_rounds: int | None = None):
+              head: int = 200, checkpoint_every: int = 10, max_rounds: int | None = None):
     """V6: learn a BPE vocabulary. Returns (vocab, merges): vocab
     (id, piece, score, kind) laid out as 4 specials, merged pieces by rank,
     then kept characters by frequency; merges (rank, l, r, piece, cnt)."""
