@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenmill.llm import langid, sp_codec
+from pyspark.sql import functions as F
+
+from tokenmill.llm import langid, simhash, sp_codec
 from tokenmill.session import checkpoint_dir as shared_folder
 
 QUERIES: dict = {}
@@ -38,3 +40,11 @@ def op8(spark, sf_dir):
     document; null texts have null ids."""
     out = sp_codec.encode(table(spark, sf_dir, "documents"), "text", "ids", keep=["doc_id"], check=True)
     return out.selectExpr("doc_id", "ids", "size(ids) AS n_ids", "round_trip")
+
+
+@_query("op6_simhash_near_dups")
+def op6(spark, sf_dir):
+    """doc_id, fingerprint, component_id of every document: 3-word shingles, at
+    most 3 differing bits."""
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", 3, 3)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
