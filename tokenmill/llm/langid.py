@@ -32,6 +32,7 @@ from tokenmill.llm.pieces import SPACE, PieceTable, by_length, code_points, load
 
 FIT_WORD_CHARS = 32  # longer words take no part in the fit
 CACHE_WORDS = 300_000
+MAX_LANGUAGES = 1024  # the piece probabilities are a (pieces x languages) array
 UND = "und"
 
 
@@ -49,9 +50,11 @@ def fit(train: DataFrame, key: str, text: str, lang: str, model_path: str = PIEC
     table = PieceTable(pieces)
     known = train.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("lang")) \
         .where(F.col("t").isNotNull() & F.col("lang").isNotNull())
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    if sizes.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
     u = F.pmod(F.xxhash64("k", F.lit("fit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = known.join(sizes, "lang").where(u < F.lit(float(fit_rows)) / F.col("n"))
+    sample = known.join(F.broadcast(sizes), "lang").where(u < F.lit(float(fit_rows)) / F.col("n"))
     word = F.regexp_replace(F.lower(F.col("w")), r"[^\p{L}\p{M}]+", "")
     words = (sample.select("lang", F.explode(F.split("t", r"[\x09-\x0D\x20]+")).alias("w"))
              .select("lang", word.alias("w")).where((F.col("w") != "") & (F.length("w") <= FIT_WORD_CHARS))

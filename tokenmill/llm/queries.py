@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tokenmill.llm import langid, simhash, sp_codec
+from tokenmill.llm import langid, simhash, sp_codec, winnow
 from tokenmill.session import checkpoint_dir as shared_folder
 
 QUERIES: dict = {}
@@ -48,3 +48,29 @@ def op6(spark, sf_dir):
     most 3 differing bits."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", 3, 3)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+_W10 = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@_query("op10_decontamination", f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_W10}) AS w FROM documents),
+b AS (SELECT DISTINCT item_id, regexp_extract_all({_LOWER}, {_W10}) AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS t
+        FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS r(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+pos AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS t
+        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+occ AS (SELECT DISTINCT doc_id, item_id, pos.n, i FROM pos JOIN win USING (t, n)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM occ) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names
+       FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM occ) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+""")
+def op10(spark, sf_dir):
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every
+    document against every benchmark item, windows of ten words."""
+    return winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
