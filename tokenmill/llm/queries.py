@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tokenmill.llm import langid, simhash, sp_codec, winnow
+from tokenmill.llm import langid, simhash, sp_codec, toxicity, winnow
 from tokenmill.session import checkpoint_dir as shared_folder
 
 QUERIES: dict = {}
@@ -74,3 +74,9 @@ def op10(spark, sf_dir):
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every
     document against every benchmark item, windows of ten words."""
     return winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query("op4_toxicity")
+def op4(spark, sf_dir):
+    """doc_id, held_out, score, predicted of every document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
