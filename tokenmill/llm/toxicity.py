@@ -44,6 +44,7 @@ PRIOR = 0.1  # prior mass as a share of the counted tokens
 CONFIDENCE = 1.96
 DRIFT = 0.5
 THRESHOLD = 0.7
+BROADCAST_LABELS = 4_000_000  # (key, label) rows, at most about 64 MB
 
 
 def token_buckets(texts: pa.Array):
@@ -149,9 +150,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, fit
     spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("__k")) \
         .agg(F.max(F.col(label).cast("int")).alias("y"))
+    known = cut_lineage(known.where(F.col("y").isin(0, 1) & ~held_out("__k", 3)))
+    if known.count() <= BROADCAST_LABELS:  # else a shuffle join
+        known = F.broadcast(known)
     train = docs.where(~held_out(key, 3)).select(F.col(key).alias("k"), F.col(text).alias("t")) \
         .join(known, F.col("k") == F.col("__k")).select("k", "t", "y")
-    train = cut_lineage(train.where(F.col("y").isin(0, 1)))
 
     def count(batches):
         total = np.zeros((2, BUCKETS), dtype=np.int64)

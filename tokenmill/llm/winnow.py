@@ -31,8 +31,6 @@ from tokenmill.llm.common import ascii_lower
 from tokenmill.session import cut_lineage
 
 K = 5
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before lower-casing
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 POS_MASK = (1 << 31) - 1
 HASH_MASK = ~POS_MASK
@@ -102,6 +100,17 @@ def _kept(df: DataFrame, size: int, window: int) -> DataFrame:
         .withColumn("pos", g.bitwiseAND(F.lit(POS_MASK)).cast("int")).drop("__g")
 
 
+def _beside(met: DataFrame) -> DataFrame:
+    """The words of the text beside the item (``part``, at most as many as the
+    item has) instead of all its words, so a meeting is a small row. ``nth`` is
+    a value that may not be computed again elsewhere: it keeps the optimizer
+    from moving later conditions, which read ``part``, into the join."""
+    at = F.col("pos") - F.col("ipos")
+    part = F.slice("w", F.greatest(at, F.lit(0)) + 1, F.greatest(F.size("iw") + F.least(at, F.lit(0)), F.lit(0)))
+    return met.select("k", "th", "item", "iw", "ipos", at.alias("at"), part.alias("part"),
+                      F.monotonically_increasing_id().alias("nth"))
+
+
 def decontaminate(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
                   item_text: str = "text", span: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per row of ``docs``: key, n_words, n_hit, n_items, items_sha256,
@@ -140,19 +149,19 @@ def decontaminate(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
         else:
             met = kept.join(of.select("hash", "iid", "ipos"), "hash").select("row", "pos", "iid", "ipos").distinct()
             met = met.join(mine, "row").join(items, "iid")
-        met = met.select("k", "th", "w", "pos", "item", "iw", "ipos")
+        met = _beside(met)
         found = met if found is None else found.unionByName(met)
 
     # the run of equal words through the meeting, along its diagonal
-    at = F.col("pos") - F.col("ipos")
-    same = F.transform("iw", lambda x, i: F.coalesce(F.get("w", F.col("at") + i) == x, F.lit(False)))
-    run = found.withColumn("at", at).select("k", "th", "item", "at", "ipos", F.size("iw").alias("n"), same.alias("same"))
+    off = F.least("at", F.lit(0))
+    same = F.transform("iw", lambda x, i: F.coalesce(F.get("part", i + off) == x, F.lit(False)))
+    run = found.select("k", "th", "item", "at", "ipos", F.size("iw").alias("n"), same.alias("same"), "nth")
     gap_l = F.array_position(F.reverse(F.slice("same", F.lit(1), F.col("ipos"))), F.lit(False)).cast("int")
     gap_r = F.array_position(F.slice("same", F.col("ipos") + 1, F.col("n") - F.col("ipos")), F.lit(False)).cast("int")
-    run = run.select("k", "th", "item", "n", (F.col("at") + F.col("ipos")).alias("mid"),
+    run = run.select("k", "th", "item", "n", "nth", (F.col("at") + F.col("ipos")).alias("mid"),
                      F.when(gap_l == 0, F.col("ipos")).otherwise(gap_l - 1).alias("l"),
                      F.when(gap_r == 0, F.col("n") - F.col("ipos")).otherwise(gap_r - 1).alias("r"))
-    run = run.where(F.col("l") + F.col("r") >= F.least(F.col("n"), F.lit(span))) \
+    run = run.where((F.col("l") + F.col("r") >= F.least(F.col("n"), F.lit(span))) & (F.col("nth") >= 0)) \
         .select("k", "th", "item", F.struct((F.col("mid") - F.col("l")).alias("a"),
                                             (F.col("mid") + F.col("r")).alias("b")).alias("s"))
     hit = run.groupBy("k", "th").agg(F.array_sort(F.collect_set("s")).alias("s"), F.collect_set("item").alias("items"))
@@ -164,7 +173,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
     hit = hit.select("k", "th", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                      F.concat_ws(",", names).alias("names"))
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("key_text"),
-                       F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(RAW_WORD)).cast("long").alias("n_words"))
+                       F.size(words(F.col(text))).cast("long").alias("n_words"))
     out = rows.join(hit, rows["key"].eqNullSafe(hit["k"]) & (rows["key_text"] == hit["th"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(F.col("key").alias(key), "n_words", n_hit.alias("n_hit"),
