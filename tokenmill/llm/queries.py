@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tokenmill.llm import langid, simhash, sp_codec, toxicity, winnow
+from tokenmill.llm import langid, ngram_lm, simhash, sp_codec, toxicity, winnow
 from tokenmill.session import checkpoint_dir as shared_folder
 
 QUERIES: dict = {}
@@ -80,3 +80,10 @@ def op10(spark, sf_dir):
 def op4(spark, sf_dir):
     """doc_id, held_out, score, predicted of every document."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op5_ngram_lm")
+def op5(spark, sf_dir):
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of
+    every document."""
+    return ngram_lm.score_documents(table(spark, sf_dir, "documents"))
