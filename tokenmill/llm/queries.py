@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tokenmill.llm import langid, ngram_lm, simhash, sp_codec, toxicity, winnow
+from tokenmill.llm import langid, ngram_lm, simhash, sp_codec, topk_threshold, toxicity, url_filter, winnow
 from tokenmill.session import checkpoint_dir as shared_folder
 
 QUERIES: dict = {}
@@ -87,3 +87,50 @@ def op5(spark, sf_dir):
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of
     every document."""
     return ngram_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@_query("op2_topk_threshold", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.x, v.x)::BIGINT AS score
+      FROM v AS q, v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id AND len(q.x) = len(v.x)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""")
+def op2(spark, sf_dir):
+    """query_id, rank, vec_id, score: the ten best inner products of every
+    hundredth vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    return topk_threshold.top_k(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+         ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+LISTED_HOSTS = r"(^|[.])(adult|free)-"
+
+
+@_query("op3_url_filter", r"""
+WITH u AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+       coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+       regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*\?([^#]*)', 1) AS q FROM pages),
+c AS (SELECT *, CASE WHEN contains(url, '://') THEN
+        regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '') ||
+        coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(q, '&'),
+          lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))), '&'), ''), '') END AS c FROM u),
+l AS (SELECT DISTINCT c FROM c WHERE regexp_matches(host, '(^|[.])(adult|free)-')),
+r AS (SELECT * FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+      ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) AS t(rh, rp, v)),
+f AS (SELECT page_id, url, rh || rp AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY len(rh || rp) DESC) AS n
+      FROM c, r WHERE (host = rh OR suffix(host, '.' || rh)) AND starts_with(path, rp))
+SELECT c.page_id, c.host, c.path, f.rule,
+       coalesce(f.v, CASE WHEN c.c IN (SELECT c FROM l WHERE c IS NOT NULL) THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN f ON c.page_id = f.page_id AND f.n = 1
+""")
+def op3(spark, sf_dir):
+    """page_id, host, path, rule, verdict of every page. The list that the
+    method looks up: the urls that the table holds on the unwanted hosts."""
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.where(url_filter.host(F.col("url")).rlike(LISTED_HOSTS)).select("url")
+    return url_filter.judge(pages, listed, RULES)
