@@ -32,9 +32,9 @@ SCALE = 1024
 BLOCK = 8192
 
 
-def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products of float-held integers, exact."""
-    top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(len(q), 1)
+def scores(q: np.ndarray, x: np.ndarray, top: float) -> np.ndarray:
+    """Integer inner products of float-held integers, exact; ``top`` bounds the
+    absolute values."""
     if top < 2**53:
         return (x @ q).astype(np.int64)
     if top < 2**62:
@@ -54,37 +54,41 @@ class Lists:
             self.x, entry = x[:1], np.zeros(len(x), dtype=np.int64)
         entry = entry.ravel()
         order = np.lexsort((ids, entry))
-        entry, ids = entry[order], ids[order]
-        first = np.searchsorted(entry, np.arange(len(self.x)))
-        self.members = np.split(ids, first[1:])  # ascending
-        self.order = np.argsort(self.x, axis=0, kind="stable").T.copy()
+        entry, self.ids = entry[order], ids[order]
+        self.first = np.searchsorted(entry, np.arange(len(self.x) + 1))
+        self.order = np.argsort(self.x, axis=0, kind="stable").T.astype(np.int32)
         self.value = np.take_along_axis(self.x.T, self.order, axis=1)
+        self.most = float(np.abs(x).max(initial=0)) * x.shape[1]
+
+    def others(self, entry: int, own: int) -> np.ndarray:
+        """Ids of an entry but the query's own, ascending."""
+        ids = self.ids[self.first[entry]:self.first[entry + 1]]
+        a, b = np.searchsorted(ids, own), np.searchsorted(ids, own, side="right")
+        return ids if a == b else np.concatenate((ids[:a], ids[b:]))
 
     def top(self, own: int, q: np.ndarray, k: int):
         """[(score, id)] of the k best for one query, and rows scored."""
-        n = len(self.x)
+        n, limit = len(self.x), self.most * float(np.abs(q).max(initial=0))
         use = np.flatnonzero(q)
-        down = q[use] > 0
-        seen = np.zeros(n, dtype=bool)
+        up, down = use[q[use] < 0], use[q[use] > 0]
+        seen, n_seen = np.zeros(n, dtype=bool), 0
         entry, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        floor, depth, step = None, 0, 16
-        order, value, sign = self.order[use], self.value[use], q[use]
-        while depth < n:
+        floor, depth, step = None, 0, 64
+        edge = np.zeros((1, len(q)))
+        while n_seen < n:
             to = min(n, depth + step) if len(use) else n
+            new = np.zeros(n, dtype=bool)
             if len(use):
-                met = np.concatenate([order[~down, depth:to].ravel(), order[down, n - to:n - depth].ravel()])
-                new = np.zeros(n, dtype=bool)
-                new[met] = True
+                new[self.order[up, depth:to].ravel()] = True
+                new[self.order[down, n - to:n - depth].ravel()] = True
                 new &= ~seen
             else:
-                new = ~seen
+                new[:] = True
             seen |= new
             new = np.flatnonzero(new)
+            n_seen += len(new)
             if len(new):
-                s = scores(q, self.x[new])
-                if floor is not None:
-                    keep = s >= floor
-                    new, s = new[keep], s[keep]
+                s = scores(q, self.x[new], limit)
                 entry, score = np.concatenate((entry, new)), np.concatenate((score, s))
                 floor = self._floor(entry, score, own, k)
                 if floor is not None:
@@ -92,22 +96,22 @@ class Lists:
                     entry, score = entry[keep], score[keep]
             depth, step = to, step * 2
             if floor is not None and len(use):
-                edge = np.where(down, value[:, n - depth], value[:, depth - 1])
-                if int(scores(sign, edge[None, :])[0]) < floor:
+                edge[0, up], edge[0, down] = self.value[up, depth - 1], self.value[down, n - depth]
+                if int(scores(q, edge, limit)[0]) < floor:  # an equal bound may hide a smaller id
                     break
         out = []
         for e, s in zip(entry.tolist(), score.tolist()):
-            ids = self.members[e]
-            out += [(s, i) for i in ids[ids != own][:k].tolist()]
+            out += [(s, i) for i in self.others(e, own)[:k].tolist()]
         out.sort(key=lambda t: (-t[0], t[1]))
-        return out[:k], int(seen.sum())
+        return out[:k], n_seen
 
     def _floor(self, entry, score, own, k):
         """The k-th best score so far (None if fewer candidates)."""
+        m = min(len(score), k + 1)  # every entry but the query's own has a candidate
+        best = np.argpartition(-score, m - 1)[:m]
         have = 0
-        for i in np.argsort(-score, kind="stable").tolist():
-            ids = self.members[entry[i]]
-            have += len(ids) - (np.searchsorted(ids, own, side="right") - np.searchsorted(ids, own))
+        for i in best[np.argsort(-score[best], kind="stable")].tolist():
+            have += len(self.others(int(entry[i]), own))
             if have >= k:
                 return int(score[i])
         return None
