@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tokenmill.llm import langid, ngram_lm, simhash, sp_codec, topk_threshold, toxicity, url_filter, winnow
+from tokenmill.llm import langid, ngram_lm, packing, simhash, sp_codec, topk_threshold, toxicity, url_filter, winnow
 from tokenmill.session import checkpoint_dir as shared_folder
 
 QUERIES: dict = {}
@@ -134,3 +134,10 @@ def op3(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     listed = pages.where(url_filter.host(F.col("url")).rlike(LISTED_HOSTS)).select("url")
     return url_filter.judge(pages, listed, RULES)
+
+
+@_query("op7_pack_tokens")
+def op7(spark, sf_dir):
+    """Packed rows of all documents: shard, row, n_tokens, input_ids,
+    position_ids, cu_seqlens, keys, offsets."""
+    return packing.pack(table(spark, sf_dir, "documents"))
