@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tokenmill.llm import langid, ngram_lm, packing, simhash, sp_codec, topk_threshold, toxicity, url_filter, winnow
+from tokenmill.llm import (langid, ngram_lm, packing, simhash, sp_codec, topk_threshold, toxicity, url_filter, warc,
+                           winnow)
 from tokenmill.session import checkpoint_dir as shared_folder
 
 QUERIES: dict = {}
@@ -141,3 +142,51 @@ def op7(spark, sf_dir):
     """Packed rows of all documents: shard, row, n_tokens, input_ids,
     position_ids, cu_seqlens, keys, offsets."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def _warc_sql() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    crlf = "chr(13) || chr(10)"
+    text = "payload"
+    for pattern, to in warc.STRIP:
+        text = f"regexp_replace({text}, {quote(pattern)}, {quote(to)}, 'g')"
+    for name, to in warc.ENTITIES:
+        text = f"replace({text}, {quote(name)}, {quote(to)})"
+    for pattern, to in warc.SPACES:
+        text = f"regexp_replace({text}, {quote(pattern)}, {quote(to)}, 'g')"
+    uuid = lambda h: (f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) "
+                      f"|| '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12) || '>'")
+    size = lambda c: f"strlen({c})::VARCHAR"
+    return f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
+a AS (SELECT *, concat_ws(chr(31), 'response', page_id::VARCHAR, url, sha256(payload)) AS name,
+        'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: '
+        || {size('payload')} AS head FROM p),
+b AS (SELECT *, {uuid('sha256(name)')} AS src, 'sha256:' || sha256(payload) AS pd,
+        'sha256:' || sha256(head || {crlf} || {crlf} || payload) AS bd, {text} AS text,
+        regexp_replace(regexp_extract(payload, '(?is)<title\\b[^>]*>(.*?)</title[^>]*>', 1), '[\\r\\n]+', ' ', 'g') AS title,
+        regexp_extract(payload, '(?i)<html\\b[^>]*lang="([A-Za-z-]*)"', 1) AS lang,
+        len(regexp_extract_all(payload, '(?i)(<a [^>]*href=)')) AS links FROM a),
+c AS (SELECT *, {uuid("sha256('metadata' || chr(31) || src)")} AS mid, {uuid("sha256('conversion' || chr(31) || src)")} AS tid,
+        'source-status: HTTP/1.1 200 OK' || {crlf} || 'source-header: Content-Type: text/html; charset=utf-8' || {crlf}
+        || 'source-header: Content-Length: ' || {size('payload')} || {crlf} || 'source-block-digest: ' || bd || {crlf}
+        || 'source-payload-digest: ' || pd || {crlf} || 'title: ' || title || {crlf} || 'language: ' || lang || {crlf}
+        || 'links: ' || links::VARCHAR || {crlf} || 'text-digest: sha256:' || sha256(text) || {crlf} AS fields FROM b),
+d AS (SELECT page_id, url, src, pd, 'metadata' AS warc_type, mid AS record_id, tid AS other,
+        'application/warc-fields' AS mime, fields AS body FROM c
+      UNION ALL SELECT page_id, url, src, pd, 'conversion', tid, mid, 'text/plain; charset=utf-8', text FROM c)
+SELECT page_id, warc_type, record_id, src AS refers_to,
+  'WARC/1.1' || {crlf} || 'WARC-Type: ' || warc_type || {crlf} || 'WARC-Record-ID: ' || record_id || {crlf}
+  || 'WARC-Refers-To: ' || src || {crlf} || 'WARC-Concurrent-To: ' || other || {crlf}
+  || coalesce('WARC-Target-URI: ' || replace(replace(url, chr(13), ''), chr(10), '') || {crlf}, '')
+  || 'WARC-Date: 1970-01-01T00:00:00Z' || {crlf} || 'WARC-Source-Payload-Digest: ' || pd || {crlf}
+  || 'WARC-Block-Digest: sha256:' || sha256(body) || {crlf} || 'Content-Type: ' || mime || {crlf}
+  || 'Content-Length: ' || {size('body')} || {crlf} || {crlf} || body || {crlf} || {crlf} AS record
+FROM d"""
+
+
+@_query("op9_warc_derivatives", _warc_sql())
+def op9(spark, sf_dir):
+    """page_id, warc_type, record_id, refers_to, record: the metadata and the
+    conversion record of every page's response."""
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
