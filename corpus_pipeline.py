@@ -13,27 +13,48 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.llm import langid, sp_codec
+from tokenmill.llm import langid, simhash, sp_codec, toxicity, winnow
 from tokenmill.session import checkpoint_dir
 
-MIN_LANG_SCORE = 0.5
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic documents (score 0.7 or more) go."""
+    checkpoint_dir(spark)
+    return toxicity.keep_clean(docs, _table(spark, sf_dir, "labels"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language (``und`` or a score under 0.5)
     go."""
     checkpoint_dir(spark)
-    judged = langid.language_id(docs, keep=docs.columns)
-    return judged.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= MIN_LANG_SCORE)).select(*docs.columns)
+    return langid.keep_recognised(docs)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: the smallest doc_id."""
+    checkpoint_dir(spark)
+    return simhash.one_per_group(docs, "doc_id", "text", 3, 3)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a window of ten words with the benchmark go."""
+    checkpoint_dir(spark)
+    return winnow.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the piece ids of the text."""
+    """doc_id, the piece ids of the text, and how many they are."""
     out = sp_codec.encode(docs, "text", "ids", keep=["doc_id"])
     return out.select("doc_id", "ids", F.size("ids").alias("n_ids"))
 
 
-STAGES = [("language", language), ("encode", encode)]
+STAGES = [("toxicity", clean), ("language", language), ("near_duplicates", deduplicate),
+          ("decontamination", decontaminate), ("encode", encode)]
+#: Two stages are learned and one is a numpy Viterbi: no SQL form.
 ORACLE_SQL = None
 
 

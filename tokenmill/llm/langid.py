@@ -155,34 +155,43 @@ class Scorer:
         return [self.langs[b] if h else UND for b, h in zip(best, has)], np.where(has, score, 0.0)
 
 
-def predict(docs: DataFrame, model: dict, text: str = "text", keep=("doc_id",)) -> DataFrame:
-    """``keep`` columns plus lang_pred and score for every row."""
+def predict(docs: DataFrame, model: dict, text: str = "text", keep=("doc_id",), lang_out: str = "lang_pred",
+            score_out: str = "score") -> DataFrame:
+    """``keep`` columns plus language and score of every row (``keep`` may hold
+    the text itself)."""
     sc = docs.sparkSession.sparkContext
     shared, key = sc.broadcast(model), f"langid-{uuid.uuid4()}"
     keep = list(keep)
-    src = docs.select(*keep, F.col(text).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
+    read = text if text in keep else "__text"
+    src = docs.select(*keep, *([] if text in keep else [F.col(text).alias(read)]))
+    fields = "".join(f"`{c}` {src.schema[c].dataType.simpleString()}, " for c in keep)
 
     def run(batches):
         scorer = Scorer(shared.value, worker_store(key))
         for b in batches:
-            texts = as_text(b.column("__text"))
+            texts = as_text(b.column(read))
             for at, n in slices(texts):
                 lang, score = scorer.texts(texts.slice(at, n))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(c).slice(at, n) for c in keep] + [pa.array(lang, pa.string()), pa.array(score)],
-                    names=[*keep, "lang_pred", "score"])
+                    names=[*keep, lang_out, score_out])
 
-    return src.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return src.mapInArrow(run, f"{fields}`{lang_out}` string, `{score_out}` double")
 
 
-def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", keep=None,
-                **fit_args) -> DataFrame:
+def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", **fit_args) -> DataFrame:
     """Fit on the rows that are not held out (crc32 of the key modulo 3 is not
-    1), predict every row: ``keep`` (default the key), held_out, lang_pred,
-    score. ``key`` only splits the rows; ``lang`` is only read for the fit."""
+    1), predict every row: key, held_out, lang_pred, score. ``key`` only splits
+    the rows; ``lang`` is only read for the fit."""
     model = fit(docs.where(~held_out(key, 3)), key, text, lang, **fit_args)
-    keep = [key] if keep is None else list(keep)
-    marked = docs.select(*keep, F.col(text).alias("__t"), held_out(key, 3).alias("__held"))
-    out = predict(marked, model, "__t", [*keep, "__held"])
-    return out.select(*keep, F.col("__held").alias("held_out"), "lang_pred", "score")
+    marked = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), held_out(key, 3).alias("held_out"))
+    return predict(marked, model, "t", ["k", "held_out"]).withColumnRenamed("k", key)
+
+
+def keep_recognised(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
+                    least: float = 0.5, **fit_args) -> DataFrame:
+    """The rows, unchanged, whose language is recognised: not ``und`` and a score
+    of at least ``least``."""
+    model = fit(docs.where(~held_out(key, 3)), key, text, lang, **fit_args)
+    seen = predict(docs, model, text, docs.columns, "__lang", "__score")
+    return seen.where((F.col("__lang") != UND) & (F.col("__score") >= least)).select(*docs.columns)

@@ -216,17 +216,19 @@ def score_texts(texts: pa.Array, model: dict) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: dict | None, text: str = "text", keep=("doc_id",), out: str = "score") -> DataFrame:
-    """``keep`` columns plus the toxicity score of every row."""
+    """``keep`` columns (the text may be one) plus the toxicity score of every
+    row."""
     keep = list(keep)
     if model is None:
         return docs.select(*keep, F.lit(0.0).alias(out))
-    src = docs.select(*keep, F.col(text).alias("__text"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema.fields[:-1])
+    read = text if text in keep else "__text"
+    src = docs.select(*keep, *([] if text in keep else [F.col(text).alias(read)]))
+    fields = "".join(f"`{c}` {src.schema[c].dataType.simpleString()}, " for c in keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
-            texts = as_text(b.column("__text"))
+            texts = as_text(b.column(read))
             for at, n in slices(texts):
                 s = score_texts(texts.slice(at, n), shared.value)
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(at, n) for c in keep], pa.array(s)],
@@ -262,12 +264,17 @@ def toxic_passages(docs: DataFrame, model: dict, key: str = "doc_id", text: str
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-             keep=None, **fit_args) -> DataFrame:
-    """Fit on labelled rows that are not held out, score every row: ``keep``
-    (default the key), held_out, score, predicted (1 from 0.7 on)."""
+             **fit_args) -> DataFrame:
+    """Fit on labelled rows that are not held out, score every row: key,
+    held_out, score, predicted (1 from 0.7 on)."""
     model = fit(docs, labels, key, text, label, **fit_args)
-    keep = [key] if keep is None else list(keep)
-    marked = docs.select(*keep, F.col(text).alias("__t"), held_out(key, 3).alias("__held"))
-    out = score(marked, model, "__t", [*keep, "__held"], "__score")
-    return out.select(*keep, F.col("__held").alias("held_out"), F.col("__score").alias("score"),
-                      (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    marked = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), held_out(key, 3).alias("held_out"))
+    out = score(marked, model, "t", ["k", "held_out"])
+    return out.select(F.col("k").alias(key), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
+               **fit_args) -> DataFrame:
+    """The rows, unchanged, that score under 0.7."""
+    model = fit(docs, labels, key, text, label, **fit_args)
+    return score(docs, model, text, docs.columns, "__score").where(F.col("__score") < THRESHOLD).select(*docs.columns)

@@ -111,10 +111,10 @@ def _beside(met: DataFrame) -> DataFrame:
                       F.monotonically_increasing_id().alias("nth"))
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-                  item_text: str = "text", span: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """One row per row of ``docs``: key, n_words, n_hit, n_items, items_sha256,
-    contaminated."""
+def hits(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
+         item_text: str = "text", span: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """One row per distinct (key, text) with a hit: k, th (hash of the text),
+    n_hit, n_items, names (sorted item ids, comma-joined)."""
     k = min(K, span)
     window = span - k + 1
     hashes = F.transform("w", lambda x: F.xxhash64(x))
@@ -170,8 +170,14 @@ def decontaminate(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
         (acc["n"] + F.greatest(x["b"] - F.greatest(x["a"], acc["end"]), F.lit(0))).alias("n"),
         F.greatest(acc["end"], x["b"]).alias("end")))["n"]
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
-    hit = hit.select("k", "th", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-                     F.concat_ws(",", names).alias("names"))
+    return hit.select("k", "th", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                      F.concat_ws(",", names).alias("names"))
+
+
+def decontaminate(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", **args) -> DataFrame:
+    """One row per row of ``docs``: key, n_words, n_hit, n_items, items_sha256,
+    contaminated. ``args`` as in ``hits``."""
+    hit = hits(docs, bench, key, text, **args)
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("key_text"),
                        F.size(words(F.col(text))).cast("long").alias("n_words"))
     out = rows.join(hit, rows["key"].eqNullSafe(hit["k"]) & (rows["key_text"] == hit["th"]), "left")
@@ -180,3 +186,9 @@ def decontaminate(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
                       F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
                       F.sha2(F.coalesce("names", F.lit("")).cast("binary"), 256).alias("items_sha256"),
                       (n_hit > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", **args) -> DataFrame:
+    """The rows, unchanged, that share no window with the benchmark."""
+    hit = hits(docs, bench, key, text, **args).select(F.col("k").alias("__k"), F.col("th").alias("__th"))
+    return docs.join(hit, docs[key].eqNullSafe(hit["__k"]) & (F.xxhash64(docs[text]) == hit["__th"]), "left_anti")
