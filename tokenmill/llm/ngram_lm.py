@@ -55,8 +55,8 @@ END, BOS = 0, 1  # hashes of the end token and of the context of first words
 FOLDS = 5
 MIX = 0.4
 FREQUENT = 1e-5
-SLICE = 16 << 20
-SHARD_BYTES = 24 << 20  # text per shard, about 4 million tokens
+SLICE = 12 << 20
+SHARD_BYTES = 12 << 20  # text per shard, about 2 million tokens
 
 
 # ---- Elias-Fano sequences ------------------------------------------------
