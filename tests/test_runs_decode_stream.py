@@ -104,19 +104,79 @@ def test_stream_early_stop_equals_batch(spark, tmp_dir):
     assert got == want
 
 
-def test_parallel_chain_equals_fold(spark):
+def py_plateau(vs, patience, lr=5e-4, factor=0.5, threshold=1e-4, eps=1e-8):
+    best, bad, out = float("inf"), 0, []
+    for v in vs:
+        old = lr
+        if v < best * (1 - threshold):
+            best, bad = v, 0
+        else:
+            bad += 1
+        if bad > patience:
+            if lr - lr * factor > eps:
+                lr *= factor
+            bad = 0
+        out.append((old, lr))
+    return out
+
+
+def test_folds_by_position(spark):
+    """Gaps, zero-based and negative epoch numbers, NaN and negative values;
+    every slice size gives the sequential answer."""
     import random
     random.seed(3)
-    rows = []
-    for run in range(6):
-        for e in range(1, random.randint(2, 80)):
-            v = float("nan") if (run == 2 and e < 4) else (random.random() * 5 if run % 2 else 9 - e * 0.05)
-            rows.append((run, e, v))
+    series, rows = {}, []
+    for run in range(8):
+        vs = [float("nan") if run == 2 and e < 4 else
+              (random.random() * 5 - (4 if run > 5 else 0) if run % 2 else 9 - e * 0.05) for e in range(random.randint(1, 80))]
+        names = [e * (1 + run % 3) - (run % 4) * 2 for e in range(len(vs))]
+        series[run] = (names, vs)
+        rows += [(run, n, v) for n, v in zip(names, vs)]
     df = spark.createDataFrame(rows, "run bigint, epoch bigint, val double")
-    for pat, d in [(3, 0.001), (1, 0.0)]:
-        a = sorted(tuple(r) for r in R.early_stop_fold(df, pat, d, chunk=7).collect())
-        b = sorted(tuple(r) for r in R.early_stop(df, pat, d, max_fold_epochs=20).collect())  # mixed routing
-        assert a == b
-    a = sorted(tuple(r) for r in R.plateau_lr_fold(df, patience=2, chunk=9).collect())
-    b = sorted(tuple(r) for r in R.plateau_lr(df, patience=2, max_fold_epochs=0).collect())  # all parallel
-    assert a == b
+    for chunk in (7, 1 << 18):
+        got = {r.run: (r.best, r.best_epoch, r.stop_epoch, r.last_epoch) for r in R.early_stop(df, 3, 0.001, chunk=chunk).collect()}
+        for run, (names, vs) in series.items():
+            best, at, stop = py_early(vs, 3, 0.001)
+            name = lambda e: None if e is None else names[e - 1]
+            assert got[run] == (best, name(at), name(stop), name(stop or len(vs)))
+        lrs = {(r.run, r.epoch): (r.lr_before, r.lr_after) for r in R.plateau_lr(df, patience=2, chunk=chunk).collect()}
+        assert lrs == {(run, n): x for run, (names, vs) in series.items() for n, x in zip(names, py_plateau(vs, 2))}
+
+
+def test_judged_epoch_cases(spark):
+    df = spark.createDataFrame([(1, 1, 1.0), (1, 5, 0.5), (1, 9, 0.4), (2, 0, 1.0), (2, 1, 2.0), (2, 2, 3.0), (2, 3, 4.0)],
+                               "run bigint, epoch bigint, val double")
+    got = {r.run: tuple(r)[1:] for r in R.early_stop(df, 3, 0.001).collect()}
+    assert got == {1: (0.4, 9, None, 9), 2: (1.0, 0, 3, 3)}
+    assert R.plateau_lr(df).count() == 7 and R.early_stop(df.limit(0)).count() == 0
+
+
+def test_run_analytics_cases(spark):
+    lines = spark.createDataFrame([(1, 1, "\tVAL loss: 2.5, ppl=12.1"), (1, 2, "\rEpoch [3/50] ┃ train_loss: 1.5000 ┃ val_loss: 1.2500 ┃ lr: 0.000500"),
+                                   (1, 3, "Improved! best_val=1.2 (saved)"), (1, 4, "No improvement (2/5)"),
+                                   (1, 5, "Early stopping triggered."), (1, 6, "Epoch 4: train=1.0, val=nan, lr=0.0005"),
+                                   (1, 7, "  >> no improvement (1/5)"), (1, 8, "other")], "run bigint, line_no bigint, line string")
+    assert R.parse_metrics(lines).first().eval_loss == 2.5
+    got = [tuple(r)[1:] for r in R.parse_epochs(lines, events=True).orderBy("line_no").collect()]
+    assert [g[1] for g in got] == ["epoch", "improved", "no_improvement", "stopped", "epoch", "no_improvement"]
+    assert got[0][2:6] == (3, 1.5, 1.25, 0.0005) and got[2][6:] == (2, 5) and got[5][6:] == (1, 5)
+    cfg = R.base_configs(spark.range(1).withColumnRenamed("id", "run"))
+    one = R.apply_overrides(cfg.withColumn("overrides", F.create_map(F.lit("training.lr"), F.lit(0.000345678912345))))
+    assert float(one.first().config["training.lr"]) == 0.000345678912345
+    mixed = F.create_map(F.lit("a.b"), F.lit("3"), F.lit("c"), F.lit("3e-4"), F.lit("d"), F.lit("adam"))
+    ts = F.to_timestamp(F.lit("2024-01-02 03:04:05"))
+    assert spark.range(1).select(R.run_name(F.lit("x"), mixed, ts, floats=False)).first()[0].endswith(
+        "x_a-b=3_c=3.0e-04_d=adam_20240102-030405")
+    m = spark.createDataFrame([(1, "t", 0, None), (1, "t", 1, 3.0), (1, "t", 2, float("nan"))], "run bigint, tag string, step bigint, value double")
+    r = R.metric_series(m).first()
+    assert (r.n_points, r.best, r.best_step) == (3, 3.0, 1)
+    v = spark.createDataFrame([(10, 0, "a", 0), (11, 1, "a", 1), (12, 0, "a", 2), (20, 0, "b", 0)], "run bigint, returncode int, batch string, pos int")
+    assert {r.run: r.status for r in R.variant_report(v).collect()} == {10: "ok", 11: "failed", 12: "skipped", 20: "ok"}
+
+
+def test_metrics_of_any_run_and_bucket_count(spark, tmp_dir):
+    from tokenmill.sources import logs
+    rows = [(f"run{i}", "t", s, float(s)) for i in range(20) for s in range(3)]
+    df = spark.createDataFrame(rows, "run string, tag string, step bigint, value double")
+    logs.append_metrics(df, f"{tmp_dir}/m", buckets=8)
+    assert all(logs.read_metrics(spark, f"{tmp_dir}/m", f"run{i}").count() == 3 for i in range(20))

@@ -2,19 +2,19 @@
 leaderboards, early stopping and learning-rate replay.
 
 Early stopping and the plateau scheduler are sequential state machines per
-run. They run as folds (SQL ``aggregate``) over bounded epoch slices: each
-round hands every live run at most ``chunk`` epochs, carries the small state
-``(best, bad, ...)`` to the next round, and drops runs that have finished, so
-no task ever holds an unbounded group and the work for all runs proceeds in
-parallel.
+run. They run as folds over bounded slices of each run's epochs, by position:
+each round hands every live run its next slice, carries the small state
+``(best, bad, ...)`` on, and drops runs that have finished, so no task ever
+holds an unbounded group and all runs proceed in parallel. Every run takes the
+same path, whatever its length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.functions import uniform_hash
+from tokenmill.functions import strip_text, uniform_hash
 from tokenmill.operators.indexing import sequence_index
 from tokenmill.session import cut_lineage
 
@@ -48,9 +48,9 @@ def set_keys(cfg: Column, overrides: Column) -> Column:
 
 
 def apply_overrides(df: DataFrame, cfg: str = "config", overrides: str = "overrides") -> DataFrame:
-    """Overrides first, then the search budget, which therefore wins."""
-    ov = F.transform_values(overrides, lambda k, v: F.format_string("%.6e", v)) \
-        if dict(df.dtypes).get(overrides, "").startswith("map<string,double") else F.col(overrides)
+    """Overrides first, then the search budget, which therefore wins. Values
+    are kept as they are (numbers as their shortest exact text)."""
+    ov = F.transform_values(overrides, lambda k, v: v.cast("string"))
     return df.withColumn(cfg, set_keys(set_keys(F.col(cfg), ov), _lit_map(SEARCH_BUDGET)))
 
 
@@ -81,31 +81,43 @@ def random_trials(df: DataFrame, key: str, space: dict | None = None, seed: int
     import math
     space = space or RANDOM_SPACE
     parts = []
+    kinds = {type(x) for spec in space.values() if spec["type"] == "choice" for x in spec["values"]}
+    as_text = bool(kinds - {float})  # ints and strings keep their own form; floats print exactly
     for name, spec in space.items():
         u = uniform_hash(seed, key, F.lit(name))
         if spec["type"] == "loguniform":
             lo, hi = math.log(spec["low"]), math.log(spec["high"])
             v = F.exp(F.lit(lo) + F.lit(hi - lo) * u)
         elif spec["type"] == "choice":
-            vals = F.array(*[F.lit(float(x)) for x in spec["values"]])
+            vals = F.array(*[F.lit(x) for x in spec["values"]])
             v = F.element_at(vals, (F.floor(u * len(spec["values"])) + 1).cast("int"))
         else:
             raise ValueError(f"unknown space type: {spec}")
-        parts += [F.lit(name), v]
+        parts += [F.lit(name), v.cast("string") if as_text else v]
     return df.withColumn("overrides", F.create_map(*parts))
 
 
-def run_name(variant: Column, overrides: Column, ts: Column) -> Column:
-    """RUN_NAME_PREFIX + variant + '_' + sorted key=value (dots -> dashes, floats %.1e)
-    joined by '_' + '_' + timestamp %Y%m%d-%H%M%S."""
+def run_name(variant: Column, overrides: Column, ts: Column, prefix: str = RUN_NAME_PREFIX,
+             floats: bool = True) -> Column:
+    """Prefix + variant + '_' + sorted key=value (dots -> dashes) joined by
+    '_' + '_' + timestamp %Y%m%d-%H%M%S. ``floats``: the map holds floating-point
+    values, printed as %.1e; otherwise ints and strings are printed as they are,
+    and in a map of texts only those with a fraction or exponent are floats."""
     ents = F.array_sort(F.map_entries(overrides))
-    parts = F.transform(ents, lambda e: F.concat(F.translate(e["key"], ".", "-"), F.lit("="),
-                                                 F.format_string("%.1e", e["value"])))
-    return F.concat(F.lit(RUN_NAME_PREFIX), variant, F.lit("_"), F.array_join(parts, "_"), F.lit("_"),
+
+    def shown(v):
+        if floats:
+            return F.format_string("%.1e", v)
+        text = v.cast("string")
+        return F.when(text.rlike(r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+(?=[eE]))([eE][+-]?[0-9]+)?$"),
+                      F.format_string("%.1e", text.try_cast("double"))).otherwise(text)
+    parts = F.transform(ents, lambda e: F.concat(F.translate(e["key"], ".", "-"), F.lit("="), shown(e["value"])))
+    return F.concat(F.lit(prefix), variant, F.lit("_"), F.array_join(parts, "_"), F.lit("_"),
                     F.date_format(ts, "yyyyMMdd-HHmmss"))
 
 
 # ------------------------------------------------------------------ log mining
+# The line formats the trainers print.
 _LOSS_RE = r"loss:\s*([0-9.]+),\s*ppl=([0-9.]+)"
 _BLEU_RE = r"BLEU.*?:\s*([0-9.]+)"
 
@@ -113,7 +125,7 @@ _BLEU_RE = r"BLEU.*?:\s*([0-9.]+)"
 def parse_metrics(lines: DataFrame, run: str = "run", line_no: str = "line_no", line: str = "line") -> DataFrame:
     """Last matching VAL/TEST loss line gives loss and ppl, last matching
     VAL/TEST BLEU line gives bleu; nan/inf do not match -> null."""
-    s = F.trim(F.col(line))
+    s = strip_text(line)
     is_loss = (s.startswith("VAL loss:") | s.startswith("TEST loss:")) & s.rlike(_LOSS_RE)
     is_bleu = (s.startswith("VAL BLEU") | s.startswith("TEST BLEU")) & s.rlike(_BLEU_RE)
     lo = F.regexp_extract(s, _LOSS_RE, 1).try_cast("double")
@@ -126,26 +138,50 @@ def parse_metrics(lines: DataFrame, run: str = "run", line_no: str = "line_no",
         F.max_by(bl, o_bleu).alias("eval_bleu"))
 
 
+# The epoch and verdict lines the trainers print.
 _EPOCH_RE = r"^Epoch (\d+): train=([^,]+), val=([^,]+), lr=(\S+)$"
+_CHAR_EPOCH_RE = r"^Epoch \[(\d+)/(\d+)\] ┃ train_loss: (\S+) ┃ val_loss: (\S+) ┃ lr: (\S+)$"
+_WORSE_RE = r"^(?:>> no improvement|No improvement) ?\((\d+)/(\d+)\).*$"
 
 
 def epoch_lines(epochs: DataFrame) -> DataFrame:
-    """Trainer-style epoch lines (producer side of X6)."""
+    """Lines as the trainers print them (producer side of X6), by epoch: both
+    epoch formats, the improvement verdicts and the stop."""
     lr = F.lit(5e-4) * F.pow(F.lit(0.5), F.least(F.expr("epoch div 10"), F.lit(5)))
-    line = F.format_string("Epoch %d: train=%.4f, val=%.4f, lr=%.6e", F.col("epoch"),
-                           (F.col("val") + 1.0) / 100.0, F.col("val") / 100.0, lr)
+    val, train = F.col("val") / 100.0, (F.col("val") + 1.0) / 100.0
+    kind = F.pmod(F.col("epoch"), F.lit(6))
+    line = (F.when(kind == 1, F.format_string("\rEpoch [%d/50] ┃ train_loss: %.4f ┃ val_loss: %.4f ┃ lr: %.6f",
+                                              F.col("epoch"), train, val, lr))
+            .when(kind == 2, F.lit("  >> improved, saved checkpoint at x.pt"))
+            .when(kind == 3, F.concat(F.lit("\t>> no improvement ("), F.pmod(F.col("epoch"), F.lit(5)).cast("string"), F.lit("/5)")))
+            .when(kind == 4, F.lit("Early stopping."))
+            .otherwise(F.format_string("Epoch %d: train=%.4f, val=%.4f, lr=%.6e", F.col("epoch"), train, val, lr)))
     return epochs.select("run", F.col("epoch").alias("line_no"), line.alias("line"))
 
 
-def parse_epochs(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Epoch n: train=, val=, lr= -> typed columns; other lines drop out."""
-    s = F.trim(F.col(line))
-    m = s.rlike(_EPOCH_RE)
-    return lines.where(m).select(
-        "run", F.regexp_extract(s, _EPOCH_RE, 1).cast("bigint").alias("epoch"),
-        F.regexp_extract(s, _EPOCH_RE, 2).try_cast("double").alias("train"),
-        F.regexp_extract(s, _EPOCH_RE, 3).try_cast("double").alias("val"),
-        F.regexp_extract(s, _EPOCH_RE, 4).try_cast("double").alias("lr"))
+def parse_epochs(lines: DataFrame, line: str = "line", events: bool = False) -> DataFrame:
+    """The epoch lines of both trainers -> (run, epoch, train, val, lr);
+    other lines drop out. With ``events`` also the lines that report improvement,
+    a bad epoch (count and patience) or the stop, and a ``kind`` column: epoch,
+    improved, no_improvement, stopped. NaN and unreadable numbers are null resp.
+    NaN as written."""
+    s = strip_text(line)
+    a, c = s.rlike(_EPOCH_RE), s.rlike(_CHAR_EPOCH_RE)
+    kind = (F.when(a | c, "epoch").when(s.startswith(">> improved") | s.startswith("Improved!"), "improved")
+            .when(s.rlike(_WORSE_RE), "no_improvement").when(s.startswith("Early stopping"), "stopped"))
+
+    def num(pattern, n, kind_="double"):
+        return F.regexp_extract(s, pattern, n).try_cast(kind_)
+    cols = [F.when(a, num(_EPOCH_RE, 1, "bigint")).when(c, num(_CHAR_EPOCH_RE, 1, "bigint")).alias("epoch"),
+            F.when(a, num(_EPOCH_RE, 2)).when(c, num(_CHAR_EPOCH_RE, 3)).alias("train"),
+            F.when(a, num(_EPOCH_RE, 3)).when(c, num(_CHAR_EPOCH_RE, 4)).alias("val"),
+            F.when(a, num(_EPOCH_RE, 4)).when(c, num(_CHAR_EPOCH_RE, 5)).alias("lr")]
+    if not events:
+        return lines.where(a | c).select("run", *cols)
+    bad = s.rlike(_WORSE_RE)
+    rest = [F.when(bad, num(_WORSE_RE, 1, "bigint")).alias("bad"), F.when(bad, num(_WORSE_RE, 2, "bigint")).alias("patience")]
+    extra = ["line_no"] if "line_no" in lines.columns else []
+    return lines.where(kind.isNotNull()).select("run", *extra, kind.alias("kind"), *cols, *rest)
 
 
 def leaderboard(results: DataFrame, loss: str = "eval_loss", tiebreak: str = "run") -> DataFrame:
@@ -156,314 +192,162 @@ def leaderboard(results: DataFrame, loss: str = "eval_loss", tiebreak: str = "ru
     return sequence_index(r, ["_missing", loss, tiebreak], name="rank", start=1).drop("_missing")
 
 
-def variant_report(results: DataFrame, run: str = "run", rc: str = "returncode") -> DataFrame:
-    """Consecutive runs form batches of the three variants in order; the
-    first non-zero return code ends its batch, later variants are skipped.
-    Each window partition holds three rows."""
-    b = results.select(run, rc, F.expr(f"{run} div 3").alias("batch"), (F.col(run) % 3).alias("pos"))
-    w = Window.partitionBy("batch").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    failed_before = F.coalesce(F.sum((F.col(rc) != 0).cast("int")).over(w), F.lit(0))
-    status = F.when(failed_before > 0, "skipped").when(F.col(rc) != 0, "failed").otherwise("ok")
-    variant = F.element_at(F.array(*[F.lit(v) for v in VARIANTS]), (F.col("pos") + 1).cast("int"))
-    return b.select(run, "batch", variant.alias("variant"), status.alias("status"))
+def variant_report(results: DataFrame, run: str = "run", rc: str = "returncode", batch: str = "batch",
+                   order: str = "pos") -> DataFrame:
+    """The runs of a ``batch`` are variants launched in ``order``; the first
+    non-zero return code ends its batch, later variants are skipped. The first
+    failing position per batch is one aggregate, joined back, so a batch of any
+    size never sits in one task. The n-th run of a batch is the n-th variant
+    (repeating); ``order`` counts from 0."""
+    first = results.where(F.col(rc) != 0).groupBy(batch).agg(F.min(order).alias("_bad"))
+    b = results.select(run, rc, batch, order).join(first, batch, "left")
+    status = F.when(F.col(order) > F.col("_bad"), "skipped").when(F.col(rc) != 0, "failed").otherwise("ok")
+    variant = F.element_at(F.array(*[F.lit(v) for v in VARIANTS]), (F.pmod(F.col(order), F.lit(len(VARIANTS))) + 1).cast("int"))
+    return b.select(run, batch, variant.alias("variant"), status.alias("status"))
 
 
 def metric_series(metrics: DataFrame) -> DataFrame:
     """X11: per run and tag: points, latest value by step, best (lowest) value
-    and the first step reaching it. Partial aggregation, no group collection."""
+    and the first step reaching it. Null and NaN values are points but never
+    the best. Partial aggregation, no group collection."""
+    real = F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))
     return metrics.groupBy("run", "tag").agg(
         F.count(F.lit(1)).alias("n_points"),
         F.max_by("value", "step").alias("latest"),
         F.max("step").alias("last_step"),
-        F.min(F.struct("value", "step")).alias("_b")).select(
+        F.min(F.when(real, F.struct("value", "step"))).alias("_b")).select(
         "run", "tag", "n_points", "latest", "last_step", F.col("_b.value").alias("best"),
         F.col("_b.step").alias("best_step"))
 
 
 def epoch_summary(steps: DataFrame, vals: DataFrame) -> DataFrame:
-    """Per (run, epoch) token-weighted train loss joined with val loss."""
+    """Per (run, epoch) token-weighted train loss joined with val loss and,
+    if ``vals`` has it, the epoch's lr."""
     tr = steps.groupBy("run", "epoch").agg(
         (F.sum("loss_sum") / F.greatest(F.sum("ntok"), F.lit(1))).alias("train_loss"),
         F.count(F.lit(1)).alias("n_steps"))
-    va = vals.groupBy("run", "epoch").agg(F.avg("val_loss").alias("val_loss"))
+    lr = [F.max("lr").alias("lr")] if "lr" in vals.columns else []
+    va = vals.groupBy("run", "epoch").agg(F.avg("val_loss").alias("val_loss"), *lr)
     return tr.join(va, ["run", "epoch"], "left")
 
 
 # ------------------------------------------------------------------ folds
-def _chunk_rounds(epochs: DataFrame, init: DataFrame, step_fn, finished_fn, chunk: int,
-                  emit=None) -> DataFrame:
-    """Drive a per-run fold over epoch slices [lo, lo+chunk). ``emit`` turns
-    each round's (checkpointed) state into per-epoch output rows."""
-    ep = epochs.select("run", "epoch", "val")
-    live = init
-    done = []
-    lo = 0
+SLICE_EPOCHS = 1 << 18  # epochs of one run that a task folds at a time
+
+
+def _ranked(epochs: DataFrame) -> DataFrame:
+    """(run, pos, epoch, val): ``pos`` = 1-based order of the run's epochs.
+    Epoch numbers may have gaps, start anywhere and be negative; the folds
+    count rows, so they work on positions and report epoch numbers."""
+    e = sequence_index(epochs.select("run", "epoch", "val"), ["epoch", "val"], ["run"], name="pos", start=1)
+    return cut_lineage(e.select("run", "pos", "epoch", "val"))
+
+
+def _fold_rounds(epochs: DataFrame, init: DataFrame, step_fn, state, chunk: int, stopped=None):
+    """Every run, whatever its length, is folded in slices of ``chunk`` epochs:
+    a round hands each live run its next slice and carries the small state on.
+    Returns the list of round results (state columns plus what ``step_fn`` adds)."""
+    ranked = _ranked(epochs)
+    live = ranked.groupBy("run").agg(F.max("pos").alias("n"), F.max_by("epoch", "pos").alias("last")) \
+        .select("run", "n", "last", *[v.alias(k) for k, v in init.items()])
+    done, lo = [], 0
     while True:
-        sl = ep.where((F.col("epoch") > lo) & (F.col("epoch") <= lo + chunk)).join(
-            live.select("run"), "run", "left_semi")
-        g = sl.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("epoch", "val"))).alias("xs"))
-        st = live.join(g, "run", "left").withColumn("xs", F.coalesce("xs", F.array().cast(g.schema["xs"].dataType)))
-        st = step_fn(st).drop("xs")
-        st = cut_lineage(st)
-        if emit is not None:
-            done.append(emit(st))
-            st = st.drop("emitted")
-        fin = finished_fn(st, lo + chunk)
-        if emit is None:
-            done.append(st.where(fin))
-        live = st.where(~fin)
+        part = ranked.where((F.col("pos") > lo) & (F.col("pos") <= lo + chunk))
+        if lo:
+            part = part.join(live.select("run"), "run", "left_semi")
+        g = part.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("pos", "epoch", "val"))).alias("xs"))
+        st = cut_lineage(step_fn(live.join(g, "run")))
+        over = F.col("n") <= lo + chunk
+        if stopped is not None:
+            over = over | stopped
+        done.append((st, over))
+        live = st.where(~over).select("run", "n", "last", *state)
         if live.isEmpty():
-            break
+            return done
         lo += chunk
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
 
 
-def early_stop_fold(epochs: DataFrame, patience: int = 5, min_delta: float = 0.001, chunk: int = 4096) -> DataFrame:
+def early_stop(epochs: DataFrame, patience: int = 5, min_delta: float = 0.001, chunk: int = SLICE_EPOCHS) -> DataFrame:
     """Improvement when val < best - min_delta (best <- val, counter 0),
     else counter + 1; stop when the counter reaches patience. Per run: best,
-    best epoch, stop epoch (null if never stopped) and epochs seen."""
-    init = epochs.groupBy("run").agg(F.max("epoch").alias("n_epochs")).select(
-        "run", "n_epochs", F.lit(float("inf")).alias("best"), F.lit(0).alias("bad"),
-        F.lit(None).cast("bigint").alias("best_epoch"), F.lit(None).cast("bigint").alias("stop_epoch"))
+    best epoch, stop epoch (null if never stopped) and last epoch seen. A null
+    or NaN value is no improvement."""
+    none = F.lit(None).cast("bigint")
+    init = {"best": F.lit(float("inf")), "bad": F.lit(0), "best_epoch": none, "stop_epoch": none}
 
     def step(st):
-        s0 = F.struct(F.col("best").alias("best"), F.col("bad").alias("bad"), F.col("best_epoch").alias("best_epoch"),
-                      F.col("stop_epoch").alias("stop_epoch"))
+        s0 = F.struct(*[F.col(k).alias(k) for k in init])
 
         def merge(s, x):
-            better = x["val"] < s["best"] - F.lit(float(min_delta))
-            stopped = s["stop_epoch"].isNotNull()
-            return F.when(stopped, s).when(better, F.struct(
-                x["val"].alias("best"), F.lit(0).alias("bad"), x["epoch"].alias("best_epoch"),
-                F.lit(None).cast("bigint").alias("stop_epoch"))).otherwise(F.struct(
+            better = F.coalesce(x["val"] < s["best"] - F.lit(float(min_delta)), F.lit(False))
+            stop = F.when(s["bad"] + 1 >= patience, x["epoch"].cast("bigint"))
+            return F.when(s["stop_epoch"].isNotNull(), s).when(better, F.struct(
+                x["val"].alias("best"), F.lit(0).alias("bad"), x["epoch"].cast("bigint").alias("best_epoch"),
+                none.alias("stop_epoch"))).otherwise(F.struct(
                     s["best"].alias("best"), (s["bad"] + 1).alias("bad"), s["best_epoch"].alias("best_epoch"),
-                    F.when(s["bad"] + 1 >= patience, x["epoch"]).cast("bigint").alias("stop_epoch")))
+                    stop.alias("stop_epoch")))
         r = F.aggregate("xs", s0, merge)
-        return st.select("run", "n_epochs", "xs", r["best"].alias("best"), r["bad"].alias("bad"),
-                         r["best_epoch"].alias("best_epoch"), r["stop_epoch"].alias("stop_epoch"))
-
-    out = _chunk_rounds(epochs, init, step,
-                        lambda st, hi: F.col("stop_epoch").isNotNull() | (F.col("n_epochs") <= hi), chunk)
-    return out.select("run", "best", "best_epoch", "stop_epoch",
-                      F.coalesce("stop_epoch", "n_epochs").alias("last_epoch"))
+        return st.select("run", "n", "last", r.alias("r")).select("run", "n", "last", *[F.col("r")[k].alias(k) for k in init])
+
+    out = None
+    for st, over in _fold_rounds(epochs, init, step, list(init), chunk, F.col("stop_epoch").isNotNull()):
+        part = st.where(over)
+        out = part if out is None else out.unionByName(part)
+    return out.select("run", "best", "best_epoch", "stop_epoch", F.coalesce("stop_epoch", "last").alias("last_epoch"))
+
+
+def _plateau_slices(batches, factor, patience, threshold, min_lr, eps):
+    """Replays the scheduler over each run's slice; one output row per run with
+    the new state and the lr before and after every epoch."""
+    import pyarrow as pa
+    for b in batches:
+        best, bad, lr = (b.column(c).to_pylist() for c in ("best", "bad", "lr"))
+        before, after = [], []
+        for i, xs in enumerate(b.column("vals").to_pylist()):
+            m, k, cur, pre, post = best[i], bad[i], lr[i], [], []
+            for v in xs:
+                pre.append(cur)
+                if v is not None and v < m * (1.0 - threshold):
+                    m, k = v, 0
+                else:
+                    k += 1
+                if k > patience:
+                    new = max(cur * factor, min_lr)
+                    cur, k = (new if cur - new > eps else cur), 0
+                post.append(cur)
+            best[i], bad[i], lr[i] = m, k, cur
+            before.append(pre)
+            after.append(post)
+        doubles = pa.list_(pa.float64())
+        yield pa.RecordBatch.from_arrays(
+            [*[b.column(c) for c in ("run", "n", "last", "epochs")], pa.array(best, pa.float64()), pa.array(bad, pa.int32()),
+             pa.array(lr, pa.float64()), pa.array(before, doubles), pa.array(after, doubles)],
+            names=["run", "n", "last", "epochs", "best", "bad", "lr", "before", "after"])
 
 
-def plateau_lr_fold(epochs: DataFrame, lr: float = 5e-4, factor: float = 0.5, patience: int = 2,
-                    threshold: float = 1e-4, min_lr: float = 0.0, eps: float = 1e-8, chunk: int = 1024) -> DataFrame:
+def plateau_lr(epochs: DataFrame, lr: float = 5e-4, factor: float = 0.5, patience: int = 2,
+               threshold: float = 1e-4, min_lr: float = 0.0, eps: float = 1e-8, chunk: int = SLICE_EPOCHS) -> DataFrame:
     """Reduce-on-plateau replay (mode min, relative threshold): improved
     when val < best * (1 - threshold); when bad epochs exceed patience the lr
     becomes max(lr * factor, min_lr) (if it moves by more than eps) and the
-    counter resets. Per (run, epoch): lr before and after the step."""
-    init = epochs.groupBy("run").agg(F.max("epoch").alias("n_epochs")).select(
-        "run", "n_epochs", F.lit(float("inf")).alias("best"), F.lit(0).alias("bad"), F.lit(float(lr)).alias("lr"),
-        F.array().cast("array<struct<epoch:bigint,lr_before:double,lr_after:double>>").alias("emitted"))
+    counter resets. Per (run, epoch): lr before and after the step. A null or NaN
+    value is no improvement; negative values follow the same rule."""
+    init = {"best": F.lit(float("inf")), "bad": F.lit(0), "lr": F.lit(float(lr))}
 
     def step(st):
-        s0 = F.struct(F.col("best").alias("best"), F.col("bad").alias("bad"), F.col("lr").alias("lr"),
-                      F.array().cast("array<struct<epoch:bigint,lr_before:double,lr_after:double>>").alias("out"))
-
-        def merge(s, x):
-            better = x["val"] < s["best"] * F.lit(1.0 - threshold)
-            best = F.when(better, x["val"]).otherwise(s["best"])
-            bad = F.when(better, F.lit(0)).otherwise(s["bad"] + 1)
-            cut = bad > patience
-            new_lr = F.greatest(s["lr"] * F.lit(factor), F.lit(min_lr))
-            lr2 = F.when(cut & ((s["lr"] - new_lr) > F.lit(eps)), new_lr).otherwise(s["lr"])
-            bad2 = F.when(cut, F.lit(0)).otherwise(bad)
-            rec = F.struct(x["epoch"].cast("bigint").alias("epoch"), s["lr"].alias("lr_before"), lr2.alias("lr_after"))
-            return F.struct(best.alias("best"), bad2.alias("bad"), lr2.alias("lr"),
-                            F.concat(s["out"], F.array(rec)).alias("out"))
-        r = F.aggregate("xs", s0, merge)
-        return st.select("run", "n_epochs", "xs", r["best"].alias("best"), r["bad"].alias("bad"),
-                         r["lr"].alias("lr"), r["out"].alias("emitted"))
-
-    def emit(st):
-        return st.select("run", F.explode("emitted").alias("e")).select(
-            "run", F.col("e.epoch").alias("epoch"), F.col("e.lr_before").alias("lr_before"),
-            F.col("e.lr_after").alias("lr_after"))
-
-    def restart(st):
-        # the carried state of a live run starts the next slice with no output
-        return step(st.withColumn("emitted", F.array().cast(
-            "array<struct<epoch:bigint,lr_before:double,lr_after:double>>")))
-
-    return _chunk_rounds(epochs, init, restart, lambda st, hi: F.col("n_epochs") <= hi, chunk, emit)
-
-
-# ------------------------------------------------------------------ parallel chains
-# Both folds keep "best" = the value at the last improvement, and an epoch
-# improves when val < threshold(best) with threshold(b) <= b (b - min_delta,
-# or b * (1 - rel) for b >= 0). Every improvement is then a strict prefix
-# minimum of the run, and from one improvement the next is the first later
-# prefix minimum below its threshold. So the improvement chain is found without
-# a per-run sequential pass:
-#   1. prefix minima by a distributed grouped scan (a hot run spans many tasks);
-#   2. for each prefix minimum, the next one below its threshold, by an as-of
-#      lookup expressed as a "last non-null" scan over values;
-#   3. the chain from the first prefix minimum by pointer doubling
-#      (log2(chain length) self-joins on unique (run, epoch) keys).
-# Stops and learning-rate cuts then follow in closed form from the gaps
-# between consecutive chain epochs.
-
-def _prefix_minima(epochs: DataFrame) -> DataFrame:
-    from tokenmill.operators.indexing import grouped_scan
-    e = epochs.select("run", "epoch", F.when(F.isnan("val"), F.lit(float("inf"))).otherwise(F.col("val")).alias("v"))
-    pm = grouped_scan(e, ["run"], ["epoch"], "v", "min", "_pm")
-    return pm.where(F.col("v") < F.coalesce(F.col("_pm"), F.lit(float("inf")))).select("run", "epoch", "v")
-
-
-def _next_below(pm: DataFrame, threshold) -> DataFrame:
-    """For each prefix minimum (run, epoch, v): the epoch of the first later
-    prefix minimum with value < threshold(v) (values fall with the epoch, so
-    it is the one with the largest value below the threshold)."""
-    from tokenmill.operators.indexing import grouped_scan
-    elems = pm.select("run", F.col("v").alias("key"), F.lit(0).alias("typ"), F.col("epoch").alias("p"),
-                      F.lit(None).cast("bigint").alias("q"))
-    qs = pm.select("run", threshold(F.col("v")).alias("key"), F.lit(1).alias("typ"), F.lit(None).cast("bigint").alias("p"),
-                   F.col("epoch").alias("q"))
-    # ascending by key, queries before elements of equal key: the last element
-    # seen before a query is the largest value strictly below its threshold
-    u = elems.unionByName(qs).withColumn("ord", F.lit(1) - F.col("typ"))
-    s = grouped_scan(u, ["run"], ["key", "ord", "p", "q"], "p", "last", "_nx")
-    return s.where(F.col("typ") == 1).select("run", F.col("q").alias("epoch"), F.col("_nx").alias("nxt"))
-
-
-def _chain(nxt: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Epochs reachable from each run's first prefix minimum along ``nxt``
-    (pointer doubling: S <- S + J(S), J <- J o J)."""
-    j = cut_lineage(nxt.select("run", "epoch", "nxt"))
-    s = cut_lineage(j.groupBy("run").agg(F.min("epoch").alias("epoch")))
-    for _ in range(max_rounds):
-        step = s.join(j, ["run", "epoch"]).where(F.col("nxt").isNotNull()).select("run", F.col("nxt").alias("epoch"))
-        s2 = cut_lineage(s.unionByName(step).distinct())
-        jj = j.alias("a").join(j.alias("b"), (F.col("a.run") == F.col("b.run")) & (F.col("a.nxt") == F.col("b.epoch")), "left") \
-            .select(F.col("a.run").alias("run"), F.col("a.epoch").alias("epoch"), F.col("b.nxt").alias("nxt"))
-        j2 = cut_lineage(jj)
-        grew = s2.count() != s.count()
-        s, j = s2, j2
-        if not grew and j.where(F.col("nxt").isNotNull()).isEmpty():
-            break
-    return s
-
-
-def early_stop_parallel(epochs: DataFrame, patience: int = 5, min_delta: float = 0.001) -> DataFrame:
-    """X8 without a per-run sequential pass (same output as ``early_stop``)."""
-    if min_delta < 0:
-        return early_stop_fold(epochs, patience, min_delta)
-    n_ep = epochs.groupBy("run").agg(F.max("epoch").alias("n_epochs"))
-    pm = cut_lineage(_prefix_minima(epochs))
-    nx = _next_below(pm, lambda v: v - F.lit(float(min_delta)))
-    chain = _chain(nx)
-    c = chain.join(nx, ["run", "epoch"]).join(pm, ["run", "epoch"]).join(n_ep, "run")
-    gap_ok = F.when(F.col("nxt").isNull(), F.col("n_epochs") - F.col("epoch") >= patience) \
-        .otherwise(F.col("nxt") - F.col("epoch") > patience)
-    first_stop = c.where(gap_ok).groupBy("run").agg(F.min("epoch").alias("k"))
-    last_node = c.groupBy("run").agg(F.max("epoch").alias("k_last"))
-    r = n_ep.join(last_node, "run", "left").join(first_stop, "run", "left")
-    k0 = chain.groupBy("run").agg(F.min("epoch").alias("k0"))
-    r = r.join(k0, "run", "left")
-    # epochs before the first finite value are bad epochs too: they can stop
-    # the run before any improvement
-    pre_stop = F.col("k0").isNull() | (F.col("k0") - 1 >= patience)
-    pre_stop = pre_stop & (F.col("n_epochs") >= patience)
-    r = r.withColumn("best_epoch", F.when(pre_stop, F.lit(None)).otherwise(F.coalesce("k", "k_last")))
-    vals = pm.select("run", F.col("epoch").alias("best_epoch"), F.col("v").alias("best"))
-    r = r.join(vals, ["run", "best_epoch"], "left")
-    stop = F.when(pre_stop, F.lit(patience)).when(F.col("k").isNotNull(), F.col("k") + patience).cast("bigint")
-    none = F.col("best_epoch").isNull()
-    return r.select("run", F.when(none, F.lit(float("inf"))).otherwise(F.col("best")).alias("best"),
-                    F.col("best_epoch").cast("bigint").alias("best_epoch"), stop.alias("stop_epoch"),
-                    F.coalesce(stop, F.col("n_epochs")).alias("last_epoch"))
-
-
-def plateau_lr_parallel(epochs: DataFrame, lr: float = 5e-4, factor: float = 0.5, patience: int = 2,
-                        threshold: float = 1e-4, min_lr: float = 0.0, eps: float = 1e-8) -> DataFrame:
-    """X9 without a per-run sequential pass. Between two improvements the
-    counter runs 1, 2, ...; every (patience + 1)-th bad epoch cuts the lr and
-    resets it, so the cuts before an epoch are a closed form of the chain gaps.
-    The lr after k cuts is read from the exact sequence of the sequential rule.
-    Negative metrics (where the relative threshold rises above best) use the
-    sequential fold."""
-    if epochs.where(F.col("val") < 0).limit(1).count() > 0:
-        return plateau_lr_fold(epochs, lr, factor, patience, threshold, min_lr, eps)
-    levels = [float(lr)]
-    while True:
-        cur = levels[-1]
-        new = max(cur * factor, min_lr)
-        if cur - new > eps:
-            levels.append(new)
-        else:
-            break
-    kmax = len(levels) - 1
-    pm = cut_lineage(_prefix_minima(epochs))
-    nx = _next_below(pm, lambda v: v * F.lit(1.0 - threshold))
-    chain = _chain(nx).join(nx, ["run", "epoch"])
-    n_ep = epochs.groupBy("run").agg(F.max("epoch").alias("n_epochs"))
-    per = F.lit(patience + 1)
-    # cuts inside the gap after each chain epoch (to the next one, or the end)
-    c = chain.join(n_ep, "run").withColumn(
-        "gap_cuts", F.floor((F.coalesce(F.col("nxt") - 1, F.col("n_epochs")) - F.col("epoch")) / per).cast("bigint"))
-    from tokenmill.operators.indexing import grouped_scan
-    c = grouped_scan(c, ["run"], ["epoch"], "gap_cuts", "sum", "cuts_before")
-    # bad epochs before the first improvement cut the lr too
-    k0 = chain.groupBy("run").agg(F.min("epoch").alias("k0"))
-    c = c.join(k0, "run").withColumn("cuts_before", F.col("cuts_before") + F.floor((F.col("k0") - 1) / per).cast("bigint"))
-    marks = c.select("run", "epoch", F.col("epoch").alias("c_epoch"), "cuts_before")
-    e = epochs.select("run", "epoch").join(marks, ["run", "epoch"], "left")
-    e = grouped_scan(e, ["run"], ["epoch"], "c_epoch", "last", "ce", inclusive=True)
-    e = grouped_scan(e, ["run"], ["epoch"], "cuts_before", "last", "cb", inclusive=True)
-    # epochs before the first improvement (NaN/inf values) follow the same
-    # counting from the run start (epoch 0 acts as the last improvement)
-    since = F.col("epoch") - F.coalesce(F.col("ce"), F.lit(0))
-    cuts_after = F.coalesce(F.col("cb"), F.lit(0)) + F.floor(since / per).cast("bigint")
-    cuts_before_e = F.coalesce(F.col("cb"), F.lit(0)) + F.floor(F.greatest(since - 1, F.lit(0)) / per).cast("bigint")
-    cuts_before_e = F.when(since == 0, F.coalesce(F.col("cb"), F.lit(0))).otherwise(cuts_before_e)
-    table = F.array(*[F.lit(x) for x in levels])
-
-    def lr_at(k):
-        return F.element_at(table, (F.least(k, F.lit(kmax)) + 1).cast("int"))
-    return e.select("run", "epoch", lr_at(cuts_before_e).alias("lr_before"), lr_at(cuts_after).alias("lr_after"))
-
-
-LONG_RUN_BROADCAST_LIMIT = 1_000_000
-
-
-def _split_by_length(epochs: DataFrame, max_fold_epochs: int):
-    """(short runs, long runs). There are at most rows / max_fold_epochs long
-    runs; their id list is broadcast only below a fixed row bound, otherwise
-    the split is a shuffle semi/anti join."""
-    n = epochs.groupBy("run").agg(F.max("epoch").alias("_n"))
-    long_ids = cut_lineage(n.where(F.col("_n") > max_fold_epochs).select("run"))
-    k = long_ids.count()
-    if k == 0:
-        return epochs, None
-    b = F.broadcast(long_ids) if k <= LONG_RUN_BROADCAST_LIMIT else long_ids
-    return epochs.join(b, "run", "left_anti"), epochs.join(b, "run", "left_semi")
-
-
-def early_stop(epochs: DataFrame, patience: int = 5, min_delta: float = 0.001, chunk: int = 4096,
-               max_fold_epochs: int | None = None) -> DataFrame:
-    """X8. Runs of up to ``max_fold_epochs`` (default 16 slices) take the
-    bounded fold; longer runs, which would need many sequential rounds, take
-    the parallel chain. Both give the same result."""
-    limit = 16 * chunk if max_fold_epochs is None else max_fold_epochs
-    short, long_ = _split_by_length(epochs, limit)
-    out = early_stop_fold(short, patience, min_delta, chunk)
-    if long_ is not None:
-        out = out.unionByName(early_stop_parallel(long_, patience, min_delta))
-    return out
-
-
-def plateau_lr(epochs: DataFrame, lr: float = 5e-4, factor: float = 0.5, patience: int = 2,
-               threshold: float = 1e-4, min_lr: float = 0.0, eps: float = 1e-8, chunk: int = 1024,
-               max_fold_epochs: int | None = None) -> DataFrame:
-    """X9, routed like ``early_stop``: short runs fold, long runs use the chain."""
-    limit = 16 * chunk if max_fold_epochs is None else max_fold_epochs
-    short, long_ = _split_by_length(epochs, limit)
-    out = plateau_lr_fold(short, lr, factor, patience, threshold, min_lr, eps, chunk)
-    if long_ is not None:
-        out = out.unionByName(plateau_lr_parallel(long_, lr, factor, patience, threshold, min_lr, eps))
+        kind = st.schema["run"].dataType.simpleString()
+        args = (float(factor), int(patience), float(threshold), float(min_lr), float(eps))
+        src = st.select("run", "n", F.col("last").cast("bigint").alias("last"), "best", "bad", "lr",
+                        F.col("xs.epoch").cast("array<bigint>").alias("epochs"),
+                        F.col("xs.val").cast("array<double>").alias("vals"))
+        return src.mapInArrow(lambda it: _plateau_slices(it, *args),
+                              f"run {kind}, n bigint, last bigint, epochs array<bigint>, best double, bad int, lr double, "
+                              "before array<double>, after array<double>")
+
+    out = None
+    for st, _ in _fold_rounds(epochs, init, step, list(init), chunk):
+        z = st.select("run", F.explode(F.arrays_zip("epochs", "before", "after")).alias("z"))
+        part = z.select("run", F.col("z.epochs").alias("epoch"), F.col("z.before").alias("lr_before"),
+                        F.col("z.after").alias("lr_after"))
+        out = part if out is None else out.unionByName(part)
     return out

@@ -84,7 +84,7 @@ def q_write_leaderboard(spark, sf):
 
 
 @register("append_metrics", sql=with_ctes(FX.SQL_EPOCHS) + """
-SELECT run, 'event/' || event_type AS tag, epoch AS step, val AS value FROM epochs""")
+SELECT run, 'event/' || event_type AS tag, epoch AS step, CASE WHEN epoch % 7 <> 3 THEN val END AS value FROM epochs""")
 def q_append_metrics(spark, sf):
     """Metric scalars appended twice (even and odd steps) and read back."""
     path = _scratch(spark, "metrics")

@@ -46,8 +46,8 @@ def results(spark, sf):
                     "eval_loss", "eval_ppl", "eval_bleu")
 
 
-_LOSS_RE = r"loss:\s*([0-9.]+),\s*ppl=([0-9.]+)"
-_BLEU_RE = r"BLEU.*?:\s*([0-9.]+)"
+_LOSS_RE, _BLEU_RE, _EPOCH_RE, _CHAR_EPOCH_RE, _WORSE_RE = (
+    R._LOSS_RE, R._BLEU_RE, R._EPOCH_RE, R._CHAR_EPOCH_RE, R._WORSE_RE)
 SQL_RESULTS = FX.SQL_LOG_LINES + f""",
 parsed AS (SELECT run, line_no, s,
   (starts_with(s, 'VAL loss:') OR starts_with(s, 'TEST loss:')) AND regexp_matches(s, '{_LOSS_RE}') AS is_loss,
@@ -72,8 +72,8 @@ _BUDGET_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in R.SEARCH_BUDGET.items()
 @register("apply_overrides", sql=with_ctes(SQL_TRIALS) + f""",
 base(k, v) AS (VALUES {_BASE_VALUES}),
 budget(k, v) AS (VALUES {_BUDGET_VALUES}),
-ov AS (SELECT run, 'training.lr' AS k, printf('%.6e', lr) AS v FROM trials
-       UNION ALL SELECT run, 'training.weight_decay', printf('%.6e', wd) FROM trials),
+ov AS (SELECT run, 'training.lr' AS k, printf('%.9e', lr) AS v FROM trials
+       UNION ALL SELECT run, 'training.weight_decay', printf('%.9e', wd) FROM trials),
 keys AS (SELECT run, k FROM runs, base UNION SELECT run, k FROM ov UNION SELECT run, k FROM runs, budget),
 merged AS (SELECT keys.run, keys.k, coalesce(budget.v, ov.v, base.v) AS v FROM keys
   LEFT JOIN budget ON budget.k = keys.k LEFT JOIN ov ON ov.run = keys.run AND ov.k = keys.k
@@ -82,7 +82,10 @@ SELECT run, string_agg(k || '=' || v, ';' ORDER BY k) AS config FROM merged GROU
 def q_apply_overrides(spark, sf):
     t = R.random_trials(R.base_configs(run_table(spark, sf)), "run")
     a = R.apply_overrides(t)
-    return a.select("run", _render("config").alias("config"))
+    drawn = F.array(*[F.lit(k) for k in R.RANDOM_SPACE])  # full doubles: shown to nine places on both sides
+    shown = F.transform_values("config", lambda k, v: F.when(F.array_contains(drawn, k), F.format_string(
+        "%.9e", v.try_cast("double"))).otherwise(v))
+    return a.select("run", _render(shown).alias("config"))
 
 
 _GRID_VALUES = ", ".join(f"({i * 3 + j}, {lr!r}::DOUBLE, {wd!r}::DOUBLE)"
@@ -122,20 +125,30 @@ def q_parse_metrics(spark, sf):
     return m.select("run", *[round6(c).alias(c) for c in ["eval_loss", "eval_ppl", "eval_bleu"]])
 
 
-_EPOCH_RE = r"^Epoch (\d+): train=([^,]+), val=([^,]+), lr=(\S+)$"
-
-
 @register("parse_epochs", sql=with_ctes(FX.SQL_EPOCHS) + f""",
-el AS (SELECT run, printf('Epoch %d: train=%.4f, val=%.4f, lr=%.6e', epoch, (val + 1.0) / 100.0, val / 100.0,
-                          5e-4::DOUBLE * power(0.5, least(epoch // 10, 5))) AS line FROM epochs)
-SELECT run, CAST(regexp_extract(line, '{_EPOCH_RE}', 1) AS BIGINT) AS epoch,
-       round(TRY_CAST(regexp_extract(line, '{_EPOCH_RE}', 2) AS DOUBLE), 6) AS train,
-       round(TRY_CAST(regexp_extract(line, '{_EPOCH_RE}', 3) AS DOUBLE), 6) AS val,
-       TRY_CAST(regexp_extract(line, '{_EPOCH_RE}', 4) AS DOUBLE) AS lr
-FROM el WHERE regexp_matches(line, '{_EPOCH_RE}')""".replace("\n,\nel", ",\nel"))
+ln AS (SELECT run, epoch, val / 100.0 AS val, (val + 1.0) / 100.0 AS train, epoch % 6 AS k,
+              5e-4::DOUBLE * power(0.5, least(epoch // 10, 5)) AS lr FROM epochs),
+el AS (SELECT run, epoch AS line_no, trim(CASE
+  WHEN k = 1 THEN printf('Epoch [%d/50] ┃ train_loss: %.4f ┃ val_loss: %.4f ┃ lr: %.6f', epoch, train, val, lr)
+  WHEN k = 2 THEN '>> improved, saved checkpoint at x.pt' WHEN k = 3 THEN '>> no improvement (' || (epoch % 5) || '/5)'
+  WHEN k = 4 THEN 'Early stopping.'
+  ELSE printf('Epoch %d: train=%.4f, val=%.4f, lr=%.6e', epoch, train, val, lr) END) AS s FROM ln),
+m AS (SELECT *, regexp_matches(s, '{_EPOCH_RE}') AS a, regexp_matches(s, '{_CHAR_EPOCH_RE}') AS c,
+             regexp_matches(s, '{_WORSE_RE}') AS w FROM el)
+SELECT run, line_no, CASE WHEN a OR c THEN 'epoch' WHEN w THEN 'no_improvement' WHEN starts_with(s, '>> improved') THEN 'improved'
+         ELSE 'stopped' END AS kind,
+  TRY_CAST(CASE WHEN a THEN regexp_extract(s, '{_EPOCH_RE}', 1) WHEN c THEN regexp_extract(s, '{_CHAR_EPOCH_RE}', 1) END AS DOUBLE) AS epoch,
+  round(TRY_CAST(CASE WHEN a THEN regexp_extract(s, '{_EPOCH_RE}', 2) WHEN c THEN regexp_extract(s, '{_CHAR_EPOCH_RE}', 3) END AS DOUBLE), 6) AS train,
+  round(TRY_CAST(CASE WHEN a THEN regexp_extract(s, '{_EPOCH_RE}', 3) WHEN c THEN regexp_extract(s, '{_CHAR_EPOCH_RE}', 4) END AS DOUBLE), 6) AS val,
+  TRY_CAST(CASE WHEN a THEN regexp_extract(s, '{_EPOCH_RE}', 4) WHEN c THEN regexp_extract(s, '{_CHAR_EPOCH_RE}', 5) END AS DOUBLE) AS lr,
+  TRY_CAST(CASE WHEN w THEN regexp_extract(s, '{_WORSE_RE}', 1) END AS DOUBLE) AS bad,
+  TRY_CAST(CASE WHEN w THEN regexp_extract(s, '{_WORSE_RE}', 2) END AS DOUBLE) AS patience
+FROM m""".replace("\n,\nln", ",\nln"))
 def q_parse_epochs(spark, sf):
-    p = R.parse_epochs(R.epoch_lines(FX.epochs(spark, sf)))
-    return p.select("run", "epoch", round6("train").alias("train"), round6("val").alias("val"), "lr")
+    p = R.parse_epochs(R.epoch_lines(FX.epochs(spark, sf)), events=True)
+    return p.select("run", "line_no", "kind", F.col("epoch").cast("double").alias("epoch"), round6("train").alias("train"),
+                    round6("val").alias("val"), "lr", F.col("bad").cast("double").alias("bad"),
+                    F.col("patience").cast("double").alias("patience"))
 
 
 @register("leaderboard", sql=with_ctes(SQL_RESULTS) + """
@@ -153,28 +166,32 @@ SELECT run, run // 3 AS batch, ['10', '01', '11'][run % 3 + 1] AS variant,
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 THEN 'skipped'
        WHEN returncode <> 0 THEN 'failed' ELSE 'ok' END AS status FROM results""")
 def q_variant_report(spark, sf):
-    return R.variant_report(results(spark, sf))
+    r = results(spark, sf).withColumn("batch", F.expr("run div 3")).withColumn("pos", F.col("run") % 3)
+    return R.variant_report(r)
 
 
 def metrics(spark, sf):
     e = FX.epochs(spark, sf)
     return e.select("run", F.concat(F.lit("event/"), F.col("event_type")).alias("tag"),
-                    F.col("epoch").alias("step"), F.col("val").alias("value"))
+                    F.col("epoch").alias("step"), F.when(F.col("epoch") % 7 != 3, F.col("val")).alias("value"))
 
 
 @register("metric_series", sql=with_ctes(FX.SQL_EPOCHS) + """
-SELECT run, 'event/' || event_type AS tag, count(*) AS n_points, arg_max(val, epoch) AS latest, max(epoch) AS last_step,
-       min({'v': val, 's': epoch}).v AS best, min({'v': val, 's': epoch}).s AS best_step FROM epochs GROUP BY ALL""")
+,
+mv AS (SELECT run, event_type, epoch, CASE WHEN epoch % 7 <> 3 THEN val END AS val FROM epochs),
+ms AS (SELECT run, event_type, count(*) AS n_points, arg_max({'v': val}, epoch).v AS latest, max(epoch) AS last_step,
+       min({'v': val, 's': epoch}) FILTER (WHERE val IS NOT NULL) AS b FROM mv GROUP BY ALL)
+SELECT run, 'event/' || event_type AS tag, n_points, latest, last_step, b.v AS best, b.s AS best_step FROM ms""".replace("\n,\nmv", ",\nmv"))
 def q_metric_series(spark, sf):
     return R.metric_series(metrics(spark, sf))
 
 
 @register("epoch_summary", sql=with_ctes(FX.SQL_EPOCHS) + """,
-st AS (SELECT run, (epoch - 1) // 10 + 1 AS ep, CAST(round(val * 100) AS BIGINT) AS loss_cents, event_id % 5 + 1 AS ntok,
+st AS (SELECT run, (epoch - 1) // 10 + 1 AS ep, 5e-4::DOUBLE * power(0.5, least((epoch - 1) // 10, 5)) AS lr, CAST(round(val * 100) AS BIGINT) AS loss_cents, event_id % 5 + 1 AS ntok,
               event_type FROM epochs),
 tr AS (SELECT run, ep, sum(loss_cents) / greatest(sum(ntok), 1) / 100.0 AS train_loss, count(*) AS n_steps FROM st GROUP BY ALL),
-va AS (SELECT run, ep, avg(loss_cents) / 10000.0 AS val_loss FROM st WHERE event_type = 'view' GROUP BY ALL)
-SELECT tr.run, CAST(tr.ep AS BIGINT) AS epoch, train_loss, n_steps, val_loss
+va AS (SELECT run, ep, avg(loss_cents) / 10000.0 AS val_loss, max(lr) AS lr FROM st WHERE event_type = 'view' GROUP BY ALL)
+SELECT tr.run, CAST(tr.ep AS BIGINT) AS epoch, train_loss, n_steps, val_loss, lr
 FROM tr LEFT JOIN va USING (run, ep)""".replace("\n,\nst", ",\nst"))
 def q_epoch_summary(spark, sf):
     """Step losses are whole cents, so every sum is exact and both engines
@@ -182,10 +199,11 @@ def q_epoch_summary(spark, sf):
     e = FX.epochs(spark, sf).withColumn("epoch", F.expr("(epoch - 1) div 10 + 1")) \
         .withColumn("cents", F.round(F.col("val") * 100).cast("bigint"))
     steps = e.select("run", "epoch", F.col("cents").alias("loss_sum"), (F.col("event_id") % 5 + 1).alias("ntok"))
-    vals = e.where(F.col("event_type") == "view").select("run", "epoch", F.col("cents").alias("val_loss"))
+    lr = F.lit(5e-4) * F.pow(F.lit(0.5), F.least(F.col("epoch") - 1, F.lit(5)))
+    vals = e.where(F.col("event_type") == "view").select("run", "epoch", F.col("cents").alias("val_loss"), lr.alias("lr"))
     s = R.epoch_summary(steps, vals)
     return s.select("run", F.col("epoch").cast("bigint").alias("epoch"), (F.col("train_loss") / 100.0).alias("train_loss"),
-                    "n_steps", (F.col("val_loss") / 10000.0).alias("val_loss"))
+                    "n_steps", (F.col("val_loss") / 10000.0).alias("val_loss"), "lr")
 
 
 _SQL_EARLY = """
@@ -201,13 +219,21 @@ st AS (
     CASE WHEN e.val < s.best - 0.001 THEN e.epoch ELSE s.best_epoch END,
     CASE WHEN e.val < s.best - 0.001 THEN NULL WHEN s.bad + 1 >= 5 THEN e.epoch ELSE NULL END
   FROM st s JOIN epochs e ON e.run = s.run AND e.epoch = s.epoch + 1 WHERE s.stop_epoch IS NULL)
-SELECT run, round(best, 6) AS best, best_epoch, stop_epoch, epoch AS last_epoch FROM st
+SELECT run, round(best, 6) AS best, (best_epoch - 1) * 3 - run % 2 * 6 AS best_epoch,
+       (stop_epoch - 1) * 3 - run % 2 * 6 AS stop_epoch, (epoch - 1) * 3 - run % 2 * 6 AS last_epoch FROM st
 QUALIFY row_number() OVER (PARTITION BY run ORDER BY epoch DESC) = 1"""
 
 
+def gapped(spark, sf):
+    """Epoch numbers that start at 0 or below and have gaps: 3 * (order - 1) -
+    run % 2 * 6."""
+    e = FX.epochs(spark, sf)
+    return e.withColumn("epoch", (F.col("epoch") - 1) * 3 - F.pmod(F.col("run"), F.lit(2)) * 6)
+
+
 @register("early_stop", sql=_SQL_EARLY)
 def q_early_stop(spark, sf):
-    r = R.early_stop(FX.epochs(spark, sf), patience=5, min_delta=0.001)
+    r = R.early_stop(gapped(spark, sf), patience=5, min_delta=0.001)
     return r.select("run", round6("best").alias("best"), "best_epoch", "stop_epoch", "last_epoch")
 
 
@@ -225,10 +251,10 @@ st AS (
           CASE WHEN e.val < s.best * (1.0 - 1e-4) THEN e.val ELSE s.best END AS best,
           CASE WHEN e.val < s.best * (1.0 - 1e-4) THEN 0 ELSE s.bad + 1 END AS bad
         FROM st s JOIN epochs e ON e.run = s.run AND e.epoch = s.epoch + 1))
-SELECT run, epoch, lr_before, lr AS lr_after FROM st WHERE epoch > 0"""
+SELECT run, (epoch - 1) * 3 - run % 2 * 6 AS epoch, lr_before, lr AS lr_after FROM st WHERE epoch > 0"""
 
 
 @register("plateau_lr", sql=_SQL_PLATEAU)
 def q_plateau_lr(spark, sf):
-    e = FX.epochs(spark, sf).withColumn("val", F.col("val") / 100.0)
+    e = gapped(spark, sf).withColumn("val", F.col("val") / 100.0)
     return R.plateau_lr(e, lr=5e-4, factor=0.5, patience=2)

@@ -57,18 +57,21 @@ def write_leaderboard(df: DataFrame, path: str, rank: str = "rank") -> None:
 
 def append_metrics(df: DataFrame, path: str, buckets: int = 64) -> None:
     """Append (run, tag, step, value) scalars. Folders are hash buckets of
-    the run id (a folder per run would mean millions of tiny files at scale);
-    inside a bucket rows are clustered by run, so a run's series is one
-    bucket folder plus parquet min/max pruning on ``run``."""
-    b = F.pmod(F.xxhash64("run"), F.lit(int(buckets)))
+    the run id as text (a folder per run would mean millions of tiny files at
+    scale); rows are range-partitioned inside them, so a hot run is written by
+    several tasks, and sorted, so a run's series is found by parquet min/max."""
+    spark = df.sparkSession
+    n = max(int(buckets), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    b = F.pmod(F.xxhash64(F.col("run").cast("string")), F.lit(int(buckets)))
     (df.select("run", "tag", "step", "value").withColumn("run_bucket", b)
-     .repartition(int(buckets), "run_bucket").sortWithinPartitions("run", "tag", "step")
+     .repartitionByRange(n, "run_bucket", "run", "tag", "step").sortWithinPartitions("run_bucket", "run", "tag", "step")
      .write.mode("append").partitionBy("run_bucket").parquet(path))
 
 
 def read_metrics(spark: SparkSession, path: str, run=None) -> DataFrame:
+    """The scalars of one run (any id type, any number of buckets: the run
+    column's parquet statistics prune the files), or all."""
     m = spark.read.parquet(path)
     if run is not None:
-        m = m.where((F.col("run_bucket") == F.pmod(F.xxhash64(F.lit(run).cast("bigint")), F.lit(64)))
-                    & (F.col("run") == run))
+        m = m.where(F.col("run") == F.lit(run))
     return m.select("run", "tag", "step", "value")
