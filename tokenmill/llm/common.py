@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ascii_lower(c: Column) -> Column:
@@ -38,6 +39,28 @@ def worker_store(key: str) -> dict:
     return sys.__dict__.setdefault("_tokenmill_store", {}).setdefault(key, {})
 
 
+def text_batches(spark, limit: int = 8 << 20) -> None:
+    """Lets Arrow batches hold at most ``limit`` bytes (a batch counts rows by
+    default, and texts can be long). Only ever lowers the session's setting."""
+    now = str(spark.conf.get(BATCH_BYTES)).rstrip("bB")
+    if not now.isdigit() or int(now) > limit:
+        spark.conf.set(BATCH_BYTES, str(limit))
+
+
+def gathered(batches, limit: int):
+    """Batches joined to about ``limit`` bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+            held, size = [], 0
+    if held:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches() if len(held) > 1 else held
+        yield from whole
+
+
 def as_text(col) -> pa.LargeStringArray:
     """A text column as one large_string array, nulls as ''."""
     if isinstance(col, pa.ChunkedArray):

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.llm.common import (PIECE_MODEL, as_text, dictionary, group_sums, held_out, prefixed, slices, split_words,
-                                  worker_store)
+                                  text_batches, worker_store)
 from tokenmill.llm.pieces import SPACE, PieceTable, by_length, code_points, load_pieces
 
 FIT_WORD_CHARS = 32  # longer words take no part in the fit
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 MAX_LANGUAGES = 1024  # the piece probabilities are a (pieces x languages) array
 UND = "und"
 
@@ -128,7 +128,7 @@ class Scorer:
             todo = prefixed(SPACE, words.take(pa.array(miss)))
             at = np.array(miss)
             for n, idx in by_length(todo):
-                for part in np.array_split(idx, max(1, len(idx) * n // 400_000)):
+                for part in np.array_split(idx, max(1, len(idx) * n // 200_000)):
                     got = self.table.forward(code_points(todo.take(pa.array(part)), n), self.prob, self.unk)
                     out[at[part]] = got
                     if n <= 40:
@@ -159,6 +159,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep=("doc_id",),
             score_out: str = "score") -> DataFrame:
     """``keep`` columns plus language and score of every row (``keep`` may hold
     the text itself)."""
+    text_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     shared, key = sc.broadcast(model), f"langid-{uuid.uuid4()}"
     keep = list(keep)

@@ -48,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import as_text, dictionary, group_sums, held_out, slices, split_words
+from tokenmill.llm.common import as_text, dictionary, gathered, held_out, slices, split_words, text_batches
 from tokenmill.session import cut_lineage
 
 END, BOS = 0, 1  # hashes of the end token and of the context of first words
@@ -255,7 +255,7 @@ def vocabulary(docs: DataFrame, shards: int, least: int):
     """(N, V, {hash: count} of words counted at least ``least`` times); ``docs``
     has t and held."""
     def count(batches):
-        for b in batches:
+        for b in gathered(batches, SLICE):
             texts = as_text(b.column("t").filter(pc.invert(b.column("held"))))
             for at, n in slices(texts, SLICE):
                 h, code, _ = tokens(texts.slice(at, n))
@@ -398,6 +398,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
     """One row per row of ``docs``: key, held_out, n_tokens, n_known,
     train_tokens, base_score, score."""
     spark = docs.sparkSession
+    text_batches(spark)
     src = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"),
                       held_out(key, folds).alias("held"))
     size, rows, train_rows = src.agg(F.sum(F.octet_length("t")), F.count(F.lit(1)),
@@ -415,7 +416,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
 
     def chunks(batches):
         nth = TaskContext.get().partitionId() << 32
-        for b in batches:
+        for b in gathered(batches, SLICE):
             texts, held = as_text(b.column("t")), b.column("held")
             for at, n in slices(texts, SLICE):
                 train = ~held.slice(at, n).to_numpy(zero_copy_only=False).astype(bool)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import BYTE_BPE, as_text, slices, worker_store
+from tokenmill.llm.common import BYTE_BPE, as_text, slices, text_batches, worker_store
 
 ROW = 2048
 SHARD_TOKENS = 4_000_000
@@ -116,6 +116,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", room: int = R
          end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per packed row: shard, row, n_tokens, input_ids binary,
     position_ids binary, cu_seqlens array<int>, keys, offsets array<long>."""
+    text_batches(docs.sparkSession)
     src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = src.schema["k"].dataType
     with open(path, "rb") as f:

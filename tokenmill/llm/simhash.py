@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import as_text, slices, split_words
+from tokenmill.llm.common import as_text, slices, split_words, text_batches
 from tokenmill.llm.components import components
 from tokenmill.session import cut_lineage
 
@@ -84,6 +84,7 @@ def text_fingerprints(texts: pa.Array, shingle: int) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """(key, fp long) of every row."""
+    text_batches(docs.sparkSession)
     src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = src.schema["k"].dataType.simpleString()
 

@@ -23,11 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import PIECE_MODEL, as_text, dictionary, prefixed, slices, worker_store
+from tokenmill.llm.common import PIECE_MODEL, as_text, dictionary, prefixed, slices, text_batches, worker_store
 from tokenmill.llm.pieces import SPACE, PieceTable, by_length, code_points, load_pieces
 
 UNK_PENALTY = 10.0
-CELLS = 400_000  # chunk characters advanced together
+CELLS = 200_000  # chunk characters advanced together
 
 
 class Codec:
@@ -141,6 +141,7 @@ class Codec:
 
 
 def _shared(df: DataFrame, model_path: str):
+    text_batches(df.sparkSession)
     return df.sparkSession.sparkContext.broadcast(load_pieces(model_path)), f"sp-{uuid.uuid4()}"
 
 

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import as_text, dictionary, held_out, slices, split_words
+from tokenmill.llm.common import as_text, dictionary, held_out, slices, split_words, text_batches
 from tokenmill.llm.langid import letters
 from tokenmill.session import cut_lineage
 
@@ -148,6 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, fit
     """The model, from labelled rows that are not held out; None if a class is
     missing."""
     spark = docs.sparkSession
+    text_batches(spark)
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("__k")) \
         .agg(F.max(F.col(label).cast("int")).alias("y"))
     known = cut_lineage(known.where(F.col("y").isin(0, 1) & ~held_out("__k", 3)))
@@ -218,6 +219,7 @@ def score_texts(texts: pa.Array, model: dict) -> np.ndarray:
 def score(docs: DataFrame, model: dict | None, text: str = "text", keep=("doc_id",), out: str = "score") -> DataFrame:
     """``keep`` columns (the text may be one) plus the toxicity score of every
     row."""
+    text_batches(docs.sparkSession)
     keep = list(keep)
     if model is None:
         return docs.select(*keep, F.lit(0.0).alias(out))
