@@ -73,13 +73,15 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES):
     row may be longer), so working memory follows the bytes, not the rows."""
     size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     start, total = 0, 0
-    for i, b in enumerate(size):
+    for i, b in enumerate(size.tolist()):
         if i > start and total + b > limit:
             yield start, i - start
+            pa.default_memory_pool().release_unused()  # the pool would keep the last slice's peak
             start, total = i, 0
         total += b
     if len(size) > start:
         yield start, len(size) - start
+    pa.default_memory_pool().release_unused()
 
 
 def split_words(texts: pa.Array, lower: bool = True):

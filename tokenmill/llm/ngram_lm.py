@@ -55,8 +55,8 @@ END, BOS = 0, 1  # hashes of the end token and of the context of first words
 FOLDS = 5
 MIX = 0.4
 FREQUENT = 1e-5
-SLICE = 12 << 20
-SHARD_BYTES = 12 << 20  # text per shard, about 2 million tokens
+SLICE = 8 << 20
+SHARD_BYTES = 8 << 20  # text per shard, about 1.3 million tokens
 
 
 # ---- Elias-Fano sequences ------------------------------------------------
@@ -245,7 +245,7 @@ def tokens(texts: pa.Array):
     dic, code = dictionary(flat)
     h = np.concatenate((word_hashes(dic), [END])).astype(np.uint64)
     size = n + 1
-    out = np.full(size.sum(), len(h) - 1, dtype=np.int64)
+    out = np.full(size.sum(), len(h) - 1, dtype=np.int32)
     at = np.arange(len(code)) + np.repeat(np.arange(len(n)), n)
     out[at] = code
     return h, out, size
@@ -297,8 +297,8 @@ def send(texts: pa.Array, train: np.ndarray, shards: int, hot: np.ndarray):
     """(shard, words, run lengths, preceding words, their index, text index) for
     every shard that has tokens of these texts."""
     h, code, size = tokens(texts)
-    text = np.repeat(np.arange(len(size)), size)
-    prev = np.empty(len(code), dtype=np.int64)
+    text = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    prev = np.empty(len(code), dtype=np.int32)
     prev[1:] = code[:-1]
     prev[np.cumsum(size) - size] = len(h)  # BOS
     hp = np.concatenate((h, [BOS])).astype(np.uint64)
@@ -309,7 +309,8 @@ def send(texts: pa.Array, train: np.ndarray, shards: int, hot: np.ndarray):
     rank = np.argsort(np.argsort(h, kind="stable"), kind="stable")
     by_hash = np.sort(h)
     key = shard * len(h) + rank[code]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    del key
     bounds = np.searchsorted(shard[order], np.arange(shards + 1))
     for s in range(shards):
         idx = order[bounds[s]:bounds[s + 1]]
@@ -330,6 +331,7 @@ def answer(table: pa.Table, total: int, distinct: int, often: dict, kappa: float
     """(chunk, base part, score part, known) for one shard."""
     z = total + 0.5 * (distinct + 1)
     rows = [r for r in table.to_pylist() if r["words"]]
+    del table
     words, runs, prevs, cur, prv, txt, train = [], [], [], [], [], [], []
     n_cur = n_prev = n_text = 0
     for r in rows:
@@ -338,20 +340,24 @@ def answer(table: pa.Table, total: int, distinct: int, often: dict, kappa: float
         small = np.uint16 if len(r["at"]) == 2 * int(k.sum()) else np.uint32
         words.append(w)
         prevs.append(p)
-        cur.append(np.repeat(np.arange(len(w)), k) + n_cur)
-        prv.append(np.frombuffer(r["at"], small).astype(np.int64) + n_prev)
-        txt.append(np.frombuffer(r["text"], small).astype(np.int64) + n_text)
+        cur.append(np.repeat(np.arange(n_cur, n_cur + len(w), dtype=np.int32), k))
+        prv.append(np.frombuffer(r["at"], small).astype(np.int32) + np.int32(n_prev))
+        txt.append(np.frombuffer(r["text"], small).astype(np.int32) + np.int32(n_text))
         train.append(np.unpackbits(np.frombuffer(r["train"], np.uint8))[:r["texts"]].astype(bool))
         n_cur, n_prev, n_text = n_cur + len(w), n_prev + len(p), n_text + r["texts"]
     words, to_word = np.unique(np.concatenate(words), return_inverse=True)
     prevs, to_prev = np.unique(np.concatenate(prevs), return_inverse=True)
-    cur, prv = to_word[np.concatenate(cur)], to_prev[np.concatenate(prv)]
+    cur = to_word.astype(np.int32)[np.concatenate(cur)]
+    prv = to_prev.astype(np.int32)[np.concatenate(prv)]
+    del to_word, to_prev
     txt, train = np.concatenate(txt), np.concatenate(train)
     learn = train[txt]
     count = np.bincount(cur[learn], minlength=len(words))
     for i in np.flatnonzero(np.isin(words, np.fromiter(often, np.uint64, len(often)))):
         count[i] = often[int(words[i])]
-    pairs, which = np.unique(cur * len(prevs) + prv, return_inverse=True)
+    pairs, which = np.unique(cur.astype(np.int64) * len(prevs) + prv, return_inverse=True)
+    which = which.astype(np.int32)
+    del prv
     seen = np.bincount(which[learn], minlength=len(pairs))
     of, before = pairs // len(prevs), pairs % len(prevs)
 
@@ -444,6 +450,8 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
         part = table.filter(pc.is_null(table.column("rows")))
         if part.num_rows:
             out += [(*a, None, None) for a in answer(part, total, distinct, shared.value[0], kappa)]
+        del part
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
                                     names=[f.split()[0] for f in back.split(", ")])
 
