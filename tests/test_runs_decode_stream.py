@@ -180,3 +180,29 @@ def test_metrics_of_any_run_and_bucket_count(spark, tmp_dir):
     df = spark.createDataFrame(rows, "run string, tag string, step bigint, value double")
     logs.append_metrics(df, f"{tmp_dir}/m", buckets=8)
     assert all(logs.read_metrics(spark, f"{tmp_dir}/m", f"run{i}").count() == 3 for i in range(20))
+
+
+def test_decoding_keeps_every_key(spark):
+    """States without successors, separators inside tokens and null contexts: one
+    row per key, whichever way the table travels."""
+    rows = [(1, "x", ["<s>"]), (2, "x", ["nowhere"]), (3, "y", ["<s>"]), (4, None, ["<s>"]), (5, "x", ["z\u0002a"]),
+            (6, "x", ["z", "a"]), (7, "x", ["<s>"])]
+    s = spark.createDataFrame(rows, "key bigint, lang string, seq array<string>")
+    for limit in (0, D.BROADCAST_BYTES):
+        b = {r.key: r for r in D.beam_decode(s, bigram(spark), 3, 6, broadcast_bytes=limit).collect()}
+        g = {r.key: r for r in D.greedy_decode(s, bigram(spark), 6, broadcast_bytes=limit).collect()}
+        assert set(b) == set(g) == set(range(1, 8))
+        for k in (2, 3, 4, 5):
+            assert list(b[k].seq) == list(g[k].seq) == rows[k - 1][2]
+        assert list(g[6].seq) == ["z", "a", "b", "</s>"] and list(g[1].seq) == list(g[7].seq) == ["<s>", "a", "b", "</s>"]
+    a, c = (sorted((r.key, list(r.seq), r.norm) for r in D.beam_decode(s, bigram(spark), 3, 6, broadcast_bytes=x).collect())
+            for x in (0, D.BROADCAST_BYTES))
+    assert a == c
+
+
+def test_generation_is_the_same_either_way(spark):
+    s = spark.createDataFrame([(k, "x", ["<s>"]) for k in range(30)] + [(99, "x", ["q"]), (98, "w", ["<s>"])],
+                              "key bigint, lang string, seq array<string>")
+    a, b = (sorted((r.key, list(r.seq)) for r in D.generate(s, bigram(spark), 5, broadcast_bytes=x).collect())
+            for x in (0, D.BROADCAST_BYTES))
+    assert a == b and len(a) == 32 and dict(a)[99] == ["q"] and len({tuple(x) for _, x in a}) > 3

@@ -17,16 +17,30 @@ from tokenmill.constants import BOS_ID, EOS_ID, MAX_SRC_LEN, PAD_ID
 from tokenmill.functions import clean_ids, strip_text, wrap_pad_fixed, wrap_truncate
 from tokenmill.session import cut_lineage
 
-BROADCAST_LIMIT = 1_000_000  # rows of a per-(context, prev) table shipped to every task
+BROADCAST_BYTES = 64 << 20  # of a table shipped to every task
+
+
+def _bytes(df: DataFrame) -> int:
+    """Measured size of a table's values."""
+    def size(f):
+        kind, c = f.dataType.simpleString(), F.col(f.name)
+        if kind == "string":
+            return F.coalesce(F.octet_length(c), F.lit(0))
+        if kind == "array<string>":
+            return F.coalesce(F.octet_length(F.array_join(c, "")) + 16 * F.size(c), F.lit(0))
+        if kind.startswith("array"):
+            return F.coalesce(48 * F.size(c), F.lit(0))
+        return F.lit(8)
+    total = df.agg(F.sum(sum((size(f).cast("bigint") for f in df.schema.fields), F.lit(16))).alias("b")).first()["b"]
+    return int(total or 0)
 
 
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
     """Materialise a derived per-(context, prev) table once (it is read at
-    every step) and broadcast it only below a proven row bound; above it the
-    planner shuffles it like any other join side."""
+    every step) and broadcast it only while its measured size is bounded; above
+    that the planner shuffles it like any other join side."""
     df = cut_lineage(df)
-    n = df.count()
-    return F.broadcast(df) if n <= BROADCAST_LIMIT else df
+    return F.broadcast(df) if _bytes(df) <= BROADCAST_BYTES else df
 
 
 def best_next(scores: DataFrame, ctx=("lang",)) -> DataFrame:
@@ -47,25 +61,81 @@ def top_next(scores: DataFrame, k: int, ctx=("lang",)) -> DataFrame:
 def _by_distinct_start(starts: DataFrame, key: str, ctx, run) -> DataFrame:
     """Decoding is a deterministic function of (context, start sequence):
     decode each distinct start state once and join the result back to the
-    keys, so per-step work scales with distinct states, not rows."""
+    keys (on the state's own columns, nulls included), so per-step work scales
+    with distinct states, not rows."""
     ctx = list(ctx)
-    sk = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in ctx],
-                     F.array_join(F.transform("seq", lambda t: t.cast("string")), "\u0002"))
-    uniq = cut_lineage(starts.select(*ctx, "seq").distinct().withColumn("_sk", sk))
-    n = uniq.count()
-    done = run(uniq, "_sk").drop(*ctx)
-    # one decoded row per distinct state: the count above bounds the broadcast
-    side = F.broadcast(done) if n <= BROADCAST_LIMIT else done
-    keyed = starts.select(key, *ctx, sk.alias("_sk"))
+    state = [*ctx, "seq"]
+    uniq = cut_lineage(starts.select(*state).distinct().withColumn("_sk", F.monotonically_increasing_id()))
+    done = cut_lineage(run(uniq, "_sk").drop(*ctx))
+    named = uniq.select("_sk", *[F.col(c).alias(f"_{c}") for c in state])
+    same = None
+    for c in state:
+        eq = starts[c].eqNullSafe(F.col(f"_{c}"))
+        same = eq if same is None else same & eq
+    side = F.broadcast(named) if _bytes(named) <= BROADCAST_BYTES else named
+    keyed = starts.select(key, *state).join(side, same).select(key, *ctx, "_sk")
+    side = F.broadcast(done) if _bytes(done) <= BROADCAST_BYTES else done
     return keyed.join(side, "_sk").drop("_sk")
 
 
+def _local(st: DataFrame, table: DataFrame, key: str, ctx, more: str, step_fn) -> DataFrame:
+    """Decodes every start state of a batch in its task, all steps at once, with
+    the next-token table as a lookup (the caller has measured that it is small).
+    ``step_fn(seq, successors)`` gives the output values after key and ctx;
+    ``successors(ctx, prev)`` lists (nxt, logp), best first."""
+    ctx = list(ctx)
+    lookup: dict = {}
+    for r in table.orderBy(F.col("logp").desc(), "nxt").collect():  # at most BROADCAST_BYTES
+        lookup.setdefault(tuple(r[c] for c in [*ctx, "prev"]), []).append((r["nxt"], r["logp"]))
+    shared = st.sparkSession.sparkContext.broadcast(lookup)
+    src = st.select(key, *ctx, "seq")
+    types = {f.name: f.dataType.simpleString() for f in src.schema.fields}
+    fields = ", ".join(f"`{c}` {types[c]}" for c in [key, *ctx])
+    names = [f.split()[0] for f in more.split(", ")]
+
+    def run(batches):
+        import pyarrow as pa
+        nexts = shared.value
+        kinds = {"double": pa.float64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
+        for b in batches:
+            c_cols = [b.column(c).to_pylist() for c in ctx]
+            rows = [step_fn(seq, lambda prev, c=tuple(c): nexts.get((*c, prev), ()))
+                    for *c, seq in zip(*c_cols, b.column("seq").to_pylist())]
+            seq_type = b.schema.field("seq").type
+            cols = [pa.array(v, seq_type if f.split()[0] == "seq" else kinds[f.split()[1]])
+                    for f, v in zip(more.split(", "), zip(*rows))] if rows else []
+            if rows:
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in [key, *ctx]], *cols], names=[key, *ctx, *names])
+
+    return src.mapInArrow(run, f"{fields}, {more.replace('seq SEQ', 'seq ' + types['seq'])}")
+
+
 def greedy_decode(starts: DataFrame, scores: DataFrame, max_len: int, eos: str = "</s>",
-                  key: str = "key", ctx=("lang",), checkpoint_every: int = 8, dedupe: bool = True) -> DataFrame:
+                  key: str = "key", ctx=("lang",), checkpoint_every: int = 8, dedupe: bool = True,
+                  broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """D3: each distinct start state is decoded once; while the best-next table
+    is small (measured) in one pass, beyond that by a join per step."""
     if dedupe:
         return _by_distinct_start(starts, key, ctx, lambda u, k: greedy_decode(
-            u, scores, max_len, eos, k, ctx, checkpoint_every, dedupe=False))
-    return _greedy(starts, scores, max_len, eos, key, ctx, checkpoint_every)
+            u, scores, max_len, eos, k, ctx, checkpoint_every, False, broadcast_bytes))
+    best = cut_lineage(best_next(scores, ctx).select(*ctx, "prev", "nxt", "logp"))
+    if _bytes(best) > broadcast_bytes:
+        return _greedy(starts, scores, max_len, eos, key, ctx, checkpoint_every)
+
+    def decode(seq, successors):
+        seq, score, ended, logps = list(seq), 0.0, False, []
+        while seq and not ended and len(logps) < max_len:
+            best = successors(seq[-1])
+            if not best:
+                ended = True
+                break
+            seq.append(best[0][0])
+            score += best[0][1]
+            logps.append(best[0][1])
+            ended = best[0][0] == eos
+        return seq, score, ended, logps
+
+    return _local(starts, best, key, ctx, "seq SEQ, score double, ended boolean, logps array<double>", decode)
 
 
 def _greedy(starts: DataFrame, scores: DataFrame, max_len: int, eos: str = "</s>",
@@ -110,11 +180,35 @@ def rerank(cands: DataFrame, key: str = "key", alpha: float = 0.6) -> DataFrame:
 
 def beam_decode(starts: DataFrame, scores: DataFrame, beam: int = 4, max_len: int = 128, alpha: float = 0.6,
                 eos: str = "</s>", key: str = "key", ctx=("lang",), checkpoint_every: int = 4,
-                dedupe: bool = True) -> DataFrame:
+                dedupe: bool = True, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Each distinct start state is decoded once; while the top-next table is
+    small (measured) in one pass, beyond that by a join and a window per step."""
     if dedupe:
         return _by_distinct_start(starts, key, ctx, lambda u, k: beam_decode(
-            u, scores, beam, max_len, alpha, eos, k, ctx, checkpoint_every, dedupe=False))
-    return _beam(starts, scores, beam, max_len, alpha, eos, key, ctx, checkpoint_every)
+            u, scores, beam, max_len, alpha, eos, k, ctx, checkpoint_every, False, broadcast_bytes))
+    top = cut_lineage(top_next(scores, beam, ctx).select(*ctx, "prev", "nxt", "logp"))
+    if _bytes(top) > broadcast_bytes:
+        return _beam(starts, scores, beam, max_len, alpha, eos, key, ctx, checkpoint_every)
+
+    def norm(score, n):
+        return round(score / ((5.0 + n) / 6.0) ** alpha, 9)
+
+    def decode(seq, successors):
+        beams = [(list(seq), 0.0, False, "\u0001".join(map(str, seq)))]
+        for _ in range(max_len):
+            cand = []
+            for s, score, ended, name in beams:
+                after = () if ended or not s else successors(s[-1])
+                if not after:
+                    cand.append((s, score, True, name))
+                cand += [([*s, t], score + p, t == eos, f"{name}\u0001{t}") for t, p in after]
+            beams = sorted(cand, key=lambda c: (-norm(c[1], len(c[0])), c[3]))[:beam]
+            if all(b[2] for b in beams):
+                break
+        s, score, ended, _ = min(beams, key=lambda c: (-norm(c[1], len(c[0])), c[3]))
+        return s, score, ended, norm(score, len(s))
+
+    return _local(starts, top, key, ctx, "seq SEQ, score double, ended boolean, norm double", decode)
 
 
 def _beam(starts: DataFrame, scores: DataFrame, beam: int = 4, max_len: int = 128, alpha: float = 0.6,
@@ -128,10 +222,13 @@ def _beam(starts: DataFrame, scores: DataFrame, beam: int = 4, max_len: int = 12
     st = starts.select(key, *ctx, "seq", F.lit(0.0).alias("score"), F.lit(False).alias("ended"))
     for step in range(1, max_len + 1):
         ended = st.where("ended")
+        # an open beam whose state has no successors ends as it is
+        none = F.col("nxt").isNull()
         grown = (st.where(~F.col("ended")).withColumn("prev", F.element_at("seq", -1))
-                 .join(top, [*ctx, "prev"], "inner")
-                 .select(key, *ctx, F.concat("seq", F.array("nxt")).alias("seq"),
-                         (F.col("score") + F.col("logp")).alias("score"), (F.col("nxt") == eos).alias("ended")))
+                 .join(top, [*ctx, "prev"], "left")
+                 .select(key, *ctx, F.when(none, F.col("seq")).otherwise(F.concat("seq", F.array("nxt"))).alias("seq"),
+                         F.when(none, F.col("score")).otherwise(F.col("score") + F.col("logp")).alias("score"),
+                         (none | (F.col("nxt") == eos)).alias("ended")))
         cand = ended.unionByName(grown)
         norm = F.round(length_norm(F.col("score"), F.size("seq"), alpha), 9)
         w = Window.partitionBy(key).orderBy(F.col("_n").desc(), F.array_join("seq", "\u0001"))
@@ -145,42 +242,89 @@ def _beam(starts: DataFrame, scores: DataFrame, beam: int = 4, max_len: int = 12
 
 
 def sampling_cdf(scores: DataFrame, k: int = 50, temperature: float = 0.8, ctx=("lang",)) -> DataFrame:
-    """D6 on the long form: per (context, prev) the top-k tokens of
-    softmax(logp / T), renormalised, with their running probability interval
-    (prob desc, token asc)."""
+    """D6 on the long form: one row per (context, prev) with the top-k tokens of
+    softmax(logp / T), renormalised, in order (prob desc, token asc): ``nxts`` and
+    their running probabilities ``his``."""
     ctx = list(ctx)
     g = Window.partitionBy(*ctx, "prev")
     w = g.orderBy(F.col("logp").desc(), F.col("nxt"))
     m = F.max("logp").over(g)
     s = scores.select(*ctx, "prev", "nxt", "logp", F.exp((F.col("logp") - m) / F.lit(float(temperature))).alias("e"))
     s = s.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
-    tot = F.sum("e").over(g)
-    run = F.sum("e").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return s.select(*ctx, "prev", "nxt", "rk", ((run - F.col("e")) / tot).alias("lo"), (run / tot).alias("hi"),
-                    F.max("rk").over(g).alias("last_rk"))
+    hi = F.sum("e").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("e").over(g)
+    s = s.select(*ctx, "prev", F.struct("rk", hi.alias("hi"), "nxt").alias("c"))
+    c = s.groupBy(*ctx, "prev").agg(F.array_sort(F.collect_list("c")).alias("c"))  # k entries at most
+    return c.select(*ctx, "prev", F.col("c.nxt").alias("nxts"), F.col("c.hi").alias("his"))
 
 
 def generate(starts: DataFrame, scores: DataFrame, steps: int, seed: int = 1337, k: int = 50,
-             temperature: float = 0.8, key: str = "key", ctx=("lang",), checkpoint_every: int = 8) -> DataFrame:
-    """Seeded continuation: each step draws u = hash(seed:key:step) and
-    takes the token whose interval [lo, hi) holds u (the last one when rounding
-    leaves u beyond every interval)."""
-    from tokenmill.functions import uniform_hash
+             temperature: float = 0.8, key: str = "key", ctx=("lang",), checkpoint_every: int = 8,
+             broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Seeded continuation: each step draws u = hash(seed:key:step) and takes
+    the first token whose running probability exceeds u (the last one when
+    rounding leaves u beyond all). A state without successors stays as it is.
+
+    While the table is small (measured) every task gets it and all steps of a
+    batch of keys run there, all keys of the batch together; beyond that each
+    step is one join, one row to one row."""
     ctx = list(ctx)
-    cdf = _maybe_broadcast(sampling_cdf(scores, k, temperature, ctx))
+    cdf = cut_lineage(sampling_cdf(scores, k, temperature, ctx))
     st = starts.select(key, *ctx, "seq")
+    if _bytes(cdf) <= broadcast_bytes:
+        return _generate_batches(st, cdf, steps, seed, key, ctx)
+    from tokenmill.functions import uniform_hash
     for step in range(1, steps + 1):
         cur = st.withColumn("prev", F.element_at("seq", -1)).withColumn("u", uniform_hash(seed, key, F.lit(step)))
-        hit = (F.col("u") >= F.col("lo")) & ((F.col("u") < F.col("hi")) | (F.col("rk") == F.col("last_rk")))
-        # exactly one interval holds u, so the left join keeps one row per key
-        j = cur.join(cdf, [*ctx, "prev"], "left").where(hit | F.col("nxt").isNull())
-        st = j.select(key, *ctx, F.when(F.col("nxt").isNull(), F.col("seq"))
-                      .otherwise(F.concat("seq", F.array("nxt"))).alias("seq"))
+        j = cur.join(cdf, [*ctx, "prev"], "left")
+        at = F.array_size(F.filter("his", lambda h: h <= F.col("u")))
+        nxt = F.get("nxts", F.least(at, F.size("nxts") - 1))
+        st = j.select(key, *ctx, F.when(F.col("nxts").isNull(), F.col("seq"))
+                      .otherwise(F.concat("seq", F.array(nxt))).alias("seq"))
         if step % checkpoint_every == 0:
             st = cut_lineage(st)
     return st
 
 
+def _generate_batches(st: DataFrame, cdf: DataFrame, steps: int, seed: int, key: str, ctx) -> DataFrame:
+    rows = cdf.collect()  # at most BROADCAST_BYTES, measured by the caller
+    state = {tuple(r[c] for c in [*ctx, "prev"]): i for i, r in enumerate(rows)}
+    shared = st.sparkSession.sparkContext.broadcast((state, [r["nxts"] for r in rows], [r["his"] for r in rows]))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in st.schema.fields)
+    src = st.withColumn("_k", F.col(key).cast("string"))
+
+    def run(batches):
+        import hashlib
+
+        import numpy as np
+        import pyarrow as pa
+        state, nxts, his = shared.value
+        wide = max([len(h) for h in his], default=1)
+        table = np.full((len(his) + 1, wide), np.inf)
+        for i, h in enumerate(his):
+            table[i, :len(h)] = h
+        last = np.array([len(h) - 1 for h in his] + [0])
+        step_to = [[state.get((*c, t), -1) for t in n] for (*c, _), n in zip(state, nxts)]
+        for b in batches:
+            names = b.column("_k").to_pylist()
+            c_cols = [b.column(c).to_pylist() for c in ctx]
+            seqs = [list(s) if s is not None else None for s in b.column("seq").to_pylist()]
+            at = np.array([state.get((*c, s[-1]), -1) if s else -1 for *c, s in zip(*c_cols, seqs)], dtype=np.int64)
+            for step in range(1, steps + 1):
+                live = np.flatnonzero(at >= 0)
+                if not len(live):
+                    break
+                u = np.array([int(hashlib.md5(f"{seed}:{names[i]}:{step}".encode()).hexdigest()[:8], 16)
+                              for i in live]) / 4294967296.0
+                pick = np.minimum((table[at[live]] <= u[:, None]).sum(axis=1), last[at[live]])
+                for i, p in zip(live.tolist(), pick.tolist()):
+                    seqs[i].append(nxts[at[i]][p])
+                    at[i] = step_to[at[i]][p]
+            out = [b.column(c) for c in (key, *ctx)] + [pa.array(seqs, b.schema.field("seq").type)]
+            yield pa.RecordBatch.from_arrays(out, names=[key, *ctx, "seq"])
+
+    return src.mapInArrow(run, fields)
+
+
 def score_batches(df: DataFrame, scorer, schema: str) -> DataFrame:
     """Run a user scorer ``pandas.DataFrame -> pandas.DataFrame`` over
     Arrow batches of (padded) rows, producing a score table."""
@@ -193,24 +337,26 @@ def score_batches(df: DataFrame, scorer, schema: str) -> DataFrame:
 # ------------------------------------------------------------------ D8, U1
 def translation_scores(enc):
     """A toy conditional bigram "translator" learned from the parallel corpus:
-    P(next target piece | previous target piece, first source piece)."""
-    t = enc.select(F.element_at("src_raw", 1).alias("ctx"), wrap_truncate("tgt_raw", 128).alias("t"))
-    t = t.where(F.col("ctx").isNotNull())
+    P(next target piece | previous target piece, first piece of the wrapped
+    source; eos for an empty one)."""
+    t = enc.select(F.element_at(wrap_pad_fixed("src_raw", MAX_SRC_LEN), 2).alias("ctx"),
+                   wrap_truncate("tgt_raw", 128).alias("t"))
     p = t.select("ctx", F.explode(F.arrays_zip(F.slice("t", F.lit(1), F.size("t") - 1).alias("prev"),
                                                F.slice("t", F.lit(2), F.size("t") - 1).alias("nxt"))).alias("p"))
     c = p.groupBy("ctx", F.col("p.prev").alias("prev"), F.col("p.nxt").alias("nxt")).agg(F.count(F.lit(1)).alias("n"))
     return c.select("ctx", "prev", "nxt", F.ln(F.col("n") / F.sum("n").over(Window.partitionBy("ctx", "prev"))).alias("logp"))
 
 
-def bulk_translate(src_df, vocab, scores, decode="beam", max_len=24, beam=4):
+def bulk_translate(src_df, vocab, scores, decode="beam", max_len=128, beam=4):
     """Strip -> (blank gives "") -> BPE encode -> serving wrap/pad ->
     decode over the score table -> clean -> BPE decode."""
-    s = src_df.withColumn("clean", strip_text("src"))
+    s = src_df.select("pair_id", strip_text("src").alias("clean"))
     blank = s.where(F.col("clean") == "").select("pair_id", F.lit("").alias("hyp"))
     from tokenmill.operators import bpe as BP
     e = BP.bpe_encode(s.where(F.col("clean") != ""), "clean", vocab, "ids")
-    e = e.withColumn("src_fixed", wrap_pad_fixed("ids", MAX_SRC_LEN))
-    starts = e.select(F.col("pair_id").alias("key"), F.element_at("ids", 1).alias("ctx"),
+    # the scorer's source is the wrapped, fixed-length row: bos, pieces, eos, pad
+    fixed = wrap_pad_fixed("ids", MAX_SRC_LEN)
+    starts = e.select(F.col("pair_id").alias("key"), F.element_at(fixed, 2).alias("ctx"),
                       F.array(F.lit(BOS_ID).cast("bigint")).alias("seq"))
     if decode == "beam":
         out = beam_decode(starts, scores, beam, max_len, 0.6, eos=EOS_ID, key="key", ctx=("ctx",))

@@ -19,7 +19,7 @@ def doc_starts(spark, sf):
 
 
 _SQL_STARTS = "starts AS (SELECT doc_id AS key, lang, right(replace(text, chr(10), ' '), 1) AS first FROM documents WHERE length(text) > 0)"
-_SQL_BEST = "best AS (SELECT lang, prev, first(nxt ORDER BY logp DESC, nxt) AS nxt, first(logp ORDER BY logp DESC, nxt) AS logp FROM next_scores GROUP BY lang, prev)"
+_SQL_BEST = "best AS MATERIALIZED (SELECT lang, prev, first(nxt ORDER BY logp DESC, nxt) AS nxt, first(logp ORDER BY logp DESC, nxt) AS logp FROM next_scores GROUP BY lang, prev)"
 
 
 def _text(seq):
@@ -27,91 +27,101 @@ def _text(seq):
     return F.array_join(F.filter(body, lambda t: t != "</s>"), "")
 
 
-GREEDY_LEN = 16
+GREEDY_LEN = 128
+# decoding depends on the start state only: the recursion runs over the distinct
+# states (sequences as chr(1)-joined strings) and is joined to the keys
+_SQL_STATES = "states AS (SELECT DISTINCT lang, first FROM starts)"
+_SHOWN = "replace(replace(substr(seq, length(first) + 1), chr(1) || '</s>', ''), chr(1), '')"
 
 
 def _sql_greedy(max_len: int) -> str:
-    return "WITH RECURSIVE " + with_ctes(FX.SQL_NEXT_SCORES, _SQL_STARTS, _SQL_BEST)[5:] + f""",
+    return "WITH RECURSIVE " + with_ctes(FX.SQL_NEXT_SCORES, _SQL_STARTS, _SQL_BEST, _SQL_STATES)[5:] + f""",
 g AS (
-  SELECT key, lang, 0 AS step, [first] AS seq, 0.0::DOUBLE AS score, false AS ended FROM starts
+  SELECT lang, first, 0 AS step, first AS prev, first AS seq, 1 AS n, 0.0::DOUBLE AS score, false AS ended FROM states
   UNION ALL
-  SELECT g.key, g.lang, g.step + 1, list_append(g.seq, b.nxt), g.score + b.logp, b.nxt = '</s>'
-  FROM g JOIN best b ON b.lang = g.lang AND b.prev = g.seq[len(g.seq)]
+  SELECT g.lang, g.first, g.step + 1, b.nxt, g.seq || chr(1) || b.nxt, g.n + 1, g.score + b.logp, b.nxt = '</s>'
+  FROM g JOIN best b ON b.lang = g.lang AND b.prev = g.prev
   WHERE NOT g.ended AND g.step < {max_len})""".replace("\n,\ng AS", ",\ng AS")
 
 
-@register("greedy_decode", sql=_sql_greedy(GREEDY_LEN) + """
-SELECT key, array_to_string(list_filter(list_slice(seq, 2, len(seq)), lambda t: t <> '</s>'), '') AS text,
-       CAST(len(seq) AS BIGINT) AS n_tokens, CAST(ended AS INT) AS ended, round(score, 6) AS score
-FROM g QUALIFY row_number() OVER (PARTITION BY key ORDER BY step DESC) = 1""")
+@register("greedy_decode", sql=_sql_greedy(GREEDY_LEN) + f""",
+e AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY lang, first ORDER BY step DESC) = 1)
+SELECT key, {_SHOWN} AS text, CAST(n AS BIGINT) AS n_tokens, CAST(ended OR n <= {GREEDY_LEN} AS INT) AS ended,
+       round(score, 6) AS score
+FROM starts JOIN e USING (lang, first)""")
 def q_greedy_decode(spark, sf):
     g = D.greedy_decode(doc_starts(spark, sf), FX.next_scores(spark, sf), GREEDY_LEN)
     return g.select("key", _text(F.col("seq")).alias("text"), F.size("seq").cast("bigint").alias("n_tokens"),
                     F.col("ended").cast("int").alias("ended"), round6("score").alias("score"))
 
 
-@register("length_norm_rerank", sql=_sql_greedy(GREEDY_LEN) + """
-SELECT key, CAST(len(seq) AS BIGINT) AS n_tokens, round(score / power((5.0 + len(seq)) / 6.0, 0.6), 6) AS norm
-FROM g QUALIFY row_number() OVER (PARTITION BY key ORDER BY round(score / power((5.0 + len(seq)) / 6.0, 0.6), 9) DESC,
-                                  array_to_string(seq, chr(1))) = 1""")
+@register("length_norm_rerank", sql=_sql_greedy(GREEDY_LEN) + """,
+e AS (SELECT lang, first, n, round(score / power((5.0 + n) / 6.0, 0.6), 6) AS norm FROM g
+      QUALIFY row_number() OVER (PARTITION BY lang, first ORDER BY round(score / power((5.0 + n) / 6.0, 0.6), 9) DESC, seq) = 1)
+SELECT key, CAST(n AS BIGINT) AS n_tokens, norm FROM starts JOIN e USING (lang, first)""")
 def q_length_norm_rerank(spark, sf):
     """D5 over every prefix of each greedy continuation (one candidate per step)."""
-    g = D.greedy_decode(doc_starts(spark, sf), FX.next_scores(spark, sf), GREEDY_LEN)
+    starts = doc_starts(spark, sf)
+    # a continuation is a function of its start state: rerank the states' candidates
+    states = starts.select("lang", "seq").distinct().withColumn("key", F.struct("lang", "seq"))
+    g = D.greedy_decode(states, FX.next_scores(spark, sf), GREEDY_LEN, dedupe=False)
     c = g.select("key", "seq", "logps", F.explode(F.sequence(F.lit(0), F.size("logps"))).alias("i"))
     c = c.select("key", F.slice("seq", F.lit(1), F.col("i") + 1).alias("seq"),
                  F.aggregate(F.slice("logps", F.lit(1), F.col("i")), F.lit(0.0), lambda a, x: a + x).alias("score"))
-    r = D.rerank(c, "key", 0.6)
-    return r.select("key", F.size("seq").cast("bigint").alias("n_tokens"), round6("norm").alias("norm"))
+    r = D.rerank(c, "key", 0.6).select(F.col("key.lang").alias("lang"), F.col("key.seq").alias("start"), "seq", "norm")
+    j = starts.select("key", F.col("lang").alias("l"), F.col("seq").alias("s")).join(
+        r, F.col("l").eqNullSafe(F.col("lang")) & (F.col("s") == F.col("start")))
+    return j.select("key", F.size("seq").cast("bigint").alias("n_tokens"), round6("norm").alias("norm"))
 
 
-BEAM, BEAM_LEN = 4, 6
-_SQL_TOP = "top AS (SELECT lang, prev, nxt, logp FROM next_scores QUALIFY row_number() OVER (PARTITION BY lang, prev ORDER BY logp DESC, nxt) <= 4)"
-_NORM = "round(score / power((5.0 + len(seq)) / 6.0, 0.6), 9)"
+BEAM, BEAM_LEN = 4, 128
+_SQL_TOP = "top AS MATERIALIZED (SELECT lang, prev, nxt, logp FROM next_scores QUALIFY row_number() OVER (PARTITION BY lang, prev ORDER BY logp DESC, nxt) <= 4)"
+_NORM = "round(score / power((5.0 + n) / 6.0, 0.6), 9)"
 
 
-@register("beam_decode", sql="WITH RECURSIVE " + with_ctes(FX.SQL_NEXT_SCORES, _SQL_STARTS, _SQL_TOP)[5:] + f""",
+@register("beam_decode", sql="WITH RECURSIVE " + with_ctes(FX.SQL_NEXT_SCORES, _SQL_STARTS, _SQL_TOP, _SQL_STATES)[5:] + f""",
 b AS (
-  SELECT key, lang, 0 AS step, [first] AS seq, 0.0::DOUBLE AS score, false AS ended FROM starts
+  SELECT lang, first, 0 AS step, first AS prev, first AS seq, 1 AS n, 0.0::DOUBLE AS score, false AS ended FROM states
   UNION ALL
-  SELECT key, lang, step, seq, score, ended FROM (
-    SELECT key, lang, step, seq, score, ended,
-           row_number() OVER (PARTITION BY key ORDER BY {_NORM} DESC, array_to_string(seq, chr(1))) AS rk
-    FROM (SELECT b.key, b.lang, b.step + 1 AS step,
-                 CASE WHEN b.ended THEN b.seq ELSE list_append(b.seq, t.nxt) END AS seq,
-                 CASE WHEN b.ended THEN b.score ELSE b.score + t.logp END AS score,
-                 CASE WHEN b.ended THEN true ELSE t.nxt = '</s>' END AS ended
-          FROM b LEFT JOIN top t ON NOT b.ended AND t.lang = b.lang AND t.prev = b.seq[len(b.seq)]
-          WHERE b.step < {BEAM_LEN} AND (b.ended OR t.nxt IS NOT NULL)))
-  WHERE rk <= 4)
-SELECT key, array_to_string(list_filter(list_slice(seq, 2, len(seq)), lambda t: t <> '</s>'), '') AS text,
-       CAST(len(seq) AS BIGINT) AS n_tokens, round(score, 6) AS score, round({_NORM}, 6) AS norm
-FROM b WHERE step = {BEAM_LEN} QUALIFY row_number() OVER (PARTITION BY key ORDER BY {_NORM} DESC, array_to_string(seq, chr(1))) = 1""".replace("\n,\nb AS", ",\nb AS"))
+  SELECT lang, first, step, prev, seq, n, score, ended FROM (
+    SELECT lang, first, step, prev, seq, n, score, ended,
+           row_number() OVER (PARTITION BY lang, first ORDER BY {_NORM} DESC, seq) AS rk
+    FROM (SELECT b.lang, b.first, b.step + 1 AS step, coalesce(t.nxt, b.prev) AS prev,
+                 CASE WHEN t.nxt IS NULL THEN b.seq ELSE b.seq || chr(1) || t.nxt END AS seq,
+                 CASE WHEN t.nxt IS NULL THEN b.n ELSE b.n + 1 END AS n, b.score + coalesce(t.logp, 0.0) AS score,
+                 t.nxt IS NULL OR t.nxt = '</s>' AS ended
+          FROM b LEFT JOIN top t ON NOT b.ended AND t.lang = b.lang AND t.prev = b.prev
+          WHERE b.step < {BEAM_LEN}))
+  WHERE rk <= 4),
+e AS (SELECT * FROM b WHERE step = {BEAM_LEN}
+      QUALIFY row_number() OVER (PARTITION BY lang, first ORDER BY {_NORM} DESC, seq) = 1)
+SELECT key, {_SHOWN} AS text, CAST(n AS BIGINT) AS n_tokens, round(score, 6) AS score, round({_NORM}, 6) AS norm
+FROM starts JOIN e USING (lang, first)""".replace("\n,\nb AS", ",\nb AS"))
 def q_beam_decode(spark, sf):
     b = D.beam_decode(doc_starts(spark, sf), FX.next_scores(spark, sf), BEAM, BEAM_LEN, 0.6)
     return b.select("key", _text(F.col("seq")).alias("text"), F.size("seq").cast("bigint").alias("n_tokens"),
                     round6("score").alias("score"), round6("norm").alias("norm"))
 
 
-GEN_STEPS = 12
+GEN_STEPS = 500
 _SQL_CDF = """cdf0 AS (SELECT lang, prev, nxt, logp, exp((logp - max(logp) OVER (PARTITION BY lang, prev)) / 0.8::DOUBLE) AS e,
                 row_number() OVER (PARTITION BY lang, prev ORDER BY logp DESC, nxt) AS rk FROM next_scores),
 cdf1 AS (SELECT * FROM cdf0 WHERE rk <= 50),
-cdf AS (SELECT lang, prev, nxt, rk,
-          (sum(e) OVER (PARTITION BY lang, prev ORDER BY logp DESC, nxt ROWS UNBOUNDED PRECEDING) - e) / sum(e) OVER (PARTITION BY lang, prev) AS lo,
-          sum(e) OVER (PARTITION BY lang, prev ORDER BY logp DESC, nxt ROWS UNBOUNDED PRECEDING) / sum(e) OVER (PARTITION BY lang, prev) AS hi,
-          max(rk) OVER (PARTITION BY lang, prev) AS last_rk FROM cdf1)"""
+cdf2 AS (SELECT lang, prev, nxt, rk,
+          sum(e) OVER (PARTITION BY lang, prev ORDER BY logp DESC, nxt ROWS UNBOUNDED PRECEDING) / sum(e) OVER (PARTITION BY lang, prev) AS hi
+         FROM cdf1),
+cdf AS MATERIALIZED (SELECT lang, prev, list(nxt ORDER BY rk) AS nxts, list(hi ORDER BY rk) AS his FROM cdf2 GROUP BY lang, prev)"""
+_U = "(('0x' || substr(md5('1337:' || CAST(s.key AS VARCHAR) || ':' || CAST(s.step + 1 AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0)"
 
 
 @register("generate_text", sql="WITH RECURSIVE " + with_ctes(FX.SQL_NEXT_SCORES, _SQL_STARTS, _SQL_CDF)[5:] + f""",
 s AS (
-  SELECT key, lang, 0 AS step, [first] AS seq FROM starts
+  SELECT key, lang, 0 AS step, first AS prev, '' AS text FROM starts
   UNION ALL
-  SELECT s.key, s.lang, s.step + 1, list_append(s.seq, c.nxt) FROM s JOIN cdf c ON c.lang = s.lang AND c.prev = s.seq[len(s.seq)]
-  WHERE s.step < {GEN_STEPS}
-    AND (('0x' || substr(md5('1337:' || CAST(s.key AS VARCHAR) || ':' || CAST(s.step + 1 AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0) >= c.lo
-    AND ((('0x' || substr(md5('1337:' || CAST(s.key AS VARCHAR) || ':' || CAST(s.step + 1 AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0) < c.hi
-         OR c.rk = c.last_rk))
-SELECT key, array_to_string(list_slice(seq, 2, len(seq)), '') AS text, CAST(len(seq) AS BIGINT) AS n_tokens
+  SELECT key, lang, step + 1, nxts[i], text || nxts[i]
+  FROM (SELECT s.key, s.lang, s.step, s.text, c.nxts, least(len(list_filter(c.his, lambda h: h <= s.u)) + 1, len(c.his)) AS i
+        FROM (SELECT s.*, {_U} AS u FROM s) AS s JOIN cdf c ON c.lang = s.lang AND c.prev = s.prev WHERE s.step < {GEN_STEPS}) AS c)
+SELECT key, text, CAST(step + 1 AS BIGINT) AS n_tokens
 FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY step DESC) = 1""".replace("\n,\ns AS", ",\ns AS"))
 def q_generate_text(spark, sf):
     g = D.generate(doc_starts(spark, sf), FX.next_scores(spark, sf), GEN_STEPS, seed=1337)
