@@ -85,3 +85,13 @@ def test_empty(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     one = L.score_documents(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
     assert tuple(one)[1:] == (True, 3, 0, 0, 0.0, 0.0)
+
+
+def test_shards_are_even_and_hashes_whole():
+    import pyarrow as pa
+    import xxhash
+    texts = pa.array([" ".join(f"t{i}" for i in range(20_000))], pa.large_string())
+    h, code, size = L.tokens(texts)
+    assert h.dtype == np.uint64 and int(h[code[5]]) == xxhash.xxh64_intdigest("t5") and size.tolist() == [20_001]
+    sent = {p[0]: len(p[1]) // 8 for p in L.send(texts, np.ones(1, bool), 7, np.zeros(0, np.uint64))}
+    assert len(sent) == 7 and max(sent.values()) < 1.2 * min(sent.values())

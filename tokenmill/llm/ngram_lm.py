@@ -56,7 +56,8 @@ FOLDS = 5
 MIX = 0.4
 FREQUENT = 1e-5
 SLICE = 8 << 20
-SHARD_BYTES = 8 << 20  # text per shard, about 1.3 million tokens
+SHARD_BYTES = 12 << 20  # text per shard, about 2 million tokens
+PARTS = 8  # a shard's words are solved in so many parts
 
 
 # ---- Elias-Fano sequences ------------------------------------------------
@@ -243,7 +244,7 @@ def tokens(texts: pa.Array):
     end token a text."""
     flat, n = split_words(texts)
     dic, code = dictionary(flat)
-    h = np.concatenate((word_hashes(dic), [END])).astype(np.uint64)
+    h = np.append(word_hashes(dic), np.uint64(END))
     size = n + 1
     out = np.full(size.sum(), len(h) - 1, dtype=np.int32)
     at = np.arange(len(code)) + np.repeat(np.arange(len(n)), n)
@@ -301,7 +302,7 @@ def send(texts: pa.Array, train: np.ndarray, shards: int, hot: np.ndarray):
     prev = np.empty(len(code), dtype=np.int32)
     prev[1:] = code[:-1]
     prev[np.cumsum(size) - size] = len(h)  # BOS
-    hp = np.concatenate((h, [BOS])).astype(np.uint64)
+    hp = np.append(h, np.uint64(BOS))
     shard = (h % np.uint64(shards)).astype(np.int64)[code]
     split = np.isin(h, hot)[code]
     if split.any():
@@ -349,23 +350,46 @@ def answer(table: pa.Table, total: int, distinct: int, often: dict, kappa: float
     prevs, to_prev = np.unique(np.concatenate(prevs), return_inverse=True)
     cur = to_word.astype(np.int32)[np.concatenate(cur)]
     prv = to_prev.astype(np.int32)[np.concatenate(prv)]
-    del to_word, to_prev
     txt, train = np.concatenate(txt), np.concatenate(train)
+    del to_word, to_prev
+    base, score, n_known = np.zeros(n_text), np.zeros(n_text), np.zeros(n_text, dtype=np.int32)
+    for part in range(PARTS):  # a part of the words at a time bounds the working memory
+        mine = np.flatnonzero(cur % PARTS == part)
+        if len(mine):
+            got = _solve_part(words, prevs, cur[mine], prv[mine], txt[mine], train, z, often, kappa)
+            base += got[0]
+            score += got[1]
+            n_known += got[2]
+    at = 0
+    for r in rows:
+        s = slice(at, at + r["texts"])
+        at += r["texts"]
+        yield r["chunk"], base[s].tobytes(), score[s].tobytes(), n_known[s].tobytes()
+
+
+def _solve_part(all_words, all_prevs, cur, prv, txt, train, z, often, kappa):
+    """(base, score, known) per text of these tokens, whose words are all here."""
+    n_text = len(train)
+    used_words, cur = np.unique(cur, return_inverse=True)
+    used_prevs, prv = np.unique(prv, return_inverse=True)
+    words, prevs = all_words[used_words], all_prevs[used_prevs]
+    frequent = np.fromiter(often, np.uint64, len(often))
     learn = train[txt]
     count = np.bincount(cur[learn], minlength=len(words))
-    for i in np.flatnonzero(np.isin(words, np.fromiter(often, np.uint64, len(often)))):
+    for i in np.flatnonzero(np.isin(words, frequent)):
         count[i] = often[int(words[i])]
-    pairs, which = np.unique(cur.astype(np.int64) * len(prevs) + prv, return_inverse=True)
+    pairs, which = np.unique(cur * len(prevs) + prv, return_inverse=True)
     which = which.astype(np.int32)
     del prv
     seen = np.bincount(which[learn], minlength=len(pairs))
     of, before = pairs // len(prevs), pairs % len(prevs)
+    del pairs
 
     # the trie holds what training has: words, and pairs seen at least once
     known = np.flatnonzero(count > 0)
     have = np.flatnonzero(seen > 0)
     c_prev = np.zeros(len(prevs))
-    for i in np.flatnonzero(np.isin(prevs, np.fromiter(often, np.uint64, len(often)))):
+    for i in np.flatnonzero(np.isin(prevs, frequent)):
         c_prev[i] = often[int(prevs[i])]
     r_prev = np.full(len(prevs), 1 / kappa)
     big = c_prev > kappa * (1 - MIX) / MIX
@@ -392,12 +416,7 @@ def answer(table: pa.Table, total: int, distinct: int, often: dict, kappa: float
     value = np.where(np.isnan(pair), l1[of], pair) + lm[of]
     base = np.bincount(txt, weights=np.log10((c + 0.5) / z)[cur], minlength=n_text)
     score = np.bincount(txt, weights=value[which], minlength=n_text)
-    n_known = np.bincount(txt, weights=(c > 0)[cur], minlength=n_text).astype(np.int32)
-    at = 0
-    for r in rows:
-        s = slice(at, at + r["texts"])
-        at += r["texts"]
-        yield r["chunk"], base[s].tobytes(), score[s].tobytes(), n_known[s].tobytes()
+    return base, score, np.bincount(txt, weights=(c > 0)[cur], minlength=n_text).astype(np.int32)
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = FOLDS) -> DataFrame:
