@@ -11,13 +11,13 @@ from tokenmill.sources import logs as LG
 from tokenmill.sources.vocab_files import read_vocab, write_vocab
 
 
-def test_char_encode_join_path_equals_literal_path(spark, monkeypatch):
-    df = spark.createDataFrame([(1, "abcab"), (2, ""), (3, "ccb")], "k bigint, text string")
-    v = V.char_vocab(df, "text", offset=4)
-    lit = {r.k: r.ids for r in V.char_encode(df, "text", v, "ids", key_cols=["k"]).collect()}
-    monkeypatch.setattr(V, "MAX_LITERAL_VOCAB", 1)
-    joined = {r.k: r.ids for r in V.char_encode(df, "text", v, "ids", key_cols=["k"]).collect()}
-    assert lit == joined == {1: [4, 5, 6, 4, 5], 2: [], 3: [6, 6, 5]}
+def test_char_encode_over_all_planes(spark):
+    text = "".join(chr(c) for c in [*range(32, 1200), *range(0x4E00, 0x5600), 0xFFFD, 0x1F600, 0x10FFFF])
+    df = spark.createDataFrame([(1, text), (2, ""), (3, "aé中😀")], "k int, text string")
+    v = V.char_vocab(df.where("k = 1"), "text")
+    got = {r.k: r.ids for r in V.char_encode(df, "text", v, on_unknown="unk", unk_id=-7).collect()}
+    want = {t: i for i, t in enumerate(sorted(set(text)))}
+    assert got[1] == [want[c] for c in text] and got[2] == [] and got[3] == [want.get(c, -7) for c in "aé中😀"]
 
 
 def test_vocab_file_round_trip(spark, tmp_dir):

@@ -1,9 +1,8 @@
 """Vocabulary operators (V1-V4, V7) and character encoding.
 
 Vocabularies are small by construction (bounded by the number of distinct
-characters or by ``vocab_size``); corpora are never collected. Where a
-vocabulary is turned into a literal map for a pure-expression lookup its size
-is checked first, and a join path handles anything larger.
+characters or by ``vocab_size``); corpora are never collected. A character
+vocabulary becomes arrays indexed by code point, so a lookup takes one step.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenmill.constants import N_SPECIAL, SPECIAL_PIECES
 from tokenmill.functions import char_tokens, whitespace_words
 
-# Largest vocabulary inlined as a literal map inside expressions.
+# Largest piece list inlined as a literal array inside expressions.
 MAX_LITERAL_VOCAB = 1 << 16
 
 
@@ -69,10 +68,6 @@ def vocab_profile(vocab: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_pieces")))
 
 
-def vocab_size(vocab: DataFrame) -> int:
-    return vocab.count()
-
-
 def _bounded_rows(vocab: DataFrame, cols, order=None):
     """Collect at most MAX_LITERAL_VOCAB + 1 rows (one bounded job); None
     when the vocabulary is larger than that."""
@@ -83,18 +78,6 @@ def _bounded_rows(vocab: DataFrame, cols, order=None):
     return None if len(rows) > MAX_LITERAL_VOCAB else rows
 
 
-def _map_of(rows) -> Column:
-    return F.map_from_arrays(F.lit([r[0] for r in rows]), F.lit([r[1] for r in rows]))
-
-
-def literal_map(vocab: DataFrame, key: str, value: str) -> Column:
-    """Vocabulary as a literal map for expression lookups; size-checked."""
-    rows = _bounded_rows(vocab, [key, value])
-    if rows is None:
-        raise ValueError("vocabulary too large to inline")
-    return _map_of(rows)
-
-
 def literal_pieces(vocab: DataFrame, id_col: str = "id", piece_col: str = "piece") -> Column:
     """Pieces as an array literal indexed by id (ids must be dense from 0)."""
     rows = _bounded_rows(vocab, [id_col, piece_col], id_col)
@@ -105,33 +88,36 @@ def literal_pieces(vocab: DataFrame, id_col: str = "id", piece_col: str = "piece
     return F.lit([r[1] for r in rows])
 
 
+def char_lookup(vocab: DataFrame, unk_id: int | None = None):
+    """A function text column -> array of ids. The vocabulary (at most every
+    Unicode character) is collected once and becomes two arrays indexed by code
+    point, 256 to a page, so a lookup costs the same whatever its size. A
+    character outside it gives ``unk_id``, or fails if that is None."""
+    rows = vocab.select("token", "id").collect()
+    pages, flat = [0] * ((0x10FFFF >> 8) + 1), ["-1"] * 256  # page 0: nothing known
+    for token, i in rows:
+        at = ord(token)
+        if not pages[at >> 8]:
+            pages[at >> 8] = len(flat) // 256
+            flat += ["-1"] * 256
+        flat[pages[at >> 8] * 256 + (at & 255)] = str(i)
+    # one foldable literal each
+    of_page = F.split(F.lit(",".join(map(str, pages))), ",").cast("array<int>")
+    ids = F.split(F.lit(",".join(flat)), ",").cast("array<bigint>")
+
+    def look(ch):
+        at = F.ascii(ch)
+        got = F.get(ids, F.get(of_page, F.shiftright(at, 8)) * 256 + at.bitwiseAND(F.lit(255)))
+        if unk_id is None:
+            bad = F.raise_error(F.concat(F.lit("unknown character: "), ch)).cast("bigint")
+        else:
+            bad = F.lit(unk_id).cast("bigint")
+        return F.when(got >= 0, got).otherwise(bad)
+    return lambda col: F.transform(char_tokens(col), look)
+
+
 def char_encode(df: DataFrame, col: str, vocab: DataFrame, out: str = "ids",
-                on_unknown: str = "error", unk_id: int | None = None,
-                key_cols=None) -> DataFrame:
+                on_unknown: str = "error", unk_id: int | None = None) -> DataFrame:
     """Characters -> ids. An unseen character is an error (the reference
-    raises KeyError) unless ``on_unknown='unk'``.
-
-    Small vocabularies are inlined as a literal map (no shuffle, codegen);
-    larger ones go through an exploded join that keeps each row's order."""
-    rows = _bounded_rows(vocab, ["token", "id"])
-    if rows is not None:
-        m = _map_of(rows)
-
-        def look(ch):
-            got = F.try_element_at(m, ch)
-            if on_unknown == "error":
-                return F.coalesce(got, F.raise_error(F.concat(F.lit("unknown character: "), ch)).cast("bigint"))
-            return F.coalesce(got, F.lit(unk_id).cast("bigint"))
-        return df.withColumn(out, F.transform(char_tokens(col), look))
-    keys = list(key_cols or [])
-    if not keys:
-        raise ValueError("key_cols are needed for the join path")
-    ex = df.select(*keys, F.posexplode(char_tokens(col)).alias("_p", "token"))
-    j = ex.join(vocab.select("token", "id"), "token", "left")
-    if on_unknown == "error":
-        j = j.withColumn("id", F.coalesce("id", F.raise_error(F.lit("unknown character")).cast("bigint")))
-    else:
-        j = j.withColumn("id", F.coalesce("id", F.lit(unk_id).cast("bigint")))
-    back = j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_p", "id"))).alias("_s"))
-    back = back.select(*keys, F.transform("_s", lambda s: s["id"]).alias(out))
-    return df.join(back, keys, "left").withColumn(out, F.coalesce(out, F.array().cast("array<bigint>")))
+    raises KeyError) unless ``on_unknown='unk'``."""
+    return df.withColumn(out, char_lookup(vocab, None if on_unknown == "error" else unk_id)(col))

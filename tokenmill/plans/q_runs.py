@@ -206,7 +206,7 @@ def q_epoch_summary(spark, sf):
                     "n_steps", (F.col("val_loss") / 10000.0).alias("val_loss"), "lr")
 
 
-_SQL_EARLY = """
+_SQL_EARLY_STEPS = """
 WITH RECURSIVE epochs AS (
   SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, value AS val FROM events),
 st AS (
@@ -219,9 +219,11 @@ st AS (
     CASE WHEN e.val < s.best - 0.001 THEN e.epoch ELSE s.best_epoch END,
     CASE WHEN e.val < s.best - 0.001 THEN NULL WHEN s.bad + 1 >= 5 THEN e.epoch ELSE NULL END
   FROM st s JOIN epochs e ON e.run = s.run AND e.epoch = s.epoch + 1 WHERE s.stop_epoch IS NULL)
-SELECT run, round(best, 6) AS best, (best_epoch - 1) * 3 - run % 2 * 6 AS best_epoch,
-       (stop_epoch - 1) * 3 - run % 2 * 6 AS stop_epoch, (epoch - 1) * 3 - run % 2 * 6 AS last_epoch FROM st
-QUALIFY row_number() OVER (PARTITION BY run ORDER BY epoch DESC) = 1"""
+"""
+_LAST = " FROM st QUALIFY row_number() OVER (PARTITION BY run ORDER BY epoch DESC) = 1"
+_SQL_EARLY = _SQL_EARLY_STEPS + "SELECT run, round(best, 6) AS best, best_epoch, stop_epoch, epoch AS last_epoch" + _LAST
+_SQL_EARLY_GAPPED = _SQL_EARLY_STEPS + """SELECT run, round(best, 6) AS best, (best_epoch - 1) * 3 - run % 2 * 6 AS best_epoch,
+       (stop_epoch - 1) * 3 - run % 2 * 6 AS stop_epoch, (epoch - 1) * 3 - run % 2 * 6 AS last_epoch""" + _LAST
 
 
 def gapped(spark, sf):
@@ -231,7 +233,7 @@ def gapped(spark, sf):
     return e.withColumn("epoch", (F.col("epoch") - 1) * 3 - F.pmod(F.col("run"), F.lit(2)) * 6)
 
 
-@register("early_stop", sql=_SQL_EARLY)
+@register("early_stop", sql=_SQL_EARLY_GAPPED)
 def q_early_stop(spark, sf):
     r = R.early_stop(gapped(spark, sf), patience=5, min_delta=0.001)
     return r.select("run", round6("best").alias("best"), "best_epoch", "stop_epoch", "last_epoch")

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tokenmill.constants import UNK_ID
 from tokenmill.functions import WS_CLASS, round6
 from tokenmill.operators import vocab as V
 from tokenmill.plans import fixtures as FX
@@ -26,15 +27,18 @@ def _scratch(spark, name):
 
 def split_files(df, path, order_col, n=N_FILES):
     """Write ``df`` as n files, one write per range of ``order_col`` (in order),
-    so a file stream sees them arrive one after another."""
-    bounds = df.approxQuantile(order_col, [i / n for i in range(1, n)], 0.0)
+    so a file stream sees them arrive one after another. The bounds are
+    approximate (bounded sketches); rows without an order value come first."""
+    bounds = sorted(set(df.approxQuantile(order_col, [i / n for i in range(1, n)], 0.01)))
     lo = None
     for i, hi in enumerate(bounds + [None]):
         part = df
         if lo is not None:
             part = part.where(F.col(order_col) > lo)
         if hi is not None:
-            part = part.where(F.col(order_col) <= hi)
+            part = part.where((F.col(order_col) <= hi) | (F.col(order_col).isNull() & F.lit(lo is None)))
+        elif lo is None:
+            part = df
         part.write.mode("overwrite").parquet(f"{path}/part={i:04d}")
         lo = hi
 
@@ -50,13 +54,13 @@ FROM s, cvm WHERE clean <> ''""")
 def q_encode_stream(spark, sf):
     """ST1 over conversations arriving as several files."""
     conv = read_table(spark, sf, "conversations")
-    vocab = V.char_vocab(conv, "text")
+    look = V.char_lookup(V.char_vocab(conv, "text"), unk_id=UNK_ID)  # the vocabulary is collected once
     src = _scratch(spark, "conv-in")
     split_files(conv, src, "conv_id")
     stream = spark.readStream.schema(conv.schema).option("maxFilesPerTrigger", 1).parquet(src)
     out, ck = _scratch(spark, "conv-out"), _scratch(spark, "conv-ck")
     q = encode_stream(stream.withColumnRenamed("conv_id", "conv_id"),
-                      lambda df, col: V.char_encode(df, col, vocab, "ids"), out, ck, ("conv_id", "turn"))
+                      lambda df, col: df.withColumn("ids", look(col)), out, ck, ("conv_id", "turn"))
     q.awaitTermination()
     return read_encoded(spark, out).select("conv_id", "turn", "ids")
 

@@ -142,8 +142,8 @@ def pair_vocab(p):
 def encoded_pairs(spark, sf):
     p = FX.pairs(spark, sf)
     v = pair_vocab(p)
-    e = V.char_encode(p, "src", v, "src_raw")
-    e = V.char_encode(e, "tgt", v, "tgt_raw")
+    look = V.char_lookup(v)
+    e = p.withColumn("src_raw", look("src")).withColumn("tgt_raw", look("tgt"))
     return e.select("pair_id", "src", "tgt",
                     wrap_truncate("src_raw", MAX_SRC_LEN).alias("src_ids"),
                     wrap_truncate("tgt_raw", MAX_TGT_LEN).alias("tgt_ids"), "src_raw", "tgt_raw"), v
