@@ -165,14 +165,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vec: str
     against every usable row of ``vectors`` with another id."""
     rows, asked = _usable(vectors, key, vec), _usable(queries, key, vec)
     n_rows, n_asked = rows.count(), asked.count()
-    left = _blocks(rows, block, max(1, -(-n_rows // block)), "id").select(
-        "dim", F.col("n").alias("vn"), F.col("ids").alias("vids"), F.col("x").alias("vx"), F.col("nr").alias("vnr"))
+    places = max(1, -(-n_rows // block))
+    left = _blocks(rows, block, places, "id").select(
+        "dim", F.col("n").alias("vn"), F.col("ids").alias("vids"), F.col("x").alias("vx"),
+        F.pmod(F.xxhash64("nr"), F.lit(places)).alias("place"))
     step = max(64, block // 8)
     right = _blocks(asked, step, max(1, -(-n_asked // step)), "id").select(
-        "dim", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("x").alias("qx"), F.col("nr").alias("qnr"))
-    # every block of vectors gets every block of queries of its length: the
-    # queries are the small side and go to each block by an equi-join
-    met = left.join(right, "dim").repartition(max(1, -(-n_rows // block) * -(-n_asked // step)), "vnr", "qnr")
+        "dim", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("x").alias("qx"), F.col("nr").alias("qnr"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(places - 1).cast("long"))).alias("place"))
+    # the queries are the small side: their blocks go to every place, the blocks
+    # of vectors are spread over as many places as there are blocks
+    met = left.join(right, ["dim", "place"])
 
     def solve(batches):
         for b in batches:

@@ -44,7 +44,7 @@ PRIOR = 0.1  # prior mass as a share of the counted tokens
 CONFIDENCE = 1.96
 DRIFT = 0.5
 THRESHOLD = 0.7
-BROADCAST_LABELS = 4_000_000  # (key, label) rows, at most about 64 MB
+BROADCAST_LABELS = 1_000_000  # (key, label) rows, about 80 MB as a hash table
 
 
 def token_buckets(texts: pa.Array):
