@@ -56,8 +56,8 @@ FOLDS = 5
 MIX = 0.4
 FREQUENT = 1e-5
 SLICE = 8 << 20
-SHARD_BYTES = 12 << 20  # text per shard, about 2 million tokens
-PARTS = 8  # a shard's words are solved in so many parts
+SHARD_BYTES = 24 << 20  # text per shard, about 4 million tokens
+PARTS = 16  # a shard's words are solved in so many parts
 
 
 # ---- Elias-Fano sequences ------------------------------------------------
@@ -329,7 +329,7 @@ SENT_NAMES = [f.split()[0] for f in SENT.split(", ")]
 
 
 def answer(table: pa.Table, total: int, distinct: int, often: dict, kappa: float):
-    """(chunk, base part, score part, known) for one shard."""
+    """(chunk, texts, base part, score part, known) for one shard."""
     z = total + 0.5 * (distinct + 1)
     rows = [r for r in table.to_pylist() if r["words"]]
     del table
@@ -352,7 +352,8 @@ def answer(table: pa.Table, total: int, distinct: int, often: dict, kappa: float
     prv = to_prev.astype(np.int32)[np.concatenate(prv)]
     txt, train = np.concatenate(txt), np.concatenate(train)
     del to_word, to_prev
-    base, score, n_known = np.zeros(n_text), np.zeros(n_text), np.zeros(n_text, dtype=np.int32)
+    base, score, n_known = np.zeros(n_text), np.zeros(n_text), np.zeros(n_text, dtype=np.int64)
+    touched = np.bincount(txt, minlength=n_text) > 0
     for part in range(PARTS):  # a part of the words at a time bounds the working memory
         mine = np.flatnonzero(cur % PARTS == part)
         if len(mine):
@@ -361,10 +362,13 @@ def answer(table: pa.Table, total: int, distinct: int, often: dict, kappa: float
             score += got[1]
             n_known += got[2]
     at = 0
-    for r in rows:
-        s = slice(at, at + r["texts"])
+    for r in rows:  # sums of the texts met here only, as floats: they are added up in doubles
+        idx = np.flatnonzero(touched[at:at + r["texts"]])
+        k = n_known[at + idx]
+        small, few = r["texts"] <= 65536, k.max(initial=0) < 65536
+        yield (r["chunk"], idx.astype(np.uint16 if small else np.uint32).tobytes(), base[at + idx].astype(np.float32).tobytes(),
+               score[at + idx].astype(np.float32).tobytes(), k.astype(np.uint16 if few else np.uint32).tobytes())
         at += r["texts"]
-        yield r["chunk"], base[s].tobytes(), score[s].tobytes(), n_known[s].tobytes()
 
 
 def _solve_part(all_words, all_prevs, cur, prv, txt, train, z, often, kappa):
@@ -457,15 +461,15 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts), types)], names=SENT_NAMES)
                 nth += 1
 
-    back = "chunk long, base binary, score binary, known binary, rows binary, size binary"
-    types = [pa.int64(), *[pa.binary()] * 5]
+    back = "chunk long, text binary, base binary, score binary, known binary, rows binary, size binary"
+    types = [pa.int64(), *[pa.binary()] * 6]
 
     def solve(_, table):
         out = []
         only = table.column("rows").to_pylist()
         for i, r in enumerate(only):
             if r is not None:
-                out.append((table.column("chunk")[i].as_py(), None, None, None, r, table.column("text")[i].as_py()))
+                out.append((table.column("chunk")[i].as_py(), None, None, None, None, r, table.column("text")[i].as_py()))
         part = table.filter(pc.is_null(table.column("rows")))
         if part.num_rows:
             out += [(*a, None, None) for a in answer(part, total, distinct, shared.value[0], kappa)]
@@ -485,9 +489,13 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
         base, score, known = np.zeros(len(size)), np.full(len(size), math.log10(mu_bos)), np.zeros(len(size), np.int64)
         for r in rows:
             if r["base"] is not None:
-                base += np.frombuffer(r["base"])
-                score += np.frombuffer(r["score"])
-                known += np.frombuffer(r["known"], np.int32)
+                part = np.frombuffer(r["base"], np.float32)
+                width = {2: np.uint16, 4: np.uint32}
+                if len(part):
+                    at = np.frombuffer(r["text"], width[len(r["text"]) // len(part)])
+                    base[at] += part
+                    score[at] += np.frombuffer(r["score"], np.float32)
+                    known[at] += np.frombuffer(r["known"], width[len(r["known"]) // len(part)])
         return pa.table([ids.column("k"), ids.column("held"), size, known, pa.array(np.full(len(size), total, np.int64)),
                          base, score],
                         names=["k", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
