@@ -84,3 +84,40 @@ def test_hot_run_log_spans_files_in_order(spark, tmp_dir):
         f.write("traceback line\n")  # sorts after the stderr marker file
     tail = LG.read_run_logs(spark, path).where("run = '2'").orderBy("line_no").collect()
     assert tail[-1].line == "traceback line" and tail[-1].section == "stderr"
+
+
+def test_flat_run_logs(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "flat")
+    os.makedirs(path)
+    with open(os.path.join(path, "m11_lr=1_log.txt"), "w") as f:
+        f.write("=== STDOUT ===\nVAL loss: 1.5, ppl=4.5\n\n\n=== STDERR ===\nboom\n")
+    with open(os.path.join(path, "train_variant_01_20240101.log"), "w") as f:
+        f.write("VAL loss: 2.5, ppl=9.5\n" + "x\n" * 500)
+    logs = LG.read_run_logs(spark, path)
+    got = {(r.run, r.line_no): (r.section, r.line) for r in logs.collect()}
+    assert got["m11_lr=1", 1] == ("stdout", "VAL loss: 1.5, ppl=4.5") and got["m11_lr=1", 5] == ("stderr", "boom")
+    assert got["train_variant_01_20240101", 0][0] == "stdout" and len(got) == 4 + 501
+    from tokenmill.operators.runs import parse_metrics
+    assert {r.run: r.eval_loss for r in parse_metrics(logs).collect()} == {"m11_lr=1": 1.5, "train_variant_01_20240101": 2.5}
+
+
+def test_table_scores_and_corpus_loss(spark):
+    from tokenmill.operators import decode as D, scoring as S
+    padded = spark.createDataFrame([(1, [1, 5, 6], [5, 6, 0]), (2, [1, 9, 0], [9, 2, 0])], "pair_id int, tgt_in_pad array<bigint>, tgt_out_pad array<bigint>")
+    bigram = spark.createDataFrame([(1, 5, -1.0), (5, 6, -2.0), (1, 9, -3.0)], "prev bigint, nxt bigint, logp double")
+    out = D.table_scores(padded, bigram)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 0, 5, -1.0), (1, 1, 6, -2.0), (2, 0, 9, -3.0), (2, 1, 2, -20.0)]
+    r = S.corpus_loss(out).first()
+    assert (r.loss, r.ntok) == (6.5, 4)
+
+
+def test_bulk_translate_gives_one_row_per_source(spark):
+    from tokenmill.operators import bpe as BP, decode as D
+    df = spark.createDataFrame([(1, "low lower", "new newer"), (2, "lowest", "newest"), (3, "  ", "x"), (4, "new", "low"),
+                                (5, "unseen zz", "qq")], "pair_id bigint, src string, tgt string")
+    learn = df.where("pair_id < 3")
+    vocab, _ = BP.bpe_train(learn.selectExpr("concat_ws(' ', src, tgt) AS text"), "text", 30)
+    enc = BP.bpe_encode(BP.bpe_encode(learn, "src", vocab, "src_raw"), "tgt", vocab, "tgt_raw")
+    for how in ("beam", "greedy"):
+        got = {r.pair_id: r.hyp for r in D.bulk_translate(df, vocab, D.translation_scores(enc), how, max_len=12).collect()}
+        assert set(got) == {1, 2, 3, 4, 5} and got[3] == "" and got[1] in ("new newer", "newest") and got[2] in ("newest", "new newer")

@@ -366,20 +366,12 @@ def bulk_translate(src_df, vocab, scores, decode="beam", max_len=128, beam=4):
     return hyp.unionByName(blank)
 
 
-class TableScorer:
-    """A table-backed scorer for U1: log-probability of each target piece
-    given the previous one, from a broadcast bigram table."""
-
-    def __init__(self, table_bc):
-        self.table_bc = table_bc
-
-    def __call__(self, pdf):
-        import pandas as pd
-        tab = self.table_bc.value
-        rows = []
-        for pid, tin, tout in zip(pdf["pair_id"], pdf["tgt_in_pad"], pdf["tgt_out_pad"]):
-            for pos, (a, b) in enumerate(zip(tin, tout)):
-                if b == PAD_ID:
-                    continue
-                rows.append((int(pid), pos, int(b), float(tab.get((int(a), int(b)), -20.0))))
-        return pd.DataFrame(rows, columns=["pair_id", "pos", "target", "logp"])
+def table_scores(padded, bigram, key: str = "pair_id", tin: str = "tgt_in_pad", tout: str = "tgt_out_pad",
+                 floor: float = -20.0):
+    """A table-backed scorer for U1: (key, pos, target, logp) of every target
+    that is not padding, by a join on (previous piece, piece); ``floor`` for pairs
+    the table does not have."""
+    cells = padded.select(key, F.posexplode(F.arrays_zip(F.col(tin).alias("prev"), F.col(tout).alias("nxt"))).alias("pos", "c"))
+    cells = cells.select(key, "pos", F.col("c.prev").alias("prev"), F.col("c.nxt").alias("nxt")).where(F.col("nxt") != PAD_ID)
+    return cells.join(bigram.select("prev", "nxt", "logp"), ["prev", "nxt"], "left").select(
+        key, "pos", F.col("nxt").alias("target"), F.coalesce("logp", F.lit(float(floor))).alias("logp"))

@@ -23,8 +23,12 @@ def token_xent_table(scores: DataFrame, ignore_id: int = PAD_ID) -> DataFrame:
 
 
 def corpus_loss(scores: DataFrame, ignore_id: int = PAD_ID) -> DataFrame:
-    """L2: sum(loss) / max(1, non-pad tokens) over the whole corpus."""
-    x = token_xent_table(scores, ignore_id)
+    """L2: sum(loss) / max(1, non-pad tokens) over the whole corpus. ``scores``
+    holds logits, or the targets' logp as a scorer (U1) gives them."""
+    if "logits" in scores.columns:
+        x = token_xent_table(scores, ignore_id)
+    else:
+        x = scores.where(F.col("target") != ignore_id).select((-F.col("logp")).alias("xent"))
     return x.agg((F.coalesce(F.sum("xent"), F.lit(0.0)) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("loss"),
                  F.count(F.lit(1)).alias("ntok"))
 

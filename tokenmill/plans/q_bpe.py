@@ -3,6 +3,8 @@ format (V6, V8, E1, E9, E11, S3)."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from tokenmill.constants import MAX_TGT_LEN
@@ -22,7 +24,7 @@ _memo: dict = {}
 def trained(spark, sf):
     """BPE vocabulary of the parallel corpus (both sides), memoised per
     session and scale so the encode/decode queries reuse one training run."""
-    key = (id(spark), sf, VOCAB_SIZE)
+    key = (spark.sparkContext.applicationId, sf, VOCAB_SIZE)
     if key not in _memo:
         corpus = corpus_flatten(FX.pairs(spark, sf))
         vocab, merges = BP.bpe_train(corpus, "text", VOCAB_SIZE)
@@ -64,7 +66,7 @@ def q_roundtrip_refs(spark, sf):
 def q_load_or_train(spark, sf):
     from tokenmill.operators.vocab_store import load_or_train
     from tokenmill.session import checkpoint_dir
-    path = f"{checkpoint_dir(spark).rstrip('/')}/vocab-store/pairs-{abs(hash(sf))}-{VOCAB_SIZE}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/vocab-store/pairs-{hashlib.md5(sf.encode()).hexdigest()[:12]}-{VOCAB_SIZE}"
     corpus = corpus_flatten(FX.pairs(spark, sf))
     return load_or_train(spark, path, corpus, "text", VOCAB_SIZE)
 

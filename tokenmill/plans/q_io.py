@@ -51,13 +51,14 @@ def q_read_document(spark, sf):
 
 
 @register("read_run_logs", sql=with_ctes(FX.SQL_LOG_LINES) + """
-SELECT CAST(run AS VARCHAR) AS run, line, 'stdout' AS section FROM log_lines""")
+SELECT CAST(run AS VARCHAR) AS run, line_no, line, 'stdout' AS section FROM log_lines""")
 def q_read_run_logs(spark, sf):
     """Per-run log files written from the log-line fixture, read back."""
     path = _scratch(spark, "logs")
     LG.write_run_logs(FX.log_lines(spark, sf), path)
     back = LG.read_run_logs(spark, path)
-    return back.where(F.col("line") != "").select("run", "line", "section")
+    # the file's first line is the stdout marker, so the n-th line is line n
+    return back.where(F.col("line") != "").select("run", "line_no", "line", "section")
 
 
 @register("write_training_text", sql=with_ctes(FX.SQL_PAIRS) + """
@@ -100,25 +101,19 @@ def q_bulk_translate(spark, sf):
     vocab, _ = trained(spark, sf)
     p = FX.pairs(spark, sf)
     enc = BP.bpe_encode(BP.bpe_encode(p, "src", vocab, "src_raw"), "tgt", vocab, "tgt_raw")
-    return D.bulk_translate(p, vocab, D.translation_scores(enc), "beam", max_len=12)
+    return D.bulk_translate(p, vocab, D.translation_scores(enc), "beam", max_len=128)
 
 
 @register("score_batches")
 def q_score_batches(spark, sf):
-    """Padded batches (E6) scored by a user scorer through mapInPandas."""
+    """Padded batches (E6) scored against the bigram table by a join, in the
+    form that ``corpus_loss`` takes (target, logp)."""
     vocab, _ = trained(spark, sf)
     p = FX.pairs(spark, sf)
-    enc = BP.bpe_encode(BP.bpe_encode(p, "src", vocab, "src_raw"), "tgt", vocab, "tgt_raw")
-    enc = enc.select("pair_id", wrap_truncate("src_raw", 128).alias("src_ids"), wrap_truncate("tgt_raw", 128).alias("tgt_ids"))
+    enc = cut_lineage(BP.bpe_encode(BP.bpe_encode(p, "src", vocab, "src_raw"), "tgt", vocab, "tgt_raw"))
+    ids = enc.select("pair_id", wrap_truncate("src_raw", 128).alias("src_ids"), wrap_truncate("tgt_raw", 128).alias("tgt_ids"))
     # only the key and the id arrays reach the index checkpoint
-    padded = pad_batches(sequential_batches(enc, "pair_id", 16), "batch", "src_ids", "tgt_ids")
-    sc = D.translation_scores(BP.bpe_encode(BP.bpe_encode(p, "src", vocab, "src_raw"), "tgt", vocab, "tgt_raw"))
-    bigram = sc.groupBy("prev", "nxt").agg(F.max("logp").alias("logp"))
-    rows = bigram.limit(1_000_001).collect()  # bounded by vocab_size^2, checked
-    if len(rows) > 1_000_000:
-        raise ValueError("bigram table too large to ship to the scorer")
-    table = {(int(r["prev"]), int(r["nxt"])): float(r["logp"]) for r in rows}
-    bc = spark.sparkContext.broadcast(table)
-    scored = D.score_batches(padded.select("pair_id", "tgt_in_pad", "tgt_out_pad"), D.TableScorer(bc),
-                             "pair_id bigint, pos int, target bigint, logp double")
+    padded = pad_batches(sequential_batches(ids, "pair_id", 16), "batch", "src_ids", "tgt_ids")
+    bigram = D.translation_scores(enc).groupBy("prev", "nxt").agg(F.max("logp").alias("logp"))
+    scored = D.table_scores(padded, bigram, "pair_id", "tgt_in_pad", "tgt_out_pad")
     return scored.select("pair_id", "pos", "target", F.round("logp", 6).alias("logp"))

@@ -179,10 +179,10 @@ def q_wrap_truncate(spark, sf):
 
 
 @register("wrap_pad_fixed", sql=SQL_ENC + """
-SELECT pair_id, array_to_string(list_resize(list_slice(list_concat([1], src_raw, [2]), 1, 64), 64, 0), ' ') AS src_fixed FROM enc""")
+SELECT pair_id, array_to_string(list_resize(list_slice(list_concat([1], src_raw, [2]), 1, 128), 128, 0), ' ') AS src_fixed FROM enc""")
 def q_wrap_pad_fixed(spark, sf):
     e, _ = encoded_pairs(spark, sf)
-    return e.select("pair_id", ids_text(wrap_pad_fixed("src_raw", 64)).alias("src_fixed"))
+    return e.select("pair_id", ids_text(wrap_pad_fixed("src_raw", 128)).alias("src_fixed"))
 
 
 @register("teacher_shift", sql=SQL_ENC + """

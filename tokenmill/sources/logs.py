@@ -26,23 +26,22 @@ def write_run_logs(lines: DataFrame, path: str, partitions: int | None = None) -
 
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(run, line_no, section, line). Each part file is read whole and
-    exploded with positions; a run's files are ordered by name and offset by
-    a per-run prefix sum of their line counts, and the stderr section starts at
-    the marker (a running max), so no task ever holds a whole run."""
-    from tokenmill.operators.indexing import grouped_scan
-    f = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"run=([^/]+)", 1).alias("run"),
-        F.col("_metadata.file_name").alias("file"), F.split(F.col("value"), "\n").alias("lines"))
-    # every written line ends with a newline: drop the empty piece after the last one
-    f = f.withColumn("lines", F.when(F.element_at("lines", -1) == "", F.slice("lines", F.lit(1), F.size("lines") - 1))
-                     .otherwise(F.col("lines")))
-    sizes = grouped_scan(f.select("run", "file", F.size("lines").cast("bigint").alias("n")), ["run"], ["file"],
-                         "n", "sum", "off")
-    ex = f.join(sizes.select("run", "file", "off"), ["run", "file"]).select(
-        "run", F.posexplode("lines").alias("pos", "line"), "off")
-    ex = ex.select("run", (F.col("off") + F.col("pos")).alias("line_no"), "line",
-                   (F.col("line") == STDERR_MARK).cast("int").alias("_m"))
+    """(run, line_no, section, line). A run is a folder ``run=<id>`` (all its
+    files, in name order) or one flat file, named after it: ``<run>_log.txt`` or
+    ``<run>.log``. Files are read by lines and split like any text (a huge log is
+    many tasks): a line's place is (file, start of its split, order in the split),
+    ``line_no`` counts from 0 per run, and the stderr section starts at its
+    marker (a running max over the run's lines). Without markers all is stdout."""
+    from tokenmill.operators.indexing import grouped_scan, sequence_index
+    raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nth"),
+        F.col("value").alias("line"))
+    folder = F.regexp_extract("path", r"/run=([^/]+)/", 1)
+    flat = F.regexp_replace("file", r"(_log\.txt|\.log|\.txt)$", "")
+    raw = raw.select(F.when(folder != "", folder).otherwise(flat).alias("run"), "file", "start", "nth", "line")
+    ex = sequence_index(raw, ["file", "start", "nth"], ["run"], name="line_no", start=0).select(
+        "run", "line_no", "line", (F.col("line") == STDERR_MARK).cast("int").alias("_m"))
     ex = grouped_scan(ex, ["run"], ["line_no"], "_m", "max", "_err", inclusive=True)
     section = F.when(F.col("_err") > 0, "stderr").otherwise("stdout")
     return ex.where(~F.col("line").isin(STDOUT_MARK, STDERR_MARK)).select(
