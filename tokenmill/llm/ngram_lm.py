@@ -362,11 +362,11 @@ def answer(table: pa.Table, total: int, distinct: int, often: dict, kappa: float
             score += got[1]
             n_known += got[2]
     at = 0
-    for r in rows:  # sums of the texts met here only, as floats: they are added up in doubles
+    for r in rows:  # sums of the texts met here only; the quantised score as floats, added up in doubles
         idx = np.flatnonzero(touched[at:at + r["texts"]])
         k = n_known[at + idx]
         small, few = r["texts"] <= 65536, k.max(initial=0) < 65536
-        yield (r["chunk"], idx.astype(np.uint16 if small else np.uint32).tobytes(), base[at + idx].astype(np.float32).tobytes(),
+        yield (r["chunk"], idx.astype(np.uint16 if small else np.uint32).tobytes(), base[at + idx].tobytes(),
                score[at + idx].astype(np.float32).tobytes(), k.astype(np.uint16 if few else np.uint32).tobytes())
         at += r["texts"]
 
@@ -489,7 +489,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
         base, score, known = np.zeros(len(size)), np.full(len(size), math.log10(mu_bos)), np.zeros(len(size), np.int64)
         for r in rows:
             if r["base"] is not None:
-                part = np.frombuffer(r["base"], np.float32)
+                part = np.frombuffer(r["base"], np.float64)
                 width = {2: np.uint16, 4: np.uint32}
                 if len(part):
                     at = np.frombuffer(r["text"], width[len(r["text"]) // len(part)])
