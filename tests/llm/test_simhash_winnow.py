@@ -137,3 +137,15 @@ def test_decontamination_stays_in_the_engine(spark):
     bench = df.select(F.col("doc_id").alias("item_id"), "text")
     plan = W.decontaminate(df, bench)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def test_one_row_per_component_whatever_the_key(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(60)) for w in ("ash", "birch", "cedar", "elm")]
+    rows = [(1, texts[0], "a"), (1, texts[1], "b"), (1, texts[1], "b"),  # one key on two texts, one of them twice
+            (2, texts[1], "c"), (None, texts[2], "d"), (None, texts[2], "d"), (None, texts[2], "d"),  # copies without a key
+            (None, texts[0], "e"), (5, texts[3], "f"), (1, texts[3], "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = sorted((r.text, r.doc_id) for r in S.one_per_group(df).collect())
+    assert kept == sorted([(texts[0], 1), (texts[1], 1), (texts[2], None), (texts[3], 1)])
+    hot = spark.createDataFrame([(1, " ".join(f"w{i}x{j}" for j in range(30)), "") for i in range(50)], df.schema)
+    assert S.one_per_group(hot).count() == 50

@@ -16,9 +16,9 @@
 3. ``components`` joins the links.
 
 Cases: a null, empty or blank text has fingerprint zero, linked like any other;
-fewer words than a shingle make one shingle of all words. Null keys keep their
-row, take no part in the smallest key, and get a null component if no key of the
-component is known. Repeated rows share their class. Other columns are ignored.
+fewer words than a shingle make one shingle of all words. Null keys take no part
+in the smallest key, and get a null component if no key of the component is
+known. Repeated rows share their class. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,6 +82,23 @@ def text_fingerprints(texts: pa.Array, shingle: int) -> np.ndarray:
     return out
 
 
+def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, out: str = "fp") -> DataFrame:
+    """The rows, unchanged, with their fingerprint (long) as column ``out``."""
+    text_batches(docs.sparkSession)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
+
+    def run(batches):
+        for b in batches:
+            texts = as_text(b.column(text))
+            for at, n in slices(texts, 2 << 20):
+                fp = text_fingerprints(texts.slice(at, n), shingle)
+                part = b.slice(at, n)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp.view(np.int64))],
+                                                 names=[*part.schema.names, out])
+
+    return docs.mapInArrow(run, f"{fields}`{out}` long")
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """(key, fp long) of every row."""
     text_batches(docs.sparkSession)
@@ -224,12 +241,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3,
                   max_bits: int = 3) -> DataFrame:
-    """The row with the smallest key of every component (one of them if the key
-    repeats); rows with a null key cannot be named and stay."""
-    from pyspark.sql import Window
-    keepers = near_duplicates(docs, key, text, shingle, max_bits).where(F.col(key) == F.col("component_id")) \
-        .select(F.col(key).alias("__keep")).distinct()
-    kept = docs.join(keepers, docs[key] == F.col("__keep"), "left") \
-        .where(F.col("__keep").isNotNull() | F.col(key).isNull())
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(key))
-    return kept.withColumn("__nth", nth).where((F.col("__nth") == 1) | F.col(key).isNull()).select(*docs.columns)
+    """One row of every component, whatever its key: the smallest key (nulls
+    last), then the smallest text hash, then any. Rows are told apart by an id
+    that a checkpoint freezes, so a key on several texts removes none of them."""
+    marked = cut_lineage(with_fingerprints(docs, text, shingle, "__fp").withColumn("__row", F.monotonically_increasing_id()))
+    rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("text"),
+                    F.col("__row").alias("row"))
+    classes = cut_lineage(marked.select("__fp", rank.alias("low")).groupBy("__fp").agg(F.min("low").alias("low")))
+    root = components(links(classes.select("__fp"), "__fp", max_bits))
+    first = classes.join(root, classes["__fp"] == root["node"], "left") \
+        .groupBy(F.coalesce("root", "__fp").alias("root")).agg(F.min("low").alias("low"))
+    return marked.join(first.select(F.col("low.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
