@@ -140,6 +140,27 @@ def test_language_id(spark):
     assert kept.columns == df.columns and kept.count() == df.count() - 3
 
 
+def test_unspaced_texts_are_learned(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(120):  # every text is one word of more than 32 letters
+        units = ("schaft", "ung", "keit", "heit") if i % 2 else ("tion", "ing", "ness", "ful")
+        rows.append((i, ".".join(rng.choice(units, 60)), "aa" if i % 2 else "bb"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, "doc_id", "text", "lang", fit_rows=40, rounds=2)
+    assert model["languages"] == ["aa", "bb"]
+    out = langid.language_id(df, fit_rows=40, rounds=2).collect()
+    assert np.mean([r.lang_pred == ("aa" if r.doc_id % 2 else "bb") for r in out if r.held_out]) > 0.9
+
+
+def test_expected_counts_of_long_words():
+    table, prob = PieceTable(PIECES), np.full(len(PIECES), 1e-4)
+    cp = code_points(pa.array(["x" * 4000 + "ab" * 3000], pa.large_string()), 10_000)
+    got = table.expected(cp, prob, 1e-6, np.ones(1))
+    spelled = sum(len(p) * got[i] for i, p in enumerate(PIECES))
+    assert np.isfinite(got).all() and math.isclose(spelled, 6000, rel_tol=1e-6)
+
+
 def test_language_id_without_training_rows(spark):
     df = docs_of(spark).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.language_id(df).collect()} == {"und"}

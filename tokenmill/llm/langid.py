@@ -7,7 +7,8 @@ words are scored once per slice and the text is a sum of their logarithms.
 
 Fit: piece probabilities are the classifier, so they may come from a bounded
 sample: about ``fit_rows`` labelled training rows per language, chosen by a hash
-of the key. The E-steps run as Spark tasks over the sample's word table; only
+of the key; every word of the sampled rows counts, however long (a line of a
+script without spaces is one word). The E-steps run as Spark tasks over the sample's word table; only
 the (language, piece) sums (languages x vocabulary) reach the driver.
 
 Cases: a text that is null or has no letter gets ``und`` with score 0; without
@@ -30,7 +31,7 @@ from tokenmill.llm.common import (PIECE_MODEL, as_text, dictionary, group_sums,
                                   text_batches, worker_store)
 from tokenmill.llm.pieces import SPACE, PieceTable, by_length, code_points, load_pieces
 
-FIT_WORD_CHARS = 32  # longer words take no part in the fit
+FIT_CELLS = 200_000  # characters that one E-step call works on (a longer word is one call)
 CACHE_WORDS = 150_000
 MAX_LANGUAGES = 1024  # the piece probabilities are a (pieces x languages) array
 UND = "und"
@@ -57,7 +58,7 @@ def fit(train: DataFrame, key: str, text: str, lang: str, model_path: str = PIEC
     sample = known.join(F.broadcast(sizes), "lang").where(u < F.lit(float(fit_rows)) / F.col("n"))
     word = F.regexp_replace(F.lower(F.col("w")), r"[^\p{L}\p{M}]+", "")
     words = (sample.select("lang", F.explode(F.split("t", r"[\x09-\x0D\x20]+")).alias("w"))
-             .select("lang", word.alias("w")).where((F.col("w") != "") & (F.length("w") <= FIT_WORD_CHARS))
+             .select("lang", word.alias("w")).where(F.col("w") != "")
              .groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))).checkpoint()
     langs = sorted(r[0] for r in words.select("lang").distinct().collect())
     if not langs:
@@ -81,8 +82,9 @@ def fit(train: DataFrame, key: str, text: str, lang: str, model_path: str = PIEC
                     mine = np.flatnonzero(of == i)
                     own = w.take(pa.array(mine))
                     for n, idx in by_length(own):
-                        total[:, i] += tables.value.expected(code_points(own.take(pa.array(idx)), n),
-                                                             now.value[:, i], unk, weight[mine[idx]])
+                        for part in np.array_split(idx, max(1, len(idx) * n // FIT_CELLS)):
+                            total[:, i] += tables.value.expected(code_points(own.take(pa.array(part)), n),
+                                                                 now.value[:, i], unk, weight[mine[part]])
             for i, name in enumerate(langs):
                 at = np.flatnonzero(total[:, i])
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(at), pa.string()),

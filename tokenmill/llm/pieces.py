@@ -172,25 +172,25 @@ class PieceTable:
 
     def expected(self, cp: np.ndarray, prob: np.ndarray, unk: float, weight: np.ndarray) -> np.ndarray:
         """Expected piece counts under one language's ``prob`` (one E-step),
-        each row counted ``weight`` times. For words of bounded length."""
+        each row counted ``weight`` times. Forward sums are kept as logarithms
+        per position and backward sums relative to them, so length is no limit."""
         n_rows, n = cp.shape
-        gain = 256.0  # keeps products of about one such factor a character near 1
         table = np.append(prob, unk)
         ends = self._by_end(cp)
-        alpha = np.zeros((n + 1, n_rows))
-        alpha[0] = 1
-        for end, arcs in enumerate(ends):
-            for size, row, ids in arcs:
-                alpha[end][row] += alpha[end - size][row] * table[ids] * gain ** size
-        beta = np.zeros((n + 1, n_rows))
-        beta[n] = 1
+        total = np.zeros((n + 1, n_rows))  # log of the summed probability of every prefix
+        for end in range(1, n + 1):
+            cur = np.zeros(n_rows)
+            for size, row, ids in ends[end]:
+                cur[row] += table[ids] * np.exp(total[end - size][row] - total[end - 1][row])
+            total[end] = total[end - 1] + np.log(np.maximum(cur, 1e-300))
+        through = np.zeros((n + 1, n_rows))  # share of the row's probability that has a cut here
+        through[n] = 1
         counts = np.zeros(self.size + 1)
-        scale = weight / np.maximum(alpha[n], 1e-300)
         for end in range(n, 0, -1):
             for size, row, ids in ends[end]:
-                step = table[ids] * gain ** size * beta[end][row]
-                beta[end - size][row] += step
-                np.add.at(counts, ids, alpha[end - size][row] * step * scale[row])
+                step = table[ids] * np.exp(total[end - size][row] - total[end][row]) * through[end][row]
+                through[end - size][row] += step
+                np.add.at(counts, ids, step * weight[row])
         return counts[:-1]
 
 
