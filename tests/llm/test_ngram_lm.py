@@ -79,6 +79,19 @@ def test_scores(spark, monkeypatch, shard):
         assert abs(g[6] - w[6]) <= 0.03 * w[2]
 
 
+@pytest.mark.parametrize("shard", [L.SHARD_BYTES, 3000])
+def test_every_context_counts_whatever_the_size(spark, monkeypatch, shard):
+    # the share of a frequent word and unrelated rows do not change what a context's pairs weigh
+    monkeypatch.setattr(L, "SHARD_BYTES", shard)
+    monkeypatch.setattr(L, "FREQUENT", 1e-2)
+    rows = [*ROWS, *((300 + i, " ".join(f"other{i}x{j}" for j in range(200)), 0.0) for i in range(100))]
+    got = L.score_documents(spark.createDataFrame(rows, "doc_id long, text string, score double").repartition(3)).collect()
+    monkeypatch.setattr(L, "FREQUENT", 0)  # brute: every context by its own count
+    order = lambda r: (r[0] is None, r[0] or 0)
+    for g, w in zip(sorted(map(tuple, got), key=order), sorted(brute(rows), key=order), strict=True):
+        assert g[:5] == w[:5] and math.isclose(g[5], w[5], rel_tol=1e-9) and abs(g[6] - w[6]) <= 0.03 * w[2]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert L.score_documents(df).count() == 0

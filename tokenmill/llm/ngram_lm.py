@@ -4,19 +4,24 @@ Tokens: A-Z lower-cased words plus one end token a text. The model mixes
 
     p(w | v) = mu(v) p1(w) + (1 - mu(v)) c(v w) / c(v),
     p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),
-    mu(v) = max(MIX, kappa / (c(v) + kappa)),
+    mu(v) = MIX if c(v) > 0, else 1,
 
-so log p(w | v) = log mu(v) + log(p1(w) + r(v) c(v w)) with r(v) = (1 - mu) / (mu
-c(v)), which is 1 / kappa for every context but the frequent ones. The first
-term depends on v alone, the second is known where w's counts are: a text's
-score is a sum of terms that each live in one word's shard, so every token
-crosses the network once and only sums per text come back.
+whatever the size of the corpus, so log p(w | v) = log mu(v) + log(p1(w) + r(v)
+c(v w)) with r(v) = (1 - MIX) / (MIX c(v)). The first term depends on v alone,
+the second is known where w's counts are and c(v) is brought to: a text's score
+is a sum of terms that each live in one word's shard, so every token crosses the
+network once and only sums per text come back.
 
 1. ``vocabulary``: distinct words per slice, counted per shard: N, V and the
-   frequent words (a bounded list: a share of at least FREQUENT of the text).
+   frequent words (a bounded list: a share of at least FREQUENT of the text). A
+   slice also says which shards' words follow each of its words in training
+   texts, and the counting shard answers each of them once with the word's exact
+   count, so the answers follow the distinct (word, shard) pairs.
 2. Slices send each shard its tokens (word, preceding word, text). A word that
    fills more than a quarter of a shard is split over shards by the preceding
-   word; its count comes from step 1.
+   word; its count comes from step 1. Step 1 does not know these words yet, so
+   the pairs go to the shard of the preceding word, which gets that word's count
+   anyway, or anywhere if both are such words (their counts go to every task).
 3. A shard counts its training tokens and builds the trie in a file that is
    mapped into memory: level 1 holds the words (Elias-Fano coded hashes),
    quantised log p1 and log mu; monotone pointers lead to level 2, the preceding
@@ -252,41 +257,80 @@ def tokens(texts: pa.Array):
     return h, out, size
 
 
+def followers(code: np.ndarray, size: np.ndarray, shard: np.ndarray, shards: int):
+    """Distinct (word, shard of a word that follows it) of the texts, sorted by
+    word; a word that a quarter of the shards or more ask for has one entry with
+    the shard ``shards``, which stands for all."""
+    after = np.ones(len(code), dtype=bool)
+    after[np.cumsum(size) - size] = False  # first tokens follow no word
+    nxt = np.flatnonzero(after)
+    key = np.unique(code[nxt - 1].astype(np.int64) * (shards + 1) + shard[code[nxt]])
+    word, to = key // (shards + 1), key % (shards + 1)
+    many = np.bincount(word, minlength=len(shard)) >= max(8, shards // 4)
+    to[many[word]] = shards
+    key = np.unique(word * (shards + 1) + to)
+    return key // (shards + 1), key % (shards + 1)
+
+
 def vocabulary(docs: DataFrame, shards: int, least: int):
-    """(N, V, {hash: count} of words counted at least ``least`` times); ``docs``
+    """(N, V, {hash: count} of words counted at least ``least`` times, rows
+    (shard, prevs, counts) of the context counts that each shard needs); ``docs``
     has t and held."""
     def count(batches):
         for b in gathered(batches, SLICE):
             texts = as_text(b.column("t").filter(pc.invert(b.column("held"))))
             for at, n in slices(texts, SLICE):
-                h, code, _ = tokens(texts.slice(at, n))
+                h, code, size = tokens(texts.slice(at, n))
                 c = np.bincount(code, minlength=len(h))
                 shard = (h % np.uint64(shards)).astype(np.int64)
+                asks, to = followers(code, size, shard, shards)
+                n_asks = np.bincount(asks, minlength=len(h))
+                begin = np.cumsum(n_asks) - n_asks
                 order = np.argsort(shard, kind="stable")
                 cut = np.flatnonzero(np.diff(shard[order])) + 1
+                parts = []
                 for idx in np.split(order, cut):
-                    yield pa.RecordBatch.from_pydict({
-                        "shard": pa.array([shard[idx[0]]], pa.int32()), "h": pa.array([h[idx].tobytes()]),
-                        "c": pa.array([c[idx].astype(np.uint32).tobytes()])})
+                    k = n_asks[idx]
+                    mine = np.repeat(begin[idx] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+                    parts.append((shard[idx[0]], h[idx].tobytes(), c[idx].astype(np.uint32).tobytes(),
+                                  k.astype(np.uint32).tobytes(), to[mine].astype(ask).tobytes()))
+                types = [pa.int32(), *[pa.binary()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts), types)],
+                                                 names=["shard", "h", "c", "asks", "to"])
+
+    ask = np.uint16 if shards < 65536 else np.uint32
 
     def total(key, table):
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("h").to_pylist()])
-        c = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("c").to_pylist()]).astype(np.int64)
-        u, inv = np.unique(h, return_inverse=True)
-        n = np.bincount(inv, weights=c).astype(np.int64)
+        col = {name: np.concatenate([np.frombuffer(x, t) for x in table.column(name).to_pylist()])
+               for name, t in (("h", np.uint64), ("c", np.uint32), ("asks", np.uint32), ("to", ask))}
+        del table
+        u, inv = np.unique(col["h"], return_inverse=True)
+        n = np.bincount(inv, weights=col["c"]).astype(np.int64)
         often = n >= least
-        return pa.table({"n": [int(n.sum())], "v": [len(u)], "h": pa.array([u[often].view(np.int64)], pa.list_(pa.int64())),
-                         "c": pa.array([n[often]], pa.list_(pa.int64()))})
+        # a word's own shard needs its count too: pairs with a split word go there
+        to = np.concatenate((col["to"], np.full(len(u), key[0].as_py())))
+        of = np.concatenate((np.repeat(inv, col["asks"]), np.arange(len(u))))
+        pairs = np.unique(to * np.int64(len(u)) + of)
+        to, of = pairs // len(u), pairs % len(u)
+        at = np.searchsorted(to, np.arange(shards + 1))
+        everywhere = of[at[shards]:]
+        rows = [(int(n.sum()), len(u), u[often].view(np.int64), n[often], None, None, None)]
+        for s in np.arange(shards) if len(everywhere) else np.unique(to):
+            idx = np.concatenate((of[at[s]:at[s + 1]], everywhere))
+            rows.append((0, 0, [], [], s, u[idx].tobytes(), n[idx].tobytes()))
+        types = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 2, pa.int32(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), types)],
+                        names=["n", "v", "h", "c", "shard", "prevs", "counts"])
 
     src = docs.select("t", "held")
-    got = src.mapInArrow(count, "shard int, h binary, c binary").groupBy("shard") \
-        .applyInArrow(total, "n long, v long, h array<long>, c array<long>")
+    got = src.mapInArrow(count, "shard int, h binary, c binary, asks binary, to binary").groupBy("shard") \
+        .applyInArrow(total, "n long, v long, h array<long>, c array<long>, shard int, prevs binary, counts binary")
     got = cut_lineage(got)
     n, v = got.agg(F.sum("n"), F.sum("v")).first()
     often = {}
     for r in got.where(F.size("h") > 0).select("h", "c").toLocalIterator():
         often |= {k % (1 << 64): c for k, c in zip(r[0], r[1])}
-    return n or 0, v or 0, often
+    return n or 0, v or 0, often, got.where("shard is not null").select("shard", "prevs", "counts")
 
 
 def _mix(h: np.uint64):
@@ -306,7 +350,9 @@ def send(texts: pa.Array, train: np.ndarray, shards: int, hot: np.ndarray):
     shard = (h % np.uint64(shards)).astype(np.int64)[code]
     split = np.isin(h, hot)[code]
     if split.any():
-        shard[split] = (_mix(h[code[split]] ^ _mix(hp[prev[split]])) % np.uint64(shards)).astype(np.int64)
+        w, v = h[code[split]], hp[prev[split]]
+        both = (v == BOS) | np.isin(v, hot)
+        shard[split] = (np.where(both, _mix(w ^ _mix(v)), v) % np.uint64(shards)).astype(np.int64)
     rank = np.argsort(np.argsort(h, kind="stable"), kind="stable")
     by_hash = np.sort(h)
     key = shard * len(h) + rank[code]
@@ -328,11 +374,27 @@ SENT = "chunk long, shard int, words binary, runs binary, prevs binary, at binar
 SENT_NAMES = [f.split()[0] for f in SENT.split(", ")]
 
 
-def answer(table: pa.Table, total: int, distinct: int, often: dict, kappa: float):
+def context_counts(prevs: np.ndarray, told: list, often: dict) -> np.ndarray:
+    """Training count of every one of the sorted ``prevs`` (0 if not told)."""
+    out = np.zeros(len(prevs))
+    if not len(prevs):
+        return out
+    for h, c in [*told, (np.fromiter(often, np.uint64, len(often)), np.fromiter(often.values(), np.int64, len(often)))]:
+        at = np.minimum(np.searchsorted(prevs, h), len(prevs) - 1)
+        hit = prevs[at] == h
+        out[at[hit]] = c[hit]
+    return out
+
+
+def answer(table: pa.Table, total: int, distinct: int, often: dict):
     """(chunk, texts, base part, score part, known) for one shard."""
     z = total + 0.5 * (distinct + 1)
-    rows = [r for r in table.to_pylist() if r["words"]]
+    rows = table.to_pylist()
+    told = [(np.frombuffer(r["prevs"], np.uint64), np.frombuffer(r["at"], np.int64)) for r in rows if r["chunk"] is None]
+    rows = [r for r in rows if r["words"]]
     del table
+    if not rows:
+        return
     words, runs, prevs, cur, prv, txt, train = [], [], [], [], [], [], []
     n_cur = n_prev = n_text = 0
     for r in rows:
@@ -352,12 +414,14 @@ def answer(table: pa.Table, total: int, distinct: int, often: dict, kappa: float
     prv = to_prev.astype(np.int32)[np.concatenate(prv)]
     txt, train = np.concatenate(txt), np.concatenate(train)
     del to_word, to_prev
+    c_prev = context_counts(prevs, told, often)
+    del told
     base, score, n_known = np.zeros(n_text), np.zeros(n_text), np.zeros(n_text, dtype=np.int64)
     touched = np.bincount(txt, minlength=n_text) > 0
     for part in range(PARTS):  # a part of the words at a time bounds the working memory
         mine = np.flatnonzero(cur % PARTS == part)
         if len(mine):
-            got = _solve_part(words, prevs, cur[mine], prv[mine], txt[mine], train, z, often, kappa)
+            got = _solve_part(words, prevs, c_prev, cur[mine], prv[mine], txt[mine], train, z, often)
             base += got[0]
             score += got[1]
             n_known += got[2]
@@ -371,7 +435,7 @@ def answer(table: pa.Table, total: int, distinct: int, often: dict, kappa: float
         at += r["texts"]
 
 
-def _solve_part(all_words, all_prevs, cur, prv, txt, train, z, often, kappa):
+def _solve_part(all_words, all_prevs, all_c_prev, cur, prv, txt, train, z, often):
     """(base, score, known) per text of these tokens, whose words are all here."""
     n_text = len(train)
     used_words, cur = np.unique(cur, return_inverse=True)
@@ -392,14 +456,12 @@ def _solve_part(all_words, all_prevs, cur, prv, txt, train, z, often, kappa):
     # the trie holds what training has: words, and pairs seen at least once
     known = np.flatnonzero(count > 0)
     have = np.flatnonzero(seen > 0)
-    c_prev = np.zeros(len(prevs))
-    for i in np.flatnonzero(np.isin(prevs, frequent)):
-        c_prev[i] = often[int(prevs[i])]
-    r_prev = np.full(len(prevs), 1 / kappa)
-    big = c_prev > kappa * (1 - MIX) / MIX
-    r_prev[big] = (1 - MIX) / (MIX * c_prev[big])
+    c_prev = all_c_prev[used_prevs]
+    if not c_prev[before[have]].all():
+        raise RuntimeError("the documents changed between two reads: a context of the training texts has no count")
+    r_prev = (1 - MIX) / (MIX * np.maximum(c_prev, 1))
     p1 = (count[known] + 0.5) / z
-    mu = np.maximum(MIX, kappa / (count[known] + kappa))
+    mu = np.full(len(known), MIX)
     index = np.full(len(words), -1)
     index[known] = np.arange(len(known))
     used = np.unique(before[have])
@@ -434,9 +496,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
                                      F.sum((~F.col("held")).cast("long"))).first()
     size, train_rows = (size or 0) + 2 * rows, train_rows or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    kappa_at = max(1.0, FREQUENT * size / 6)  # contexts from this count on are frequent
-    kappa = kappa_at * MIX / (1 - MIX)
-    total, distinct, often = vocabulary(src, shards, int(math.ceil(kappa_at)))
+    total, distinct, often, contexts = vocabulary(src, shards, max(1, math.ceil(FREQUENT * size / 6)))
     often[BOS] = train_rows
     quarter = SHARD_BYTES / 6 / 4
     shared = spark.sparkContext.broadcast(
@@ -472,14 +532,13 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
                 out.append((table.column("chunk")[i].as_py(), None, None, None, None, r, table.column("text")[i].as_py()))
         part = table.filter(pc.is_null(table.column("rows")))
         if part.num_rows:
-            out += [(*a, None, None) for a in answer(part, total, distinct, shared.value[0], kappa)]
+            out += [(*a, None, None) for a in answer(part, total, distinct, shared.value[0])]
         del part
         pa.default_memory_pool().release_unused()
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(types), types)],
                                     names=[f.split()[0] for f in back.split(", ")])
 
-    z = total + 0.5 * (distinct + 1)
-    mu_bos = max(MIX, kappa / (train_rows + kappa))
+    mu_bos = MIX if train_rows else 1.0
 
     def gather(_, table):
         rows = table.to_pylist()
@@ -500,7 +559,10 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
                          base, score],
                         names=["k", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    out = (src.mapInArrow(chunks, SENT).groupBy("shard").applyInArrow(solve, back).groupBy("chunk")
+    none = {c: F.lit(None).cast(t) for c, t in (f.split() for f in SENT.split(", "))}
+    counts = contexts.select(*[c.alias(n) for n, c in (none | {"shard": F.col("shard"), "prevs": F.col("prevs"),
+                                                               "at": F.col("counts")}).items()])
+    out = (src.mapInArrow(chunks, SENT).unionByName(counts).groupBy("shard").applyInArrow(solve, back).groupBy("chunk")
            .applyInArrow(gather, f"k {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                                  "base_score double, score double"))
     return out.withColumnRenamed("k", key)
