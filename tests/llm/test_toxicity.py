@@ -81,3 +81,24 @@ def test_passages_and_missing_classes(spark):
 def test_tokens_in_one_bucket_per_stem():
     bucket, n = T.token_buckets(pa.array(["Vile, vile! 12", ""], pa.large_string()))
     assert n.tolist() == [3, 0] and bucket[0] == bucket[1] > 0 and bucket[2] == 0
+
+
+def test_tokens_do_not_share_counts(spark):
+    import itertools
+    import zlib
+    want = zlib.crc32(b"vile") % ((1 << 18) - 1)  # clean words that once fell into the toxic word's bucket
+    words = ("".join(t) for t in itertools.product("abcdefghijklm", repeat=6))
+    same = list(itertools.islice((w for w in words if zlib.crc32(w.encode()) % ((1 << 18) - 1) == want), 4))
+    rng = np.random.default_rng(2)
+    rows, labels = [], []
+    for i in range(600):
+        w = [f"w{a}" for a in rng.choice(list("abcdefghijklmnop"), 30)]
+        w[5] = w[20] = "vile" if i % 5 == 0 else same[i % 4]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 5 == 0)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = T.fit(docs, marks, "doc_id", "text", "toxic")
+    got = model["scores"].of(pa.array(["vile", same[0], "never", "vile"], pa.large_string()))
+    assert got[0] == got[3] > 1 and got[1] < -T.DRIFT == got[2]
+    out = T.toxicity(docs, marks).where("held_out").collect()
+    assert len(out) > 100 and all(r.predicted == (r.doc_id % 5 == 0) for r in out)

@@ -12,9 +12,10 @@ texts. A text's statistic is the sum of lambda S - ln(K n) over its segments wit
 E below ``max_e``, and a logistic curve of ln(1 + statistic) gives the score.
 
 Fit: token counts cover all labelled training rows (a token counts once a text,
-so one text that repeats a word cannot carry it); tokens fall into a fixed
-number of buckets (crc32), which bounds the table that reaches the driver and
-the tasks whatever the vocabulary. Only K and the two logistic weights come from
+so one text that repeats a word cannot carry it), every token by itself. A token
+whose confidence bound is 0 scores like one never met, so only the others (some
+three toxic texts, or several dozen clean ones) reach the driver and the tasks;
+that loses nothing. Only K and the two logistic weights come from
 a bounded sample of about ``fit_rows`` labelled training rows.
 
 Cases: null and empty texts score like a text without any toxic passage. A key
@@ -27,11 +28,11 @@ the input are ignored.
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,6 @@ from tokenmill.llm.common import as_text, dictionary, held_out, slices, split_wo
 from tokenmill.llm.langid import letters
 from tokenmill.session import cut_lineage
 
-BUCKETS = 1 << 18
 PRIOR = 0.1  # prior mass as a share of the counted tokens
 CONFIDENCE = 1.96
 DRIFT = 0.5
@@ -47,15 +47,48 @@ THRESHOLD = 0.7
 BROADCAST_LABELS = 1_000_000  # (key, label) rows, about 80 MB as a hash table
 
 
-def token_buckets(texts: pa.Array):
-    """Bucket of every token of the texts, and tokens per text. A token is the
-    lower-cased letters of a word; words without letters share bucket 0."""
+def token_codes(texts: pa.Array):
+    """(distinct tokens, code of every token, tokens per text). A token is the
+    lower-cased letters of a word; words without letters share the token '',
+    which has code 0."""
     flat, n = split_words(texts, lower=False)
     dic, code = dictionary(flat)
-    names = letters(dic).to_pylist()
-    bucket = np.fromiter(((zlib.crc32(w.encode()) % (BUCKETS - 1) + 1 if w else 0) for w in names), dtype=np.int64,
-                         count=len(names))
-    return bucket[code], n
+    names, of = dictionary(pa.concat_arrays([pa.array([""], pa.large_string()), letters(dic).cast(pa.large_string())]))
+    return names, of[1:][code], n
+
+
+def token_buckets(texts: pa.Array):
+    """Code of every token of the texts, and tokens per text."""
+    return token_codes(texts)[1:]
+
+
+class TokenScores:
+    """Scores of the listed tokens, found by hash and confirmed by the token
+    itself; any other token has the common score."""
+
+    def __init__(self, tokens: pa.Array, scores: np.ndarray, other: float = -DRIFT):
+        h = self.hashes(tokens)
+        order = np.argsort(h, kind="stable")
+        self.h, self.tokens, self.scores, self.other = h[order], tokens.take(pa.array(order)), scores[order], other
+
+    @staticmethod
+    def hashes(tokens: pa.Array) -> np.ndarray:
+        return np.fromiter((xxhash.xxh64_intdigest(w) for w in tokens.to_pylist()), dtype=np.uint64, count=len(tokens))
+
+    def of(self, tokens: pa.Array) -> np.ndarray:
+        out = np.full(len(tokens), self.other)
+        h = self.hashes(tokens)
+        at, todo = np.searchsorted(self.h, h), np.arange(len(h))
+        while True:
+            todo = todo[at[todo] < len(self.h)]
+            todo = todo[self.h[at[todo]] == h[todo]]
+            if not len(todo):
+                return out
+            same = pc.equal(self.tokens.take(pa.array(at[todo])), tokens.take(pa.array(todo))) \
+                .to_numpy(zero_copy_only=False)
+            out[todo[same]] = self.scores[at[todo[same]]]
+            todo = todo[~same]  # another token of the same hash may follow
+            at[todo] += 1
 
 
 def max_segments(score: np.ndarray):
@@ -82,18 +115,18 @@ def max_segments(score: np.ndarray):
     return [(s, e, r - x) for s, e, x, r, _ in segs]
 
 
-def token_scores(toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Score per bucket from the counts in toxic and other documents."""
-    n1, n0 = toxic.sum(), other.sum()
-    pooled = toxic + other
-    alpha = np.maximum(PRIOR * pooled, 1e-9)
-    mass = alpha.sum()
-    a1, a0 = toxic + alpha, other + alpha
-    odds = np.log(a1 / (n1 + mass - a1)) - np.log(a0 / (n0 + mass - a0))
-    slack = CONFIDENCE * np.sqrt(1 / a1 + 1 / a0)
-    low = np.sign(odds) * np.maximum(np.abs(odds) - slack, 0)
-    low = np.where((pooled > 0) & (low > 0), low, np.maximum(low, -1.0))
-    return np.where(pooled > 0, low, 0.0) - DRIFT
+def token_bound(toxic, other, n1, n0, log=np.log, sqrt=np.sqrt):
+    """(log-odds, its slack) of tokens counted in ``toxic`` and ``other``
+    documents, of ``n1`` and ``n0`` counts in all; numbers, arrays or columns."""
+    mass = PRIOR * (n1 + n0)
+    a1, a0 = toxic + (toxic + other) * PRIOR, other + (toxic + other) * PRIOR
+    return log(a1 / (n1 + mass - a1)) - log(a0 / (n0 + mass - a0)), sqrt(1 / a1 + 1 / a0) * CONFIDENCE
+
+
+def token_scores(toxic: np.ndarray, other: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Score per token from the counts in toxic and other documents."""
+    odds, slack = token_bound(toxic, other, n1, n0)
+    return np.maximum(np.sign(odds) * np.maximum(np.abs(odds) - slack, 0), -1.0) - DRIFT
 
 
 def rate(score: np.ndarray, weight: np.ndarray) -> float:
@@ -126,10 +159,10 @@ def _logistic(x, y):
     return float(w[0]), float(w[1])
 
 
-def passages(texts: pa.Array, scores: np.ndarray):
+def passages(texts: pa.Array, scores: TokenScores):
     """The maximal segments of every text, and its token count."""
-    bucket, n = token_buckets(texts)
-    s = scores[bucket]
+    names, code, n = token_codes(texts)
+    s = scores.of(names)[code]
     ends = np.cumsum(n)
     up = np.concatenate(([0], np.cumsum(s > 0)))
     found = [max_segments(s[e - k:e]) if up[e] > up[e - k] else [] for e, k in zip(ends.tolist(), n.tolist())]
@@ -158,34 +191,35 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, fit
         .join(known, F.col("k") == F.col("__k")).select("k", "t", "y")
 
     def count(batches):
-        total = np.zeros((2, BUCKETS), dtype=np.int64)
-        rows = np.zeros(2, dtype=np.int64)
         for b in batches:
             texts, y = as_text(b.column("t")), b.column("y").to_numpy(zero_copy_only=False)
-            rows += np.bincount(y, minlength=2)
             for at, n in slices(texts):
-                bucket, size = token_buckets(texts.slice(at, n))
-                once = np.unique(np.repeat(np.arange(n), size) * BUCKETS + bucket)
-                of = y[at:at + n].astype(np.int64)[once // BUCKETS]
-                total += np.bincount(of * BUCKETS + once % BUCKETS, minlength=2 * BUCKETS).reshape(2, -1)
-        at = np.flatnonzero(total.sum(axis=0))
-        yield pa.RecordBatch.from_pydict({
-            "bucket": np.concatenate((at, [-1])), "n0": np.concatenate((total[0, at], rows[:1])),
-            "n1": np.concatenate((total[1, at], rows[1:]))})
-
-    got = train.mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket") \
-        .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # at most BUCKETS + 1 rows
-    bucket = got.column("bucket").to_numpy()
-    counts = np.zeros((2, BUCKETS))
-    of_rows = np.zeros(2)
-    for c, name in enumerate(("n0", "n1")):
-        v = got.column(name).to_numpy().astype(float)
-        counts[c, bucket[bucket >= 0]] = v[bucket >= 0]
-        of_rows[c] = v[bucket < 0].sum()
-    if not of_rows.all() or not counts.sum(axis=1).all():
+                names, code, size = token_codes(texts.slice(at, n))
+                once = np.unique(np.repeat(np.arange(n), size) * len(names) + code)
+                of = y[at:at + n].astype(np.int64)[once // len(names)]
+                total = np.bincount(of * len(names) + once % len(names), minlength=2 * len(names)).reshape(2, -1)
+                met = np.flatnonzero(total.sum(axis=0))
+                rows = np.bincount(y[at:at + n], minlength=2)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([names.take(pa.array(met)).cast(pa.string()), pa.array([None], pa.string())]),
+                     pa.array(np.append(total[0, met], rows[0])), pa.array(np.append(total[1, met], rows[1]))],
+                    names=["token", "n0", "n1"])
+
+    # one row a token; the null token counts the texts
+    counts = cut_lineage(train.mapInArrow(count, "token string, n0 long, n1 long").groupBy("token")
+                         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    sums = {r.texts: (float(r.n0), float(r.n1)) for r in counts.groupBy(F.col("token").isNull().alias("texts"))
+            .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()}
+    of_rows, (n0, n1) = np.array(sums.get(True, (0.0, 0.0))), sums.get(False, (0.0, 0.0))
+    if not of_rows.all() or not n0 or not n1:
         return None
-    model = {"scores": token_scores(counts[1], counts[0]), "max_e": max_e, "k": 1.0}
-    model["rate"] = rate(model["scores"], counts[0])
+    odds, slack = token_bound(F.col("n1"), F.col("n0"), F.lit(n1), F.lit(n0), F.log, F.sqrt)
+    told = counts.where(F.col("token").isNotNull() & (F.abs(odds) > slack)).toArrow()
+    toxic, other = (told.column(c).to_numpy().astype(float) for c in ("n1", "n0"))
+    listed = token_scores(toxic, other, n1, n0)
+    model = {"scores": TokenScores(told.column("token").combine_chunks().cast(pa.large_string()), listed),
+             "max_e": max_e, "k": 1.0}
+    model["rate"] = rate(np.append(listed, -DRIFT), np.append(other, n0 - other.sum()))
     share = min(1.0, fit_rows / of_rows.sum())
     u = F.pmod(F.xxhash64("k", F.lit("fit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     shared = spark.sparkContext.broadcast(model["scores"])
