@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tokenmill.llm import (langid, ngram_lm, packing, simhash, sp_codec, topk_threshold, toxicity, url_filter, warc,
+from tokenmill.llm import (langid, ngram_lm, packing, prefix_trie, simhash, sp_codec, topk_threshold, toxicity, url_filter, warc,
                            winnow)
 from tokenmill.session import checkpoint_dir as shared_folder
 
@@ -190,3 +190,35 @@ def op9(spark, sf_dir):
     """page_id, warc_type, record_id, refers_to, record: the metadata and the
     conversion record of every page's response."""
     return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
+@_query("op13_prefix_trie", r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda a, i:
+             CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, b)) AS tab),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base,
+        xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+            lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS h
+      FROM (SELECT DISTINCT conv_id FROM t), crc),
+r AS (SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos <= h
+      UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth FROM r),
+f AS (SELECT conv_id AS c, depth, sha256(string_agg(length(role) || ':' || length(text) || ':' || role || text, '')
+             OVER (PARTITION BY conv_id ORDER BY depth)) AS key,
+        len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM n
+      UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+l AS (SELECT *, lag(key) OVER (PARTITION BY c ORDER BY depth) AS up, depth = max(depth) OVER (PARTITION BY c) AS last FROM f),
+g AS (SELECT key, min(c) AS conv_id, any_value(depth) AS depth, any_value(up) AS up, count(*) AS n_convs, any_value(words) AS words,
+        coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE last), '') AS ends FROM l GROUP BY key),
+k AS (SELECT up AS key, count(*) AS n_children FROM g WHERE up IS NOT NULL GROUP BY 1),
+s AS (SELECT a.key, count(*) FILTER (WHERE k.key IS NULL) AS n_leaves, sum((g.n_convs - 1) * g.words)::BIGINT AS saved_tokens
+      FROM g JOIN l AS a ON a.c = g.conv_id AND a.depth <= g.depth LEFT JOIN k ON k.key = g.key GROUP BY 1)
+SELECT g.conv_id, g.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, g.n_convs, coalesce(k.n_children, 0) AS n_children,
+  s.n_leaves, s.saved_tokens, sha256(g.ends) AS ends_sha256
+FROM g LEFT JOIN g AS p ON p.key = g.up LEFT JOIN k ON k.key = g.key JOIN s ON s.key = g.key
+""")
+def op13(spark, sf_dir):
+    """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves,
+    saved_tokens, ends_sha256 of every prefix of the rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
