@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+BYTE_BPE_JSON = "/opt/tokenizers/byte_bpe_50k.json"
 SLICE_BYTES = 4 << 20
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -22,6 +23,20 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_UPPER.lower())
 
 
+def free_name(columns, name: str) -> str:
+    """``name``, with underscores in front until no column is called so (names
+    are compared without case, as Spark does)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column name as it is read in expressions, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def crc_mod(c, m: int) -> Column:
     """crc32 of the value as text, modulo ``m`` (null for a null value)."""
     c = F.col(c) if isinstance(c, str) else c

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tokenmill.llm import (langid, ngram_lm, packing, prefix_trie, simhash, sp_codec, topk_threshold, toxicity, url_filter, warc,
+from tokenmill.llm import (bpe_lexicon, langid, ngram_lm, packing, prefix_trie, simhash, sp_codec, topk_threshold, toxicity, url_filter, warc,
                            winnow)
+from tokenmill.llm.common import BYTE_BPE_JSON
 from tokenmill.session import checkpoint_dir as shared_folder
 
 QUERIES: dict = {}
@@ -222,3 +223,12 @@ def op13(spark, sf_dir):
     """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves,
     saved_tokens, ends_sha256 of every prefix of the rebuilt conversations."""
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@_query("op12_bpe_lexicon")
+def op12(spark, sf_dir):
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; the
+    automaton holds the documents' own frequent words."""
+    docs = table(spark, sf_dir, "documents")
+    lexicon = bpe_lexicon.build(docs, "text", BYTE_BPE_JSON)
+    return bpe_lexicon.round_trip(docs, "doc_id", "text", BYTE_BPE_JSON, lexicon)
