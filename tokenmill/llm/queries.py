@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tokenmill.llm import (bpe_lexicon, langid, ngram_lm, packing, prefix_trie, simhash, sp_codec, topk_threshold, toxicity, url_filter, warc,
+from tokenmill.llm import (bpe_lexicon, langid, ngram_lm, packing, prefix_trie, simhash, sp_codec, spelling, topk_threshold, toxicity, url_filter, warc,
                            winnow)
 from tokenmill.llm.common import BYTE_BPE_JSON
 from tokenmill.session import checkpoint_dir as shared_folder
@@ -232,3 +232,31 @@ def op12(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     lexicon = bpe_lexicon.build(docs, "text", BYTE_BPE_JSON)
     return bpe_lexicon.round_trip(docs, "doc_id", "text", BYTE_BPE_JSON, lexicon)
+
+
+@_query("op11_spelling_variants", r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda a, i:
+             CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, b)) AS tab),
+d AS (SELECT coalesce(doc_id::VARCHAR, '') AS k, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+      FROM documents),
+e AS (SELECT k, run, count(*) AS n FROM d WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(k || ':' || run, ''),
+        lambda s: CASE WHEN unicode(s) < 128 THEN [unicode(s)::BIGINT] ELSE [(192 + unicode(s) // 64)::BIGINT, (128 + unicode(s) % 64)::BIGINT] END))),
+        lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM e, crc),
+o AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM o WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+x AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS short FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM x AS a JOIN x AS b USING (short, i) WHERE a.word <> b.word
+      UNION SELECT a.word, a.n, b.word, b.n FROM x AS a JOIN w AS b ON a.short = b.word
+      UNION SELECT b.word, b.n, a.word, a.n FROM x AS a JOIN w AS b ON a.short = b.word),
+q AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS r, count(*) OVER (PARTITION BY word) AS n_near FROM p),
+f AS (SELECT w.word, w.n, coalesce(q.n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form,
+        CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n FROM w LEFT JOIN q ON q.word = w.word AND q.r = 1),
+t AS (SELECT word, word AS root, form AS next FROM f
+      UNION ALL SELECT t.word, f.word, f.form FROM t JOIN f ON f.word = t.next)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN t ON t.word = f.word WHERE t.next IS NULL
+""")
+def op11(spark, sf_dir):
+    """word, form, root, n, n_near, form_n of the documents' words."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
