@@ -3,6 +3,8 @@ SQL can say the same."""
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
@@ -151,24 +153,35 @@ def _warc_sql() -> str:
     text = "payload"
     for pattern, to in warc.STRIP:
         text = f"regexp_replace({text}, {quote(pattern)}, {quote(to)}, 'g')"
-    for name, to in warc.ENTITIES:
-        text = f"replace({text}, {quote(name)}, {quote(to)})"
+    # references: a rule of its own, part by part behind every ampersand
+    number = "CASE WHEN n = 0 OR n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) ELSE chr(n::INTEGER) END"
+    names = ", ".join(f"({quote(k[:-1])}, {quote(v)})" for k, v in sorted(html5.items()) if k.endswith(";"))
+    spaces = "t"
     for pattern, to in warc.SPACES:
-        text = f"regexp_replace({text}, {quote(pattern)}, {quote(to)}, 'g')"
+        spaces = f"regexp_replace({spaces}, {quote(pattern)}, {quote(to)}, 'g')"
+    part = ("CASE WHEN regexp_matches(x, '^(#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});') "
+            "THEN coalesce(names[split_part(x, ';', 1)], numbers[split_part(x, ';', 1)], '&' || split_part(x, ';', 1) || ';') "
+            "|| substr(x, strpos(x, ';') + 1) ELSE '&' || x END")
+    read = (f"list_transform([list_transform([string_split({text}, '&')], lambda p: p[1] || array_to_string(list_transform(p[2:], "
+            f"lambda x: {part}), ''))[1]], lambda t: trim({spaces}, ' ' || chr(10)))[1]")
     uuid = lambda h: (f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) "
                       f"|| '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12) || '>'")
     size = lambda c: f"strlen({c})::VARCHAR"
     return f"""
-WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
-a AS (SELECT *, concat_ws(chr(31), 'response', page_id::VARCHAR, url, sha256(payload)) AS name,
+WITH names AS (SELECT map_from_entries(list((k, v))) AS names FROM (VALUES {names}) AS t(k, v)),
+numbers AS (SELECT map_from_entries(list((k, {number}))) AS numbers FROM (
+  SELECT DISTINCT k, CASE WHEN k[2] IN ('x', 'X') THEN ('0x' || k[3:])::BIGINT ELSE k[2:]::BIGINT END AS n
+  FROM (SELECT unnest(regexp_extract_all(html, '&(#0*[0-9]{{1,7}}|#[xX]0*[0-9a-fA-F]{{1,6}});', 1)) AS k FROM pages))),
+p AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
+a AS (SELECT *, concat_ws(chr(31), '=response', coalesce('=' || page_id::VARCHAR, '-'), coalesce('=' || url, '-'), '=' || sha256(payload)) AS name,
         'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: '
         || {size('payload')} AS head FROM p),
 b AS (SELECT *, {uuid('sha256(name)')} AS src, 'sha256:' || sha256(payload) AS pd,
-        'sha256:' || sha256(head || {crlf} || {crlf} || payload) AS bd, {text} AS text,
-        regexp_replace(regexp_extract(payload, '(?is)<title\\b[^>]*>(.*?)</title[^>]*>', 1), '[\\r\\n]+', ' ', 'g') AS title,
+        'sha256:' || sha256(head || {crlf} || {crlf} || payload) AS bd, {read} AS text,
+        regexp_replace(regexp_extract(payload, '(?is)<title\\b[^>]*>(.*?)</title\\b', 1), '[\\r\\n]+', ' ', 'g') AS title,
         regexp_extract(payload, '(?i)<html\\b[^>]*lang="([A-Za-z-]*)"', 1) AS lang,
-        len(regexp_extract_all(payload, '(?i)(<a [^>]*href=)')) AS links FROM a),
-c AS (SELECT *, {uuid("sha256('metadata' || chr(31) || src)")} AS mid, {uuid("sha256('conversion' || chr(31) || src)")} AS tid,
+        len(regexp_extract_all(payload, '(?i)(<a [^>]*href=)')) AS links FROM a, names, numbers),
+c AS (SELECT *, {uuid("sha256('=metadata' || chr(31) || '=' || src)")} AS mid, {uuid("sha256('=conversion' || chr(31) || '=' || src)")} AS tid,
         'source-status: HTTP/1.1 200 OK' || {crlf} || 'source-header: Content-Type: text/html; charset=utf-8' || {crlf}
         || 'source-header: Content-Length: ' || {size('payload')} || {crlf} || 'source-block-digest: ' || bd || {crlf}
         || 'source-payload-digest: ' || pd || {crlf} || 'title: ' || title || {crlf} || 'language: ' || lang || {crlf}
