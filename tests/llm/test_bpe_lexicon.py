@@ -79,6 +79,10 @@ def test_long_words_merge_like_short_ones(vocab, monkeypatch):
     words = [bytes(rng.choice(b"theinr ") for _ in range(rng.randrange(1, 200))) for _ in range(300)]
     short = [(monkeypatch.setattr(B, "HEAP", 10**9), vocab.merge(w))[1] for w in words]
     assert [(monkeypatch.setattr(B, "HEAP", 0), vocab.merge(w))[1] for w in words] == short
+    for heap in (0, 10, 40):
+        monkeypatch.setattr(B, "HEAP", heap)
+        flat, begin, n = vocab.merge_many(pa.array([*words, b"", b"a"], pa.large_binary()))
+        assert [flat[b:b + k].tolist() for b, k in zip(begin, n)] == [*short, [], vocab.merge(b"a")]
     assert len(vocab.merge(b"x" * 300_000)) < 300_000
 
 

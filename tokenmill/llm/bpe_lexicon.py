@@ -36,16 +36,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
-from tokenmill.llm.common import (BYTE_BPE_JSON, as_text, dictionary, free_name, prefixed, quoted, slices, text_batches,
-                                  worker_store)
+from tokenmill.llm.common import (BYTE_BPE_JSON, as_text, dictionary, free_name, map_arrow, prefixed, quoted, slices, text_batches,
+                                  with_fields, worker_store)
 from tokenmill.session import cut_lineage
 
 LEXICON = 1 << 16      # most words of the automaton
 LEXICON_BYTES = 48     # longer words are always merged
-MERGED = 1 << 17       # merged words that a worker keeps
-HEAP = 40              # symbols from which merging takes a heap
+HEAP = 40              # bytes from which a word is merged alone, with a heap
+NONE = 1 << 40         # rank of a pair that does not merge
 #: Public split pattern of the byte-level vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Letters and numbers of Unicode 17 and 18 (and those reserved for them), which the
@@ -89,6 +89,10 @@ class Vocabulary:
         for rank, m in enumerate(model["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             self.pairs[ids[a], ids[b]] = (rank, ids[a + b])
+        key = np.array([a << 32 | b for a, b in self.pairs], dtype=np.int64)
+        order = np.argsort(key)
+        self.key = key[order]
+        self.rank, self.new = np.array(list(self.pairs.values()), dtype=np.int64).reshape(-1, 2)[order].T
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token: the leftmost pair of the lowest rank is merged
@@ -110,6 +114,73 @@ class Vocabulary:
             if i < len(found):
                 found[i] = get((ids[i], ids[i + 1]))
 
+    def _look_up(self, a: np.ndarray, b: np.ndarray):
+        """(rank, merged id) of pairs; the rank is NONE where they do not merge."""
+        want = a << 32 | b
+        at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+        return np.where(self.key[at] == want, self.rank[at], NONE), self.new[at]
+
+    def merge_equal(self, symbols: np.ndarray):
+        """(ids in a row, ids per word) of words of one byte length, one word a
+        row of ``symbols``: each step merges the leftmost pair of lowest rank of every
+        word that has one."""
+        n, length = symbols.shape
+        ids, row = np.array(self.byte, dtype=np.int64)[symbols], np.arange(n)
+        done = np.full((n, length), -1, dtype=np.int64)
+        if length < 2 or not len(self.key):
+            return ids.ravel(), np.full(n, length)
+        rank, new = self._look_up(ids[:, :-1], ids[:, 1:])
+        while len(row):
+            at = rank.argmin(axis=1)
+            each = np.arange(len(row))
+            more = rank[each, at] != NONE
+            if not more.all():
+                stop = ~more
+                done[row[stop], :ids.shape[1]] = ids[stop]
+                ids, rank, new, row, at = ids[more], rank[more], new[more], row[more], at[more]
+                if not len(row):
+                    break
+                each = np.arange(len(row))
+            merged = new[each, at]
+            width = ids.shape[1] - 1
+            col = np.arange(width)
+            ids = np.take_along_axis(ids, col + (col > at[:, None]), axis=1)
+            ids[each, at] = merged
+            if width == 1:
+                done[row, :1] = ids
+                break
+            col = col[:-1]
+            gone = col + (col >= at[:, None])
+            rank, new = np.take_along_axis(rank, gone, axis=1), np.take_along_axis(new, gone, axis=1)
+            for i in (at - 1, at):  # the pairs that the merged symbol is part of
+                r = np.flatnonzero((i >= 0) & (i < width - 1))
+                rank[r, i[r]], new[r, i[r]] = self._look_up(ids[r, i[r]], ids[r, i[r] + 1])
+        keep = done >= 0
+        return done[keep], keep.sum(axis=1)
+
+    def merge_many(self, words: pa.Array):
+        """(ids of all words in a row, where a word's ids begin, how many)."""
+        size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        begin, count, flat, total = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
+        data = np.frombuffer(words.buffers()[2], dtype=np.uint8) if size.any() else np.zeros(0, np.uint8)
+        start = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset:words.offset + len(words)]
+        order = np.argsort(size, kind="stable")
+        order = order[size[order] > 0]
+        for idx in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
+            if not len(idx):
+                continue
+            n = int(size[idx[0]])
+            if n > HEAP:
+                got = [self.merge(words[int(i)].as_py()) for i in idx]
+                k = np.array([len(g) for g in got], dtype=np.int64)
+                ids = np.fromiter((x for g in got for x in g), dtype=np.int64, count=int(k.sum()))
+            else:
+                ids, k = self.merge_equal(data[start[idx][:, None] + np.arange(n)])
+            begin[idx], count[idx] = total + np.cumsum(k) - k, k
+            flat.append(ids)
+            total += len(ids)
+        return np.concatenate(flat) if flat else np.zeros(0, np.int64), begin, count
+
     def _merge_long(self, ids):
         n, get = len(ids), self.pairs.get
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -313,17 +384,25 @@ class Splitter:
 
     def words(self, chunks: pa.Array):
         """(pre-tokens of the chunks in a row, how many per chunk)."""
-        plain, exact, special, out, n = self.plain.findall, self.exact.findall, set(self.special), [], []
-        for c in chunks.to_pylist():
-            if c.isalpha() and c.isascii():
-                found = [c]
-            elif c in special:
-                found = [c]
-            else:
-                found = (plain if c.isascii() else exact)(c)
+        word = pc.match_substring_regex(chunks, r"^ ?\pL+[.,;:!?]?$").to_numpy(zero_copy_only=False)
+        closed = word & pc.match_substring_regex(chunks, "[.,;:!?]$").to_numpy(zero_copy_only=False)
+        special, out, rest = set(self.special), [], []
+        for c in chunks.filter(pa.array(~word)).to_pylist():
+            found = [c] if c in special else (self.plain if c.isascii() else self.exact).findall(c)
             out += found
-            n.append(len(found))
-        return pa.array(out, pa.large_string()), np.array(n, dtype=np.int64)
+            rest.append(len(found))
+        n = np.ones(len(chunks), dtype=np.int64)
+        n[closed], n[~word] = 2, rest
+        # letters, letters in front of one mark, marks, other pre-tokens; then in the order of the chunks
+        whole, cut = chunks.filter(pa.array(word & ~closed)), chunks.filter(pa.array(closed))
+        every = pa.concat_arrays([whole, pc.utf8_slice_codeunits(cut, 0, -1), pc.utf8_slice_codeunits(cut, -1),
+                                  pa.array(out, pa.large_string())])
+        begin, place = np.cumsum(n) - n, np.empty(len(every), dtype=np.int64)
+        place[begin[word & ~closed]] = np.arange(len(whole))
+        place[begin[closed]] = len(whole) + np.arange(len(cut))
+        place[begin[closed] + 1] = len(whole) + len(cut) + np.arange(len(cut))
+        place[spread(begin[~word], n[~word])] = len(whole) + 2 * len(cut) + np.arange(len(out))
+        return every.take(pa.array(place)), n
 
     def split(self, texts: pa.Array):
         """(distinct pre-tokens, codes of all pre-tokens in a row, pre-tokens per
@@ -340,18 +419,9 @@ class Splitter:
 class Codec:
     def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None):
         self.vocab, self.lexicon, self.splitter = vocab, lexicon, Splitter(vocab.special)
-        self.raw, self.kept = pa.array(vocab.raw, pa.large_binary()), {}
-
-    def _word(self, word: bytes):
-        ids = self.kept.get(word)
-        if ids is None:
-            special = self.vocab.special.get(word.decode()) if len(word) < 256 else None
-            ids = [special] if special is not None else self.vocab.merge(word)
-            if len(word) <= 256:
-                if len(self.kept) >= MERGED:
-                    self.kept.clear()
-                self.kept[word] = ids
-        return ids
+        self.raw = pa.array(vocab.raw, pa.large_binary())
+        self.special = pa.array([s.encode() for s in vocab.special], pa.large_binary())
+        self.special_ids = np.array(list(vocab.special.values()), dtype=np.int64)
 
     def word_ids(self, words: pa.Array):
         """(all ids in a row, where a word's ids begin, how many)."""
@@ -362,10 +432,14 @@ class Codec:
             found, size, flat = self.lexicon.walk(words)
         begin = np.cumsum(size) - size
         if not found.all():
-            new = [self._word(w) for w in words.filter(pa.array(~found)).to_pylist()]
-            n = np.array([len(x) for x in new], dtype=np.int64)
-            begin[~found], size[~found] = len(flat) + np.cumsum(n) - n, n
-            flat = np.concatenate((flat, np.fromiter((y for x in new for y in x), dtype=np.int64, count=int(n.sum()))))
+            new, at, n = self.vocab.merge_many(pa.concat_arrays([words.filter(pa.array(~found))]))
+            begin[~found], size[~found] = len(flat) + at, n
+            flat = np.concatenate((flat, new))
+        if len(self.special):  # an added token's string is a word of its own and has one id
+            which = pc.fill_null(pc.index_in(words, value_set=self.special), -1).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(which >= 0)
+            begin[at], size[at] = len(flat) + np.arange(len(at)), 1
+            flat = np.concatenate((flat, self.special_ids[which[at]]))
         return flat, begin, size
 
     def encode(self, texts: pa.Array):
@@ -446,10 +520,6 @@ def _shared(df: DataFrame, path: str, lexicon: bytes | None):
     return codec
 
 
-def _with(df: DataFrame, keep, *fields) -> StructType:
-    return StructType([df.schema[c] for c in keep] + list(fields))
-
-
 def _source(df: DataFrame, keep, col):
     """The kept columns and, last, the worked one under a free name."""
     return df.select(*[F.col(quoted(c)) for c in keep], col.alias(free_name(keep, "worked")))
@@ -459,7 +529,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", keep=None, path:
            lexicon: bytes | None = None) -> DataFrame:
     """``keep`` columns (default all but ``out``) plus ``out`` array<int>."""
     keep = [c for c in df.columns if c != out] if keep is None else list(keep)
-    schema = _with(df, keep, StructField(out, ArrayType(IntegerType())))
+    schema = with_fields(df, keep, {out: ArrayType(IntegerType())})
     codec = _shared(df, path, lexicon)
 
     def run(batches):
@@ -472,14 +542,14 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", keep=None, path:
                 yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(ends, pa.array(ids.astype(np.int32)))],
                                                  names=[*keep, out])
 
-    return _source(df, keep, F.col(quoted(text))).mapInArrow(run, schema)
+    return map_arrow(_source(df, keep, F.col(quoted(text))), run, schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "text", keep=None, path: str = BYTE_BPE_JSON) -> DataFrame:
     """``keep`` columns (default all but ``out``) plus the text ``out``; null ids
     read as ''."""
     keep = [c for c in df.columns if c != out] if keep is None else list(keep)
-    schema = _with(df, keep, StructField(out, StringType()))
+    schema = with_fields(df, keep, {out: StringType()})
     codec = _shared(df, path, None)
 
     def run(batches):
@@ -490,7 +560,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "text", keep=None, path:
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(texts, pa.string())],
                                              names=[*keep, out])
 
-    return _source(df, keep, F.col(quoted(ids)).cast("array<int>")).mapInArrow(run, schema)
+    return map_arrow(_source(df, keep, F.col(quoted(ids)).cast("array<int>")), run, schema)
 
 
 def round_trip(df: DataFrame, key: str, text: str, path: str, lexicon: bytes | None = None) -> DataFrame:
@@ -498,9 +568,8 @@ def round_trip(df: DataFrame, key: str, text: str, path: str, lexicon: bytes | N
     decoded_sha256 (the text that the ids decode to): encoded and decoded in one
     pass."""
     codec = _shared(df, path, lexicon)
-    schema = _with(df, [key], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()),
-                   StructField("decoded_sha256", StringType()))
-    names = [f.name for f in schema.fields]
+    schema = with_fields(df, [key], {"n_tokens": LongType(), "ids_sha256": StringType(), "decoded_sha256": StringType()})
+    names = schema.names
 
     def run(batches):
         for b in batches:
@@ -514,4 +583,4 @@ def round_trip(df: DataFrame, key: str, text: str, path: str, lexicon: bytes | N
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), pa.array(per, pa.int64()), pa.array(hashes, pa.string()),
                                                   pa.array(read, pa.string())], names=names)
 
-    return _source(df, [key], F.col(quoted(text))).mapInArrow(run, schema)
+    return map_arrow(_source(df, [key], F.col(quoted(text))), run, schema)

@@ -7,8 +7,9 @@ import sys
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -32,6 +33,26 @@ def free_name(columns, name: str) -> str:
     return name
 
 
+def with_fields(df, keep, more: dict) -> StructType:
+    """The fields of ``keep`` as they are in ``df`` and, after them, ``more``
+    (name to Spark type); no type passes through text, so field names of any
+    characters stay as they are."""
+    return StructType([df.schema[c] for c in keep] + [StructField(n, t) for n, t in more.items()])
+
+
+def map_arrow(src, run, schema: StructType) -> DataFrame:
+    """``src.mapInArrow(run, schema)`` for columns of any names: they travel
+    under plain names, ``run`` sees their own."""
+    ins, plain = list(src.columns), [f"c{i}" for i in range(len(schema.names))]
+
+    def placed(batches):
+        for b in run(pa.RecordBatch.from_arrays(b.columns, names=ins) for b in batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names=plain)
+
+    fields = StructType([StructField(n, f.dataType) for n, f in zip(plain, schema.fields)])
+    return src.toDF(*[f"c{i}" for i in range(len(ins))]).mapInArrow(placed, fields).toDF(*schema.names)
+
+
 def quoted(name: str) -> str:
     """A column name as it is read in expressions, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"
@@ -48,6 +69,21 @@ def held_out(c, m: int) -> Column:
     return F.coalesce(crc_mod(c, m) == 1, F.lit(False))
 
 
+def sample_rows(rows, by: str, most, hashed) -> DataFrame:
+    """A sample of rows: of every value of ``by`` at most ``most`` (a number, or
+    a column over ``n``, the value's rows), evenly by a hash of the columns
+    ``hashed`` and the row's place. A key that fills many rows, or a language under
+    one key, is sampled like any other rows. ``by`` must have few values."""
+    place = F.pmod(F.xxhash64(*hashed, F.monotonically_increasing_id()), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    most = F.lit(most) if isinstance(most, int) else most
+    # one and a half times as many rows as wanted reach the ranking
+    some = rows.withColumn("place", place).join(F.broadcast(sizes), by).withColumn("most", most) \
+        .where(F.col("place") * F.col("n") < 1.5 * F.col("most") + 20)
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("place"))
+    return some.withColumn("rank", rank).where(F.col("rank") <= F.col("most")).select(*rows.columns)
+
+
 def worker_store(key: str) -> dict:
     """A dict that lives as long as the Python worker. Functions travel to the
     workers by value, so a module global would be new in every task."""
