@@ -6,8 +6,8 @@ pieces (forward algorithm); a text's is the product over its words, so distinct
 words are scored once per slice and the text is a sum of their logarithms.
 
 Fit: piece probabilities are the classifier, so they may come from a bounded
-sample: about ``fit_rows`` labelled training rows per language, chosen by a hash
-of the key; every word of the sampled rows counts, however long (a line of a
+sample: at most ``fit_rows`` labelled training rows per language, chosen by a hash
+of the row and its place, so a key on many rows decides nothing; every word of the sampled rows counts, however long (a line of a
 script without spaces is one word). The E-steps run as Spark tasks over the sample's word table; only
 the (language, piece) sums (languages x vocabulary) reach the driver.
 
@@ -26,9 +26,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
-from tokenmill.llm.common import (PIECE_MODEL, as_text, dictionary, group_sums, held_out, prefixed, slices, split_words,
-                                  text_batches, worker_store)
+from tokenmill.llm.common import (PIECE_MODEL, as_text, dictionary, free_name, group_sums, held_out, map_arrow, prefixed, quoted, sample_rows,
+                                  slices, split_words, text_batches, with_fields, worker_store)
 from tokenmill.llm.pieces import SPACE, PieceTable, by_length, code_points, load_pieces
 
 FIT_CELLS = 200_000  # characters that one E-step call works on (a longer word is one call)
@@ -48,14 +49,11 @@ def fit(train: DataFrame, key: str, text: str, lang: str, model_path: str = PIEC
     language are ignored). Returns {languages, prob [pieces, languages], unk}."""
     spark = train.sparkSession
     pieces = load_pieces(model_path)[0]
-    table = PieceTable(pieces)
     known = train.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("lang")) \
         .where(F.col("t").isNotNull() & F.col("lang").isNotNull())
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).checkpoint()
-    if sizes.count() > MAX_LANGUAGES:
+    if known.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
-    u = F.pmod(F.xxhash64("k", F.lit("fit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = known.join(F.broadcast(sizes), "lang").where(u < F.lit(float(fit_rows)) / F.col("n"))
+    sample = sample_rows(known, "lang", fit_rows, ("k", "t"))
     word = F.regexp_replace(F.lower(F.col("w")), r"[^\p{L}\p{M}]+", "")
     words = (sample.select("lang", F.explode(F.split("t", r"[\x09-\x0D\x20]+")).alias("w"))
              .select("lang", word.alias("w")).where(F.col("w") != "")
@@ -67,11 +65,14 @@ def fit(train: DataFrame, key: str, text: str, lang: str, model_path: str = PIEC
     prob = np.where(usable, 1.0 / usable.sum(), 0.0)[:, None].repeat(len(langs), 1)
     unk = 1e-7
     schema = "lang string, piece int, n double"
-    tables = spark.sparkContext.broadcast(table)
+    shared, store = spark.sparkContext.broadcast(pieces), f"langid-fit-{uuid.uuid4()}"
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(prob)
 
         def e_step(batches, now=now):
+            kept = worker_store(store)
+            if "table" not in kept:
+                kept["table"] = PieceTable(shared.value)
             names = {x: i for i, x in enumerate(langs)}
             total = np.zeros((len(usable), len(langs)))
             for b in batches:
@@ -83,7 +84,7 @@ def fit(train: DataFrame, key: str, text: str, lang: str, model_path: str = PIEC
                     own = w.take(pa.array(mine))
                     for n, idx in by_length(own):
                         for part in np.array_split(idx, max(1, len(idx) * n // FIT_CELLS)):
-                            total[:, i] += tables.value.expected(code_points(own.take(pa.array(part)), n),
+                            total[:, i] += kept["table"].expected(code_points(own.take(pa.array(part)), n),
                                                                  now.value[:, i], unk, weight[mine[part]])
             for i, name in enumerate(langs):
                 at = np.flatnonzero(total[:, i])
@@ -146,7 +147,8 @@ class Scorer:
         stem, to_stem = dictionary(clean)
         ll = self.words(stem)
         code = to_stem[code]
-        has = group_sums((pc.binary_length(stem).to_numpy(zero_copy_only=False) > 0).astype(np.int64)[code], n) > 0
+        lettered = pc.match_substring_regex(stem, r"\pL").to_numpy(zero_copy_only=False)
+        has = group_sums(lettered.astype(np.int64)[code], n) > 0
         total = np.stack([group_sums(ll[:, k][code], n) for k in range(len(self.langs))], axis=1) \
             if self.langs else np.zeros((len(texts), 0))
         if not self.langs:
@@ -165,9 +167,9 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep=("doc_id",),
     sc = docs.sparkSession.sparkContext
     shared, key = sc.broadcast(model), f"langid-{uuid.uuid4()}"
     keep = list(keep)
-    read = text if text in keep else "__text"
-    src = docs.select(*keep, *([] if text in keep else [F.col(text).alias(read)]))
-    fields = "".join(f"`{c}` {src.schema[c].dataType.simpleString()}, " for c in keep)
+    read = text if text in keep else free_name(keep, "worked")
+    src = docs.select(*[F.col(quoted(c)) for c in keep], *([] if text in keep else [F.col(quoted(text)).alias(read)]))
+    fields = with_fields(docs, keep, {lang_out: StringType(), score_out: DoubleType()})
 
     def run(batches):
         scorer = Scorer(shared.value, worker_store(key))
@@ -179,7 +181,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep=("doc_id",),
                     [b.column(c).slice(at, n) for c in keep] + [pa.array(lang, pa.string()), pa.array(score)],
                     names=[*keep, lang_out, score_out])
 
-    return src.mapInArrow(run, f"{fields}`{lang_out}` string, `{score_out}` double")
+    return map_arrow(src, run, fields)
 
 
 def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", **fit_args) -> DataFrame:
@@ -196,5 +198,6 @@ def keep_recognised(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     """The rows, unchanged, whose language is recognised: not ``und`` and a score
     of at least ``least``."""
     model = fit(docs.where(~held_out(key, 3)), key, text, lang, **fit_args)
-    seen = predict(docs, model, text, docs.columns, "__lang", "__score")
-    return seen.where((F.col("__lang") != UND) & (F.col("__score") >= least)).select(*docs.columns)
+    named, sure = free_name(docs.columns, "lang_pred"), free_name(docs.columns, "score")
+    seen = predict(docs, model, text, docs.columns, named, sure)
+    return seen.where((F.col(quoted(named)) != UND) & (F.col(quoted(sure)) >= least)).drop(named, sure)

@@ -22,6 +22,7 @@ of their own; texts are encoded whole.
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,10 @@ END_ID = 50256
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Runs of the pattern's white space that are cut out before it (fixed values: the characters).
+LONG_RUN = re.compile("[\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
+
 class Capacities:
     """Rows by free room: a segment tree over 0 .. room counts the rows, and
     ``take`` finds the smallest room that fits."""
@@ -95,6 +100,22 @@ def encoder(data: bytes):
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def text_ids(enc, text: str) -> np.ndarray:
+    """Ids of a text. A very long run of white space would overflow the pattern's
+    stack, so it is taken out first: all of the run but its last character is one
+    pre-token, or the whole run at the end of the text."""
+    parts, at = [], 0
+    for run in LONG_RUN.finditer(text):
+        a, b = run.span()
+        if a > at:
+            parts.append(np.asarray(enc.encode_to_numpy(text[at:a])))
+        at = b if b == len(text) else b - 1
+        parts.append(np.asarray(enc._encode_single_piece(text[a:at])))
+    if at < len(text):
+        parts.append(np.asarray(enc.encode_to_numpy(text[at:])))
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def pack_shard(ids: list[np.ndarray], room: int):
     """Packed rows of a shard's documents: for every row the list of (document,
     offset, ids) segments."""
@@ -122,7 +143,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", room: int = R
     with open(path, "rb") as f:
         data = f.read()
     shared = docs.sparkSession.sparkContext.broadcast(data)
-    wide = np.uint16 if end_id < 65536 else np.uint32
+    # ids below the vocabulary's size, positions below the row's length
+    wide = np.uint16 if max(len(data.splitlines()), end_id + 1, room) <= 1 << 16 else np.uint32
 
     def run(batches):
         store = worker_store(f"pack-{path}")
@@ -135,7 +157,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", room: int = R
             texts = as_text(b.column("t"))
             for at, n in slices(texts):
                 for k, t in zip(b.column("k").slice(at, n).to_pylist(), texts.slice(at, n).to_pylist()):
-                    x = np.concatenate((np.asarray(enc.encode_to_numpy(t)).astype(wide), end)) if t else end
+                    x = np.concatenate((text_ids(enc, t).astype(wide), end)) if t else end
                     keys.append(k)
                     ids.append(x)
                     held += len(x)

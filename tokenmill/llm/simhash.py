@@ -31,8 +31,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from tokenmill.llm.common import as_text, slices, split_words, text_batches
+from tokenmill.llm.common import as_text, free_name, map_arrow, quoted, slices, split_words, text_batches, with_fields
 from tokenmill.llm.components import components
 from tokenmill.session import cut_lineage
 
@@ -85,7 +86,7 @@ def text_fingerprints(texts: pa.Array, shingle: int) -> np.ndarray:
 def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, out: str = "fp") -> DataFrame:
     """The rows, unchanged, with their fingerprint (long) as column ``out``."""
     text_batches(docs.sparkSession)
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
+    fields = with_fields(docs, docs.columns, {out: LongType()})
 
     def run(batches):
         for b in batches:
@@ -96,7 +97,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, out
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp.view(np.int64))],
                                                  names=[*part.schema.names, out])
 
-    return docs.mapInArrow(run, f"{fields}`{out}` long")
+    return map_arrow(docs, run, fields)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
@@ -244,11 +245,12 @@ def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
     """One row of every component, whatever its key: the smallest key (nulls
     last), then the smallest text hash, then any. Rows are told apart by an id
     that a checkpoint freezes, so a key on several texts removes none of them."""
-    marked = cut_lineage(with_fingerprints(docs, text, shingle, "__fp").withColumn("__row", F.monotonically_increasing_id()))
-    rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("text"),
-                    F.col("__row").alias("row"))
-    classes = cut_lineage(marked.select("__fp", rank.alias("low")).groupBy("__fp").agg(F.min("low").alias("low")))
-    root = components(links(classes.select("__fp"), "__fp", max_bits))
-    first = classes.join(root, classes["__fp"] == root["node"], "left") \
-        .groupBy(F.coalesce("root", "__fp").alias("root")).agg(F.min("low").alias("low"))
-    return marked.join(first.select(F.col("low.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    fp, row = free_name(docs.columns, "fp"), free_name(docs.columns, "row")
+    marked = cut_lineage(with_fingerprints(docs, text, shingle, fp).withColumn(row, F.monotonically_increasing_id()))
+    k, t = F.col(quoted(key)), F.col(quoted(text))
+    rank = F.struct(k.isNull().alias("none"), k.alias("key"), F.xxhash64(t).alias("text"), F.col(quoted(row)).alias("row"))
+    classes = cut_lineage(marked.select(F.col(quoted(fp)).alias("fp"), rank.alias("low")).groupBy("fp").agg(F.min("low").alias("low")))
+    root = components(links(classes.select("fp"), "fp", max_bits))
+    first = classes.join(root, classes["fp"] == root["node"], "left") \
+        .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("low").alias("low"))
+    return marked.join(first.select(F.col("low.row").alias(row)), row, "left_semi").select(*[F.col(quoted(c)) for c in docs.columns])

@@ -6,7 +6,8 @@ together (``pieces.PieceTable.viterbi``). The segmentation has the highest sum
 of piece scores of the model file (the unigram rule; for a model file made by
 merges its scores are merge ranks, and the highest sum can differ from replaying
 the merges). Characters without a piece become byte pieces, so decoding gives
-the text back exactly, except that U+2581 reads as a space.
+the text back exactly, except that U+2581 reads as a space (``round_trip`` is
+false for such a text).
 
 Cases: null gives null ids and a null text, '' an empty list. Equal sums go to
 the longer last piece. Rows are independent: repeated rows and an empty table
@@ -22,8 +23,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
-from tokenmill.llm.common import PIECE_MODEL, as_text, dictionary, prefixed, slices, text_batches, worker_store
+from tokenmill.llm.common import (PIECE_MODEL, as_text, dictionary, free_name, map_arrow, prefixed, quoted, slices, text_batches,
+                                  with_fields, worker_store)
 from tokenmill.llm.pieces import SPACE, PieceTable, by_length, code_points, load_pieces
 
 UNK_PENALTY = 10.0
@@ -145,23 +148,20 @@ def _shared(df: DataFrame, model_path: str):
     return df.sparkSession.sparkContext.broadcast(load_pieces(model_path)), f"sp-{uuid.uuid4()}"
 
 
-def _fields(df: DataFrame):
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
 def encode(df: DataFrame, text: str = "text", out: str = "ids", keep=None, model_path: str = PIECE_MODEL,
            check: bool = False) -> DataFrame:
     """``keep`` columns (default all others than ``out``) plus ``out``
     array<int>; with ``check`` also round_trip: decoding the ids gives the text
     back."""
     keep = [c for c in df.columns if c not in (out, "round_trip")] if keep is None else list(keep)
-    src = df.select(*keep, F.col(text).alias("__text"))
+    work = free_name(keep, "worked")
+    src = df.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(text)).alias(work))
     shared, store = _shared(df, model_path)
 
     def run(batches):
         codec = Codec(*shared.value, cache=worker_store(store))
         for b in batches:
-            raw = b.column("__text")
+            raw = b.column(work)
             texts, null = as_text(raw), pc.is_null(raw)
             for at, n in slices(texts):
                 part, gone = texts.slice(at, n), null.slice(at, n)
@@ -169,28 +169,28 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", keep=None, model
                 cols = [b.column(c).slice(at, n) for c in keep]
                 cols.append(pc.if_else(gone, pa.scalar(None, ids.type), ids).cast(pa.list_(pa.int32())))
                 if check:
-                    same = pc.equal(codec.decode(ids), pc.replace_substring(part, SPACE, " "))
+                    same = pc.equal(codec.decode(ids), part)
                     cols.append(pc.if_else(gone, pa.scalar(None, pa.bool_()), same))
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, out, *["round_trip"] * check])
 
-    schema = ", ".join(x for x in (_fields(df.select(*keep)), f"`{out}` array<int>") if x)
-    return src.mapInArrow(run, schema + ", round_trip boolean" * check)
+    more = {out: ArrayType(IntegerType())} | ({"round_trip": BooleanType()} if check else {})
+    return map_arrow(src, run, with_fields(df, keep, more))
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "text", keep=None, model_path: str = PIECE_MODEL) -> DataFrame:
     """``keep`` columns (default all but ``out``) plus the decoded text; null
     ids give null, ids outside the vocabulary fail."""
     keep = [c for c in df.columns if c != out] if keep is None else list(keep)
-    src = df.select(*keep, F.col(ids).cast("array<int>").alias("__ids"))
+    work = free_name(keep, "worked")
+    src = df.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(ids)).cast("array<int>").alias(work))
     shared, store = _shared(df, model_path)
 
     def run(batches):
         codec = Codec(*shared.value, cache=worker_store(store))
         for b in batches:
-            col = b.column("__ids")
+            col = b.column(work)
             text = pc.if_else(pc.is_null(col), pa.scalar(None, pa.large_string()), codec.decode(col))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], text.cast(pa.string())],
                                              names=[*keep, out])
 
-    schema = ", ".join(x for x in (_fields(df.select(*keep)), f"`{out}` string") if x)
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, with_fields(df, keep, {out: StringType()}))

@@ -17,7 +17,8 @@ Cases: rows with a null id, a null vector or a null or non-finite component take
 no part. Vectors only meet vectors of their own length (two empty ones score 0).
 Ties go to the smaller id. A query does not meet rows with its own id; a row that
 repeats is a query (and a candidate) each time. Fewer than k candidates give
-fewer rows; an empty table gives none. Scores beyond a 64-bit integer saturate.
+fewer rows; an empty table gives none. Scores beyond a 64-bit integer saturate; a
+component that overflows when scaled counts as the largest double.
 """
 
 from __future__ import annotations
@@ -32,6 +33,13 @@ SCALE = 1024
 BLOCK = 8192
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """floor(SCALE * x), at most the largest double."""
+    most = np.finfo(float).max
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(SCALE * x), -most, most)
+
+
 def scores(q: np.ndarray, x: np.ndarray, top: float) -> np.ndarray:
     """Integer inner products of float-held integers, exact; ``top`` bounds the
     absolute values."""
@@ -58,7 +66,8 @@ class Lists:
         self.first = np.searchsorted(entry, np.arange(len(self.x) + 1))
         self.order = np.argsort(self.x, axis=0, kind="stable").T.astype(np.int32)
         self.value = np.take_along_axis(self.x.T, self.order, axis=1)
-        self.most = float(np.abs(x).max(initial=0)) * x.shape[1]
+        with np.errstate(over="ignore"):
+            self.most = float(np.abs(x).max(initial=0)) * x.shape[1]
 
     def others(self, entry: int, own: int) -> np.ndarray:
         """Ids of an entry but the query's own, ascending."""
@@ -68,7 +77,7 @@ class Lists:
 
     def top(self, own: int, q: np.ndarray, k: int):
         """[(score, id)] of the k best for one query, and rows scored."""
-        n, limit = len(self.x), self.most * float(np.abs(q).max(initial=0))
+        n, limit = len(self.x), self.most * max(float(np.abs(q).max(initial=0)), 1.0)
         use = np.flatnonzero(q)
         up, down = use[q[use] < 0], use[q[use] > 0]
         seen, n_seen = np.zeros(n, dtype=bool), 0
@@ -133,7 +142,7 @@ def _blocks(rows: DataFrame, block: int, parts: int, key: str) -> DataFrame:
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
                 x = b.column("v").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d)
-                by_dim.setdefault(int(d), []).append((ids[at], np.floor(SCALE * x)))
+                by_dim.setdefault(int(d), []).append((ids[at], scaled(x)))
                 while sum(len(i) for i, _ in by_dim[d]) >= block:
                     yield cut(int(d), by_dim, block)
         for d in list(by_dim):
@@ -182,12 +191,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vec: str
             for r in b.to_pylist():
                 x, q = _matrix(r["vx"], r["vn"], r["dim"]), _matrix(r["qx"], r["qn"], r["dim"])
                 lists = Lists(np.frombuffer(r["vids"], np.int64), x)
-                out = [(r["qnr"] * (1 << 20) + i, int(o), s, v) for i, o in enumerate(np.frombuffer(r["qids"], np.int64))
+                out = [(r["qnr"], i, int(o), s, v) for i, o in enumerate(np.frombuffer(r["qids"], np.int64))
                        for s, v in lists.top(int(o), q[i], k)[0]]
-                cols = list(zip(*out)) if out else [[]] * 4
+                cols = list(zip(*out)) if out else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
-                                                 names=["q", "query_id", "score", "vec_id"])
+                                                 names=["block", "q", "query_id", "score", "vec_id"])
 
-    found = met.mapInArrow(solve, "q long, query_id long, score long, vec_id long")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id"))
+    found = met.mapInArrow(solve, "block long, q long, query_id long, score long, vec_id long")
+    rank = F.row_number().over(Window.partitionBy("block", "q").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

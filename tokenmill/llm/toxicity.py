@@ -35,8 +35,10 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from tokenmill.llm.common import as_text, dictionary, held_out, slices, split_words, text_batches
+from tokenmill.llm.common import (as_text, dictionary, free_name, map_arrow, held_out, quoted, sample_rows, slices, split_words,
+                                  text_batches, with_fields)
 from tokenmill.llm.langid import letters
 from tokenmill.session import cut_lineage
 
@@ -71,6 +73,16 @@ class TokenScores:
         order = np.argsort(h, kind="stable")
         self.h, self.tokens, self.scores, self.other = h[order], tokens.take(pa.array(order)), scores[order], other
 
+    def parts(self) -> tuple:
+        """The plain arrays, for a broadcast: a worker need not have this package."""
+        return self.h, self.tokens, self.scores, self.other
+
+    @classmethod
+    def of_parts(cls, parts: tuple):
+        self = cls.__new__(cls)
+        self.h, self.tokens, self.scores, self.other = parts
+        return self
+
     @staticmethod
     def hashes(tokens: pa.Array) -> np.ndarray:
         return np.fromiter((xxhash.xxh64_intdigest(w) for w in tokens.to_pylist()), dtype=np.uint64, count=len(tokens))
@@ -221,19 +233,20 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, fit
              "max_e": max_e, "k": 1.0}
     model["rate"] = rate(np.append(listed, -DRIFT), np.append(other, n0 - other.sum()))
     share = min(1.0, fit_rows / of_rows.sum())
-    u = F.pmod(F.xxhash64("k", F.lit("fit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    shared = spark.sparkContext.broadcast(model["scores"])
+    shared = spark.sparkContext.broadcast(model["scores"].parts())
 
     def segments(batches):
+        scores = TokenScores.of_parts(shared.value)
         for b in batches:
             texts = as_text(b.column("t"))
             for at, n in slices(texts):
-                found, size = passages(texts.slice(at, n), shared.value)
+                found, size = passages(texts.slice(at, n), scores)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("y").slice(at, n), pa.array(size),
                      pa.array([[s for _, _, s in f] for f in found], pa.list_(pa.float64()))], names=["y", "n", "s"])
 
-    some = train.where(u < F.lit(share)).mapInArrow(segments, "y int, n long, s array<double>").toArrow().to_pydict()
+    sample = sample_rows(train, "y", F.ceil(F.col("n") * share), ("k", "t"))  # a share of each class, exactly bounded
+    some = sample.mapInArrow(segments, "y int, n long, s array<double>").toArrow().to_pydict()
     y, n = np.array(some["y"]), np.maximum(np.array(some["n"]), 1)
     best = np.array([max(s, default=0.0) for s in some["s"]])
     clean = y == 0
@@ -256,32 +269,33 @@ def score(docs: DataFrame, model: dict | None, text: str = "text", keep=("doc_id
     text_batches(docs.sparkSession)
     keep = list(keep)
     if model is None:
-        return docs.select(*keep, F.lit(0.0).alias(out))
-    read = text if text in keep else "__text"
-    src = docs.select(*keep, *([] if text in keep else [F.col(text).alias(read)]))
-    fields = "".join(f"`{c}` {src.schema[c].dataType.simpleString()}, " for c in keep)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+        return docs.select(*[F.col(quoted(c)) for c in keep], F.lit(0.0).alias(out))
+    read = text if text in keep else free_name(keep, "worked")
+    src = docs.select(*[F.col(quoted(c)) for c in keep], *([] if text in keep else [F.col(quoted(text)).alias(read)]))
+    fields = with_fields(docs, keep, {out: DoubleType()})
+    shared = docs.sparkSession.sparkContext.broadcast(model | {"scores": model["scores"].parts()})
 
     def run(batches):
+        m = shared.value | {"scores": TokenScores.of_parts(shared.value["scores"])}
         for b in batches:
             texts = as_text(b.column(read))
             for at, n in slices(texts):
-                s = score_texts(texts.slice(at, n), shared.value)
+                s = score_texts(texts.slice(at, n), m)
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(at, n) for c in keep], pa.array(s)],
                                                  names=[*keep, out])
 
-    return src.mapInArrow(run, f"{fields}`{out}` double")
+    return map_arrow(src, run, fields)
 
 
 def toxic_passages(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every significant passage: key, first and last word (0-based), score,
     e_value."""
     src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model | {"scores": model["scores"].parts()})
     kind = src.schema["k"].dataType.simpleString()
 
     def run(batches):
-        m = shared.value
+        m = shared.value | {"scores": TokenScores.of_parts(shared.value["scores"])}
         for b in batches:
             texts = as_text(b.column("t"))
             for at, n in slices(texts):
@@ -313,4 +327,5 @@ def keep_clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
                **fit_args) -> DataFrame:
     """The rows, unchanged, that score under 0.7."""
     model = fit(docs, labels, key, text, label, **fit_args)
-    return score(docs, model, text, docs.columns, "__score").where(F.col("__score") < THRESHOLD).select(*docs.columns)
+    out = free_name(docs.columns, "score")
+    return score(docs, model, text, docs.columns, out).where(F.col(quoted(out)) < THRESHOLD).drop(out)
