@@ -70,7 +70,8 @@ def rebuilt(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
         F.xxhash64(F.lit(1), role_, text_).alias("g1"), F.xxhash64(F.lit(2), role_, text_).alias("g2"),
         F.regexp_count(text_, F.lit(WORD)).cast("bigint").alias("words"),
         F.monotonically_increasing_id().alias("row"))
-    rows = sequence_index(rows, ["t", "g1", "g2", "row"], ["c"], name="pos", start=1) \
+    # the texts are read once: the index below looks at its input twice
+    rows = sequence_index(cut_lineage(rows), ["t", "g1", "g2", "row"], ["c"], name="pos", start=1) \
         .select("c", "pos", "g1", "g2", "words")
     convs = rows.groupBy("c").agg(F.max("pos").alias("len"))
     base = convs.where(F.col("c") % GROUP == 0).select(F.col("c").alias("base"), F.col("len").alias("base_len"))
