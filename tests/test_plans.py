@@ -27,10 +27,20 @@ def test_text_scan_is_pruned(spark):
 
 
 def test_counts_combine_map_side(spark):
-    for name in ["word_freq", "ngram_counts", "corpus_bleu", "metric_series", "parse_metrics"]:
+    for name in ["word_freq", "corpus_bleu", "metric_series", "parse_metrics"]:
         assert "partial_" in plan(spark, name), name
 
 
 def test_index_offsets_are_broadcast(spark):
     p = plan(spark, "sequential_batches")
     assert "BroadcastHashJoin" in p
+
+
+def test_bleu_is_counted_in_the_row(spark):
+    """Given the pairs, counts and clipped matches need no exchange and the
+    corpus score one, for the final sum."""
+    from tokenmill.operators import bleu as BL
+    df = spark.createDataFrame([(1, "a b a", "a b")], "pair_id long, hyp string, ref string")
+    for out, exchanges in ((BL.ngram_counts(df), 0), (BL.clipped_rows(df), 0), (BL.corpus_bleu(df), 1)):
+        p = out._jdf.queryExecution().executedPlan().toString()
+        assert p.count("Exchange") == exchanges, p

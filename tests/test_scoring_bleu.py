@@ -89,3 +89,28 @@ def test_bleu_smoothing_and_brevity(spark):
     # 3-grams: 'a b c' matches; 4-grams none -> exp smoothing 100 / (2 * 2)
     p = [100 * 4 / 5, 100 * 2 / 4, 100 * 1 / 3, 100 / (2 * 2)]
     assert abs(r2.bleu - math.exp(sum(math.log(x) for x in p) / 4)) < 1e-9
+
+
+def test_counts_in_the_row_equal_counters(spark):
+    import random
+    from collections import Counter
+    rng = random.Random(5)
+    word = lambda: rng.choice(["a", "b", "c", "d.", "的", "1,000", "x-y"])
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(25))), " ".join(word() for _ in range(rng.randrange(25)))) for i in range(60)]
+    rows += [(100, "", ""), (101, None, "a b"), (102, "a b", None), (103, "a " * 3000, "a " * 2000), (104, None, None)]
+    df = spark.createDataFrame(rows, "pair_id long, hyp string, ref string")
+    from pyspark.sql import functions as F
+    toks = {r.pair_id: (r.h or [], r.r or []) for r in df.select(
+        "pair_id", BL.zh_tokenize(F.coalesce("hyp", F.lit(""))).alias("h"), BL.zh_tokenize(F.coalesce("ref", F.lit(""))).alias("r")).collect()}
+    want, clipped = {}, {}
+    for k, sides in toks.items():
+        h, r = (Counter((n, " ".join(t[i:i + n])) for n in range(1, 5) for i in range(len(t) - n + 1)) for t in sides)
+        for g in h.keys() | r.keys():
+            want[k, *g] = (h[g], r[g])
+            c = clipped.setdefault((k, g[0]), [0, 0])
+            c[0] += min(h[g], r[g])
+            c[1] += h[g]
+    assert {(r.pair_id, r.n, r.ngram): (r.hyp_count, r.ref_count) for r in BL.ngram_counts(df).collect()} == want
+    got = {(r.pair_id, r.n): [r.correct, r.total] for r in BL.clipped_rows(df).collect()}
+    assert got == clipped
+    assert got == {(r.pair_id, r.n): [r.correct, r.total] for r in BL.clipped_matches(BL.ngram_counts(df)).collect()}

@@ -1,10 +1,9 @@
-"""Corpus BLEU (L10-L13) as one n-gram aggregation.
+"""Corpus BLEU (L10-L13), counted inside the row.
 
-Both sides of every pair are tokenised with the ``zh`` rules, exploded into
-n-grams (n = 1..4) in a single pass, and grouped on (pair, n, ngram) with a
-hypothesis count and a reference count per group: no join is needed to clip
-matches, and map-side partial aggregation absorbs hot n-grams. A final global
-aggregate reduces everything to eight integers and two lengths.
+Both sides of a pair are in one row, so their n-grams (n = 1..4) never leave it:
+the two sides' n-grams are sorted together, runs of equal ones are measured, and
+a run's hypothesis and reference counts give the clipped matches. The only
+exchange is the final sum of eight integers and two lengths.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.functions import WS_CLASS
+from tokenmill.functions.scores import let
 
 # Fixed values of the public BLEU "zh" tokenizer. The Chinese-character test
 # compares one character against two-character range bounds, so three of its
@@ -71,19 +71,70 @@ def ngrams(tokens: Column, max_order: int = MAX_ORDER) -> Column:
     return F.concat(*[F.transform(g, tag(n)) for n, g in enumerate(orders, start=1)])
 
 
+def gram_counts(hyp: Column, ref: Column, max_order: int = MAX_ORDER) -> Column:
+    """The multiset of n-grams of two token arrays, as array<struct<n, ngram,
+    hyp_count, ref_count>>: both sides' n-grams are sorted together and the runs
+    of equal ones are measured, in one row, without an exchange."""
+    def tagged(tokens, side):
+        return F.transform(ngrams(tokens, max_order), lambda x: F.struct(x["n"].alias("n"), x["ngram"].alias("g"), F.lit(side).alias("h")))
+
+    def same(x, y):
+        return (x["n"] == y["n"]) & (x["g"] == y["g"])
+
+    def starts(s):  # first place of every run of equal (n, n-gram, side); the reference's run comes first
+        return F.filter(F.sequence(F.lit(0), F.size(s) - 1),
+                        lambda i: (i == 0) | ~(same(F.get(s, i), F.get(s, i - 1)) & (F.get(s, i)["h"] == F.get(s, i - 1)["h"])))
+
+    def runs(s, st):
+        return F.transform(st, lambda p, j: F.struct(F.get(s, p)["n"].alias("n"), F.get(s, p)["g"].alias("g"), F.get(s, p)["h"].alias("h"),
+                                                     (F.coalesce(F.get(st, j + 1), F.size(s)) - p).cast("bigint").alias("c")))
+
+    def joined(r):
+        zero = F.lit(0).cast("bigint")
+
+        def pick(x, j):
+            after, before = F.get(r, j + 1), F.get(r, j - 1)
+            is_ref = x["h"] == 0
+            hyp_count = F.when(~is_ref, x["c"]).when(F.coalesce(same(after, x), F.lit(False)), after["c"]).otherwise(zero)
+            counted = ~is_ref & F.coalesce(same(before, x), F.lit(False))  # with its reference run
+            return F.when(~counted, F.struct(x["n"].alias("n"), x["g"].alias("ngram"), hyp_count.alias("hyp_count"),
+                                             F.when(is_ref, x["c"]).otherwise(zero).alias("ref_count")))
+        return F.filter(F.transform(r, pick), lambda x: x.isNotNull())
+
+    both = let(hyp, lambda h: let(ref, lambda r: F.sort_array(F.concat(tagged(h, 1), tagged(r, 0)))))
+    return let(both, lambda s: F.when(F.size(s) > 0, let(starts(s), lambda st: let(runs(s, st), joined))))
+
+
+def row_counts(df: DataFrame, hyp: str = "hyp", ref: str = "ref", key: str = "pair_id", max_order: int = MAX_ORDER) -> DataFrame:
+    """key and ``grams`` (``gram_counts``) of every row; one row is one pair."""
+    def tokens(c):
+        return zh_tokenize(F.coalesce(F.col(c), F.lit("")))
+    return df.select(key, gram_counts(tokens(hyp), tokens(ref), max_order).alias("grams"))
+
+
 def ngram_counts(df: DataFrame, hyp: str = "hyp", ref: str = "ref", key: str = "pair_id",
                  max_order: int = MAX_ORDER) -> DataFrame:
     """Per (pair, n, ngram): hypothesis and reference occurrence counts."""
-    sides = F.array(F.struct(F.lit(1).alias("h"), zh_tokenize(hyp).alias("t")),
-                    F.struct(F.lit(0).alias("h"), zh_tokenize(ref).alias("t")))
-    s = df.select(key, F.explode(sides).alias("s"))
-    g = s.select(key, F.col("s.h").alias("h"), F.explode(ngrams(F.col("s.t"), max_order)).alias("g"))
-    return g.groupBy(key, F.col("g.n").alias("n"), F.col("g.ngram").alias("ngram")).agg(
-        F.sum("h").cast("bigint").alias("hyp_count"), F.sum(1 - F.col("h")).cast("bigint").alias("ref_count"))
+    return row_counts(df, hyp, ref, key, max_order).select(key, F.inline("grams"))
+
+
+def clipped_rows(df: DataFrame, hyp: str = "hyp", ref: str = "ref", key: str = "pair_id", max_order: int = MAX_ORDER) -> DataFrame:
+    """L12 out of the row: (pair, n, correct, total) for every order that one of
+    the sides has, without an exchange."""
+    def order(g, n):
+        own = F.filter(g, lambda x: x["n"] == n)
+        return let(own, lambda o: F.when(F.size(o) > 0, F.struct(
+            F.lit(n).alias("n"),
+            F.aggregate(o, F.lit(0).cast("bigint"), lambda a, x: a + F.least(x["hyp_count"], x["ref_count"])).alias("correct"),
+            F.aggregate(o, F.lit(0).cast("bigint"), lambda a, x: a + x["hyp_count"]).alias("total"))))
+    rows = row_counts(df, hyp, ref, key, max_order)
+    per = let(F.col("grams"), lambda g: F.filter(F.array(*[order(g, n) for n in range(1, max_order + 1)]), lambda x: x.isNotNull()))
+    return rows.select(key, F.inline(per))
 
 
 def clipped_matches(counts: DataFrame, key: str = "pair_id") -> DataFrame:
-    """Per (pair, n): clipped matches sum(min(hyp, ref)) and hyp n-grams."""
+    """L12 over a table of counts: per (pair, n) clipped matches
+    sum(min(hyp, ref)) and hyp n-grams. ``clipped_rows`` needs no exchange."""
     return counts.groupBy(key, "n").agg(
         F.sum(F.least("hyp_count", "ref_count")).cast("bigint").alias("correct"),
         F.sum("hyp_count").cast("bigint").alias("total"))

@@ -73,7 +73,7 @@ def q_ngram_counts(spark, sf):
 SELECT pair_id, CAST(n AS BIGINT) AS n, CAST(sum(least(hyp_count, ref_count)) AS BIGINT) AS correct,
        CAST(sum(hyp_count) AS BIGINT) AS total FROM cnt GROUP BY pair_id, n""")
 def q_clipped_matches(spark, sf):
-    c = BL.clipped_matches(BL.ngram_counts(FX.hyp_ref(spark, sf)))
+    c = BL.clipped_rows(FX.hyp_ref(spark, sf))
     return c.select("pair_id", F.col("n").cast("bigint").alias("n"), "correct", "total")
 
 
