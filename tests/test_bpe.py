@@ -91,3 +91,27 @@ def test_roundtrip_encode_decode(spark):
     import unicodedata
     want = [" ".join(unicodedata.normalize("NFKC", t).split()) for t in TEXTS]
     assert got == want
+
+
+MIXED = TEXTS + ["我爱你我爱你 爱你们 hello你好123 ab12", "\u0001x \u0001x", "the then there these " * 3, "banana bananas ananas " * 2, "カタカナ한국어 漢字"]
+
+
+def test_merging_ahead_equals_one_at_a_time(spark):
+    """However few words a round may look at, and whichever rule picks its
+    merges."""
+    df = spark.createDataFrame([(t,) for t in MIXED * 3], "text string")
+    words = {r.word: r.n for r in BP.word_table(df, "text").collect()}
+    chars = [r.token for r in sorted(BP.kept_chars(BP.word_table(df, "text"), 0.9995).collect(), key=lambda r: r.crank)]
+    want = brute_force(words, chars, 10**6)
+    for working, head, every in ((1 << 14, 2000, 8), (6, 12, 2), (0, 8, 3)):
+        vocab, merges = BP.bpe_train(df, "text", 4 + len(chars) + len(want) + 50, head=head, working=working, checkpoint_every=every)
+        assert [(r.l, r.r) for r in merges.orderBy("rank").collect()] == want
+        assert vocab.count() == 4 + len(chars) + len(want)
+    some, _ = BP.bpe_train(df, "text", 4 + len(chars) + 20)
+    assert [r.piece for r in some.orderBy("id").collect()][4:24] == ["".join(p) for p in want[:20]]
+
+
+def test_units_are_cut_on_script_change(spark):
+    df = spark.createDataFrame([("hello你好123ab", 2), ("你", 3), ("x", 1)], "word string, n long")
+    got = {r.unit: r.n for r in BP._units(df).collect()}
+    assert got == {"▁hello": 2, "你好": 2, "123": 2, "ab": 2, "▁你": 3, "▁x": 1}

@@ -1,14 +1,14 @@
 """Byte-pair vocabulary learning (V6), encoding (E1) and decoding.
 
-Training works on the distinct-word table (word, count, symbols), never on the
-corpus. Each round is one Spark job: adjacent-pair counts weighted by word
-count (map-side combined), ranked, and only the ranked head (at most
-``head`` rows) reaches the driver. Several merges are accepted per round when
-that provably gives the same result as merging one at a time (see
-``accept_batch``); the merges are then applied to every word with a SQL fold.
-The word table is persisted per round and checkpointed to the shared folder
-every few rounds, so lineage stays short and a lost executor only replays a
-few rounds.
+Training works on the table of distinct words (cut on script change), never on
+the corpus, and on a pair table that is kept by signed changes: a round
+merges many pairs, touches only the words that hold one of them, and adds what
+changed in them to the pair table. Only the ranked head of the pair table (at
+most ``head`` rows) and at most ``working`` words that hold its pairs reach the
+driver; the merges chosen there are those that merging one at a time would choose.
+Both tables are persisted per round and checkpointed to the shared folder every
+few rounds, so lineage stays short and a lost executor only replays a few
+rounds.
 
 Encoding ships the piece table (bounded by ``vocab_size``) to the tasks and
 encodes each distinct word once per task (cache), with no shuffle.
@@ -16,11 +16,13 @@ encodes each distinct word once per task (cache), with no shuffle.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import unicodedata
 from collections import OrderedDict
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,9 +30,9 @@ from pyspark.sql import types as T
 from tokenmill.constants import N_SPECIAL, SPECIAL_PIECES, UNK_ID, UNK_SURFACE, WORD_MARK
 from tokenmill.session import cut_lineage
 
-# Fixed value: separator between the two halves of a pair key (never in text
-# after normalisation, since it is a control character removed by NFKC words).
-SEP = "\u0001"
+#: Symbol of every character outside the vocabulary: it merges with nothing, and no
+#: character can be mistaken for it.
+SEP = ""
 
 _HAN = r"[\x{2e80}-\x{2fff}\x{3005}-\x{3007}\x{3021}-\x{3029}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{2fa1f}]"
 _KANA = r"[\x{3040}-\x{30ff}\x{31f0}-\x{31ff}]"
@@ -62,6 +64,7 @@ def _py_class(pat: str):
     return re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m.group(1), 16)), pat))
 
 
+@functools.lru_cache(1 << 16)
 def py_script_class(sym: str) -> str:
     """Plain-Python twin of ``script_class`` (tests and brute-force checks)."""
     if sym == WORD_MARK:
@@ -75,6 +78,11 @@ def py_script_class(sym: str) -> str:
     return "other"
 
 
+def mergeable(l: str, r: str) -> bool:
+    """No unknown character, and one script (a bare word mark joins anything)."""
+    return SEP not in (l, r) and py_script_class(l) in ("mark", py_script_class(r))
+
+
 # ------------------------------------------------------------------ training
 def word_table(df: DataFrame, col: str) -> DataFrame:
     """Distinct normalised words with counts (V4 after NFKC)."""
@@ -108,24 +116,6 @@ def _pairs_of(syms: Column) -> Column:
                         F.slice(syms, F.lit(2), F.size(syms) - 1).alias("r"))
 
 
-def _all_pair_counts(wt: DataFrame) -> DataFrame:
-    """Weighted adjacent-pair counts over the whole word table (map-side combined)."""
-    ex = wt.select("n", F.explode(_pairs_of(F.col("syms"))).alias("p"))
-    return ex.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("n").alias("cnt"))
-
-
-def _ranked(pairs: DataFrame) -> DataFrame:
-    """Mergeable pairs by (count desc, left, right). The script test is tied
-    to the count so the optimizer cannot push it below an aggregation."""
-    ok = (F.col("l") != F.lit(SEP)) & (F.col("r") != F.lit(SEP)) & \
-         ((script_class(F.col("l")) == "mark") | (script_class(F.col("l")) == script_class(F.col("r"))))
-    return pairs.where(F.when(F.col("cnt") > 0, ok).otherwise(F.lit(False))).orderBy(F.col("cnt").desc(), "l", "r")
-
-
-def _pair_counts(wt: DataFrame) -> DataFrame:
-    return _ranked(_all_pair_counts(wt))
-
-
 def accept_batch(head: list[tuple[str, str, int]], complete: bool, known: set[str], budget: int) -> list:
     """Choose merges from the ranked head that one-at-a-time merging would
     also pick next, in the same order.
@@ -168,82 +158,231 @@ def accept_batch(head: list[tuple[str, str, int]], complete: bool, known: set[st
     return acc
 
 
-def _apply_merges(syms: Column, merges: dict[str, str]) -> Column:
-    """Left-to-right greedy application of a set of pairs (no two share a
-    symbol, so one pass equals applying them one at a time)."""
-    m = F.create_map(*[F.lit(x) for kv in merges.items() for x in kv])
-    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("pend"))
+def merge_ahead(words: list, head: list, bound, known: set[str], budget: int) -> list:
+    """The next merges, exactly, out of the words that hold a pair of ``head``
+    ([(count, symbols)]; every such word must be there).
+
+    Counts of head pairs are complete in these words, and so are those of pairs with a
+    symbol that is made here. Any other pair comes after ``bound`` = (count, l, r) of the
+    first pair beyond the head, and can only fall, so merging goes on as long
+    as the best pair comes before the bound. A merge that makes a piece which other
+    words may hold already is the last one."""
+    told = {(l, r) for l, r, _ in head}
+    made: set[str] = set()
+    count: dict = {}
+    where: dict = {}
+
+    def tracked(p):
+        return p in told or ((p[0] in made or p[1] in made) and mergeable(*p))
+
+    def add(i, sign):
+        n, syms = words[i]
+        for p in zip(syms, syms[1:]):
+            if tracked(p):
+                count[p] = count.get(p, 0) + sign * n
+                where.setdefault(p, set()).add(i)
+                changed.add(p)
+
+    words, changed = [(n, list(s)) for n, s in words], set()
+    for i in range(len(words)):
+        add(i, 1)
+    heap = [(-c, *p) for p, c in count.items()]
+    heapq.heapify(heap)
+    out: list = []
+    left = budget
+    while heap and left > 0:
+        c, l, r = heapq.heappop(heap)
+        if count.get((l, r)) != -c or c == 0:
+            continue
+        if bound is not None and (c, l, r) >= (-bound[0], bound[1], bound[2]):
+            break
+        piece = l + r
+        out.append((l, r, -c))
+        left -= piece not in known and piece not in made
+        stop = piece in known and piece not in made
+        made.add(piece)
+        changed.clear()
+        for i in where[l, r]:
+            add(i, -1)
+            words[i] = (words[i][0], merge_pair(words[i][1], l, r))
+            add(i, 1)
+        for p in changed:
+            if count[p] > 0:
+                heapq.heappush(heap, (-count[p], *p))
+        if stop:
+            break
+    return out
+
+
+def merge_pair(syms: list[str], l: str, r: str) -> list[str]:
+    """The pair joined wherever it stands, left to right."""
+    out, i = [], 0
+    while i < len(syms):
+        if i + 1 < len(syms) and syms[i] == l and syms[i + 1] == r:
+            out.append(l + r)
+            i += 2
+        else:
+            out.append(syms[i])
+            i += 1
+    return out
+
+
+def merge_in_order(syms: list[str], ranks: dict) -> list[str]:
+    """A batch of merges, {pair: its ranks ascending}, applied in rank order."""
+    last = -1
+    while True:
+        best = None
+        for p in zip(syms, syms[1:]):
+            for k in ranks.get(p, ()):
+                if k > last:
+                    if best is None or k < best[0]:
+                        best = (k, p)
+                    break
+        if best is None:
+            return syms
+        last = best[0]
+        syms = merge_pair(syms, *best[1])
+
+
+def _units(words: DataFrame) -> DataFrame:
+    """unit, n: words with their mark, cut where the script changes (no merge
+    crosses such a place, so the counts of mergeable pairs stay the same; a
+    sentence of a script without spaces is no longer one word)."""
+    runs = "|".join(f"{p}+" for p in (_HAN, _KANA, _HANGUL, r"\p{Nd}"))
+    other = "[^" + "".join(p[1:-1] for p in (_HAN, _KANA, _HANGUL)) + r"\p{Nd}]+"
+    cut = F.regexp_extract_all(F.concat(F.lit(WORD_MARK), F.col("word")), F.lit(f"({WORD_MARK}?(?:{runs}|{other}))"), F.lit(1))
+    return words.select("n", F.explode(cut).alias("unit")).groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def _add_pairs(change: dict, n: int, syms, sign: int) -> None:
+    """Signed (count, words) of the mergeable pairs of one unit."""
+    seen = set()
+    for p in zip(syms, syms[1:]):
+        if mergeable(*p):
+            got = change.setdefault(p, [0, 0])
+            got[0] += sign * n
+            if p not in seen:
+                got[1] += sign
+                seen.add(p)
+
+
+def _pair_batch(change: dict) -> pa.RecordBatch:
+    rows = [(l, r, c, w) for (l, r), (c, w) in change.items() if c or w]
+    cols = list(zip(*rows)) if rows else [[]] * 4
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["l", "r", "cnt", "words"])
+
+
+def _pair_table(changes: DataFrame) -> DataFrame:
+    return changes.groupBy("l", "r").agg(F.sum("cnt").alias("cnt"), F.sum("words").alias("words")).where("cnt > 0")
+
+
+def _first_symbols(units: DataFrame, kept) -> DataFrame:
+    """Units as symbols; characters outside ``kept`` never merge."""
+    def run(batches):
+        for b in batches:
+            syms = [[c if c in kept.value else SEP for c in u] for u in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(syms, pa.list_(pa.string()))], names=["n", "syms"])
+    return units.select("unit", "n").mapInArrow(run, "n long, syms array<string>")
+
+
+def _merged(units: DataFrame, ranks) -> DataFrame:
+    """The units after a batch of merges."""
+    def run(batches):
+        ranked = ranks.value
+        for b in batches:
+            syms = [merge_in_order(s, ranked) if any(p in ranked for p in zip(s, s[1:])) else s for s in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(syms, pa.list_(pa.string()))], names=["n", "syms"])
+    return units.mapInArrow(run, "n long, syms array<string>")
 
-    def step(st, s):
-        key = F.concat(st["pend"], F.lit(SEP), s)
-        hit = st["pend"].isNotNull() & F.map_contains_key(m, F.coalesce(key, F.lit("")))
-        merged = F.struct(F.concat(st["out"], F.array(F.try_element_at(m, key))).alias("out"),
-                          F.lit(None).cast("string").alias("pend"))
-        shifted = F.struct(F.when(st["pend"].isNull(), st["out"]).otherwise(
-            F.concat(st["out"], F.array(st["pend"]))).alias("out"), s.alias("pend"))
-        return F.when(hit, merged).otherwise(shifted)
 
-    def finish(st):
-        return F.when(st["pend"].isNull(), st["out"]).otherwise(F.concat(st["out"], F.array(st["pend"])))
-    return F.aggregate(syms, init, step, finish)
+def _changes(units: DataFrame, ranks=None) -> DataFrame:
+    """What a batch of merges changes in the pair table, summed per task (without
+    a batch: all pairs). Only units that hold a merged pair count."""
+    def run(batches):
+        change: dict = {}
+        for b in batches:
+            for n, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if ranks is None:
+                    _add_pairs(change, n, s, 1)
+                elif any(p in ranks.value for p in zip(s, s[1:])):
+                    _add_pairs(change, n, s, -1)
+                    _add_pairs(change, n, merge_in_order(s, ranks.value), 1)
+            if len(change) > 1 << 18:
+                yield _pair_batch(change)
+                change = {}
+        yield _pair_batch(change)
+    return units.mapInArrow(run, "l string, r string, cnt long, words long")
+
+
+def _holding(units: DataFrame, pairs: list) -> list:
+    """(n, symbols) of the units that hold one of ``pairs``."""
+    shared = units.sparkSession.sparkContext.broadcast(set(pairs))
+
+    def run(batches):
+        for b in batches:
+            hit = [any(p in shared.value for p in zip(s, s[1:])) for s in b.column(1).to_pylist()]
+            yield b.filter(pa.array(hit, pa.bool_()))
+    got = units.mapInArrow(run, "n long, syms array<string>").toArrow()
+    return list(zip(got.column("n").to_pylist(), got.column("syms").to_pylist()))
 
 
 def bpe_train(df: DataFrame, col: str = "text", vocab_size: int = 8000, coverage: float = 0.9995,
-              head: int = 200, checkpoint_every: int = 10, max_rounds: int | None = None):
+              head: int = 2000, working: int = 1 << 14, checkpoint_every: int = 8, max_rounds: int | None = None):
     """V6: learn a BPE vocabulary. Returns (vocab, merges): vocab
     (id, piece, score, kind) laid out as 4 specials, merged pieces by rank,
-    then kept characters by frequency; merges (rank, l, r, piece, cnt)."""
+    then kept characters by frequency; merges (rank, l, r, piece, cnt).
+
+    The pair table (l, r, count, words that hold it) is kept by signed changes
+    of the words that a round touches. Each round takes the best pairs whose
+    words number at most ``working`` together, brings those words to the driver
+    and merges ahead as far as they decide (``merge_ahead``): early, when
+    one pair is in more words than that, by ``accept_batch``. Both pick what
+    merging one at a time would pick."""
     spark = df.sparkSession
     words = cut_lineage(word_table(df, col))
     chars = kept_chars(words, coverage).collect()  # bounded by distinct characters
     char_list = [r["token"] for r in sorted(chars, key=lambda r: r["crank"])]
-    kept = set(char_list)
+    known = set(char_list)
     budget = max(vocab_size - N_SPECIAL - len(char_list), 0)
-    # unknown characters become the separator symbol: they never merge
-    ks = sorted(kept)
-    kept_map = F.map_from_arrays(F.lit(ks), F.lit([1] * len(ks))) if ks else F.create_map().cast("map<string,int>")
-    syms = F.transform(F.split(F.concat(F.lit(WORD_MARK), F.col("word")), ""),
-                       lambda ch: F.when(F.map_contains_key(kept_map, ch), ch).otherwise(F.lit(SEP)))
-    wt = cut_lineage(words.select("word", "n", syms.alias("syms")))
-    known = set(kept)
+    units = cut_lineage(_first_symbols(_units(words), spark.sparkContext.broadcast(set(char_list))))
+    pairs = cut_lineage(_pair_table(_changes(units)))
     merges: list[tuple[int, str, str, str, int]] = []
-    rounds = 0
-    cached: list[DataFrame] = []
+    rounds, kept = 0, []
     while budget > 0 and (max_rounds is None or rounds < max_rounds):
-        # Recounting all pairs with map-side combine measured faster than
-        # maintaining a pair table with per-round deltas (which re-shuffles
-        # the whole table every round).
-        ranked = _pair_counts(wt).limit(head + 1).collect()
-        # the table this round read is now materialised; older ones can go
-        while len(cached) > 1:
-            cached.pop(0).unpersist()
+        ranked = pairs.orderBy(F.col("cnt").desc(), "l", "r").limit(head + 1).collect()
+        while len(kept) > 2:  # the last table has read the units of the round before, not yet its own
+            for old in kept.pop(0):
+                old.unpersist()
         if not ranked:
             break
-        complete = len(ranked) <= head
-        hd = [(r["l"], r["r"], int(r["cnt"])) for r in ranked[:head]]
-        batch = accept_batch(hd, complete, known, budget)
-        table = {}
+        total, k = 0, 0
+        while k < min(len(ranked), head) and total + ranked[k].words <= working:
+            total += ranked[k].words
+            k += 1
+        hd = [(r.l, r.r, r.cnt) for r in ranked[:head]]
+        if k >= 4 or k == len(ranked):
+            bound = (ranked[k].cnt, ranked[k].l, ranked[k].r) if k < len(ranked) else None
+            batch = merge_ahead(_holding(units, [p[:2] for p in hd[:k]]), hd[:k], bound, known, budget)
+        else:
+            n = min(head, 200)
+            batch = accept_batch(hd[:n], len(ranked) <= n, known, budget)
         for l, r, c in batch:
-            piece = l + r
-            table[l + SEP + r] = piece
-            if piece not in known:
-                known.add(piece)
-                merges.append((len(merges), l, r, piece, c))
+            if l + r not in known:
+                known.add(l + r)
+                merges.append((len(merges), l, r, l + r, c))
                 budget -= 1
-        lefts = F.array(*[F.lit(l) for l, _, _ in batch])
-        # only words holding a left symbol of this batch run the fold
-        touched = F.arrays_overlap(F.col("syms"), lefts)
-        nxt = wt.select("word", "n", F.when(touched, _apply_merges(F.col("syms"), table))
-                        .otherwise(F.col("syms")).alias("syms"))
         rounds += 1
-        if rounds % checkpoint_every == 0:
-            nxt = cut_lineage(nxt)
-        else:
-            nxt = nxt.persist()
-            cached.append(nxt)
-        wt = nxt
-    for c in cached:
-        c.unpersist()
+        ranks: dict = {}
+        for k, (l, r, _) in enumerate(batch):
+            ranks.setdefault((l, r), []).append(k)
+        ranks = spark.sparkContext.broadcast(ranks)
+        nxt, table = _merged(units, ranks), _pair_table(pairs.unionByName(_changes(units, ranks)))
+        nxt, table = (cut_lineage(nxt), cut_lineage(table)) if rounds % checkpoint_every == 0 else (nxt.persist(), table.persist())
+        kept.append([] if rounds % checkpoint_every == 0 else [nxt, table])
+        units, pairs = nxt, table
+    for old in (x for pair in kept for x in pair):
+        old.unpersist()
     rows = [(i, p, 0, "special") for i, p in enumerate(SPECIAL_PIECES)]
     rows += [(N_SPECIAL + k, m[3], -k, "merged") for k, m in enumerate(merges)]
     base = N_SPECIAL + len(merges)

@@ -259,25 +259,40 @@ def sampling_cdf(scores: DataFrame, k: int = 50, temperature: float = 0.8, ctx=(
 
 def generate(starts: DataFrame, scores: DataFrame, steps: int, seed: int = 1337, k: int = 50,
              temperature: float = 0.8, key: str = "key", ctx=("lang",), checkpoint_every: int = 8,
-             broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Seeded continuation: each step draws u = hash(seed:key:step) and takes
-    the first token whose running probability exceeds u (the last one when
-    rounding leaves u beyond all). A state without successors stays as it is.
+             broadcast_bytes: int = BROADCAST_BYTES, window: int = 64, recent: float = 1.0) -> DataFrame:
+    """Seeded continuation over the last ``window`` ids.
+
+    Of the last id's top-k tokens each has weight exp(logp / T) * (1 + recent *
+    times it followed that id within the window); a step draws u =
+    hash(seed:key:step) and takes the first token whose running share of the
+    weights exceeds u (the last one when rounding leaves u beyond all). A state
+    without successors stays as it is. ``recent`` 0 forgets all but the last id.
 
     While the table is small (measured) every task gets it and all steps of a
     batch of keys run there, all keys of the batch together; beyond that each
     step is one join, one row to one row."""
     ctx = list(ctx)
-    cdf = cut_lineage(sampling_cdf(scores, k, temperature, ctx))
+    weights = cut_lineage(sampling_weights(scores, k, temperature, ctx))
     st = starts.select(key, *ctx, "seq")
-    if _bytes(cdf) <= broadcast_bytes:
-        return _generate_batches(st, cdf, steps, seed, key, ctx)
+    if _bytes(weights) <= broadcast_bytes:
+        return _generate_batches(st, weights, steps, seed, key, ctx, window, recent)
     from tokenmill.functions import uniform_hash
     for step in range(1, steps + 1):
         cur = st.withColumn("prev", F.element_at("seq", -1)).withColumn("u", uniform_hash(seed, key, F.lit(step)))
-        j = cur.join(cdf, [*ctx, "prev"], "left")
-        at = F.array_size(F.filter("his", lambda h: h <= F.col("u")))
-        nxt = F.get("nxts", F.least(at, F.size("nxts") - 1))
+        tail = F.slice("seq", -F.least(F.size("seq"), F.lit(window)), F.least(F.size("seq"), F.lit(window)))
+        cur = cur.withColumn("tail", F.when(F.size("seq") > 0, tail))
+        after = F.filter(F.transform("tail", lambda x, i: F.when(x == F.col("prev"), F.get("tail", i + 1))), lambda x: x.isNotNull())
+        cur = cur.withColumn("after", after)
+        j = cur.join(weights, [*ctx, "prev"], "left")
+        w = F.transform("nxts", lambda t, i: F.get("ws", i) * (
+            F.lit(1.0) + F.lit(float(recent)) * F.size(F.filter("after", lambda x: x == t)).cast("double")))
+        j = j.withColumn("w", w)
+        total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
+        j = j.withColumn("total", total)
+        # places whose running share does not exceed u
+        run = F.aggregate("w", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, x: F.struct(
+            (a["s"] + x).alias("s"), (a["n"] + ((a["s"] + x) / F.col("total") <= F.col("u")).cast("int")).alias("n")))
+        nxt = F.get("nxts", F.least(run["n"], F.size("nxts") - 1))
         st = j.select(key, *ctx, F.when(F.col("nxts").isNull(), F.col("seq"))
                       .otherwise(F.concat("seq", F.array(nxt))).alias("seq"))
         if step % checkpoint_every == 0:
@@ -285,53 +300,82 @@ def generate(starts: DataFrame, scores: DataFrame, steps: int, seed: int = 1337,
     return st
 
 
-def _generate_batches(st: DataFrame, cdf: DataFrame, steps: int, seed: int, key: str, ctx) -> DataFrame:
-    rows = cdf.collect()  # at most BROADCAST_BYTES, measured by the caller
+def sampling_weights(scores: DataFrame, k: int = 50, temperature: float = 0.8, ctx=("lang",)) -> DataFrame:
+    """One row per (context, prev): the top-k tokens ``nxts`` (logp descending,
+    token ascending) and their weights exp((logp - best) / T), ``ws``."""
+    ctx = list(ctx)
+    g = Window.partitionBy(*ctx, "prev")
+    e = F.exp((F.col("logp") - F.max("logp").over(g)) / F.lit(float(temperature)))
+    s = scores.select(*ctx, "prev", "nxt", e.alias("w"), F.row_number().over(g.orderBy(F.col("logp").desc(), F.col("nxt"))).alias("rk"))
+    c = s.where(F.col("rk") <= k).groupBy(*ctx, "prev").agg(F.array_sort(F.collect_list(F.struct("rk", "nxt", "w"))).alias("c"))
+    return c.select(*ctx, "prev", F.col("c.nxt").alias("nxts"), F.col("c.w").alias("ws"))
+
+
+def _generate_batches(st: DataFrame, weights: DataFrame, steps: int, seed: int, key: str, ctx, window: int, recent: float) -> DataFrame:
+    from tokenmill.functions import uniform_hash
+    rows = weights.collect()  # at most BROADCAST_BYTES, measured by the caller
+    tokens = sorted({t for r in rows for t in (r["prev"], *r["nxts"])}, key=repr)
+    place = {t: i for i, t in enumerate(tokens)}
     state = {tuple(r[c] for c in [*ctx, "prev"]): i for i, r in enumerate(rows)}
-    shared = st.sparkSession.sparkContext.broadcast((state, [r["nxts"] for r in rows], [r["his"] for r in rows]))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in st.schema.fields)
-    src = st.withColumn("_k", F.col(key).cast("string"))
+    shared = st.sparkSession.sparkContext.broadcast((tokens, state, [[place[t] for t in r["nxts"]] for r in rows], [r["ws"] for r in rows]))
+    # the draws of all steps, made in the JVM
+    src = st.withColumn("_u", F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: uniform_hash(seed, key, i)) if steps > 0
+                        else F.array().cast("array<double>"))
 
     def run(batches):
-        import hashlib
-
         import numpy as np
         import pyarrow as pa
-        state, nxts, his = shared.value
-        wide = max([len(h) for h in his], default=1)
-        table = np.full((len(his) + 1, wide), np.inf)
-        for i, h in enumerate(his):
-            table[i, :len(h)] = h
-        last = np.array([len(h) - 1 for h in his] + [0])
-        step_to = [[state.get((*c, t), -1) for t in n] for (*c, _), n in zip(state, nxts)]
-        for b in batches:
-            names = b.column("_k").to_pylist()
-            c_cols = [b.column(c).to_pylist() for c in ctx]
-            seqs = [list(s) if s is not None else None for s in b.column("seq").to_pylist()]
-            at = np.array([state.get((*c, s[-1]), -1) if s else -1 for *c, s in zip(*c_cols, seqs)], dtype=np.int64)
-            for step in range(1, steps + 1):
-                live = np.flatnonzero(at >= 0)
-                if not len(live):
-                    break
-                u = np.array([int(hashlib.md5(f"{seed}:{names[i]}:{step}".encode()).hexdigest()[:8], 16)
-                              for i in live]) / 4294967296.0
-                pick = np.minimum((table[at[live]] <= u[:, None]).sum(axis=1), last[at[live]])
-                for i, p in zip(live.tolist(), pick.tolist()):
-                    seqs[i].append(nxts[at[i]][p])
-                    at[i] = step_to[at[i]][p]
-            out = [b.column(c) for c in (key, *ctx)] + [pa.array(seqs, b.schema.field("seq").type)]
-            yield pa.RecordBatch.from_arrays(out, names=[key, *ctx, "seq"])
-
-    return src.mapInArrow(run, fields)
-
-
-def score_batches(df: DataFrame, scorer, schema: str) -> DataFrame:
-    """Run a user scorer ``pandas.DataFrame -> pandas.DataFrame`` over
-    Arrow batches of (padded) rows, producing a score table."""
-    def run(batches):
-        for pdf in batches:
-            yield scorer(pdf)
-    return df.mapInPandas(run, schema)
+        tokens, state, nxts, ws = shared.value
+        wide, n_state = max(map(len, nxts), default=1), len(nxts)
+        nxt, weight = np.full((n_state + 1, wide), -1), np.zeros((n_state + 1, wide))
+        for i, (t, w) in enumerate(zip(nxts, ws)):
+            nxt[i, :len(t)], weight[i, :len(w)] = t, w
+        last = np.array([len(t) - 1 for t in nxts] + [0])
+        places = {t: i for i, t in enumerate(tokens)}
+        of_context: dict = {}
+        for (*c, prev), i in state.items():
+            of_context.setdefault(tuple(c), np.full(len(tokens) + 1, n_state))[places[prev]] = i
+        none = np.full(len(tokens) + 1, n_state)
+        for whole in batches:
+            for cut in range(0, whole.num_rows, 1024):
+                b = whole.slice(cut, 1024)
+                n = b.num_rows
+                seqs = b.column("seq").to_pylist()
+                u = b.column("_u").flatten().to_numpy().reshape(n, steps)
+                # the window of every key, newest last; -1 where it is not filled or not a known token
+                hist = np.full((n, window + steps), -1)
+                for i, s in enumerate(seqs):
+                    tail = [places.get(t, -1) for t in (s or ())[-window:]]
+                    hist[i, window - len(tail):window] = tail
+                table = np.stack([of_context.get(c, none) for c in zip(*(b.column(c).to_pylist() for c in ctx))]) \
+                    if ctx else np.repeat(of_context.get((), none)[None], n, 0)
+                grown = np.zeros(n, dtype=np.int64)
+                live = np.flatnonzero([bool(s) for s in seqs])
+                for step in range(steps):
+                    prev = hist[live, window + step - 1]
+                    at = table[live, prev]
+                    live, prev, at = live[at < n_state], prev[at < n_state], at[at < n_state]
+                    if not len(live):
+                        break
+                    w = weight[at].copy()
+                    if recent:
+                        seen = hist[live, step:window + step]
+                        row, j = np.nonzero(seen[:, :-1] == prev[:, None])
+                        times = np.zeros(w.shape)
+                        r, c = np.nonzero(nxt[at[row]] == seen[row, j + 1][:, None])
+                        np.add.at(times, (row[r], c), 1.0)
+                        w = w * (1.0 + recent * times)
+                    share = np.cumsum(w, axis=1)
+                    total = share[np.arange(len(live)), last[at]]
+                    inside = np.arange(wide) <= last[at][:, None]
+                    pick = np.minimum(((share / total[:, None] <= u[live, step][:, None]) & inside).sum(axis=1), last[at])
+                    hist[live, window + step] = nxt[at, pick]
+                    grown[live] = step + 1
+                out = [None if s is None else [*s, *[tokens[t] for t in hist[i, window:window + grown[i]].tolist()]] for i, s in enumerate(seqs)]
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (key, *ctx)], pa.array(out, b.schema.field("seq").type)],
+                                                 names=[key, *ctx, "seq"])
+
+    return src.mapInArrow(run, st.schema)
 
 
 # ------------------------------------------------------------------ D8, U1

@@ -17,7 +17,7 @@ from tokenmill.plans.registry import register, with_ctes
 from tokenmill.sources import read_table
 from tokenmill.sources.vocab_files import dump_lines, parse_vocab_lines
 
-VOCAB_SIZE = 300  # 4 specials + the corpus characters + the rest merges
+VOCAB_SIZE = 8000  # 4 specials + the corpus characters + the rest merges
 _memo: dict = {}
 
 

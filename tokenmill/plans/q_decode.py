@@ -104,26 +104,49 @@ def q_beam_decode(spark, sf):
 
 
 GEN_STEPS = 500
-_SQL_CDF = """cdf0 AS (SELECT lang, prev, nxt, logp, exp((logp - max(logp) OVER (PARTITION BY lang, prev)) / 0.8::DOUBLE) AS e,
+WINDOW = 64
+_SQL_WEIGHTS = """w0 AS (SELECT lang, prev, nxt, logp, exp((logp - max(logp) OVER (PARTITION BY lang, prev)) / 0.8::DOUBLE) AS w,
                 row_number() OVER (PARTITION BY lang, prev ORDER BY logp DESC, nxt) AS rk FROM next_scores),
-cdf1 AS (SELECT * FROM cdf0 WHERE rk <= 50),
-cdf2 AS (SELECT lang, prev, nxt, rk,
-          sum(e) OVER (PARTITION BY lang, prev ORDER BY logp DESC, nxt ROWS UNBOUNDED PRECEDING) / sum(e) OVER (PARTITION BY lang, prev) AS hi
-         FROM cdf1),
-cdf AS MATERIALIZED (SELECT lang, prev, list(nxt ORDER BY rk) AS nxts, list(hi ORDER BY rk) AS his FROM cdf2 GROUP BY lang, prev)"""
+weights AS MATERIALIZED (SELECT lang, prev, list(nxt ORDER BY rk) AS nxts, list(w ORDER BY rk) AS ws FROM w0 WHERE rk <= 50 GROUP BY lang, prev)"""
 _U = "(('0x' || substr(md5('1337:' || CAST(s.key AS VARCHAR) || ':' || CAST(s.step + 1 AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0)"
 
 
-@register("generate_text", sql="WITH RECURSIVE " + with_ctes(FX.SQL_NEXT_SCORES, _SQL_STARTS, _SQL_CDF)[5:] + f""",
+@register("generate_text", sql="WITH RECURSIVE " + with_ctes(FX.SQL_NEXT_SCORES, _SQL_STARTS, _SQL_WEIGHTS)[5:] + f""",
 s AS (
-  SELECT key, lang, 0 AS step, first AS prev, '' AS text FROM starts
+  SELECT key, lang, 0 AS step, first AS prev, first AS text FROM starts
   UNION ALL
-  SELECT key, lang, step + 1, nxts[i], text || nxts[i]
-  FROM (SELECT s.key, s.lang, s.step, s.text, c.nxts, least(len(list_filter(c.his, lambda h: h <= s.u)) + 1, len(c.his)) AS i
-        FROM (SELECT s.*, {_U} AS u FROM s) AS s JOIN cdf c ON c.lang = s.lang AND c.prev = s.prev WHERE s.step < {GEN_STEPS}) AS c)
-SELECT key, text, CAST(step + 1 AS BIGINT) AS n_tokens
+  SELECT key, lang, step + 1, nxts[i], text || nxts[i] FROM (
+    SELECT key, lang, step, text, nxts, least(1 + len(list_filter(range(1, len(ws) + 1), lambda n: list_sum(ws[1:n]) / list_sum(ws) <= u)), len(ws)) AS i
+    FROM (SELECT key, lang, step, text, nxts, u, list_transform(nxts, lambda t, i: ws[i] * (1 + len(list_filter(after, lambda x: x = t)))) AS ws
+      FROM (SELECT s.key, s.lang, s.step, s.text, c.nxts, c.ws, {_U} AS u,
+              list_filter(list_transform(range(1, length(right(s.text, {WINDOW}))), lambda j: CASE WHEN substr(right(s.text, {WINDOW}), j, 1) = s.prev
+                THEN substr(right(s.text, {WINDOW}), j + 1, 1) END), lambda x: x IS NOT NULL) AS after
+            FROM s JOIN weights c ON c.lang = s.lang AND c.prev = s.prev WHERE s.step < {GEN_STEPS}) AS a) AS b) AS c)
+SELECT key, substr(text, 2) AS text, CAST(step + 1 AS BIGINT) AS n_tokens
 FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY step DESC) = 1""".replace("\n,\ns AS", ",\ns AS"))
 def q_generate_text(spark, sf):
     g = D.generate(doc_starts(spark, sf), FX.next_scores(spark, sf), GEN_STEPS, seed=1337)
     return g.select("key", F.array_join(F.slice("seq", F.lit(2), F.greatest(F.size("seq") - 1, F.lit(0))), "").alias("text"),
                     F.size("seq").cast("bigint").alias("n_tokens"))
+
+
+SCORED_LEN, SCORED_TOP = 64, 8
+
+
+@register("scorer_decode")
+def q_scorer_decode(spark, sf):
+    """D4 over U1: beams ranked by a scorer that sees the whole prefix (the
+    language's bigram table mixed with what the prefix itself shows). The table
+    holds at most SCORED_TOP successors per language and character."""
+    from tokenmill.operators import frontier as FR
+    top = D.cut_lineage(D.top_next(FX.next_scores(spark, sf), SCORED_TOP).select("lang", "prev", "nxt", "logp"))
+    if D._bytes(top) > D.BROADCAST_BYTES:
+        raise ValueError("the scorer's table does not fit a task")
+    table: dict = {}
+    for r in top.orderBy(F.col("logp").desc(), "nxt").collect():
+        table.setdefault((r.lang, r.prev), []).append((r.nxt, r.logp))
+    shared = spark.sparkContext.broadcast(table)
+    b = D._by_distinct_start(doc_starts(spark, sf), "key", ("lang",), lambda u, k: FR.scorer_decode(
+        u, lambda: FR.PrefixCache(shared.value, ("lang",)), BEAM, SCORED_LEN, 0.6, "</s>", k, ("lang",)))
+    return b.select("key", _text(F.col("seq")).alias("text"), F.size("seq").cast("bigint").alias("n_tokens"),
+                    round6("score").alias("score"), round6("norm").alias("norm"))

@@ -7,8 +7,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tokenmill.constants import PAD_ID
 from tokenmill.functions import wrap_truncate
 from tokenmill.operators import bpe as BP
+from tokenmill.operators import frontier as FR
 from tokenmill.operators import decode as D
 from tokenmill.operators import runs as R
 from tokenmill.operators.batches import assign_split, pad_batches, sequential_batches
@@ -106,8 +108,10 @@ def q_bulk_translate(spark, sf):
 
 @register("score_batches")
 def q_score_batches(spark, sf):
-    """Padded batches (E6) scored against the bigram table by a join, in the
-    form that ``corpus_loss`` takes (target, logp)."""
+    """Padded batches (E6) through a user scorer that sees the whole prefix
+    of every target, in the form that ``corpus_loss`` takes (target, logp). The
+    scorer's table part comes by a join (``table_scores``), the prefix part from the
+    hook."""
     vocab, _ = trained(spark, sf)
     p = FX.pairs(spark, sf)
     enc = cut_lineage(BP.bpe_encode(BP.bpe_encode(p, "src", vocab, "src_raw"), "tgt", vocab, "tgt_raw"))
@@ -115,5 +119,9 @@ def q_score_batches(spark, sf):
     # only the key and the id arrays reach the index checkpoint
     padded = pad_batches(sequential_batches(ids, "pair_id", 16), "batch", "src_ids", "tgt_ids")
     bigram = D.translation_scores(enc).groupBy("prev", "nxt").agg(F.max("logp").alias("logp"))
-    scored = D.table_scores(padded, bigram, "pair_id", "tgt_in_pad", "tgt_out_pad")
+    base = D.table_scores(padded, bigram, "pair_id", "tgt_in_pad", "tgt_out_pad")
+    # at most 128 targets a row; those that are not padding come first
+    base = base.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("pos", "logp"))).alias("b"))
+    rows = padded.join(base.select("pair_id", F.col("b.logp").alias("base")), "pair_id", "left")
+    scored = FR.forced_scores(rows, lambda: FR.cached_scores, "pair_id", "tgt_in_pad", "tgt_out_pad", ("base",), pad=PAD_ID)
     return scored.select("pair_id", "pos", "target", F.round("logp", 6).alias("logp"))
