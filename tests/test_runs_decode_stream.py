@@ -206,3 +206,17 @@ def test_generation_is_the_same_either_way(spark):
     a, b = (sorted((r.key, list(r.seq)) for r in D.generate(s, bigram(spark), 5, broadcast_bytes=x).collect())
             for x in (0, D.BROADCAST_BYTES))
     assert a == b and len(a) == 32 and dict(a)[99] == ["q"] and len({tuple(x) for _, x in a}) > 3
+
+
+def test_a_round_reads_its_slice_only(spark):
+    """Rows read over all rounds grow with the rows, not with rounds x rows."""
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(1, e, 1.0 / (e + 1)) for e in range(100)] + [(2, 0, 1.0)], "run long, epoch long, val double").repartition(4)
+    ranked = R._ranked(df, 10)
+    part = ranked.where(F.col("slice") == 3)
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(slice" in plan and "= 3" in plan
+    assert all("slice=3/" in r[0] for r in part.select(F.input_file_name()).collect()) and part.count() == 10
+    assert sum(ranked.where(F.col("slice") == k).count() for k in range(10)) == 101
+    got = {r.run: r.last_epoch for r in R.early_stop(df, 3, 0.001, chunk=10).collect()}
+    assert got == {1: max(e for e in got.values()), 2: 0} and got[1] == {r.run: r.last_epoch for r in R.early_stop(df, 3, 0.001).collect()}[1]

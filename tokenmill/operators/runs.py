@@ -11,12 +11,14 @@ same path, whatever its length.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.functions import strip_text, uniform_hash
 from tokenmill.operators.indexing import sequence_index
-from tokenmill.session import cut_lineage
+from tokenmill.session import checkpoint_dir, cut_lineage
 
 # The translation config (training + dataset sections), the
 # search grid, the random search space and the forced search budget.
@@ -235,24 +237,30 @@ def epoch_summary(steps: DataFrame, vals: DataFrame) -> DataFrame:
 SLICE_EPOCHS = 1 << 18  # epochs of one run that a task folds at a time
 
 
-def _ranked(epochs: DataFrame) -> DataFrame:
-    """(run, pos, epoch, val): ``pos`` = 1-based order of the run's epochs.
-    Epoch numbers may have gaps, start anywhere and be negative; the folds
-    count rows, so they work on positions and report epoch numbers."""
+def _ranked(epochs: DataFrame, chunk: int) -> DataFrame:
+    """(run, pos, epoch, val, slice): ``pos`` = 1-based order of the run's epochs,
+    ``slice`` the run's slice of ``chunk`` epochs it lies in. Epoch numbers may have
+    gaps, start anywhere and be negative; the folds count rows, so they work on
+    positions and report epoch numbers. The rows are stored by slice in the shared
+    folder: a round that filters on its slice reads that folder only."""
     e = sequence_index(epochs.select("run", "epoch", "val"), ["epoch", "val"], ["run"], name="pos", start=1)
-    return cut_lineage(e.select("run", "pos", "epoch", "val"))
+    e = e.select("run", "pos", "epoch", "val", F.floor((F.col("pos") - 1) / chunk).cast("int").alias("slice"))
+    spark = epochs.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/epochs-{uuid.uuid4()}"
+    e.write.partitionBy("slice").parquet(path)
+    return spark.read.schema(e.schema).parquet(path)
 
 
 def _fold_rounds(epochs: DataFrame, init: DataFrame, step_fn, state, chunk: int, stopped=None):
     """Every run, whatever its length, is folded in slices of ``chunk`` epochs:
     a round hands each live run its next slice and carries the small state on.
     Returns the list of round results (state columns plus what ``step_fn`` adds)."""
-    ranked = _ranked(epochs)
+    ranked = _ranked(epochs, chunk)
     live = ranked.groupBy("run").agg(F.max("pos").alias("n"), F.max_by("epoch", "pos").alias("last")) \
         .select("run", "n", "last", *[v.alias(k) for k, v in init.items()])
     done, lo = [], 0
     while True:
-        part = ranked.where((F.col("pos") > lo) & (F.col("pos") <= lo + chunk))
+        part = ranked.where(F.col("slice") == lo // chunk).select("run", "pos", "epoch", "val")
         if lo:
             part = part.join(live.select("run"), "run", "left_semi")
         g = part.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("pos", "epoch", "val"))).alias("xs"))
