@@ -1,77 +1,188 @@
-"""ST2: early stopping as a live monitor. State per run:
-(best, bad, best_epoch, stop_epoch, next_epoch) plus epochs that arrived
-ahead of a gap. Epochs are folded strictly in order, so files or batches that
-arrive out of order give the same result as the batch operator X8."""
+"""ST2: early stopping as a live monitor with bounded state.
+
+State per run: a value (best, bad, best_epoch, stop_epoch, next_epoch, waiting,
+skipped) and a map of the epochs that arrived ahead of a gap. Epochs are folded
+strictly in order, so files or batches that arrive out of order give the same
+result as the batch operator X8. An epoch that is due is folded at once and never
+stored; a stopped run keeps its value only; epochs before the next due one (late
+or repeated) are ignored.
+
+A missing epoch cannot grow a run's state for ever: when more than
+``max_ahead`` epochs wait behind it, or when nothing has filled the gap for
+``gap_timeout_ms`` of processing time (a timer), the run goes on from the
+smallest waiting epoch, and ``skipped`` counts the epochs that never came. A null or
+NaN value is no improvement.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
-
-OUT_SCHEMA = "run bigint, best double, best_epoch bigint, stop_epoch bigint, last_epoch bigint"
-STATE_SCHEMA = ("best double, bad int, best_epoch bigint, stop_epoch bigint, next_epoch bigint, "
-                "pend_epoch array<bigint>, pend_val array<double>")
-
-
-def _fold(patience: int, min_delta: float):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state):
-        import warnings
-        # the worker's Arrow serializer concatenates frames with all-null
-        # nullable columns, which pandas flags as a future change
-        warnings.simplefilter("ignore", FutureWarning)
-        if state.exists:
-            best, bad, best_epoch, stop_epoch, next_epoch, pe, pv = state.get
-            pend = dict(zip(pe or [], pv or []))
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+
+OUT_SCHEMA = ("run bigint, best double, best_epoch bigint, stop_epoch bigint, last_epoch bigint, waiting bigint, "
+              "skipped bigint")
+FOLD_SCHEMA = ("best double, bad int, best_epoch bigint, stop_epoch bigint, next_epoch bigint, waiting bigint, "
+               "skipped bigint")
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Fold:
+    """One run's early stopping; ``ahead`` is any mapping-like store of waiting
+    epochs (get, put, remove, smallest)."""
+
+    def __init__(self, state, ahead, patience: int, min_delta: float, max_ahead: int):
+        self.best, self.bad, self.best_epoch, self.stop_epoch, self.next_epoch, self.waiting, self.skipped = \
+            state or (math.inf, 0, None, None, 1, 0, 0)
+        self.ahead, self.patience, self.min_delta, self.max_ahead = ahead, patience, min_delta, max_ahead
+
+    def state(self) -> tuple:
+        return self.best, self.bad, self.best_epoch, self.stop_epoch, self.next_epoch, self.waiting, self.skipped
+
+    def add(self, epoch: int, val: float) -> None:
+        if self.stop_epoch is not None or epoch < self.next_epoch:
+            return
+        if epoch == self.next_epoch:
+            if self.waiting and self.ahead.get(epoch) is not None:
+                self._take(epoch)
+            self._step(val)
+            self._drain()
+            return
+        if self.ahead.get(epoch) is None:
+            self.waiting += 1
+        self.ahead.put(epoch, val)
+        if self.waiting > self.max_ahead:
+            self.skip_gap()
+
+    def skip_gap(self) -> None:
+        """Goes on from the smallest waiting epoch."""
+        if self.waiting and self.stop_epoch is None:
+            first = self.ahead.smallest()
+            self.skipped += first - self.next_epoch
+            self.next_epoch = first
+            self._drain()
+
+    def _take(self, epoch):
+        self.waiting -= 1
+        self.ahead.remove(epoch)
+
+    def _drain(self):
+        while self.stop_epoch is None and self.waiting:
+            val = self.ahead.get(self.next_epoch)
+            if val is None:
+                return
+            self._take(self.next_epoch)
+            self._step(val)
+        if self.stop_epoch is not None and self.waiting:
+            self.ahead.clear()  # epochs after the stop are ignored
+            self.waiting = 0
+
+    def _step(self, val):
+        if val < self.best - self.min_delta:
+            self.best, self.bad, self.best_epoch = val, 0, self.next_epoch
         else:
-            best, bad, best_epoch, stop_epoch, next_epoch, pend = math.inf, 0, None, None, 1, {}
-        for pdf in pdfs:
-            for e, v in zip(pdf["epoch"].tolist(), pdf["val"].tolist()):
-                pend[int(e)] = float(v)
-        while stop_epoch is None and next_epoch in pend:
-            v = pend.pop(next_epoch)
-            if v < best - min_delta:
-                best, bad, best_epoch = v, 0, next_epoch
-            else:
-                bad += 1
-                if bad >= patience:
-                    stop_epoch = next_epoch
-            next_epoch += 1
-        if stop_epoch is not None:
-            pend = {}  # epochs after the stop are ignored
-        state.update((best, bad, best_epoch, stop_epoch, next_epoch, list(pend), list(pend.values())))
-        last = stop_epoch if stop_epoch is not None else next_epoch - 1
-        yield pd.DataFrame({"run": pd.array([int(key[0])], dtype="int64"), "best": pd.array([best], dtype="float64"),
-                            "best_epoch": pd.array([best_epoch], dtype="Int64"),
-                            "stop_epoch": pd.array([stop_epoch], dtype="Int64"),
-                            "last_epoch": pd.array([last], dtype="int64")})
-    return fn
+            self.bad += 1
+            if self.bad >= self.patience:
+                self.stop_epoch = self.next_epoch
+        self.next_epoch += 1
+
+
+class _Ahead:
+    """Waiting epochs in Spark's map state."""
+
+    def __init__(self, state):
+        self.of = state
+
+    def get(self, epoch):
+        return self.of.getValue((epoch,))[0] if self.of.containsKey((epoch,)) else None
+
+    def put(self, epoch, val):
+        self.of.updateValue((epoch,), (val,))
+
+    def remove(self, epoch):
+        self.of.removeKey((epoch,))
+
+    def smallest(self):
+        return min(int(k[0]) for k in self.of.keys())
+
+    def clear(self):
+        self.of.clear()
+
+
+class EarlyStop(StatefulProcessor):
+    def __init__(self, patience: int, min_delta: float, max_ahead: int, gap_timeout_ms: int | None):
+        self.rule, self.gap_timeout_ms = (patience, min_delta, max_ahead), gap_timeout_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.fold = handle.getValueState("fold", FOLD_SCHEMA)
+        self.ahead = _Ahead(handle.getMapState("ahead", "epoch bigint", "val double"))
+
+    def _load(self) -> Fold:
+        return Fold(tuple(self.fold.get()) if self.fold.exists() else None, self.ahead, *self.rule)
+
+    def _save(self, key, fold: Fold, timers):
+        import pandas as pd
+        self.fold.update(fold.state())
+        if self.gap_timeout_ms is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            if fold.waiting:
+                self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.gap_timeout_ms)
+        last = fold.stop_epoch if fold.stop_epoch is not None else fold.next_epoch - 1
+        yield pd.DataFrame({"run": pd.array([int(key[0])], dtype="int64"), "best": pd.array([fold.best], dtype="float64"),
+                            "best_epoch": pd.array([fold.best_epoch], dtype="Int64"),
+                            "stop_epoch": pd.array([fold.stop_epoch], dtype="Int64"),
+                            "last_epoch": pd.array([last], dtype="int64"), "waiting": pd.array([fold.waiting], dtype="int64"),
+                            "skipped": pd.array([fold.skipped], dtype="int64")})
+
+    def handleInputRows(self, key, rows, timerValues):
+        fold = self._load()
+        for pdf in rows:
+            for e, v in sorted(zip(pdf["epoch"].tolist(), pdf["val"].tolist()), key=lambda x: x[0]):
+                fold.add(int(e), math.nan if v is None else float(v))
+        yield from self._save(key, fold, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        fold = self._load()
+        fold.skip_gap()
+        yield from self._save(key, fold, timerValues)
+
+    def close(self) -> None:
+        pass
 
 
 def early_stop_stream(stream: DataFrame, out_path: str, checkpoint: str, patience: int = 5,
-                      min_delta: float = 0.001, available_now: bool = True) -> StreamingQuery:
+                      min_delta: float = 0.001, available_now: bool = True, max_ahead: int = 10_000,
+                      gap_timeout_ms: int | None = None, interval: str = "10 seconds") -> StreamingQuery:
     """Stream of (run, epoch, val) -> per micro-batch, the updated state of
-    every run that received epochs, appended under ``batch_id=N``."""
-    upd = stream.groupBy("run").applyInPandasWithState(
-        _fold(patience, min_delta), OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
+    every run that received epochs (or whose gap ran out of time), appended
+    under ``batch_id=N``. Rows without a run or an epoch are ignored."""
+    spark = stream.sparkSession
+    timed = gap_timeout_ms is not None
+    upd = stream.where(F.col("run").isNotNull() & F.col("epoch").isNotNull()).select("run", "epoch", "val") \
+        .groupBy("run").transformWithStateInPandas(
+            EarlyStop(patience, min_delta, max_ahead, gap_timeout_ms), OUT_SCHEMA, "Update", "ProcessingTime" if timed else "None")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        from pyspark.sql import functions as F
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
             f"{out_path.rstrip('/')}/batch_id={batch_id}")
 
     w = upd.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)  # map state and timers need it; a query keeps the settings it started with
+    try:
+        return w.start()
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
 
 
 def latest_state(spark, out_path: str) -> DataFrame:
     """The last reported state per run (max batch id)."""
-    from pyspark.sql import functions as F
     o = spark.read.parquet(out_path)
     last = o.groupBy("run").agg(F.max("batch_id").alias("batch_id"))
     return o.join(last, ["run", "batch_id"]).drop("batch_id")
