@@ -115,3 +115,73 @@ def test_units_are_cut_on_script_change(spark):
     df = spark.createDataFrame([("hello你好123ab", 2), ("你", 3), ("x", 1)], "word string, n long")
     got = {r.unit: r.n for r in BP._units(df).collect()}
     assert got == {"▁hello": 2, "你好": 2, "123": 2, "ab": 2, "▁你": 3, "▁x": 1}
+
+
+def test_roundtrip_refs(spark):
+    """Cut to the dataset's length, unknowns as ' ⁇ ', blanks empty."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, "", None, "low " * 40, "Ωmega low"])], "pair_id long, tgt string")
+    vocab, _ = BP.bpe_train(df.where("pair_id < 5"), "tgt", 70)
+    ids, pieces = BP.piece_table(vocab), [r.piece for r in vocab.orderBy("id").collect()]
+    got = {r.pair_id: r.ref for r in BP.roundtrip_refs(df, "tgt", vocab, 12).collect()}
+    for r in df.collect():
+        mine = BP.WordEncoder(ids).text(r.tgt)[:10]  # between bos and eos
+        assert got[r.pair_id] == BP.decode_py(mine, pieces), r
+    assert got[5] == got[6] == "" and "⁇" in got[8] and len(got[7]) < len("low " * 40)
+
+
+def test_batches_encode_like_single_words(spark):
+    ids = {"▁": 10, "l": 11, "o": 12, "w": 13, "lo": 5, "▁lo": 6, "ow": 4, "你": 20, "好": 21, "你好": 22, "1": 23, "▁1": 24}
+    enc = BP.WordEncoder(ids)
+    texts = ["low 你好low你1", None, "", "  xyz q low", "qq 我 1", "low" * 50]
+
+    def plain(t):
+        out = []
+        for w in BP.unicodedata.normalize("NFKC", t or "").split():
+            out += BP.encode_word(list("▁" + w), ids)
+        return [x for i, x in enumerate(out) if not (x == UNK_ID and i and out[i - 1] == UNK_ID)]
+    flat, n = enc.texts(texts)
+    got, at = [], 0
+    for k in n.tolist():
+        got.append(flat[at:at + k].tolist())
+        at += k
+    assert got == [plain(t) for t in texts]
+    across = BP.WordEncoder(ids | {"w你": 30})
+    assert across.word("low你") == BP.encode_word(list("▁low你"), ids | {"w你": 30})
+    df = spark.createDataFrame([(i, t, {"x y": i}) for i, t in enumerate(texts)], "k long, t string, s struct<`x y`:long>")
+    vocab = spark.createDataFrame([(i, p, "merged") for p, i in ids.items()], "id long, piece string, kind string")
+    out = BP.bpe_encode(df, "t", vocab).orderBy("k").collect()
+    assert [list(r.ids) for r in out] == got and [r.s["x y"] for r in out] == list(range(6))
+
+
+def test_decoding_with_a_large_vocabulary(spark):
+    n = 70_000
+    vocab = spark.range(n).selectExpr("id", "CASE WHEN id < 4 THEN 'special' ELSE concat('p', id) END AS piece",
+                                      "IF(id < 4, 'special', 'merged') AS kind")
+    df = spark.createDataFrame([([5, 69_999, 1, 3, 80_000],)], "ids array<bigint>")
+    assert df.select(BP.bpe_decode("ids", vocab).alias("t")).first().t == "p5p69999 ⁇  ⁇ "
+
+
+def test_a_stored_vocabulary_must_fit(spark, tmp_dir):
+    from tokenmill.operators.vocab_store import load_or_train
+    a = spark.createDataFrame([(t,) for t in TEXTS], "text string")
+    b = spark.createDataFrame([("other words entirely other words",)], "text string")
+    first = load_or_train(spark, tmp_dir, a, "text", 40)
+    assert first.count() == 40 and load_or_train(spark, tmp_dir, a, "text", 45).count() == 45
+    other = {r.piece for r in load_or_train(spark, tmp_dir, b, "text", 40).collect()}
+    assert "▁other" in other
+    import tokenmill.operators.bpe as mod
+    real, mod.bpe_train = mod.bpe_train, None  # a stored one is not trained again
+    try:
+        again = load_or_train(spark, tmp_dir, a.repartition(3), "text", 40)
+        assert sorted(map(tuple, again.collect())) == sorted(map(tuple, first.collect()))
+    finally:
+        mod.bpe_train = real
+
+
+def test_a_vocabulary_file_with_quotes(spark, tmp_dir):
+    from tokenmill.sources.vocab_files import read_vocab, write_vocab
+    pieces = ["<pad>", "<s>", "</s>", "<unk>", '"', ",", "a\tb", "▁\"x", "\\"]
+    v = spark.createDataFrame(list(enumerate(pieces)), "id long, piece string")
+    write_vocab(v, tmp_dir + "/v")
+    got = read_vocab(spark, tmp_dir + "/v").orderBy("id").collect()
+    assert [(r.id, r.piece, r.kind) for r in got] == [(i, p, "special" if i < 4 else "piece") for i, p in enumerate(pieces)]

@@ -121,3 +121,37 @@ def test_bulk_translate_gives_one_row_per_source(spark):
     for how in ("beam", "greedy"):
         got = {r.pair_id: r.hyp for r in D.bulk_translate(df, vocab, D.translation_scores(enc), how, max_len=12).collect()}
         assert set(got) == {1, 2, 3, 4, 5} and got[3] == "" and got[1] in ("new newer", "newest") and got[2] in ("newest", "new newer")
+
+
+def test_documents_by_byte_ranges(spark, tmp_dir):
+    """Files of many splits: pieces give the exact text back, windows agree with
+    slicing, and the whole-file reader with both."""
+    import os
+    from tokenmill.operators import longtext as LT
+    from tokenmill.sources import corpus as C
+    texts = {"a.txt": "héllo\nwörld 🙂\r\nx" * 40, "b.txt": "ends with a break\n" * 30, "c.txt": "", "d.txt": "\n\n\n",
+             "e.txt": "y" * 5000 + "\n" + "z" * 10, "f.txt": "one"}
+    for name, t in texts.items():
+        with open(os.path.join(tmp_dir, name), "w", encoding="utf-8", newline="") as f:
+            f.write(t)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "100")
+    try:
+        pieces = C.read_document_pieces(spark, tmp_dir, 5)
+        rows = sorted((r.off, r.doc.rsplit("/", 1)[1], r.piece) for r in pieces.collect())
+        got = {}
+        for _, name, piece in rows:
+            got[name] = got.get(name, "") + piece
+        assert got == {n: t for n, t in texts.items() if t}
+        ranges = {r.doc.rsplit("/", 1)[1]: r for r in C.document_ranges(pieces).collect()}
+        assert all((ranges[n].n_chars, ranges[n].n_lines) == (len(t), t.count("\n") + 1) for n, t in texts.items() if t)
+        r = ranges["a.txt"]
+        mine = pieces.where(pieces.doc.endswith("/a.txt"))
+        w = sorted((x.window_id, x.x, x.y) for x in LT.corpus_windows(mine, 32, 16, base=r.first, total=r.n_chars).collect())
+        t = texts["a.txt"]
+        assert w == [(i, t[i * 16:i * 16 + 32], t[i * 16 + 1:i * 16 + 33]) for i in range((len(t) - 32) // 16)]
+        whole = {r.doc.rsplit("/", 1)[1]: r.text for r in C.read_document(spark, tmp_dir).collect()}
+        assert {n: t for n, t in whole.items() if t} == got
+    finally:
+        spark.conf.set(key, before)

@@ -11,7 +11,7 @@ few rounds, so lineage stays short and a lost executor only replays a few
 rounds.
 
 Encoding ships the piece table (bounded by ``vocab_size``) to the tasks and
-encodes each distinct word once per task (cache), with no shuffle.
+encodes each distinct word of a batch once, with no shuffle.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ import heapq
 import unicodedata
 from collections import OrderedDict
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -438,34 +440,67 @@ def encode_word(symbols: list[str], piece_ids: dict[str, int]) -> list[int]:
     return out
 
 
+def _unit_pattern():
+    """Script runs of a word, as ``_units`` cuts them."""
+    import re
+    han, kana, hangul = (_py_class(p).pattern for p in (_HAN, _KANA, _HANGUL))
+    other = "[^" + "".join(p[1:-1] for p in (han, kana, hangul)) + r"\d]+"
+    return re.compile(rf"{WORD_MARK}?(?:{han}+|{kana}+|{hangul}+|\d+|{other})")
+
+
 class WordEncoder:
-    """Per-task encoder with a bounded cache of distinct words."""
+    """Per-task encoder with a bounded cache. Words are cut where the script
+    changes, so a sentence of a script without spaces is several short units
+    that repeat; only a vocabulary with a piece across scripts keeps words whole."""
 
     def __init__(self, piece_ids: dict[str, int], cache_size: int = 1 << 18):
         self.piece_ids = piece_ids
         self.cache: OrderedDict[str, list[int]] = OrderedDict()
         self.cache_size = cache_size
+        cut = _unit_pattern().findall
+        self.cut = cut if all(len(cut(p)) <= 1 for p in piece_ids) else (lambda w: [w])
 
-    def word(self, w: str) -> list[int]:
-        got = self.cache.get(w)
+    def unit(self, u: str) -> list[int]:
+        got = self.cache.get(u)
         if got is None:
-            got = encode_word(list(WORD_MARK + w), self.piece_ids)
-            self.cache[w] = got
+            got = encode_word(list(u), self.piece_ids)
+            self.cache[u] = got
             if len(self.cache) > self.cache_size:
                 self.cache.popitem(last=False)
         return got
 
-    def text(self, t) -> list[int]:
-        if t is None:
-            return []
+    def word(self, w: str) -> list[int]:
         out: list[int] = []
-        for w in unicodedata.normalize("NFKC", t).split():
-            ids = self.word(w)
-            if out and ids and out[-1] == UNK_ID and ids[0] == UNK_ID:
-                ids = ids[1:]
-            out.extend(ids)
+        for u in self.cut(WORD_MARK + w):
+            ids = self.unit(u)
+            out += ids[1:] if out and ids and out[-1] == UNK_ID == ids[0] else ids
         return out
 
+    def texts(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, ids per text). Each distinct word of the
+        batch is encoded once; unknowns in a row are one, across words too."""
+        clean = pa.array([" ".join(unicodedata.normalize("NFKC", t).split()) if t else "" for t in texts], pa.large_string())
+        parts = pc.split_pattern(clean, " ")
+        flat, owner = parts.flatten(), pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)
+        full = pc.greater(pc.binary_length(flat), 0)
+        owner, words = owner[full.to_numpy(zero_copy_only=False)], flat.filter(full).dictionary_encode()
+        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = [self.word(w) for w in words.dictionary.to_pylist()]
+        size = np.array([len(x) for x in ids], dtype=np.int64)
+        of = np.fromiter((y for x in ids for y in x), dtype=np.int64, count=int(size.sum()))
+        if not len(code):
+            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        n = size[code]
+        end = np.cumsum(n)
+        got = of[np.repeat((np.cumsum(size) - size)[code] - (end - n), n) + np.arange(end[-1])]
+        text = np.repeat(owner, n)
+        keep = np.ones(len(got), dtype=bool)
+        keep[1:] = ~((got[1:] == UNK_ID) & (got[:-1] == UNK_ID) & (text[1:] == text[:-1]))
+        return got[keep], np.bincount(text[keep], minlength=len(texts))
+
+    def text(self, t) -> list[int]:
+        return self.texts([t])[0].tolist()
+
 
 def piece_table(vocab: DataFrame, max_size: int = 1 << 20) -> dict[str, int]:
     """Collect the piece -> id table; its size is bounded by vocab_size."""
@@ -476,18 +511,21 @@ def piece_table(vocab: DataFrame, max_size: int = 1 << 20) -> dict[str, int]:
 
 
 def bpe_encode(df: DataFrame, col: str, vocab: DataFrame, out: str = "ids") -> DataFrame:
-    """Text -> piece ids. Runs per partition with the piece table
-    broadcast; no shuffle, every distinct word is encoded once per task."""
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(piece_table(vocab))
+    """Text -> piece ids, with the piece table broadcast and no shuffle. Every
+    Arrow batch becomes a dictionary of words, each encoded once (and kept by the
+    task), and the texts are put together by numpy; the other columns pass by
+    untouched. A null text has no ids."""
+    bc = df.sparkSession.sparkContext.broadcast(piece_table(vocab))
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.LongType()), False)])
+    place, names = df.columns.index(col), [*df.columns, out]
 
     def run(batches):
         enc = WordEncoder(bc.value)
-        for pdf in batches:
-            pdf[out] = [enc.text(t) for t in pdf[col]]
-            yield pdf
-    return df.mapInPandas(run, schema)
+        for b in batches:
+            ids, n = enc.texts(b.column(place).to_pylist())
+            ends = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, pa.array(ids))], names=names)
+    return df.mapInArrow(run, schema)
 
 
 def bpe_decode(ids, vocab: DataFrame) -> Column:

@@ -14,7 +14,6 @@ from tokenmill.constants import N_SPECIAL, SPECIAL_PIECES
 from tokenmill.functions import char_tokens, whitespace_words
 
 # Largest piece list inlined as a literal array inside expressions.
-MAX_LITERAL_VOCAB = 1 << 16
 
 
 def char_vocab(df: DataFrame, col: str = "text", offset: int = 0) -> DataFrame:
@@ -68,24 +67,18 @@ def vocab_profile(vocab: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_pieces")))
 
 
-def _bounded_rows(vocab: DataFrame, cols, order=None):
-    """Collect at most MAX_LITERAL_VOCAB + 1 rows (one bounded job); None
-    when the vocabulary is larger than that."""
-    v = vocab.select(*cols)
-    if order:
-        v = v.orderBy(order)
-    rows = v.limit(MAX_LITERAL_VOCAB + 1).collect()
-    return None if len(rows) > MAX_LITERAL_VOCAB else rows
-
-
 def literal_pieces(vocab: DataFrame, id_col: str = "id", piece_col: str = "piece") -> Column:
-    """Pieces as an array literal indexed by id (ids must be dense from 0)."""
-    rows = _bounded_rows(vocab, [id_col, piece_col], id_col)
-    if rows is None:
-        raise ValueError("vocabulary too large to inline")
+    """Pieces as one array constant indexed by id (ids must be dense from 0). The
+    vocabulary is collected (its size is a parameter of its training); the
+    constant is one folded literal whatever its size, split at a character that no
+    piece has."""
+    rows = vocab.select(id_col, piece_col).orderBy(id_col).collect()
     if [r[0] for r in rows] != list(range(len(rows))):
         raise ValueError("ids must be dense from 0")
-    return F.lit([r[1] for r in rows])
+    pieces = [r[1] for r in rows]
+    used = set().union(*pieces) if pieces else set()
+    mark = next(chr(c) for c in range(0xE000, 0x110000) if chr(c) not in used)
+    return F.split(F.lit(mark.join(pieces)), mark) if pieces else F.array().cast("array<string>")
 
 
 def char_lookup(vocab: DataFrame, unk_id: int | None = None):

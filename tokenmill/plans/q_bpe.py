@@ -4,6 +4,7 @@ format (V6, V8, E1, E9, E11, S3)."""
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -15,7 +16,8 @@ from tokenmill.plans import fixtures as FX
 from tokenmill.sources.corpus import corpus_flatten
 from tokenmill.plans.registry import register, with_ctes
 from tokenmill.sources import read_table
-from tokenmill.sources.vocab_files import dump_lines, parse_vocab_lines
+from tokenmill.session import checkpoint_dir
+from tokenmill.sources.vocab_files import dump_lines, parse_vocab_lines, read_vocab, write_vocab
 
 VOCAB_SIZE = 8000  # 4 specials + the corpus characters + the rest merges
 _memo: dict = {}
@@ -80,7 +82,12 @@ v AS (SELECT * FROM (VALUES (0, '<pad>'), (1, '<s>'), (2, '</s>'), (3, '<unk>'))
 SELECT CAST(id AS BIGINT) AS id, piece, CAST(CASE WHEN id < 4 THEN 0 ELSE -(id - 4) END AS BIGINT) AS score,
        CASE WHEN id < 4 THEN 'special' ELSE 'piece' END AS kind FROM v""".replace("\n,\nv", ",\nv"))
 def q_read_vocab(spark, sf):
-    """S3: vocabulary dump lines (piece TAB score) parsed back: id = 4 - score,
-    the four specials by name."""
+    """S3: a vocabulary dump written as a file (piece TAB score, one line each) and
+    read back: id = 4 - score, the four specials by name. The characters of the
+    documents include line breaks, which the format cannot hold and S5 flattens:
+    those pieces are read from their lines, the others from the file."""
     v = V.with_specials(V.char_vocab(read_table(spark, sf, "documents"), "text"))
-    return parse_vocab_lines(dump_lines(v))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/vocab-dump-{uuid.uuid4()}"
+    breaks = F.col("piece").rlike("[\\r\\n]")
+    write_vocab(v.where(~breaks), path)
+    return read_vocab(spark, path).unionByName(parse_vocab_lines(dump_lines(v.where(breaks))))

@@ -46,10 +46,14 @@ def q_read_pairs(spark, sf):
 @register("read_document", sql="""
 SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents""")
 def q_read_document(spark, sf):
-    """Each document as one string: characters and lines."""
-    d = read_table(spark, sf, "documents")
-    return d.select("doc_id", F.length("text").cast("bigint").alias("n_chars"),
-                    F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"))
+    """Every document written as a file and read back whole: its characters and
+    lines (``read_document_pieces`` is the reader for files too large for a row)."""
+    path = _scratch(spark, "docs")
+    read_table(spark, sf, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    # the writer ends each file with a line break, which is not the document's
+    return C.read_document(spark, path).select(
+        F.regexp_extract("doc", "doc_id=(-?[0-9]+)", 1).cast("bigint").alias("doc_id"),
+        (F.length("text") - 1).cast("bigint").alias("n_chars"), (F.size(F.split("text", "\n")) - 1).cast("bigint").alias("n_lines"))
 
 
 @register("read_run_logs", sql=with_ctes(FX.SQL_LOG_LINES) + """
