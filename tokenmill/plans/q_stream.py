@@ -59,7 +59,7 @@ def q_encode_stream(spark, sf):
     split_files(conv, src, "conv_id")
     stream = spark.readStream.schema(conv.schema).option("maxFilesPerTrigger", 1).parquet(src)
     out, ck = _scratch(spark, "conv-out"), _scratch(spark, "conv-ck")
-    q = encode_stream(stream.withColumnRenamed("conv_id", "conv_id"),
+    q = encode_stream(stream,
                       lambda df, col: df.withColumn("ids", look(col)), out, ck, ("conv_id", "turn"))
     q.awaitTermination()
     return read_encoded(spark, out).select("conv_id", "turn", "ids")
