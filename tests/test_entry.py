@@ -29,7 +29,7 @@ def test_inventory_registered():
     assert len(INVENTORY) == 77 and set(INVENTORY) <= set(q)
     # W1/W2 over one long text (2.10-C)
     rest = {n for n in q if not re.match(r"op\d+_|pipeline$", n)}
-    assert rest - set(INVENTORY) == {"corpus_windows", "corpus_split"}
+    assert rest - set(INVENTORY) == {"corpus_windows", "corpus_split", "scorer_decode"}
 
 
 def test_all_queries_build(spark):

@@ -59,15 +59,18 @@ def test_run_logs_round_trip(spark, tmp_dir):
 
 
 def test_load_or_train_reuses_saved_vocab(spark, tmp_dir):
-    from tokenmill.operators.vocab_store import load_or_train, path_exists
+    """A store is reused for the texts and size it was trained on, and for those
+    only: another corpus gets a vocabulary of its own beside it."""
+    from tokenmill.operators.vocab_store import fingerprint, load_or_train, path_exists
     df = spark.createDataFrame([("low lower lowest",), ("new newer",)], "text string")
     path = os.path.join(tmp_dir, "store")
-    assert not path_exists(spark, path)
+    place = f"{path}/fit={fingerprint(df, 'text', 30, 0.9995)}"
+    assert not path_exists(spark, place)
     first = sorted(tuple(r) for r in load_or_train(spark, path, df, "text", 30).collect())
-    assert path_exists(spark, path)
-    other = spark.createDataFrame([("zzz",)], "text string")  # would train a different vocabulary
-    second = sorted(tuple(r) for r in load_or_train(spark, path, other, "text", 30).collect())
-    assert first == second
+    assert path_exists(spark, place)
+    other = spark.createDataFrame([("zzz",)], "text string")  # trains a different vocabulary
+    assert sorted(tuple(r) for r in load_or_train(spark, path, other, "text", 30).collect()) != first
+    assert sorted(tuple(r) for r in load_or_train(spark, path, df, "text", 30).collect()) == first
 
 
 def test_hot_run_log_spans_files_in_order(spark, tmp_dir):
