@@ -16,7 +16,6 @@ encodes each distinct word of a batch once, with no shuffle.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import unicodedata
 from collections import OrderedDict
@@ -66,18 +65,21 @@ def _py_class(pat: str):
     return re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m.group(1), 16)), pat))
 
 
-@functools.lru_cache(1 << 16)
+_PY_CLASSES = [(name, _py_class(pat)) for name, pat in (("han", _HAN), ("kana", _KANA), ("hangul", _HANGUL))]
+
+
 def py_script_class(sym: str) -> str:
-    """Plain-Python twin of ``script_class`` (tests and brute-force checks)."""
+    """Plain-Python twin of ``script_class`` (training tasks, tests). It keeps no
+    cache: a cached function would travel to the workers by name, and they need not
+    have this package."""
     if sym == WORD_MARK:
         return "mark"
     ch = sym[-1]
-    for name, pat in (("han", _HAN), ("kana", _KANA), ("hangul", _HANGUL)):
-        if _py_class(pat).match(ch):
-            return name
-    if unicodedata.category(ch) == "Nd":
-        return "digit"
-    return "other"
+    if ch >= "\u1100":  # the first of the three scripts begins here
+        for name, pat in _PY_CLASSES:
+            if pat.match(ch):
+                return name
+    return "digit" if unicodedata.category(ch) == "Nd" else "other"
 
 
 def mergeable(l: str, r: str) -> bool:
