@@ -1,6 +1,7 @@
 """BPE: batched rounds equal one-at-a-time merging; encoder and decoder rules."""
 
 import collections
+import itertools
 
 from tokenmill.constants import UNK_ID
 from tokenmill.operators import bpe as BP
@@ -185,3 +186,21 @@ def test_a_vocabulary_file_with_quotes(spark, tmp_dir):
     write_vocab(v, tmp_dir + "/v")
     got = read_vocab(spark, tmp_dir + "/v").orderBy("id").collect()
     assert [(r.id, r.piece, r.kind) for r in got] == [(i, p, "special" if i < 4 else "piece") for i, p in enumerate(pieces)]
+
+
+def test_training_of_many_words_takes_few_rounds(spark, monkeypatch):
+    """30,000 distinct words that hold every early pair: the driver decides many merges a
+    round, and they equal merging one at a time."""
+    syl = ["ka", "to", "mi", "se", "ru", "no"]
+    words = {a + b + c + d + e + f: 1 + (i % 7) for i, (a, b, c, d, e, f) in enumerate(
+        itertools.product(syl, repeat=6)) if i < 30_000}
+    df = spark.createDataFrame([(" ".join([w] * n),) for w, n in words.items()], "text string")
+    calls = collections.Counter()
+    for name in ("merge_ahead", "accept_batch"):
+        real = getattr(BP, name)
+        monkeypatch.setattr(BP, name, lambda *a, real=real, name=name: calls.update([name]) or real(*a))
+    vocab, merges = BP.bpe_train(df, "text", 4 + 13 + 20)
+    chars = [r.token for r in sorted(BP.kept_chars(BP.word_table(df, "text"), 0.9995).collect(), key=lambda r: r.crank)]
+    got = [(r.l, r.r) for r in merges.orderBy("rank").collect()]
+    assert got[:8] == brute_force(words, chars, 8) and len(got) == 33 - len(chars)
+    assert sum(calls.values()) <= 4, calls

@@ -1,9 +1,9 @@
 """Byte-pair vocabulary learning (V6), encoding (E1) and decoding.
 
-Training works on the table of distinct words (cut on script change), never on
-the corpus, and on a pair table that is kept by signed changes: a round
-merges many pairs, touches only the words that hold one of them, and adds what
-changed in them to the pair table. Only the ranked head of the pair table (at
+Training works on the table of distinct words (cut on script change, in blocks of
+packed symbol numbers that numpy searches), never on the corpus, and on a pair
+table that is kept by signed changes: a round merges many pairs, touches only
+the words that hold one of them, and adds what changed in them to the pair table. Only the ranked head of the pair table (at
 most ``head`` rows) and at most ``working`` words that hold its pairs reach the
 driver; the merges chosen there are those that merging one at a time would choose.
 Both tables are persisted per round and checkpointed to the shared folder every
@@ -34,6 +34,10 @@ from tokenmill.session import cut_lineage
 #: Symbol of every character outside the vocabulary: it merges with nothing, and no
 #: character can be mistaken for it.
 SEP = ""
+#: In packed units: after every unit; a place that was merged into the one before.
+END, GONE = -1, -2
+_SCRIPTS = ["mark", "han", "kana", "hangul", "digit", "other"]
+MARK_CLASS = 1 + _SCRIPTS.index("mark")
 
 _HAN = r"[\x{2e80}-\x{2fff}\x{3005}-\x{3007}\x{3021}-\x{3029}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{2fa1f}]"
 _KANA = r"[\x{3040}-\x{30ff}\x{31f0}-\x{31ff}]"
@@ -162,90 +166,120 @@ def accept_batch(head: list[tuple[str, str, int]], complete: bool, known: set[st
     return acc
 
 
-def merge_ahead(words: list, head: list, bound, known: set[str], budget: int) -> list:
-    """The next merges, exactly, out of the words that hold a pair of ``head``
-    ([(count, symbols)]; every such word must be there).
+class Symbols:
+    """Symbols by number: 0 is the unknown character, then the kept characters, then
+    what merges make. ``cls`` holds each one's script (0 merges with nothing)."""
 
-    Counts of head pairs are complete in these words, and so are those of pairs with a
+    def __init__(self, chars: list[str]):
+        self.names, self.ids, self.cls = [SEP], {SEP: 0}, bytearray([0])
+        for c in chars:
+            self.add(c)
+
+    def add(self, name: str) -> int:
+        got = self.ids.get(name)
+        if got is None:
+            got = self.ids[name] = len(self.names)
+            self.names.append(name)
+            self.cls.append(1 + _SCRIPTS.index(py_script_class(name)))
+        return got
+
+    def key(self, l: str, r: str) -> int:
+        return self.ids[l] << 32 | self.ids[r]
+
+
+def merge_ahead(s: np.ndarray, n: np.ndarray, head: list, bound, table: Symbols, budget: int) -> list:
+    """The next merges, exactly, out of the packed units (``_packed``) that hold a
+    pair of ``head`` (every such unit must be there).
+
+    Counts of head pairs are complete in these units, and so are those of pairs with a
     symbol that is made here. Any other pair comes after ``bound`` = (count, l, r) of the
     first pair beyond the head, and can only fall, so merging goes on as long
     as the best pair comes before the bound. A merge that makes a piece which other
-    words may hold already is the last one."""
-    told = {(l, r) for l, r, _ in head}
-    made: set[str] = set()
+    words may hold already is the last one.
+
+    Places are linked, so a merge reads and writes only its own places and their
+    neighbours."""
+    s = np.concatenate(([END], s)).astype(np.int32)
+    w = np.append(n, 0)[np.cumsum(s == END) - 1]
+    nxt, prv = np.arange(1, len(s) + 1), np.arange(-1, len(s) - 1)
+    room = len(table.names) + max(budget, 0) + 1
+    cls, made = np.zeros(room, np.uint8), np.zeros(room, bool)
+    cls[:len(table.cls)] = np.frombuffer(bytes(table.cls), np.uint8)
+    told = np.sort(np.array([table.key(l, r) for l, r, _ in head], dtype=np.int64))
     count: dict = {}
     where: dict = {}
-
-    def tracked(p):
-        return p in told or ((p[0] in made or p[1] in made) and mergeable(*p))
-
-    def add(i, sign):
-        n, syms = words[i]
-        for p in zip(syms, syms[1:]):
-            if tracked(p):
-                count[p] = count.get(p, 0) + sign * n
-                where.setdefault(p, set()).add(i)
-                changed.add(p)
-
-    words, changed = [(n, list(s)) for n, s in words], set()
-    for i in range(len(words)):
-        add(i, 1)
-    heap = [(-c, *p) for p, c in count.items()]
+    changed: set = set()
+
+    def add(at, sign):
+        l, r = s[at], s[nxt[at]]
+        hit = (l > 0) & (r > 0)
+        at, l, r = at[hit], l[hit], r[hit]
+        key = l.astype(np.int64) << 32 | r
+        hit = (made[l] | made[r]) & ((cls[l] == MARK_CLASS) | (cls[l] == cls[r])) | _among(key, told)
+        at, key = at[hit], key[hit]
+        if not len(key):
+            return
+        order = np.argsort(key, kind="stable")
+        at, key = at[order], key[order]
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        total, ends = np.add.reduceat(w[at], start).tolist(), [*start[1:].tolist(), len(at)]
+        for k, t, i, j in zip(key[start].tolist(), total, start.tolist(), ends):
+            count[k] = count.get(k, 0) + sign * t
+            changed.add(k)
+            if sign > 0:
+                where.setdefault(k, []).append(at[i:j])
+
+    def entry(k):
+        return -count[k], table.names[k >> 32], table.names[k & 0xFFFFFFFF], k
+
+    add(np.flatnonzero(s > 0), 1)
+    heap = [entry(k) for k in count]
     heapq.heapify(heap)
     out: list = []
     left = budget
     while heap and left > 0:
-        c, l, r = heapq.heappop(heap)
-        if count.get((l, r)) != -c or c == 0:
+        c, l, r, k = heapq.heappop(heap)
+        if count[k] != -c or c == 0:
             continue
         if bound is not None and (c, l, r) >= (-bound[0], bound[1], bound[2]):
             break
-        piece = l + r
+        known = table.ids.get(l + r)
         out.append((l, r, -c))
-        left -= piece not in known and piece not in made
-        stop = piece in known and piece not in made
-        made.add(piece)
+        left -= known is None
+        new = table.add(l + r)
+        stop = known is not None and not made[new]
+        made[new], cls[new] = True, table.cls[new]
         changed.clear()
-        for i in where[l, r]:
-            add(i, -1)
-            words[i] = (words[i][0], merge_pair(words[i][1], l, r))
-            add(i, 1)
+        at = np.unique(np.concatenate(where.pop(k)))
+        at = at[(s[at] == k >> 32) & (s[nxt[at]] == k & 0xFFFFFFFF)]
+        if l == r:
+            at = _every_other(at, nxt[at[:-1]] == at[1:])
+        add(np.unique(np.concatenate((prv[at], at, nxt[at]))), -1)
+        gone = nxt[at]
+        s[at], s[gone] = new, GONE
+        nxt[at] = nxt[gone]
+        prv[nxt[at]] = at
+        add(np.unique(np.concatenate((prv[at], at))), 1)
         for p in changed:
             if count[p] > 0:
-                heapq.heappush(heap, (-count[p], *p))
+                heapq.heappush(heap, entry(p))
         if stop:
             break
     return out
 
 
-def merge_pair(syms: list[str], l: str, r: str) -> list[str]:
-    """The pair joined wherever it stands, left to right."""
-    out, i = [], 0
-    while i < len(syms):
-        if i + 1 < len(syms) and syms[i] == l and syms[i + 1] == r:
-            out.append(l + r)
-            i += 2
-        else:
-            out.append(syms[i])
-            i += 1
-    return out
+def _among(key: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
+    if not len(sorted_keys):
+        return np.zeros(len(key), bool)
+    return sorted_keys[np.minimum(np.searchsorted(sorted_keys, key), len(sorted_keys) - 1)] == key
 
 
-def merge_in_order(syms: list[str], ranks: dict) -> list[str]:
-    """A batch of merges, {pair: its ranks ascending}, applied in rank order."""
-    last = -1
-    while True:
-        best = None
-        for p in zip(syms, syms[1:]):
-            for k in ranks.get(p, ()):
-                if k > last:
-                    if best is None or k < best[0]:
-                        best = (k, p)
-                    break
-        if best is None:
-            return syms
-        last = best[0]
-        syms = merge_pair(syms, *best[1])
+def _every_other(at: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Of every run of overlapping places the first, the third and so on;
+    ``follows`` tells of each place but the first whether it overlaps the one before."""
+    i = np.arange(len(at))
+    first = np.maximum.accumulate(np.where(np.concatenate(([True], ~follows)), i, 0)) if len(at) else i
+    return at[(i - first) % 2 == 0]
 
 
 def _units(words: DataFrame) -> DataFrame:
@@ -258,81 +292,156 @@ def _units(words: DataFrame) -> DataFrame:
     return words.select("n", F.explode(cut).alias("unit")).groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def _add_pairs(change: dict, n: int, syms, sign: int) -> None:
-    """Signed (count, words) of the mergeable pairs of one unit."""
-    seen = set()
-    for p in zip(syms, syms[1:]):
-        if mergeable(*p):
-            got = change.setdefault(p, [0, 0])
-            got[0] += sign * n
-            if p not in seen:
-                got[1] += sign
-                seen.add(p)
-
+def _pair_table(changes: DataFrame) -> DataFrame:
+    return changes.groupBy("l", "r").agg(F.sum("cnt").alias("cnt"), F.sum("words").alias("words")).where("cnt > 0")
 
-def _pair_batch(change: dict) -> pa.RecordBatch:
-    rows = [(l, r, c, w) for (l, r), (c, w) in change.items() if c or w]
-    cols = list(zip(*rows)) if rows else [[]] * 4
-    types = [pa.string(), pa.string(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["l", "r", "cnt", "words"])
 
+def _packed(units: list[str], ids: dict[int, int]) -> np.ndarray:
+    """Symbol numbers of the units one after the other, END after each."""
+    size = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+    chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+    kinds, of = np.unique(chars, return_inverse=True)
+    out = np.full(len(chars) + len(units), END, dtype=np.int32)
+    out[np.arange(len(chars)) + np.repeat(np.arange(len(units)), size)] = \
+        np.array([ids.get(c, 0) for c in kinds.tolist()], dtype=np.int32)[of]
+    return out
 
-def _pair_table(changes: DataFrame) -> DataFrame:
-    return changes.groupBy("l", "r").agg(F.sum("cnt").alias("cnt"), F.sum("words").alias("words")).where("cnt > 0")
 
+def _holders(s: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit by unit, place by place) whether the unit holds one of the pairs."""
+    width = max(int(s.max(initial=0)), int(keys[-1] >> 32), int((keys & 0xFFFFFFFF).max())) + 1 if len(keys) else 1
+    left, right = np.zeros(width + 1, bool), np.zeros(width + 1, bool)  # END reads the last entry
+    left[keys >> 32], right[keys & 0xFFFFFFFF] = True, True
+    at = np.flatnonzero(left[s[:-1]] & right[s[1:]]) if len(keys) else np.zeros(0, np.int64)
+    at = at[_among(s[at].astype(np.int64) << 32 | s[at + 1], keys)]
+    ends = np.flatnonzero(s == END)
+    units = np.zeros(len(ends), bool)
+    units[np.searchsorted(ends, at)] = True
+    return units, np.repeat(units, np.diff(ends, prepend=-1))
+
+
+def _merge_all(s: np.ndarray, merges: list) -> np.ndarray:
+    """Packed units after the merges (l, r, made), one after the other, each left to right."""
+    for l, r, new in merges:
+        at = np.flatnonzero(s[:-1] == l)
+        at = at[s[at + 1] == r]
+        if l == r:
+            at = _every_other(at, at[1:] == at[:-1] + 1)
+        if len(at):
+            keep = np.ones(len(s), bool)
+            keep[at + 1] = False
+            s = s.copy()
+            s[at] = new
+            s = s[keep]
+    return s
+
+
+def _pair_counts(s: np.ndarray, n: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """(key, count, units that hold it) of the mergeable pairs, as three rows."""
+    at = np.flatnonzero((s[:-1] > 0) & (s[1:] > 0))
+    l, r = cls[s[at]], cls[s[at + 1]]
+    at = at[(l == MARK_CLASS) | (l == r)]
+    key, unit = s[at].astype(np.int64) << 32 | s[at + 1], np.cumsum(s == END)[at]
+    if not len(key):
+        return np.zeros((3, 0), np.int64)
+    order = np.argsort(key, kind="stable")  # units stay in order under each key
+    key, unit = key[order], unit[order]
+    other = np.concatenate(([True], key[1:] != key[:-1]))
+    start = np.flatnonzero(other)
+    fresh = other | np.concatenate(([True], unit[1:] != unit[:-1]))
+    return np.stack((key[start], np.add.reduceat(n[unit], start), np.add.reduceat(fresh.astype(np.int64), start)))
+
+
+_BLOCK = "syms binary, n binary, change binary"
+_BLOCK_UNITS = 1 << 16
+
+
+def _block(s, n, change) -> pa.RecordBatch:
+    cells = (s.astype(np.int32), n.astype(np.int64), change.astype(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in cells], names=["syms", "n", "change"])
+
+
+def _rows_of(batches):
+    for b in batches:
+        for i in range(b.num_rows):
+            yield (np.frombuffer(b.column(0)[i].as_buffer(), np.int32), np.frombuffer(b.column(1)[i].as_buffer(), np.int64))
+
+
+def _first_blocks(units: DataFrame, table: Symbols) -> DataFrame:
+    """Units in blocks of packed symbols, each with the counts of all its pairs;
+    characters outside the table never merge."""
+    shared = units.sparkSession.sparkContext.broadcast(({ord(c): i for c, i in table.ids.items() if len(c) == 1}, bytes(table.cls)))
 
-def _first_symbols(units: DataFrame, kept) -> DataFrame:
-    """Units as symbols; characters outside ``kept`` never merge."""
     def run(batches):
+        ids, cls = shared.value[0], np.frombuffer(shared.value[1], np.uint8)
+        texts, n = [], []
         for b in batches:
-            syms = [[c if c in kept.value else SEP for c in u] for u in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(syms, pa.list_(pa.string()))], names=["n", "syms"])
-    return units.select("unit", "n").mapInArrow(run, "n long, syms array<string>")
+            texts += b.column(0).to_pylist()
+            n += b.column(1).to_pylist()
+            while len(texts) >= _BLOCK_UNITS:
+                yield pack(texts[:_BLOCK_UNITS], n[:_BLOCK_UNITS], ids, cls)
+                texts, n = texts[_BLOCK_UNITS:], n[_BLOCK_UNITS:]
+        if texts:
+            yield pack(texts, n, ids, cls)
+
+    def pack(texts, n, ids, cls):
+        s, n = _packed(texts, ids), np.array(n, dtype=np.int64)
+        return _block(s, n, _pair_counts(s, n, cls))
+    return units.select("unit", "n").mapInArrow(run, _BLOCK)
+
+
+def _merged(blocks: DataFrame, merges: list, table: Symbols) -> DataFrame:
+    """The blocks after a batch of merges [(l, r, made)], each with what the batch
+    changes in its pair counts. Only units that hold a pair of the batch are touched."""
+    keys = np.array(sorted({l << 32 | r for l, r, _ in merges}), dtype=np.int64)
+    scripts = bytes(table.cls)
 
+    def run(batches):
+        cls = np.frombuffer(scripts, np.uint8)
+        for s, n in _rows_of(batches):
+            units, places = _holders(s, keys)
+            old, k = s[places], n[units]
+            new = _merge_all(old, merges)
+            change = _pair_counts(old, k, cls)
+            change[1:] *= -1
+            key, of = np.unique(np.concatenate((change, after := _pair_counts(new, k, cls)), axis=1)[0], return_inverse=True)
+            total = np.zeros((2, len(key)), np.int64)
+            np.add.at(total, (slice(None), of), np.concatenate((change[1:], after[1:]), axis=1))
+            kept = (total != 0).any(axis=0)
+            yield _block(np.concatenate((s[~places], new)), np.concatenate((n[~units], k)),
+                         np.stack((key[kept], total[0][kept], total[1][kept])))
+    return blocks.select("syms", "n").mapInArrow(run, _BLOCK)
+
+
+def _changes(blocks: DataFrame, table: Symbols) -> DataFrame:
+    """The signed pair counts that the blocks carry: l, r, cnt, words."""
+    shared = blocks.sparkSession.sparkContext.broadcast(list(table.names))
 
-def _merged(units: DataFrame, ranks) -> DataFrame:
-    """The units after a batch of merges."""
     def run(batches):
-        ranked = ranks.value
+        names = pa.array(shared.value, pa.string())
         for b in batches:
-            syms = [merge_in_order(s, ranked) if any(p in ranked for p in zip(s, s[1:])) else s for s in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(syms, pa.list_(pa.string()))], names=["n", "syms"])
-    return units.mapInArrow(run, "n long, syms array<string>")
+            for x in b.column(0):
+                key, cnt, words = np.frombuffer(x.as_buffer(), np.int64).reshape(3, -1)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(key >> 32)), names.take(pa.array(key & 0xFFFFFFFF)),
+                                                  pa.array(cnt), pa.array(words)], names=["l", "r", "cnt", "words"])
+    return blocks.select("change").mapInArrow(run, "l string, r string, cnt long, words long")
 
 
-def _changes(units: DataFrame, ranks=None) -> DataFrame:
-    """What a batch of merges changes in the pair table, summed per task (without
-    a batch: all pairs). Only units that hold a merged pair count."""
-    def run(batches):
-        change: dict = {}
-        for b in batches:
-            for n, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if ranks is None:
-                    _add_pairs(change, n, s, 1)
-                elif any(p in ranks.value for p in zip(s, s[1:])):
-                    _add_pairs(change, n, s, -1)
-                    _add_pairs(change, n, merge_in_order(s, ranks.value), 1)
-            if len(change) > 1 << 18:
-                yield _pair_batch(change)
-                change = {}
-        yield _pair_batch(change)
-    return units.mapInArrow(run, "l string, r string, cnt long, words long")
-
-
-def _holding(units: DataFrame, pairs: list) -> list:
-    """(n, symbols) of the units that hold one of ``pairs``."""
-    shared = units.sparkSession.sparkContext.broadcast(set(pairs))
+def _holding(blocks: DataFrame, keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Packed units that hold one of the pairs, and their counts."""
+    sought = np.array(sorted(keys), dtype=np.int64)
 
     def run(batches):
-        for b in batches:
-            hit = [any(p in shared.value for p in zip(s, s[1:])) for s in b.column(1).to_pylist()]
-            yield b.filter(pa.array(hit, pa.bool_()))
-    got = units.mapInArrow(run, "n long, syms array<string>").toArrow()
-    return list(zip(got.column("n").to_pylist(), got.column("syms").to_pylist()))
+        for s, n in _rows_of(batches):
+            units, places = _holders(s, sought)
+            yield _block(s[places], n[units], np.zeros(0))
+    got = blocks.select("syms", "n").mapInArrow(run, _BLOCK).toArrow()
+    s, n = zip(*_rows_of(got.to_batches()))
+    return np.concatenate(s), np.concatenate(n)
 
 
 def bpe_train(df: DataFrame, col: str = "text", vocab_size: int = 8000, coverage: float = 0.9995,
-              head: int = 2000, working: int = 1 << 14, checkpoint_every: int = 8, max_rounds: int | None = None):
+              head: int = 2000, working: int = 1 << 17, checkpoint_every: int = 8, max_rounds: int | None = None):
     """V6: learn a BPE vocabulary. Returns (vocab, merges): vocab
     (id, piece, score, kind) laid out as 4 specials, merged pieces by rank,
     then kept characters by frequency; merges (rank, l, r, piece, cnt).
@@ -349,13 +458,14 @@ def bpe_train(df: DataFrame, col: str = "text", vocab_size: int = 8000, coverage
     char_list = [r["token"] for r in sorted(chars, key=lambda r: r["crank"])]
     known = set(char_list)
     budget = max(vocab_size - N_SPECIAL - len(char_list), 0)
-    units = cut_lineage(_first_symbols(_units(words), spark.sparkContext.broadcast(set(char_list))))
-    pairs = cut_lineage(_pair_table(_changes(units)))
+    table = Symbols(char_list)
+    blocks = cut_lineage(_first_blocks(_units(words), table))
+    pairs = cut_lineage(_pair_table(_changes(blocks, table)))
     merges: list[tuple[int, str, str, str, int]] = []
     rounds, kept = 0, []
     while budget > 0 and (max_rounds is None or rounds < max_rounds):
         ranked = pairs.orderBy(F.col("cnt").desc(), "l", "r").limit(head + 1).collect()
-        while len(kept) > 2:  # the last table has read the units of the round before, not yet its own
+        while len(kept) > 2:  # the last table has read the blocks of the round before, not yet its own
             for old in kept.pop(0):
                 old.unpersist()
         if not ranked:
@@ -367,7 +477,7 @@ def bpe_train(df: DataFrame, col: str = "text", vocab_size: int = 8000, coverage
         hd = [(r.l, r.r, r.cnt) for r in ranked[:head]]
         if k >= 4 or k == len(ranked):
             bound = (ranked[k].cnt, ranked[k].l, ranked[k].r) if k < len(ranked) else None
-            batch = merge_ahead(_holding(units, [p[:2] for p in hd[:k]]), hd[:k], bound, known, budget)
+            batch = merge_ahead(*_holding(blocks, [table.key(l, r) for l, r, _ in hd[:k]]), hd[:k], bound, table, budget)
         else:
             n = min(head, 200)
             batch = accept_batch(hd[:n], len(ranked) <= n, known, budget)
@@ -377,14 +487,13 @@ def bpe_train(df: DataFrame, col: str = "text", vocab_size: int = 8000, coverage
                 merges.append((len(merges), l, r, l + r, c))
                 budget -= 1
         rounds += 1
-        ranks: dict = {}
-        for k, (l, r, _) in enumerate(batch):
-            ranks.setdefault((l, r), []).append(k)
-        ranks = spark.sparkContext.broadcast(ranks)
-        nxt, table = _merged(units, ranks), _pair_table(pairs.unionByName(_changes(units, ranks)))
-        nxt, table = (cut_lineage(nxt), cut_lineage(table)) if rounds % checkpoint_every == 0 else (nxt.persist(), table.persist())
-        kept.append([] if rounds % checkpoint_every == 0 else [nxt, table])
-        units, pairs = nxt, table
+        nxt = _merged(blocks, [(table.ids[l], table.ids[r], table.add(l + r)) for l, r, _ in batch], table)
+        last = rounds % checkpoint_every == 0
+        nxt = cut_lineage(nxt) if last else nxt.persist()
+        new_pairs = _pair_table(pairs.unionByName(_changes(nxt, table)))
+        new_pairs = cut_lineage(new_pairs) if last else new_pairs.persist()
+        kept.append([] if last else [nxt, new_pairs])
+        blocks, pairs = nxt, new_pairs
     for old in (x for pair in kept for x in pair):
         old.unpersist()
     rows = [(i, p, 0, "special") for i, p in enumerate(SPECIAL_PIECES)]
