@@ -84,10 +84,16 @@ def sample_rows(rows, by: str, most, hashed) -> DataFrame:
     return some.withColumn("rank", rank).where(F.col("rank") <= F.col("most")).select(*rows.columns)
 
 
-def worker_store(key: str) -> dict:
-    """A dict that lives as long as the Python worker. Functions travel to the
-    workers by value, so a module global would be new in every task."""
-    return sys.__dict__.setdefault("_tokenmill_store", {}).setdefault(key, {})
+def worker_store(key: str, most: int = 2) -> dict:
+    """A dict that outlives its task in the Python worker, until ``most`` other keys
+    were asked for since: a worker serves many queries, and each one's tables would
+    stay to its end. Functions travel to the workers by value, so a module global
+    would be new in every task."""
+    stores = sys.__dict__.setdefault("_tokenmill_store", {})
+    stores[key] = got = stores.pop(key, {})
+    while len(stores) > most:
+        del stores[next(iter(stores))]
+    return got
 
 
 def text_batches(spark, limit: int = 8 << 20) -> None:
