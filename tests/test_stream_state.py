@@ -112,3 +112,38 @@ def test_stream_equals_batch_on_shuffled_files(spark, tmp_dir):
     got = {r.run: (r.best, r.best_epoch, r.stop_epoch, r.last_epoch) for r in latest_state(spark, out).collect()}
     df = spark.createDataFrame(rows, SCHEMA)
     assert got == {r.run: (r.best, r.best_epoch, r.stop_epoch, r.last_epoch) for r in R.early_stop(df, 4, 0.001).collect()}
+
+
+def test_runs_share_a_bucket(spark, tmp_dir):
+    """Many runs in two keys of state, with gaps and out of order over the files."""
+    rng = random.Random(5)
+    rows = [(r, e, round(rng.random() + 3.0 / e, 3)) for r in range(-20, 20) for e in range(1, 20) if (r, e) != (7, 3)]
+    rng.shuffle(rows)
+    q, out = run(spark, tmp_dir, [rows[i::3] for i in range(3)], patience=4, max_ahead=5000, buckets=2)
+    q.awaitTermination()
+    got = {r.run: (r.best, r.best_epoch, r.stop_epoch, r.last_epoch) for r in latest_state(spark, out).collect()}
+    whole = spark.createDataFrame([r for r in rows if r[0] != 7], SCHEMA)
+    want = {r.run: (r.best, r.best_epoch, r.stop_epoch, r.last_epoch) for r in R.early_stop(whole, 4, 0.001).collect()}
+    assert got.pop(7)[3] == 2 and got == want
+
+
+def test_a_part_is_one_batch_however_many_files(spark, tmp_dir, monkeypatch):
+    from datetime import datetime, timedelta
+    from pyspark.sql import functions as F
+    from tokenmill.plans import q_stream as Q
+    rows = [(u * 100 + e, datetime(2024, 1, 1) + timedelta(seconds=e), u, "click", 1.0 / e) for u in range(30) for e in range(1, 13)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double").write.parquet(
+        os.path.join(tmp_dir, "events.parquet"))
+    at = []
+    monkeypatch.setattr(Q, "_scratch", lambda s, name: at.append(os.path.join(tmp_dir, name)) or at[-1])
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        got = Q.q_early_stop_stream(spark, tmp_dir).collect()
+    finally:
+        spark.conf.unset(key)
+    src = next(p for p in at if p.endswith("epochs-in"))
+    assert len(spark.read.parquet(src).inputFiles()) > Q.N_FILES
+    out = next(p for p in at if p.endswith("es-out"))
+    assert spark.read.parquet(out).agg(F.countDistinct("batch_id")).first()[0] <= Q.N_FILES
+    assert len(got) == 30 and {(r.best_epoch, r.stop_epoch, r.last_epoch) for r in got} == {(12, None, 12)}
