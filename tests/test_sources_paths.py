@@ -158,3 +158,25 @@ def test_documents_by_byte_ranges(spark, tmp_dir):
         assert {n: t for n, t in whole.items() if t} == got
     finally:
         spark.conf.set(key, before)
+
+
+def test_documents_and_logs_are_written_by_the_tasks(spark, tmp_dir):
+    """One file a document, without a folder or a checksum file of its own; names and
+    lines as Spark's writer has them, also for names that it escapes."""
+    docs = spark.createDataFrame([(1, "a\nb"), (-2, None), (3, "é"), (3, "é"), (None, "n")], "doc_id long, text string").coalesce(1)
+    top = os.path.join(tmp_dir, "docs")
+    for _ in range(2):  # the second replaces the first
+        C.write_documents(docs, "doc_id", "text", "file:" + top)
+    files = [os.path.join(d, f) for d, _, names in os.walk(top) for f in names if not f.startswith(("_", "._"))]
+    assert sorted(os.path.basename(f) for f in files) == ["doc_id=-2.txt", "doc_id=1.txt", "doc_id=3.txt", "doc_id=__HIVE_DEFAULT_PARTITION__.txt"]
+    got = {r.doc.rsplit("=", 1)[1]: r.text for r in C.read_document(spark, top).collect()}
+    assert got == {"1.txt": "a\nb\n", "-2.txt": "\n", "3.txt": "é\né\n", "__HIVE_DEFAULT_PARTITION__.txt": "n\n"}
+    odd = ["a b", "x/y", "50%", "k=v", "q'\"", "a:b*?", "tab\t", "{z}", "[w]", "^", "back\\slash", "é", "", None]
+    lines = spark.createDataFrame([(r, i, f"line {i}") for r in odd for i in range(3)], "run string, line_no bigint, line string")
+    LG.write_run_logs(lines, "file:" + os.path.join(tmp_dir, "logs"), 4)
+    lines.select("run", "line").write.partitionBy("run").text(os.path.join(tmp_dir, "spark"))
+    names = {d: {n for n in os.listdir(os.path.join(tmp_dir, d)) if n.startswith("run=")} for d in ("logs", "spark")}
+    assert names["logs"] == names["spark"]
+    assert not [f for _, _, fs in os.walk(os.path.join(tmp_dir, "logs")) for f in fs if f.startswith(".part")]
+    back = LG.read_run_logs(spark, os.path.join(tmp_dir, "logs")).where("line != ''")
+    assert back.count() == 42 and back.select("run").distinct().count() == 13

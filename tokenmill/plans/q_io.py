@@ -49,10 +49,13 @@ def q_read_document(spark, sf):
     """Every document written as a file and read back whole: its characters and
     lines (``read_document_pieces`` is the reader for files too large for a row)."""
     path = _scratch(spark, "docs")
-    read_table(spark, sf, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    docs = read_table(spark, sf, "documents")
+    C.write_documents(docs, "doc_id", "text", path)
+    # a task may read as many files as one has written: Spark's own packing takes 32 at most
+    back = C.read_document(spark, path).coalesce(max(docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism))
     # the writer ends each file with a line break, which is not the document's
-    return C.read_document(spark, path).select(
-        F.regexp_extract("doc", "doc_id=(-?[0-9]+)", 1).cast("bigint").alias("doc_id"),
+    return back.select(
+        F.nullif(F.regexp_extract("doc", "doc_id=(-?[0-9]+)", 1), F.lit("")).cast("bigint").alias("doc_id"),
         (F.length("text") - 1).cast("bigint").alias("n_chars"), (F.size(F.split("text", "\n")) - 1).cast("bigint").alias("n_lines"))
 
 

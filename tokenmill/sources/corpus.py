@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.functions import flatten_newlines
+from tokenmill.sources.text_files import write_text_by
 
 PAIR_SCHEMA = "pair_id bigint, split string, translation struct<en: string, zh: string>"
 
@@ -37,9 +38,14 @@ def write_pairs(corpus: DataFrame, path: str) -> None:
     corpus.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def write_documents(docs: DataFrame, key: str, col: str, path: str) -> None:
+    """Every document a text file of its own, named after its key."""
+    write_text_by(docs.select(key, col).sortWithinPartitions(key), key, col, path, folders=False)
+
+
 def read_document(spark: SparkSession, path: str) -> DataFrame:
-    """Each file as ONE string (doc = file path)."""
-    return spark.read.text(path, wholetext=True).select(
+    """Each file, in whatever folder below, as ONE string (doc = file path)."""
+    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("doc"), F.col("value").alias("text"))
 
 
