@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenmill.sources.text_files import write_text_by
+
 STDOUT_MARK = "=== STDOUT ==="
 STDERR_MARK = "=== STDERR ==="
 
@@ -20,9 +22,7 @@ def write_run_logs(lines: DataFrame, path: str, partitions: int | None = None) -
     hdr = head.select("run", F.lit(-1).cast("bigint").alias("line_no"), F.lit(STDOUT_MARK).alias("line"))
     tail = head.select("run", F.lit(1 << 62).cast("bigint").alias("line_no"), F.lit("\n" + STDERR_MARK).alias("line"))
     allr = hdr.unionByName(lines.select("run", "line_no", "line")).unionByName(tail)
-    (allr.repartitionByRange(n, "run", "line_no").sortWithinPartitions("run", "line_no")
-     .select("run", F.col("line").alias("value"))
-     .write.mode("overwrite").partitionBy("run").text(path))
+    write_text_by(allr.repartitionByRange(n, "run", "line_no").sortWithinPartitions("run", "line_no"), "run", "line", path, folders=True)
 
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
