@@ -220,3 +220,18 @@ def test_a_round_reads_its_slice_only(spark):
     assert sum(ranked.where(F.col("slice") == k).count() for k in range(10)) == 101
     got = {r.run: r.last_epoch for r in R.early_stop(df, 3, 0.001, chunk=10).collect()}
     assert got == {1: max(e for e in got.values()), 2: 0} and got[1] == {r.run: r.last_epoch for r in R.early_stop(df, 3, 0.001).collect()}[1]
+
+
+def test_generation_makes_no_draws_in_rows(spark):
+    """The draws are made beside the steps, not sent as a list a row; any key type, a
+    null key included, gives what the joins give."""
+    df = spark.createDataFrame([(k, lang, ["a"] if lang else None) for k in ("x", "y:1", None) for lang in ("l", "m", None)],
+                               "key string, lang string, seq array<string>")
+    scores = spark.createDataFrame([(lang, a, b, -0.1 * i) for lang in ("l", "m") for a in "abc" for i, b in enumerate("cab")],
+                                   "lang string, prev string, nxt string, logp double")
+    small = D.generate(df, scores, 6)
+    assert "array<double>" not in small._jdf.queryExecution().analyzed().toString() and "_u#" not in small._jdf.queryExecution().analyzed().toString()
+    a, b = (sorted(((r.key, r.lang, r.seq) for r in got.collect()), key=repr)
+            for got in (small, D.generate(df, scores, 6, broadcast_bytes=0)))
+    assert a == b and {len(r[2]) for r in a if r[1]} == {7}
+    assert all(r[2] is None for r in a if r[1] is None) and len(a) == 9

@@ -312,19 +312,29 @@ def sampling_weights(scores: DataFrame, k: int = 50, temperature: float = 0.8, c
 
 
 def _generate_batches(st: DataFrame, weights: DataFrame, steps: int, seed: int, key: str, ctx, window: int, recent: float) -> DataFrame:
-    from tokenmill.functions import uniform_hash
     rows = weights.collect()  # at most BROADCAST_BYTES, measured by the caller
     tokens = sorted({t for r in rows for t in (r["prev"], *r["nxts"])}, key=repr)
     place = {t: i for i, t in enumerate(tokens)}
     state = {tuple(r[c] for c in [*ctx, "prev"]): i for i, r in enumerate(rows)}
     shared = st.sparkSession.sparkContext.broadcast((tokens, state, [[place[t] for t in r["nxts"]] for r in rows], [r["ws"] for r in rows]))
-    # the draws of all steps, made in the JVM
-    src = st.withColumn("_u", F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: uniform_hash(seed, key, i)) if steps > 0
-                        else F.array().cast("array<double>"))
+    # what uniform_hash hashes, but for the step
+    src = st.withColumn("_k", F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"), F.lit(":")).cast("binary"))
 
     def run(batches):
+        from hashlib import md5
+
         import numpy as np
         import pyarrow as pa
+        numbers = [str(i).encode() for i in range(1, steps + 1)]
+
+        def draws(keys):
+            """uniform_hash of every key and step; beyond all shares without a key."""
+            u = np.full((len(keys), steps), np.inf)
+            for i, k in enumerate(keys):
+                if k is not None and steps:
+                    u[i] = np.frombuffer(b"".join([md5(k + x).digest() for x in numbers]), ">u4")[::4] / 4294967296.0
+            return u
+
         tokens, state, nxts, ws = shared.value
         wide, n_state = max(map(len, nxts), default=1), len(nxts)
         nxt, weight = np.full((n_state + 1, wide), -1), np.zeros((n_state + 1, wide))
@@ -335,36 +345,46 @@ def _generate_batches(st: DataFrame, weights: DataFrame, steps: int, seed: int,
         of_context: dict = {}
         for (*c, prev), i in state.items():
             of_context.setdefault(tuple(c), np.full(len(tokens) + 1, n_state))[places[prev]] = i
-        none = np.full(len(tokens) + 1, n_state)
+        context = {c: i for i, c in enumerate(of_context)}
+        table = np.stack([*of_context.values(), np.full(len(tokens) + 1, n_state)])  # the last: an unknown context
+        # a token's place among the successors of a state, while such a table is small
+        rank = None
+        if (n_state + 1) * (len(tokens) + 1) <= 1 << 24 and all(len(set(t)) == len(t) for t in nxts):
+            rank = np.full((n_state + 1, len(tokens) + 1), wide, dtype=np.int32)
+            for i, t in enumerate(nxts):
+                rank[i, t] = np.arange(len(t))
         for whole in batches:
             for cut in range(0, whole.num_rows, 1024):
                 b = whole.slice(cut, 1024)
                 n = b.num_rows
                 seqs = b.column("seq").to_pylist()
-                u = b.column("_u").flatten().to_numpy().reshape(n, steps)
+                u = draws(b.column("_k").to_pylist())
                 # the window of every key, newest last; -1 where it is not filled or not a known token
-                hist = np.full((n, window + steps), -1)
+                hist = np.full((n, window + steps), -1, dtype=np.int32)
                 for i, s in enumerate(seqs):
                     tail = [places.get(t, -1) for t in (s or ())[-window:]]
                     hist[i, window - len(tail):window] = tail
-                table = np.stack([of_context.get(c, none) for c in zip(*(b.column(c).to_pylist() for c in ctx))]) \
-                    if ctx else np.repeat(of_context.get((), none)[None], n, 0)
+                of_key = np.array([context.get(c, len(context)) for c in
+                                   (zip(*(b.column(c).to_pylist() for c in ctx)) if ctx else [()] * n)], dtype=np.int64)
                 grown = np.zeros(n, dtype=np.int64)
                 live = np.flatnonzero([bool(s) for s in seqs])
                 for step in range(steps):
                     prev = hist[live, window + step - 1]
-                    at = table[live, prev]
+                    at = table[of_key[live], prev]
                     live, prev, at = live[at < n_state], prev[at < n_state], at[at < n_state]
                     if not len(live):
                         break
-                    w = weight[at].copy()
+                    w = weight[at]
                     if recent:
                         seen = hist[live, step:window + step]
                         row, j = np.nonzero(seen[:, :-1] == prev[:, None])
-                        times = np.zeros(w.shape)
-                        r, c = np.nonzero(nxt[at[row]] == seen[row, j + 1][:, None])
-                        np.add.at(times, (row[r], c), 1.0)
-                        w = w * (1.0 + recent * times)
+                        if rank is None:
+                            r, c = np.nonzero(nxt[at[row]] == seen[row, j + 1][:, None])
+                            row = row[r]
+                        else:
+                            c = rank[at[row], seen[row, j + 1]]
+                            row, c = row[c < wide], c[c < wide]
+                        w = w * (1.0 + recent * np.bincount(row * wide + c, minlength=w.size).reshape(w.shape))
                     share = np.cumsum(w, axis=1)
                     total = share[np.arange(len(live)), last[at]]
                     inside = np.arange(wide) <= last[at][:, None]
