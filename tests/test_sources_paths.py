@@ -180,3 +180,50 @@ def test_documents_and_logs_are_written_by_the_tasks(spark, tmp_dir):
     assert not [f for _, _, fs in os.walk(os.path.join(tmp_dir, "logs")) for f in fs if f.startswith(".part")]
     back = LG.read_run_logs(spark, os.path.join(tmp_dir, "logs")).where("line != ''")
     assert back.count() == 42 and back.select("run").distinct().count() == 13
+
+
+def test_documents_are_listed_by_the_tasks(spark, tmp_dir):
+    """The driver holds no entry for a file, and the rows are those of Spark's whole-text
+    reader: addresses, hidden and empty files, links, bytes that are no UTF-8, codecs."""
+    import gzip
+    top = os.path.join(tmp_dir, "a b")
+    files = {"50%.txt": b"x\r\ny\n", "q'\"\t#&[z].txt": b"\xef\xbb\xbfb", "é .txt": b"\xff\xfea\xc3", "empty.txt": b"", "none.gz": gzip.compress(b""),
+             "UP.GZ": gzip.compress(b"up"), ".hidden": b"h", "_h": b"h", "_k=1": b"k", "_metadata": b"m", "c._COPYING_": b"c",
+             "d/k=1/_e=2/f": b"deep", "d/_no/f": b"n", "d/.no/f": b"n", "d/_metadata_d/f": b"yes"}
+    for name, data in files.items():
+        os.makedirs(os.path.dirname(os.path.join(top, name)), exist_ok=True)
+        with open(os.path.join(top, name), "wb") as f:
+            f.write(data)
+    os.symlink(os.path.join(top, "d/k=1"), os.path.join(top, "link"))
+    os.symlink(os.path.join(tmp_dir, "nothing"), os.path.join(top, "broken"))
+    lines = spark.range(60_000).selectExpr("concat('line ', id * id) AS v").coalesce(1)
+    for codec in ("bzip2", "deflate", "gzip", "lz4", "snappy"):
+        lines.write.option("compression", codec).text(os.path.join(top, codec))
+
+    def rows(df):
+        return sorted(tuple(r) for r in df.select("doc", F.hex("text"), F.length("text")).collect())
+
+    def by_spark(path):
+        return rows(spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
+            F.col("_metadata.file_path").alias("doc"), F.col("value").alias("text")))
+
+    want = by_spark(top)
+    assert len(want) == 14 and [n for d, _, n in want if d.endswith("none.gz")] == [0]
+    for path in (top, f"file:{top}/", f"file://{top}"):
+        docs = C.read_document(spark, path)
+        assert docs.inputFiles() == [] and rows(docs) == want
+    assert rows(C.read_document(spark, top, 3)) == want
+    for path in (os.path.join(top, "50%.txt"), os.path.join(tmp_dir, "a b/d/k*/*")):
+        assert rows(C.read_document(spark, path)) == by_spark(path)
+
+
+def test_read_document_query(spark, tmp_dir):
+    """Every document's characters and lines, from files that the driver never lists."""
+    from tokenmill.plans.q_io import q_read_document
+    texts = [(1, "a\nb"), (-2, ""), (3, "é😀"), (None, "n\n"), (5, None)] + [(i, "x\n" * i) for i in range(10, 60)]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(3).write.parquet(os.path.join(tmp_dir, "documents.parquet"))
+    out = q_read_document(spark, tmp_dir)
+    assert out.inputFiles() == []
+    key = lambda r: tuple((v is None, v) for v in r)
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(
+        [(i, len(t or ""), (t or "").count("\n") + 1) for i, t in texts], key=key)

@@ -52,7 +52,7 @@ def q_read_document(spark, sf):
     docs = read_table(spark, sf, "documents")
     C.write_documents(docs, "doc_id", "text", path)
     # a task may read as many files as one has written: Spark's own packing takes 32 at most
-    back = C.read_document(spark, path).coalesce(max(docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism))
+    back = C.read_document(spark, path, max(docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism))
     # the writer ends each file with a line break, which is not the document's
     return back.select(
         F.nullif(F.regexp_extract("doc", "doc_id=(-?[0-9]+)", 1), F.lit("")).cast("bigint").alias("doc_id"),

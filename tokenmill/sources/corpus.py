@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.functions import flatten_newlines
-from tokenmill.sources.text_files import write_text_by
+from tokenmill.sources.text_files import local_folder, read_whole, write_text_by
 
 PAIR_SCHEMA = "pair_id bigint, split string, translation struct<en: string, zh: string>"
 
@@ -43,10 +43,17 @@ def write_documents(docs: DataFrame, key: str, col: str, path: str) -> None:
     write_text_by(docs.select(key, col).sortWithinPartitions(key), key, col, path, folders=False)
 
 
-def read_document(spark: SparkSession, path: str) -> DataFrame:
-    """Each file, in whatever folder below, as ONE string (doc = file path)."""
-    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
+def read_document(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """Each file, in whatever folder below, as ONE string (doc = file path), by ``partitions``
+    tasks. Tasks list and read ``file:`` folders; other stores go by Spark's reader, which
+    keeps every file's entry in the driver."""
+    top = local_folder(spark, path)
+    if top is not None:
+        n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        return read_whole(spark, top, n)
+    docs = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("doc"), F.col("value").alias("text"))
+    return docs.coalesce(partitions) if partitions else docs
 
 
 def read_document_pieces(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
